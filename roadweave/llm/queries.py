@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import decontaminate, linededup, simhash
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -19,8 +19,64 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's lines, removed lines, and the length and SHA-256 of what line dedup keeps."""
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return found.select("doc_id", "n_lines", "n_removed", F.length(text).alias("n_chars"), F.sha2(text, 256).alias("kept_sha256"))
+
+
+SQL["op4_lines"] = """
+WITH lined AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+line AS (
+    SELECT doc_id, unnest(range(1, len(lines) + 1)) AS pos, unnest(lines) AS line FROM lined),
+hashed AS (
+    SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM line),
+rolled AS (
+    SELECT *, h + 10007 * coalesce(lag(h) OVER w, 0) AS r FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+numbered AS (
+    SELECT *, coalesce(sum(CASE WHEN r % 3 = 0 THEN 1 ELSE 0 END) OVER (
+        PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM rolled),
+chunk AS (
+    SELECT doc_id, no, string_agg(line, chr(10) ORDER BY pos) AS chunk, count(*) AS n FROM numbered GROUP BY doc_id, no),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, no) AS rank FROM chunk),
+kept AS (
+    SELECT doc_id, no, n, chunk, n > 1 AND rank > 1 AS gone FROM (
+        SELECT doc_id, no, n, chunk, row_number() OVER (PARTITION BY chunk, n > 1 ORDER BY doc_id, no) AS rank FROM chunk) x)
+SELECT doc_id, CAST(sum(n) AS INTEGER) AS n_lines,
+    CAST(sum(CASE WHEN gone THEN n ELSE 0 END) AS INTEGER) AS n_removed,
+    CAST(length(coalesce(string_agg(chunk, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS INTEGER) AS n_chars,
+    sha256(coalesce(string_agg(chunk, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS kept_sha256
+FROM kept GROUP BY doc_id
+"""
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a document and a benchmark item of whose five-word shingles it holds 0.8 or more."""
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op10_decontaminate"] = r"""
+WITH w AS (
+    SELECT 'd' AS kind, doc_id AS id, regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') AS w FROM documents
+    UNION ALL
+    SELECT 'i', item_id, regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') FROM benchmark),
+f AS (SELECT kind, id, [x for x in w if x <> ''] AS w FROM w),
+p AS (SELECT kind, id, CASE WHEN len(w) BETWEEN 1 AND 4 THEN list_concat(w, ['' for x in range(5 - len(w))]) ELSE w END AS w FROM f),
+s AS (
+    SELECT DISTINCT kind, id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] for i in range(1, len(w) - 3)]) AS s
+    FROM p WHERE len(w) >= 5),
+n AS (SELECT id, count(*) AS n_item FROM s WHERE kind = 'i' GROUP BY id),
+c AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM s d JOIN s i ON d.s = i.s WHERE d.kind = 'd' AND i.kind = 'i' GROUP BY d.id, i.id)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / CAST(n_item AS DOUBLE) AS containment
+FROM c JOIN n ON n.id = c.item_id WHERE n_shared / CAST(n_item AS DOUBLE) >= 0.8
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_simhash": op7_simhash}
+    return {"op4_lines": op4_lines, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
