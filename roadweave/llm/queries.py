@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, simhash
+from . import decontaminate, linededup, simhash, toxicity
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -75,8 +75,16 @@ FROM c JOIN n ON n.id = c.item_id WHERE n_shared / CAST(n_item AS DOUBLE) >= 0.8
 """
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted label of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", predicted)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_lines": op4_lines, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
+    return {"op4_lines": op4_lines, "op5_toxicity": op5_toxicity, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
