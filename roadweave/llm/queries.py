@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, simhash, toxicity
+from . import decontaminate, linededup, mixing, simhash, toxicity
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -83,8 +83,65 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", predicted)
 
 
+#: Weights of the mix: three domains by the number in a source's name, four languages, sources alike.
+WEIGHTS = {"domain": {"domain0": 3, "domain1": 2, "domain2": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}}
+
+
+def levels() -> dict[str, Column]:
+    """The tree's levels as columns of documents."""
+    number = F.regexp_extract("source", "([0-9]+)$", 1).try_cast("bigint") % 3
+    domain = F.concat(F.lit("domain"), F.coalesce(number, F.lit(0)).cast("string"))
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, tokens and copies in a mix of 0.6 of all tokens."""
+    found = mixing.mix(table(spark, sf_dir, "documents"), levels(), WEIGHTS)
+    return found.select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
+
+
+def _level_sql(name: str, path: str, up: str, parents: str, weight: str) -> str:
+    """SQL of one level of the tree: nodes, which of them are full, and their shares."""
+    join = f"JOIN {parents} USING ({up})" if up else f"CROSS JOIN {parents}"
+    family = f"PARTITION BY {up}" if up else ""
+    return f"""
+{name}_n AS (
+    SELECT *, coalesce(sum(cap) OVER ({family} ORDER BY cap / w, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+        sum(w) OVER ({family} ORDER BY cap / w, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left
+    FROM (SELECT {path}, CAST(sum(capacity) AS DOUBLE) AS cap, CAST({weight} AS DOUBLE) AS w FROM leaf GROUP BY {path}) n {join}),
+{name}_f AS (SELECT *, cap * w_left <= w * (given - used) AS full_up FROM {name}_n),
+{name}_s AS (
+    SELECT {path}, CASE WHEN full_up THEN cap ELSE w * (given - sum(CASE WHEN full_up THEN cap ELSE 0 END) OVER ({family}))
+        / sum(CASE WHEN full_up THEN 0 ELSE w END) OVER ({family}) END AS given
+    FROM {name}_f),"""
+
+
+SQL["op9_mixing"] = (
+    """
+WITH tokens AS (
+    SELECT doc_id, 'domain' || coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 3, 0) AS domain,
+        coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+        CAST(len([x for x in regexp_split_to_array(coalesce(text, ''), '[ \t\n\r]+') if x <> '']) AS BIGINT) AS n_tokens
+    FROM documents),
+leaf AS (SELECT domain, lang, source, sum(n_tokens) AS tokens, sum(n_tokens) * 3 AS capacity FROM tokens GROUP BY ALL),
+root AS (SELECT CAST(0.6 AS DOUBLE) * CAST(sum(n_tokens) AS DOUBLE) AS given FROM tokens),"""
+    + _level_sql("domain", "domain", "", "root", "CASE domain WHEN 'domain0' THEN 3 WHEN 'domain1' THEN 2 ELSE 1 END")
+    + _level_sql("lang", "domain, lang", "domain", "domain_s", "CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END")
+    + _level_sql("source", "domain, lang, source", "domain, lang", "lang_s", "1")
+    + """
+quota AS (SELECT l.*, CAST(floor(given) AS BIGINT) AS quota FROM leaf l JOIN source_s USING (domain, lang, source)),
+epochs AS (SELECT *, CASE WHEN tokens > 0 THEN CAST(floor(quota / CAST(tokens AS DOUBLE)) AS BIGINT) ELSE 0 END AS whole FROM quota),
+ordered AS (
+    SELECT t.*, whole, quota - whole * tokens AS rest, sum(n_tokens) OVER (
+        PARTITION BY domain, lang, source ORDER BY md5('17:' || whole || ':' || doc_id), doc_id ROWS UNBOUNDED PRECEDING) AS running
+    FROM tokens t JOIN epochs USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n_tokens, whole + CASE WHEN running <= rest THEN 1 ELSE 0 END AS copies FROM ordered
+"""
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_lines": op4_lines, "op5_toxicity": op5_toxicity, "op7_simhash": op7_simhash, "op10_decontaminate": op10_decontaminate}
+    return {"op4_lines": op4_lines, "op5_toxicity": op5_toxicity, "op7_simhash": op7_simhash, "op9_mixing": op9_mixing, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
