@@ -25,10 +25,15 @@ def padded(found: Column, n: int) -> Column:
 
 
 def shingled(df: DataFrame, column: str, n: int, *keep: str) -> DataFrame:
-    """One row for each n-word shingle of a word array: the kept columns and w0 to w(n-1)."""
+    """One row for each n-word shingle of a word array: the kept columns and w0 to w(n-1).
+
+    The outer form of inline, and a filter after it: for the inner form Spark would split every text twice, once
+    in a filter of its own on the array's size.
+    """
     many = F.greatest(F.size(column) - (n - 1), F.lit(0))
     slices = [F.slice(column, k + 1, many).alias(f"w{k}") for k in range(n)]
-    return df.select(*keep, F.inline(F.arrays_zip(*slices))).toDF(*keep, *[f"w{k}" for k in range(n)])
+    rows = df.select(*keep, F.inline_outer(F.arrays_zip(*slices))).toDF(*keep, *[f"w{k}" for k in range(n)])
+    return rows.where("w0 is not null")
 
 
 def _bounded(df: DataFrame) -> DataFrame:

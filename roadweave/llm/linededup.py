@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, text_of
+from .common import fresh, settle, text_of
 
 WINDOW = 2
 DIVISOR = 3
@@ -58,8 +58,9 @@ def dedup_lines(
     k_id, k_text, lines, chunks, gone, n_lines, n_removed = fresh(docs.columns, "k_id", "k_text", "lines", "chunks", "gone", "n_lines", "n_removed")
     text = text_of(text_col)
     keyed = docs.select(F.col(id_col).alias("i"), F.xxhash64(text).alias("t"), text.alias("text"))
+    # The outer form of explode: for the inner one Spark puts a filter with the whole chunking in it below.
     cut = chunked(keyed, F.col("text"), ["i", "t"], window, divisor)
-    rows = cut.select("i", "t", "lines", F.posexplode("chunks").alias("no", "c")).where("c.n > 1")
+    rows = cut.select("i", "t", "lines", F.posexplode_outer("chunks").alias("no", "c")).where("c.n > 1")
     chunk = F.array_join(F.slice("lines", F.col("c.first"), F.col("c.n")), "\n")
     place = F.struct("i", "t", "no")
     hashed = rows.select("i", "t", "no", F.xxhash64(chunk).alias("hash"))
@@ -67,10 +68,10 @@ def dedup_lines(
     listed = hashed.join(twice, "hash").groupBy("i", "t").agg(F.collect_set("no").alias("nos"))
     # Equal hashes only say where to look: the bytes of these chunks decide.
     l_i, l_t = listed["i"].alias("l_i"), listed["t"].alias("l_t")
-    wanted = listed.select(l_i, l_t, "nos")
+    wanted = settle(listed.select(l_i, l_t, "nos"), "repeated")
     texts = keyed.join(wanted, keyed["i"].eqNullSafe(F.col("l_i")) & (keyed["t"] == F.col("l_t")))
     again = chunked(texts, F.col("text"), ["i", "t", "nos"], window, divisor)
-    again = again.select("i", "t", "nos", "lines", F.posexplode("chunks").alias("no", "c")).where("array_contains(nos, no)")
+    again = again.select("i", "t", "nos", "lines", F.posexplode_outer("chunks").alias("no", "c")).where("array_contains(nos, no)")
     again = again.select("i", "t", "no", chunk.alias("chunk"), F.col("c.first").alias("first"), F.col("c.n").alias("n"))
     first = again.groupBy("chunk").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi")
     later = again.join(first.select("chunk", "lo"), "chunk").where(~place.eqNullSafe(F.col("lo")))

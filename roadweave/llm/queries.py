@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, mixing, simhash, toxicity
+from . import decontaminate, linededup, minhash, mixing, simhash, toxicity
 from .common import table
 
 SQL: dict[str, str] = {}
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness to each other and to the next document."""
+    found = minhash.compare_with_next(table(spark, sf_dir, "documents"))
+    digits = {c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")}
+    return found.withColumns(digits)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits), component_id of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -141,7 +148,7 @@ SELECT doc_id, domain, lang, source, n_tokens, whole + CASE WHEN running <= rest
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_lines": op4_lines, "op5_toxicity": op5_toxicity, "op7_simhash": op7_simhash, "op9_mixing": op9_mixing, "op10_decontaminate": op10_decontaminate}
+    return {"op1_minhash": op1_minhash, "op4_lines": op4_lines, "op5_toxicity": op5_toxicity, "op7_simhash": op7_simhash, "op9_mixing": op9_mixing, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
