@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, minhash, mixing, simhash, toxicity
+from . import decontaminate, linededup, minhash, mixing, simhash, toxicity, warc
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -101,6 +101,11 @@ def levels() -> dict[str, Column]:
     return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through ARC and WARC archives: payload length and digest, record type, and the response it refers to."""
+    return warc.convert_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, tokens and copies in a mix of 0.6 of all tokens."""
     found = mixing.mix(table(spark, sf_dir, "documents"), levels(), WEIGHTS)
@@ -148,7 +153,7 @@ SELECT doc_id, domain, lang, source, n_tokens, whole + CASE WHEN running <= rest
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op4_lines": op4_lines, "op5_toxicity": op5_toxicity, "op7_simhash": op7_simhash, "op9_mixing": op9_mixing, "op10_decontaminate": op10_decontaminate}
+    return {"op1_minhash": op1_minhash, "op4_lines": op4_lines, "op5_toxicity": op5_toxicity, "op6_warc": op6_warc, "op7_simhash": op7_simhash, "op9_mixing": op9_mixing, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
