@@ -32,7 +32,9 @@ PEAKS = 3
 CURVE_ROWS = 20_000
 #: Labels that may be broadcast to the documents (16 bytes each); more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
-_WORDS_KEPT = 300_000
+#: Words whose ratios a task keeps, and words that it turns into cells at once (each gives some 70 n-grams).
+_WORDS_KEPT = 200_000
+_WORDS_AT_ONCE = 20_000
 _STRIPPED = ".,;:!?\"'()[]{}<>*%$#&|-_"
 
 
@@ -74,29 +76,28 @@ def _count_grams(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Distinct n-grams of all orders in a task's rows: cells of the n-gram, its context and its own ending."""
     counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
 
-    def flush() -> pd.DataFrame:
+    keys = ["k", "context", "gram", "lower_context", "lower"]
+
+    def flush() -> Iterator[pd.DataFrame]:
         found = list(counts[0].keys() | counts[1].keys())
         by_class = [np.array([c.get(w, 0) for w in found], dtype=np.int64) for c in counts]
         owner, contexts, grams = _cells(found)
-        rows = []
         for k in range(ORDER):
-            lower = grams[k - 1] if k else np.full(len(owner), -1)
-            lower_context = contexts[k - 1] if k else np.full(len(owner), -1)
-            rows.append(pd.DataFrame({"k": k, "context": contexts[k], "gram": grams[k], "lower_context": lower_context, "lower": lower, "n0": by_class[0][owner], "n1": by_class[1][owner]}))
+            lower, lower_context = (grams[k - 1], contexts[k - 1]) if k else (np.int64(-1), np.int64(-1))
+            rows = pd.DataFrame({"k": k, "context": contexts[k], "gram": grams[k], "lower_context": lower_context, "lower": lower, "n0": by_class[0][owner], "n1": by_class[1][owner]})
+            yield rows.groupby(keys, as_index=False, sort=False).sum()
         for c in counts:
             c.clear()
-        keys = ["k", "context", "gram", "lower_context", "lower"]
-        return pd.concat(rows).groupby(keys, as_index=False, sort=False).sum()
 
     for part in parts:
         for text, c in zip(part["text"], part["toxic"], strict=True):
             own = counts[c]
             for w in tokens(text):
                 own[w] = own.get(w, 0) + 1
-            if len(own) > _WORDS_KEPT:
-                yield flush()
+            if len(own) > _WORDS_AT_ONCE:
+                yield from flush()
     if counts[0] or counts[1]:
-        yield flush()
+        yield from flush()
 
 
 class Model:
@@ -132,7 +133,9 @@ class Model:
         if len(known) > _WORDS_KEPT:
             known.clear()
         new = list({w for ws in split for w in ws} - known.keys())
-        known.update(zip(new, self.ratios(new).tolist(), strict=True))
+        for i in range(0, len(new), _WORDS_AT_ONCE):
+            part = new[i : i + _WORDS_AT_ONCE]
+            known.update(zip(part, self.ratios(part).tolist(), strict=True))
         out = np.zeros((len(split), 2))
         for i, ws in enumerate(split):
             if ws:
