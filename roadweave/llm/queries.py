@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, linededup, minhash, mixing, simhash, toxicity, warc
+from . import decontaminate, html, linededup, minhash, mixing, simhash, tokens, toxicity, warc
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -26,6 +26,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy longest-match pieces of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.count_tokens(docs, tokens.read_vocabulary()).drop("text")
+
+
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page and its length in code points."""
     found = html.main_text(table(spark, sf_dir, "pages"))
@@ -159,7 +165,7 @@ SELECT doc_id, domain, lang, source, n_tokens, whole + CASE WHEN running <= rest
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op3_html": op3_html, "op4_lines": op4_lines, "op5_toxicity": op5_toxicity, "op6_warc": op6_warc, "op7_simhash": op7_simhash, "op9_mixing": op9_mixing, "op10_decontaminate": op10_decontaminate}
+    return {"op1_minhash": op1_minhash, "op2_tokens": op2_tokens, "op3_html": op3_html, "op4_lines": op4_lines, "op5_toxicity": op5_toxicity, "op6_warc": op6_warc, "op7_simhash": op7_simhash, "op9_mixing": op9_mixing, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
