@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, linededup, minhash, mixing, simhash, tokens, toxicity, warc
+from . import decontaminate, html, linededup, minhash, mixing, repeats, simhash, tokens, toxicity, warc
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -118,6 +118,17 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.convert_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document, how many of them smaller doc_ids hold in strings of 50, and the hash of the rest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = repeats.repeated_spans(docs).withColumn("text", F.coalesce("text", F.lit("")))
+    removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("bigint"), lambda x, y: x + y)
+    return found.select(
+        "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), removed.alias("n_removed"), F.size("starts").cast("bigint").alias("n_spans"),
+        F.sha2(repeats.kept_bytes(F.col("text"), F.col("starts"), F.col("ends")), 256).alias("kept_sha256"),
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, tokens and copies in a mix of 0.6 of all tokens."""
     found = mixing.mix(table(spark, sf_dir, "documents"), levels(), WEIGHTS)
@@ -165,7 +176,7 @@ SELECT doc_id, domain, lang, source, n_tokens, whole + CASE WHEN running <= rest
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_tokens": op2_tokens, "op3_html": op3_html, "op4_lines": op4_lines, "op5_toxicity": op5_toxicity, "op6_warc": op6_warc, "op7_simhash": op7_simhash, "op9_mixing": op9_mixing, "op10_decontaminate": op10_decontaminate}
+    return {"op1_minhash": op1_minhash, "op2_tokens": op2_tokens, "op3_html": op3_html, "op4_lines": op4_lines, "op5_toxicity": op5_toxicity, "op6_warc": op6_warc, "op7_simhash": op7_simhash, "op8_repeats": op8_repeats, "op9_mixing": op9_mixing, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
