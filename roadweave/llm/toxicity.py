@@ -149,13 +149,14 @@ class Model:
 
 
 def _evidence(model, texts: Column) -> Column:
-    """Column of structs (mean, peak); model is a broadcast variable."""
+    """Column of structs (mean, peak); model is a broadcast of Model's arguments."""
 
     @F.pandas_udf("mean double, peak double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: dict[str, float] = {}
+        own = Model(*model.value)
         for texts in batches:
-            parts = [model.value.evidence(texts[i : i + 256], known) for i in range(0, len(texts), 256)]
+            parts = [own.evidence(texts[i : i + 256], known) for i in range(0, len(texts), 256)]
             yield pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, 2)), columns=["mean", "peak"])
 
     return of(texts)
@@ -183,7 +184,7 @@ def fold(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
-    """A broadcast Model from the labelled rows outside fold 0: folds 2 to 4 are counted, fold 1 fits the curve.
+    """A broadcast of Model's arguments from the labelled rows outside fold 0: folds 2 to 4 are counted, fold 1 fits the curve.
 
     Rows with a null label are no labels; of rows that repeat an id, all count. Without usable rows of both classes
     the model says 0.5 for every text.
@@ -222,13 +223,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         else:
             t[ks[own], cells[own]] = ns[own]
     if not tables["own0"].any() or not tables["own1"].any():
-        return spark.sparkContext.broadcast(Model(tables, (0.0, 0.0, 0.0)))
-    first = spark.sparkContext.broadcast(Model(tables, (0.0, 1.0, 1.0)))
+        return spark.sparkContext.broadcast((tables, (0.0, 0.0, 0.0)))
+    first = spark.sparkContext.broadcast((tables, (0.0, 1.0, 1.0)))
     share = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1e6 * min(1, CURVE_ROWS / max(n_curve, 1)))
     curve = rows.where((fold("id") == 1) & share).select("toxic", _evidence(first, F.col("text")).alias("e")).select("toxic", "e.*").toPandas()
     fitted = _fit_curve(curve[["mean", "peak"]].to_numpy(), curve["toxic"].to_numpy().astype(float))
     first.unpersist()
-    return spark.sparkContext.broadcast(Model(tables, fitted))
+    return spark.sparkContext.broadcast((tables, fitted))
 
 
 def score(docs: DataFrame, model, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -237,9 +238,10 @@ def score(docs: DataFrame, model, text_col: str = "text", name: str = "score") -
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, float] = {}
+        own = Model(*model.value)
         for texts in batches:
-            parts = [model.value.evidence(texts[i : i + 256], known) for i in range(0, len(texts), 256)]
-            yield pd.Series(model.value.scores(np.concatenate(parts)) if parts else np.zeros(0))
+            parts = [own.evidence(texts[i : i + 256], known) for i in range(0, len(texts), 256)]
+            yield pd.Series(own.scores(np.concatenate(parts)) if parts else np.zeros(0))
 
     return docs.withColumn(name, of(text_of(text_col)))
 
