@@ -1 +1 @@
-
+"""Column functions: angles, geometry, projection and road tags."""

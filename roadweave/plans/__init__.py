@@ -1 +1 @@
-
+"""Queries over the given tables."""

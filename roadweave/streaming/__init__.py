@@ -1 +1 @@
-
+"""Jobs over streams of points and events."""
