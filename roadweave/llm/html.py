@@ -51,18 +51,29 @@ _DIGITS = re.compile(r"\d+")
 
 
 class _Node:
-    __slots__ = ("tag", "label", "parent", "dropped", "linked", "score", "good", "number", "path")
+    __slots__ = ("tag", "label", "parent", "dropped", "linked", "score", "good", "number", "code", "in_body", "in_article")
 
     def __init__(self, tag: str, label: str, parent: _Node | None, dropped: bool, linked: bool, good: bool, number: int):
         self.tag, self.label, self.parent, self.dropped, self.linked, self.good, self.number = tag, label, parent, dropped, linked, good, number
         self.score = 0.0
-        self.path: str | None = None
+        self.code = hash((parent.code if parent else 0, label))  # of the path, for comparisons within a page
+        self.in_body = tag == "body" or parent is not None and parent.in_body
+        self.in_article = tag in ("article", "main") or parent is not None and parent.in_article
 
     def where(self) -> str:
         """Generalised path from the root."""
-        if self.path is None:
-            self.path = f"{self.parent.where()}/{self.label}" if self.parent else self.label
-        return self.path
+        labels, at = [], self
+        while at is not None:
+            labels.append(at.label)
+            at = at.parent
+        return "/".join(reversed(labels))
+
+
+def _path_code(path: str) -> int:
+    code = 0
+    for label in path.split("/"):
+        code = hash((code, label))
+    return code
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -103,13 +114,13 @@ class Page:
                 self._links += len(text.strip())
 
     def _open(self, tag: str, source: str) -> None:
-        if tag in ("html", "body") and (tag == "html" or any(n.tag == "body" for n in self._line())):
+        if tag == "html" or tag == "body" and self._at.in_body:
             return
         given = _attributes(source) if source and not source.isspace() else {}
         names = (given.get("class", "") + " " + given.get("id", "")).split() if given else []
         parts = {p.lower() for n in names for p in _NAME_PARTS.findall(n)}
         at = self._at
-        dropped = at.dropped or tag in _DROPPED_TAGS or tag == "header" and not any(n.tag in ("article", "main") for n in self._line())
+        dropped = at.dropped or tag in _DROPPED_TAGS or tag == "header" and not at.in_article
         if given and not dropped and tag != "body":
             style = given.get("style", "").replace(" ", "").lower()
             dropped = (
@@ -119,6 +130,7 @@ class Page:
         label = tag
         if given.get("class"):
             label += "." + ".".join(sorted({_DIGITS.sub("", n) for n in given["class"].split()} - {""}))
+            label = label.replace("/", "|")
         self._numbered += 1
         self._at = _Node(tag, label, at, dropped, tag == "a" or at.linked, not parts.isdisjoint(_GOOD_NAMES), self._numbered)
 
@@ -248,7 +260,8 @@ class Page:
 
     def extract(self, path: str | None) -> str:
         """Text of the containers on the path, or of the page's own best where there are none."""
-        inside = [t for n, t, links in self.blocks if self._kept(t, links) and any(m.where() == path for m in self._above(n))] if path else []
+        code = _path_code(path) if path else None
+        inside = [t for n, t, links in self.blocks if self._kept(t, links) and any(m.code == code for m in self._above(n))] if path else []
         if not inside and self.best:
             inside = [t for n, t, links in self.blocks if self._kept(t, links) and any(m is self.best for m in self._above(n))]
         return " ".join(inside)

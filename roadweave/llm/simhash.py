@@ -79,7 +79,7 @@ def _spread(run: np.ndarray, radius: int) -> list[tuple[int, int]]:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            near = np.bitwise_count(np.bitwise_xor(rest, x)) <= radius
+            near = np.bitwise_count(np.bitwise_xor(rest, x).view(np.uint64)) <= radius  # of signed numbers it counts the magnitude's
             if near.any():
                 found = rest[near]
                 rest = rest[~near]
