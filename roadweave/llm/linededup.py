@@ -69,7 +69,7 @@ def dedup_lines(
     # Equal hashes only say where to look: the bytes of these chunks decide.
     l_i, l_t = listed["i"].alias("l_i"), listed["t"].alias("l_t")
     wanted = settle(listed.select(l_i, l_t, "nos"), "repeated")
-    texts = keyed.join(wanted, keyed["i"].eqNullSafe(F.col("l_i")) & (keyed["t"] == F.col("l_t")))
+    texts = keyed.join(wanted.hint("merge"), keyed["i"].eqNullSafe(F.col("l_i")) & (keyed["t"] == F.col("l_t")))
     again = chunked(texts, F.col("text"), ["i", "t", "nos"], window, divisor)
     again = again.select("i", "t", "nos", "lines", F.posexplode_outer("chunks").alias("no", "c")).where("array_contains(nos, no)")
     again = again.select("i", "t", "no", chunk.alias("chunk"), F.col("c.first").alias("first"), F.col("c.n").alias("n"))
@@ -77,6 +77,8 @@ def dedup_lines(
     later = again.join(first.select("chunk", "lo"), "chunk").where(~place.eqNullSafe(F.col("lo")))
     removed = later.groupBy("i", "t").agg(F.collect_set(F.struct("first", "n")).alias("runs"))
     removed = removed.select(F.col("i").alias(k_id), F.col("t").alias(k_text), F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["first"] + r["n"] - 1))).alias(gone))
+    # Written first, which frees the shuffles so far; the hints keep the joins by shuffle at every size.
+    removed = settle(removed, "removed").hint("merge")
     joined = docs.join(removed, docs[id_col].eqNullSafe(removed[k_id]) & (F.xxhash64(text) == removed[k_text]), "left")
     kept = F.filter(lines, lambda x, i: ~F.array_contains(gone, i + 1))
     whole = joined.withColumn(lines, F.split(text, "\n", -1))
