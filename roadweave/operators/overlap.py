@@ -30,42 +30,47 @@ def route_from_edges(matches: DataFrame, edges: DataFrame, edge: str, *keys: str
     return used.join(edges.select("edge_idx", *_ENDS), "edge_idx").select(*keys, F.col("edge_idx").alias("seg_no"), *_ENDS, distance(*[F.col(c) for c in _ENDS]).alias("length_m"))
 
 
-def _interval(r: float) -> tuple[Column, Column]:
-    """From and to, as shares of segment p, of what lies within r of segment q; null where nothing does."""
-    c = F.col
-    px, py, dx, dy = c("x1"), c("y1"), c("x2") - c("x1"), c("y2") - c("y1")
-    ex, ey = c("q_x2") - c("q_x1"), c("q_y2") - c("q_y1")
-    size = F.sqrt(ex * ex + ey * ey)
-    found: list[tuple[Column, Column]] = []
-    a = dx * dx + dy * dy
-    for qx, qy in ((c("q_x1"), c("q_y1")), (c("q_x2"), c("q_y2"))):
-        fx, fy = px - qx, py - qy
-        b = dx * fx + dy * fy
-        root = b * b - a * (fx * fx + fy * fy - r * r)
-        ok = root >= 0
-        found.append((F.when(ok, (-b - F.sqrt(root)) / a), F.when(ok, (-b + F.sqrt(root)) / a)))
-    # The strip: along q between its ends, across it within r.
-    ux, uy = ex / size, ey / size
-    along0, along = (px - c("q_x1")) * ux + (py - c("q_y1")) * uy, dx * ux + dy * uy
-    across0, across = (py - c("q_y1")) * ux - (px - c("q_x1")) * uy, dy * ux - dx * uy
-
-    def band(start: Column, step: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
+def _intervals(pairs: DataFrame, r: float) -> DataFrame:
+    """Adds s and e, as shares of segment 1-2: from and to of what lies within r of segment q; null where nothing does.
+
+    Step by step in columns of their own, as one nested expression would repeat the roots many times over.
+    """
+    c, work = F.col, []
+
+    def add(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+        work.extend(columns)
+        return df.withColumns(columns)
+
+    df = add(pairs, {"_dx": c("x2") - c("x1"), "_dy": c("y2") - c("y1"), "_ex": c("q_x2") - c("q_x1"), "_ey": c("q_y2") - c("q_y1")})
+    df = add(df, {"_a": c("_dx") * c("_dx") + c("_dy") * c("_dy"), "_size": F.sqrt(c("_ex") * c("_ex") + c("_ey") * c("_ey"))})
+    for k in ("1", "2"):  # the discs at both ends of q
+        df = add(df, {f"_fx{k}": c("x1") - c(f"q_x{k}"), f"_fy{k}": c("y1") - c(f"q_y{k}")})
+        df = add(df, {f"_b{k}": c("_dx") * c(f"_fx{k}") + c("_dy") * c(f"_fy{k}")})
+        df = add(df, {f"_r{k}": c(f"_b{k}") * c(f"_b{k}") - c("_a") * (c(f"_fx{k}") * c(f"_fx{k}") + c(f"_fy{k}") * c(f"_fy{k}") - r * r)})
+        root = F.when(c(f"_r{k}") >= 0, F.sqrt(c(f"_r{k}")))
+        df = add(df, {f"_s{k}": (-c(f"_b{k}") - root) / c("_a"), f"_e{k}": (-c(f"_b{k}") + root) / c("_a")})
+    # The strip along q between its ends, and within r across it.
+    df = add(df, {"_ux": c("_ex") / c("_size"), "_uy": c("_ey") / c("_size")})
+    df = add(df, {
+        "_l0": c("_fx1") * c("_ux") + c("_fy1") * c("_uy"), "_l": c("_dx") * c("_ux") + c("_dy") * c("_uy"),
+        "_c0": c("_fy1") * c("_ux") - c("_fx1") * c("_uy"), "_c": c("_dy") * c("_ux") - c("_dx") * c("_uy"),
+    })
+    for at, step, lo, hi in (("_l0", "_l", F.lit(0.0), c("_size")), ("_c0", "_c", F.lit(-r), F.lit(r))):
+        df = add(df, {f"{step}1": (lo - c(at)) / F.nullif(c(step), F.lit(0.0)), f"{step}2": (hi - c(at)) / F.nullif(c(step), F.lit(0.0))})
         flat = F.abs(step) < 1e-12
-        inside = (start >= lo) & (start <= hi)
-        one, two = (lo - start) / step, (hi - start) / step
-        return (
-            F.when(flat, F.when(inside, F.lit(float("-inf")))).otherwise(F.least(one, two)),
-            F.when(flat, F.when(inside, F.lit(float("inf")))).otherwise(F.greatest(one, two)),
-        )
-
-    l0, l1 = band(along0, along, F.lit(0.0), size)
-    c0, c1 = band(across0, across, F.lit(-r), F.lit(r))
-    lo, hi = F.greatest(l0, c0), F.least(l1, c1)
-    met = l0.isNotNull() & c0.isNotNull() & (lo <= hi)
-    found.append((F.when(met, lo), F.when(met, hi)))
-    start = F.greatest(F.least(*[s for s, _ in found]), F.lit(0.0))
-    end = F.least(F.greatest(*[e for _, e in found]), F.lit(1.0))
-    return start, end
+        inside = (c(at) >= lo) & (c(at) <= hi)
+        df = add(df, {
+            f"{step}s": F.when(flat, F.when(inside, F.lit(float("-inf")))).otherwise(F.least(f"{step}1", f"{step}2")),
+            f"{step}e": F.when(flat, F.when(inside, F.lit(float("inf")))).otherwise(F.greatest(f"{step}1", f"{step}2")),
+        })
+    both = c("_ls").isNotNull() & c("_cs").isNotNull()
+    df = add(df, {"_lo": F.when(both, F.greatest("_ls", "_cs")), "_hi": F.when(both, F.least("_le", "_ce"))})
+    met = c("_lo") <= c("_hi")
+    df = add(df, {"_s3": F.when(met, c("_lo")), "_e3": F.when(met, c("_hi"))})
+    df = add(df, {"_from": F.least("_s1", "_s2", "_s3"), "_to": F.greatest("_e1", "_e2", "_e3")})
+    found = c("_from").isNotNull()
+    ends = {"s": F.when(found, F.greatest(c("_from"), F.lit(0.0))), "e": F.when(found, F.least(c("_to"), F.lit(1.0)))}
+    return df.withColumns(ends).drop(*work)
 
 
 def overlap_length(route: DataFrame, other: DataFrame, tolerance_m: float, *keys: str, cell: float = 200.0) -> DataFrame:
@@ -81,11 +86,12 @@ def overlap_length(route: DataFrame, other: DataFrame, tolerance_m: float, *keys
 
     q = celled(other, tolerance_m).select(*keys, "_cx", "_cy", *[c(e).alias(f"q_{e}") for e in _ENDS])
     met = celled(route, 0.0).join(q, [*keys, "_cx", "_cy"]).drop("_cx", "_cy").distinct()
-    start, end = _interval(tolerance_m)
-    parts = met.withColumns({"s": start, "e": end}).where("s <= e")
+    parts = _intervals(met, tolerance_m)
     w = Window.partitionBy(*keys, "seg_no").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-    covered = parts.withColumn("upto", F.max("e").over(w))
-    new = F.greatest(c("e") - F.greatest(c("s"), F.coalesce(c("upto"), F.lit(float("-inf")))), F.lit(0.0))
+    # No filter on s <= e before the window: Spark would push it down with all the arithmetic written out in it.
+    holds = c("s") <= c("e")
+    covered = parts.withColumn("upto", F.max(F.when(holds, c("e"))).over(w))
+    new = F.when(holds, F.greatest(c("e") - F.greatest(c("s"), F.coalesce(c("upto"), F.lit(float("-inf")))), F.lit(0.0))).otherwise(0.0)
     own = covered.groupBy(*keys).agg(F.sum(new * c("length_m")).alias("overlap_m"))
     whole = route.groupBy(*keys).agg(F.sum("length_m").alias("length_m"))
     return whole.join(own, list(keys), "left").withColumn("overlap_m", F.least(F.coalesce("overlap_m", F.lit(0.0)), "length_m"))
