@@ -96,3 +96,26 @@ def negatives(candidates: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
     w = Window.partitionBy("trajectory_id", "t").orderBy(draw, "edge_idx")
     others = candidates.where("gt_edge_idx >= 0 AND edge_idx <> gt_edge_idx")
     return others.withColumn("slot", F.row_number().over(w) - 1).where(F.col("slot") < n)
+
+
+def raw_transition_features(candidates: DataFrame, transitions: DataFrame | None = None) -> DataFrame:
+    """Thirteen unscaled features of every pair of candidates of consecutive steps, as the library variant has them.
+
+    Legal is what the line graph joins, a candidate's own edge included only if it is in there; without a line graph
+    every pair is. Unknown distances and angles count as 0.
+    """
+    both = pairs(candidates)
+    if transitions is None:
+        both = both.withColumn("is_connected", F.lit(1.0))
+    else:
+        legal = transitions.select(F.col("prev_edge_idx").alias("p_edge_idx"), F.col("curr_edge_idx").alias("c_edge_idx"), F.lit(1.0).alias("is_connected")).distinct()
+        both = both.join(legal, ["p_edge_idx", "c_edge_idx"], "left").withColumn("is_connected", F.coalesce("is_connected", F.lit(0.0)))
+    val = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+    rank = {side: val(f"{side}_candidate_rank") for side in ("p", "c")}
+    return both.select(
+        "trajectory_id", "step", F.col("p_candidate_rank").alias("prev_rank"), F.col("c_candidate_rank").alias("curr_rank"), (F.col("p_edge_idx") == F.col("c_edge_idx")).cast("double").alias("same_edge"),
+        "is_connected", F.col("is_connected").alias("is_legal"), rank["p"].alias("prev_candidate_rank"), rank["c"].alias("curr_candidate_rank"), F.abs(rank["p"] - rank["c"]).alias("rank_abs_diff"),
+        val("p_distance_m").alias("prev_distance_m"), val("c_distance_m").alias("curr_distance_m"), (val("c_distance_m") - val("p_distance_m")).alias("distance_delta_m"),
+        val("p_yaw_diff_rad").alias("prev_yaw_diff_rad"), val("c_yaw_diff_rad").alias("curr_yaw_diff_rad"), (val("c_yaw_diff_rad") - val("p_yaw_diff_rad")).alias("yaw_diff_delta_rad"),
+        distance(val("p_proj_x"), val("p_proj_y"), val("c_proj_x"), val("c_proj_y")).alias("projection_distance_m"),
+    )

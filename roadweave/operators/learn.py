@@ -136,3 +136,99 @@ def cross_entropy(scores: DataFrame) -> DataFrame:
     total = F.log(F.sum(F.exp(F.col("score") - top)).over(w)) + top
     own = scores.withColumn("loss", total - F.col("score")).where("is_gt = 1")
     return own.agg(F.count("*").alias("points"), F.avg("loss").alias("loss"))
+
+
+def labelled_steps(features: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """One row for each labelled step: x, its candidates' features as an array of arrays in order of rank, and gt, the true one's place."""
+    x = F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names])
+    rows = features.groupBy("trajectory_id", "t").agg(F.array_sort(F.collect_list(F.struct("candidate_rank", x.alias("x"), "is_gt"))).alias("c"))
+    gt = F.array_position(F.col("c.is_gt"), F.lit(1)) - 1
+    return rows.select("trajectory_id", "t", F.col("c.x").alias("x"), gt.cast("int").alias("gt")).where("gt >= 0")
+
+
+def train_scorer(steps: DataFrame, width: int, epochs: int = 20, rate: float = 0.05, decay: float = 1e-4, clip: float = 5.0) -> tuple[np.ndarray, list[float]]:
+    """Weights of a linear score whose softmax over a step's candidates picks the true one, and the loss by epoch.
+
+    Every epoch is one pass over labelled_steps: tasks add up the gradients of their rows, and the driver gets one
+    row of sums from each task. Steps by Adam with decoupled decay; the gradient's norm is clipped.
+    """
+    w, m, v, losses = np.zeros(width), np.zeros(width), np.zeros(width), []
+    for epoch in range(1, epochs + 1):
+
+        def gradients(parts: Iterator[pd.DataFrame], w: np.ndarray = w) -> Iterator[pd.DataFrame]:
+            total, loss, n = np.zeros(len(w)), 0.0, 0
+            for part in parts:
+                for x, gt in zip(part["x"], part["gt"], strict=True):
+                    x = np.stack(x)
+                    s = x @ w
+                    p = np.exp(s - s.max())
+                    p /= p.sum()
+                    total += p @ x - x[gt]
+                    loss -= np.log(max(p[gt], 1e-12))
+                    n += 1
+            yield pd.DataFrame({"g": [total], "loss": [loss], "n": [n]})
+
+        sums = steps.select("x", "gt").mapInPandas(gradients, "g array<double>, loss double, n bigint").toPandas()
+        n = max(int(sums["n"].sum()), 1)
+        g = np.sum(np.stack(sums["g"].to_list()), axis=0) / n
+        losses.append(float(sums["loss"].sum()) / n)
+        g *= min(1.0, clip / max(np.linalg.norm(g), 1e-12))
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - rate * (m / (1 - 0.9**epoch) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8) + decay * w)
+    return w, losses
+
+
+def linear_scores(features: DataFrame, names: tuple[str, ...], weights: np.ndarray) -> DataFrame:
+    """Adds score: the weighted sum of the named columns, as one expression."""
+    terms = [F.coalesce(F.col(n).cast("double"), F.lit(0.0)) * float(w) for n, w in zip(names, weights, strict=True)]
+    return features.withColumn("score", sum(terms[1:], terms[0]))
+
+
+def rollouts(steps: DataFrame, weights: np.ndarray, seed: int = 0) -> DataFrame:
+    """Candidates drawn from the softmax of a linear score, each trajectory on its own: (trajectory_id, t, action, log_p, is_right)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for tid, t, x, gt in zip(part["trajectory_id"], part["t"], part["x"], part["gt"], strict=True):
+                s = np.stack(x) @ weights
+                p = np.exp(s - s.max())
+                p /= p.sum()
+                a = int(np.random.default_rng([seed, int(tid) & 0x7FFFFFFF, int(t)]).choice(len(p), p=p))
+                rows.append((tid, t, a, float(np.log(p[a])), a == gt))
+            yield pd.DataFrame(rows, columns=["trajectory_id", "t", "action", "log_p", "is_right"])
+
+    return steps.mapInPandas(run, "trajectory_id bigint, t bigint, action int, log_p double, is_right boolean")
+
+
+def improve_policy(steps: DataFrame, weights: np.ndarray, epochs: int = 3, rate: float = 0.5, clip: float = 0.2, entropy: float = 0.01, seed: int = 0) -> np.ndarray:
+    """Clipped policy steps on one set of rollouts: reward 1 or -1 for the edge, advantages by the backward pass.
+
+    The rollouts are weighed by the ratio of new to old probability, which counts no further than the clip allows.
+    Gradients are added up by task, as in train_scorer.
+    """
+    drawn = rollouts(steps, weights, seed).withColumn("reward", F.when(F.col("is_right"), 1.0).otherwise(-1.0)).withColumn("value", F.lit(0.0))
+    scored = drawn.join(advantages(drawn.select("trajectory_id", "t", "reward", "value"), gamma=0.0), ["trajectory_id", "t"])
+    rows = steps.join(scored.select("trajectory_id", "t", "action", "log_p", "advantage"), ["trajectory_id", "t"])
+    for _ in range(epochs):
+
+        def gradients(parts: Iterator[pd.DataFrame], w: np.ndarray = weights) -> Iterator[pd.DataFrame]:
+            total, n = np.zeros(len(w)), 0
+            for part in parts:
+                for x, a, old, adv in zip(part["x"], part["action"], part["log_p"], part["advantage"], strict=True):
+                    x = np.stack(x)
+                    s = x @ w
+                    p = np.exp(s - s.max())
+                    p /= p.sum()
+                    ratio = np.exp(np.log(max(p[a], 1e-12)) - old)
+                    mean = p @ x
+                    if not (adv > 0 and ratio > 1 + clip or adv < 0 and ratio < 1 - clip):
+                        total += adv * ratio * (x[a] - mean)
+                    logs = np.log(np.maximum(p, 1e-12))
+                    total -= entropy * ((p * (logs - p @ logs)) @ x)
+                    n += 1
+            yield pd.DataFrame({"g": [total], "n": [n]})
+
+        sums = rows.select("x", "action", "log_p", "advantage").mapInPandas(gradients, "g array<double>, n bigint").toPandas()
+        weights = weights + rate * np.sum(np.stack(sums["g"].to_list()), axis=0) / max(int(sums["n"].sum()), 1)
+    return weights

@@ -526,6 +526,32 @@ def mlp_scores(spark, sf_dir):
     return learn.layer_scores(e.select("vec_id", F.col("embedding").cast("array<double>").alias("x")), "x", learn.seeded_layers((64, 32, 1))).select("vec_id", "score")
 
 
+_RAW = ("same_edge", "is_connected", "is_legal", "prev_candidate_rank", "curr_candidate_rank", "rank_abs_diff", "prev_distance_m", "curr_distance_m", "distance_delta_m",
+        "prev_yaw_diff_rad", "curr_yaw_diff_rad", "yaw_diff_delta_rad", "projection_distance_m")
+
+
+@query("""SELECT p.trajectory_id, c.step, p.candidate_rank AS prev_rank, c.candidate_rank AS curr_rank, CAST(p.edge_idx = c.edge_idx AS DOUBLE) AS same_edge,
+    CASE WHEN tr.prev_edge_idx IS NULL THEN 0.0 ELSE 1.0 END AS is_connected, CASE WHEN tr.prev_edge_idx IS NULL THEN 0.0 ELSE 1.0 END AS is_legal,
+    CAST(p.candidate_rank AS DOUBLE) AS prev_candidate_rank, CAST(c.candidate_rank AS DOUBLE) AS curr_candidate_rank, CAST(abs(p.candidate_rank - c.candidate_rank) AS DOUBLE) AS rank_abs_diff,
+    p.distance_m AS prev_distance_m, c.distance_m AS curr_distance_m, c.distance_m - p.distance_m AS distance_delta_m, p.yaw_diff_rad AS prev_yaw_diff_rad, c.yaw_diff_rad AS curr_yaw_diff_rad,
+    c.yaw_diff_rad - p.yaw_diff_rad AS yaw_diff_delta_rad, sqrt((c.proj_x - p.proj_x) ** 2 + (c.proj_y - p.proj_y) ** 2) AS projection_distance_m
+    FROM stepped p JOIN stepped c ON p.trajectory_id = c.trajectory_id AND c.step = p.step + 1 LEFT JOIN transitions tr ON tr.prev_edge_idx = p.edge_idx AND tr.curr_edge_idx = c.edge_idx""",
+       *_RAW, views_=("stepped", "transitions"))
+def lattice_transition_raw(spark, sf_dir):
+    return lattice.raw_transition_features(_candidates(spark, sf_dir), roadnet.transitions(views.road_edges(spark, sf_dir)))
+
+
+@query()
+def scorer_training(spark, sf_dir):
+    """Weights of a candidate scorer trained on the labelled steps, and its accuracy there."""
+    names = ("distance_norm", "abs_yaw_diff_norm", "candidate_rank_norm", "speed_consistency", "oneway")
+    labels = _labelled_candidates(spark, sf_dir).select("trajectory_id", "t", "candidate_rank", "is_gt")
+    rows = _emissions(spark, sf_dir).join(labels, ["trajectory_id", "t", "candidate_rank"])
+    w, losses = learn.train_scorer(learn.labelled_steps(rows, names).persist(), len(names), epochs=5)
+    best = learn.linear_scores(rows, names, w).groupBy("trajectory_id", "t").agg(F.max_by("is_gt", "score").alias("hit"), F.max("is_gt").alias("labelled")).where("labelled = 1")
+    return best.agg(F.count("*").alias("steps"), F.avg(F.col("hit").cast("double")).alias("accuracy"), F.lit(losses[0]).alias("first_loss"), F.lit(losses[-1]).alias("last_loss"))
+
+
 # Geometry
 
 

@@ -298,3 +298,22 @@ def test_layers(spark):
     assert out[1] == pytest.approx(list(np.maximum(learn.layer_norm(np.array([0.5, 1.5])), 0)), rel=1e-6)
     sure = spark.createDataFrame([(0, 0, 5.0, 1), (0, 0, -5.0, 0)], "trajectory_id bigint, t bigint, score double, is_gt int")
     assert learn.cross_entropy(sure).first()["loss"] < 0.01
+
+
+def test_scorer_and_policy_learn_the_nearest_candidate(spark):
+    r = np.random.default_rng(5)
+    rows = []
+    for tid in range(20):
+        for t in range(6):
+            d = r.uniform(0, 1, 4)
+            rows += [(tid, t, k, float(d[k]), float(r.uniform()), int(k == d.argmin())) for k in range(4)]
+    df = spark.createDataFrame(rows, "trajectory_id bigint, t bigint, candidate_rank bigint, d double, noise double, is_gt int")
+    steps = learn.labelled_steps(df, ("d", "noise"))
+    w, losses = learn.train_scorer(steps, 2, epochs=30, rate=0.5)
+    assert losses[0] == pytest.approx(math.log(4)) and losses[-1] < 0.5 * losses[0] and w[0] < -3 * abs(w[1])
+    best = learn.linear_scores(df, ("d", "noise"), w).groupBy("trajectory_id", "t").agg(F.max_by("is_gt", "score").alias("hit"))
+    assert best.agg(F.avg(F.col("hit").cast("double"))).first()[0] > 0.9
+    better = learn.improve_policy(steps, np.zeros(2), epochs=4, rate=2.0)
+    assert better[0] < -0.1
+    drawn = learn.rollouts(steps, w, seed=1).agg(F.avg(F.col("is_right").cast("double"))).first()[0]
+    assert drawn > learn.rollouts(steps, np.zeros(2), seed=1).agg(F.avg(F.col("is_right").cast("double"))).first()[0]
