@@ -15,9 +15,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as points of their user's trajectory."""
+    """Events as points of their user's trajectory, in one of three neighbouring blocks of 500 metres."""
     e = _table(spark, sf_dir, "events")
-    y = 5.0 * F.regexp_extract("props", "([0-9]+)", 1).cast("double")
+    y = 5.0 * F.regexp_extract("props", "([0-9]+)", 1).cast("double") + 500.0 * (F.col("user_id") % 3)
     return e.select(F.col("user_id").cast("bigint").alias("trajectory_id"), F.col("event_id").alias("point_id"), "ts", F.col("value").cast("double").alias("x"), y.alias("y"), "event_type")
 
 
@@ -33,12 +33,13 @@ def moving(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streets of a six by six grid, 100 metres apart, from the first sixty parts."""
-    p = _table(spark, sf_dir, "part").where("p_partkey < 60")
+    """Streets of a grid of six columns, 100 metres apart and as long as the parts go: even parts run across, odd ones along."""
+    p = _table(spark, sf_dir, "part")
     k, key = F.col("k"), F.col("link_id")
-    g = p.select(F.col("p_partkey").cast("bigint").alias("link_id"), "p_type", "p_size", "p_brand", (F.col("p_partkey") % 30).cast("bigint").alias("k"))
-    u = F.when(key < 30, F.floor(k / 5) * 6 + k % 5).otherwise(F.floor(k / 6) * 6 + k % 6).cast("bigint")
-    g = g.withColumn("u", u).withColumn("v", F.when(key < 30, F.col("u") + 1).otherwise(F.col("u") + 6))
+    g = p.select(F.col("p_partkey").cast("bigint").alias("link_id"), "p_type", "p_size", "p_brand", F.floor(F.col("p_partkey") / 2).cast("bigint").alias("k"))
+    across = key % 2 == 0
+    u = F.when(across, F.floor(k / 5) * 6 + k % 5).otherwise(F.floor(k / 6) * 6 + k % 6).cast("bigint")
+    g = g.withColumn("u", u).withColumn("v", F.when(across, F.col("u") + 1).otherwise(F.col("u") + 6))
     oneway = F.when(key % 7 == 0, "yes").otherwise("no")
     return g.select("link_id", F.col("p_type").alias("highway"), (F.col("p_size").cast("double") + 20).alias("maxspeed"), oneway.alias("oneway"), F.col("p_brand").alias("osm_way_id"), "u", "v")
 

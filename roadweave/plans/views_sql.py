@@ -11,11 +11,11 @@ def wrap(x: str) -> str:
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "points": ((), """SELECT CAST(user_id AS BIGINT) AS trajectory_id, event_id AS point_id, ts, CAST(value AS DOUBLE) AS x,
-        CAST(5.0 * CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS DOUBLE) AS y, event_type FROM events"""),
+        CAST(5.0 * CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS DOUBLE) + CAST(500 * (user_id % 3) AS DOUBLE) AS y, event_type FROM events"""),
     "trajectory": (("points",), """SELECT trajectory_id, CAST(row_number() OVER (PARTITION BY trajectory_id ORDER BY ts, point_id) - 1 AS BIGINT) AS t,
         point_id, ts, x, y, event_type FROM points"""),
-    "grid_links": ((), """SELECT CAST(p_partkey AS BIGINT) AS link_id, p_type, p_size, p_brand, CAST(p_partkey % 30 AS BIGINT) AS k,
-        CASE WHEN p_partkey < 30 THEN 'h' ELSE 'v' END AS orient FROM part WHERE p_partkey < 60"""),
+    "grid_links": ((), """SELECT CAST(p_partkey AS BIGINT) AS link_id, p_type, p_size, p_brand, CAST(floor(p_partkey / 2) AS BIGINT) AS k,
+        CASE WHEN p_partkey % 2 = 0 THEN 'h' ELSE 'v' END AS orient FROM part"""),
     "links": (("grid_links",), """SELECT link_id, p_type AS highway, CAST(p_size AS DOUBLE) + 20.0 AS maxspeed, CASE WHEN link_id % 7 = 0 THEN 'yes' ELSE 'no' END AS oneway,
         p_brand AS osm_way_id, CASE WHEN orient = 'h' THEN CAST(floor(k / 5) * 6 + k % 5 AS BIGINT) ELSE CAST(floor(k / 6) * 6 + k % 6 AS BIGINT) END AS u,
         CASE WHEN orient = 'h' THEN CAST(floor(k / 5) * 6 + k % 5 + 1 AS BIGINT) ELSE CAST(floor(k / 6) * 6 + k % 6 + 6 AS BIGINT) END AS v FROM grid_links"""),
