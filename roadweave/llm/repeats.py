@@ -1,6 +1,6 @@
 """Removal of long byte strings that earlier documents hold too, by run-length indexes of repetitive text.
 
-Every string of ``LENGTH`` bytes has an anchor: the least hash among its 16-byte substrings. Equal strings have equal
+Every string of ``LENGTH`` bytes has an anchor: the least hash among its 20-byte substrings. Equal strings have equal
 anchors, so only anchors that stand in more than one text can matter. A text's neighbouring strings with one anchor
 form a region; the regions of shared anchors, about as much text as the corpus repeats, are brought together by anchor,
 equal regions being merged first. Where an anchor has several different regions, a task builds an index of them: their
@@ -19,10 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_of
+from .common import forget, settle, text_of
 
 LENGTH = 50
-GRAM = 16
+#: Bytes that an anchor covers; shorter ones make fewer anchors, but more of them are shared by chance.
+GRAM = 20
+#: Texts, at most, in which very common anchors are looked for beforehand, and the share of them that makes one so.
+COMMON_TEXTS = 20_000
+COMMON_SHARE = 0.002
 #: Bytes of different regions of one anchor, up to which one task indexes them; beyond, their strings are grouped by Spark.
 ANCHOR_BYTES = 4_000_000
 #: Bytes of regions that a task puts into one index.
@@ -49,9 +53,11 @@ def regions(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(data) < LENGTH:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     h, size = _BYTES[data], 1
-    while size < GRAM:
+    while size * 2 <= GRAM:
         h = _mix(h[:-size], h[size:], size)
         size *= 2
+    if size < GRAM:  # two that overlap cover what is left
+        h = _mix(h[: len(h) - (GRAM - size)], h[GRAM - size :], size)
     wide, size = LENGTH - GRAM + 1, 1
     while size * 2 <= wide:
         h = np.minimum(h[:-size], h[size:])
@@ -67,20 +73,62 @@ def _bytes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text hash, text) to the distinct anchors of each text."""
+def _anchors(common):
+    """(text hash, text) to the distinct anchors of each text, with the key by which they are dealt out.
+
+    Common anchors are known to be shared, so they go anywhere and are marked; the others meet by anchor.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sure_ones = common.value
+        for batch in batches:
+            us = batch.column(0).to_pylist()
+            for lo in range(0, len(us), 500):
+                found = [np.unique(regions(_bytes_of(t.as_py()))[0]) for t in batch.column(1).slice(lo, 500)]
+                anchors = np.concatenate(found)
+                owners = np.repeat(np.array(us[lo : lo + 500], dtype=np.int64), [len(f) for f in found])
+                sure = np.isin(anchors, sure_ones)
+                key = np.where(sure, anchors ^ owners, anchors)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sure), pa.array(anchors), pa.array(owners)], names=["key", "sure", "anchor", "u"])
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by anchor and text, without those of anchors that stand in one text only; keeps one row at a time."""
+    at, first, given = None, None, False
     for batch in batches:
-        us = batch.column(0).to_pylist()
-        found, owners = [], []
-        for u, text in zip(us, batch.column(1), strict=True):
-            a = np.unique(regions(_bytes_of(text.as_py()))[0])
-            found.append(a)
-            owners.append(np.full(len(a), u, dtype=np.int64))
-            if len(found) >= 500:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(owners))], names=["anchor", "u"])
-                found, owners = [], []
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(owners))], names=["anchor", "u"])
+        if not batch.num_rows:
+            continue
+        sure, anchors, owners = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+        begins = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
+        firsts = owners[begins]
+        goes_on = anchors[0] == at
+        if goes_on:
+            firsts[0] = first
+        differs = owners != np.repeat(firsts, np.diff(np.append(begins, len(anchors))))
+        several = np.logical_or.reduceat(differs, begins)
+        new = several.copy()
+        if goes_on and given:
+            new[0] = False
+        keep = differs | sure
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([anchors[keep], anchors[begins[new]]])), pa.array(np.concatenate([owners[keep], firsts[new]]))], names=["anchor", "u"]
+        )
+        given = bool(several[-1]) or (given and goes_on and len(begins) == 1)
+        at, first = anchors[-1], firsts[-1]
+
+
+def _common(rows: DataFrame):
+    """Broadcast of the anchors in many of a bounded number of texts: at most those of 1 / COMMON_SHARE texts."""
+    n = rows.select("u").agg(F.count("*")).first()[0]
+    some = rows.where(F.pmod(F.xxhash64("u"), F.lit(1_000_000)) < int(1e6 * min(1, COMMON_TEXTS / max(n, 1))) + 1)
+    spark = rows.sparkSession
+    none = spark.sparkContext.broadcast(np.zeros(0, dtype=np.int64))
+    anchors = some.select("u", "text").mapInArrow(_anchors(none), "key bigint, sure boolean, anchor bigint, u bigint")
+    least = max(2, int(COMMON_SHARE * min(n, COMMON_TEXTS)))
+    found = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("u").alias("lo"), F.max("u").alias("hi")).where((F.col("n") >= least) & (F.col("lo") != F.col("hi")))
+    return spark.sparkContext.broadcast(np.array([r[0] for r in found.select("anchor").collect()], dtype=np.int64))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,9 +278,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     d = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID))
     rows = docs.select(d.alias("d"), F.xxhash64(text).alias("u"), text.alias("text"))
     first = settle(rows.groupBy("u").agg(F.min("d").alias("d")), "texts")
-    anchors = rows.select("u", "text").mapInArrow(_anchors, "anchor bigint, u bigint").repartition("anchor")
-    shared = anchors.groupBy("anchor").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).where("lo <> hi").select("anchor")
-    lists = anchors.join(shared, "anchor").groupBy("u").agg(F.collect_set("anchor").alias("anchors"))
+    dealt = rows.select("u", "text").mapInArrow(_anchors(_common(rows)), "key bigint, sure boolean, anchor bigint, u bigint")
+    shared = dealt.repartition("key").sortWithinPartitions("anchor", "u").mapInArrow(_shared, "anchor bigint, u bigint")
+    lists = shared.groupBy("u").agg(F.collect_set("anchor").alias("anchors"))
     wanted = settle(lists.join(first, "u"), "anchors")
     texts = rows.join(wanted, ["d", "u"]).select("d", "u", "anchors", "text")
     cut = texts.mapInArrow(_cut, "anchor bigint, d bigint, u bigint, start int, bytes binary")
@@ -240,6 +288,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Of equal regions the smallest id; only anchors with different regions need an index.
     distinct = found.groupBy("anchor", "rid", "bytes").agg(F.min("d").alias("lo"))
     distinct = settle(distinct, "distinct")
+    places = settle(found.select("anchor", "rid", "d", "u", "start", F.length("bytes").alias("n")), "places")
+    forget(found)
     of = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.length("bytes")).alias("size")).where("n > 1")
     several = distinct.join(of, "anchor")
     small = several.where(F.col("size") <= ANCHOR_BYTES).select("anchor", "rid", "lo", "bytes")
@@ -250,7 +300,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hits = strings.join(least, "string").where("least < d").groupBy("anchor", "rid").agg(F.collect_list("at").alias("starts"))
     hits = hits.withColumn("ends", F.transform("starts", lambda s: s + LENGTH))
     known = distinct.select("anchor", "rid", "lo").join(own.unionByName(hits), ["anchor", "rid"], "left")
-    placed = found.select("anchor", "rid", "d", "u", "start", F.length("bytes").alias("n")).join(known, ["anchor", "rid"])
+    placed = places.join(known, ["anchor", "rid"])
     whole = F.col("d") > F.col("lo")
     shift = lambda c: F.transform(c, lambda x: x + F.col("start"))
     placed = placed.where(whole | F.col("starts").isNotNull()).select(
