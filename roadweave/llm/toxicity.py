@@ -201,27 +201,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     keys = ["k", "context", "gram", "lower_context", "lower"]
     counted = counted.groupBy(*keys).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     top = F.col("k") == ORDER - 1
-    kind = lambda name, k, cell, n: F.struct(F.lit(name).alias("name"), k.alias("k"), cell.alias("cell"), n.cast("bigint").alias("n"))
-    one, zero, low = F.lit(1), F.lit(0), (F.col("k") - 1).cast("int")
-    sums = [kind(f"own{c}", zero, F.col("gram"), F.col(f"n{c}")) for c in (0, 1)]
-    sums += [kind(f"total{c}", zero, F.col("context"), F.col(f"n{c}")) for c in (0, 1)]
-    sums += [kind(f"kinds{c}", zero, F.col("context"), (F.col(f"n{c}") > 0).cast("int")) for c in (0, 1)]
-    shared = [kind("shared", low, F.col("lower"), one), kind("shared_total", low, F.col("lower_context"), one)]
+    names = ["own0", "own1", "total0", "total1", "kinds0", "kinds1", "shared", "shared_total", "shared_kinds"]
+
+    def kind(name: str, k: Column, cell: str, n: Column) -> Column:
+        return F.struct(F.lit(names.index(name)).alias("name"), k.cast("int").alias("k"), F.col(cell).alias("cell"), n.cast("bigint").alias("n"))
+
+    none = F.array().cast("array<struct<name:int,k:int,cell:int,n:bigint>>")
+    sums = [kind(f"{name}{c}", F.lit(0), cell, n) for c in (0, 1) for name, cell, n in (
+        ("own", "gram", F.col(f"n{c}")), ("total", "context", F.col(f"n{c}")), ("kinds", "context", F.col(f"n{c}") > 0))]
+    shared = [kind("shared", F.col("k") - 1, "lower", F.lit(1)), kind("shared_total", F.col("k") - 1, "lower_context", F.lit(1))]
     each = counted.select(F.explode(F.concat(
-        F.when(top, F.array(*sums)).otherwise(F.array().cast("array<struct<name:string,k:int,cell:int,n:bigint>>")),
-        F.when(F.col("k") > 0, F.array(*shared)).otherwise(F.array().cast("array<struct<name:string,k:int,cell:int,n:bigint>>")),
-        F.when(~top, F.array(kind("shared_kinds", F.col("k"), F.col("context"), one))).otherwise(F.array().cast("array<struct<name:string,k:int,cell:int,n:bigint>>")),
+        F.when(top, F.array(*sums)).otherwise(none), F.when(F.col("k") > 0, F.array(*shared)).otherwise(none),
+        F.when(~top, F.array(kind("shared_kinds", F.col("k"), "context", F.lit(1)))).otherwise(none),
     )).alias("s")).select("s.*")
-    summed = each.groupBy("name", "k", "cell").agg(F.sum("n").alias("n")).where("n > 0").toArrow()
-    tables = {name: np.zeros(CELLS, dtype=np.float32) for c in (0, 1) for name in (f"own{c}", f"total{c}", f"kinds{c}")}
-    tables |= {name: np.zeros((ORDER - 1, CELLS), dtype=np.float32) for name in ("shared", "shared_total", "shared_kinds")}
-    names, ks, cells, ns = (summed.column(c).to_numpy() for c in ("name", "k", "cell", "n"))
-    for name, t in tables.items():
-        own = names == name
-        if t.ndim == 1:
-            t[cells[own]] = ns[own]
-        else:
-            t[ks[own], cells[own]] = ns[own]
+    # At most a row for each cell and table.
+    summed = each.groupBy("name", "k", "cell").agg(F.sum("n").cast("float").alias("n")).where("n > 0").toArrow()
+    tables = {name: np.zeros(CELLS if i < 6 else (ORDER - 1, CELLS), dtype=np.float32) for i, name in enumerate(names)}
+    for batch in summed.to_batches():
+        which, ks, cells, ns = (batch.column(c).to_numpy() for c in ("name", "k", "cell", "n"))
+        for i in np.unique(which):
+            own, t = which == i, tables[names[i]]
+            t[cells[own] if t.ndim == 1 else (ks[own], cells[own])] = ns[own]
+    del summed
     if not tables["own0"].any() or not tables["own1"].any():
         return spark.sparkContext.broadcast((tables, (0.0, 0.0, 0.0)))
     first = spark.sparkContext.broadcast((tables, (0.0, 1.0, 1.0)))

@@ -96,7 +96,7 @@ def test_host_votes_beat_a_misleading_page(spark):
     body = "The story goes on with many words that tell what happened there. " * 4
     rows = [(n, "http://h.example/p", LAYOUT.format(n=n, text=body, comment="Nice. " * 300)) for n in range(5)]
     odd = '<html><body><div class="entry"><p>Short note.</p></div><div class="teasers"><p>' + "Something else that is much longer than the note itself. " * 9 + "</p></div></body></html>"
-    rows.append((9, "http://h.example/q", odd.replace('<div class="entry">', '<div class="page"><div class="entry">').replace("note.</p></div>", "note.</p></div></div>")))
+    rows.append((9, "http://h.example/q", odd.replace('<div class="entry">', '<div class="page p9"><div class="entry e9">').replace("note.</p></div>", "note.</p></div></div>")))
     got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     for n in range(5):
         assert got[n] == f"Title {n} " + " ".join(body.split()) + " a < b &!"
