@@ -189,21 +189,34 @@ def viterbi_fold(lattice: DataFrame, *extra: str) -> DataFrame:
     n = lambda s: F.size(s["e"])
     start = F.struct(F.col("steps")[0]["e"].alias("dp"), F.array().cast("array<struct<dp:array<double>,back:array<int>>>").alias("kept"))
 
+    def given(value: Column, then) -> Column:
+        """then(value), with the value worked out once however often then uses it."""
+        return F.transform(F.array(value), then)[0]
+
     def forward(acc: Column, s: Column) -> Column:
         sums = lambda c: F.transform(acc["dp"], lambda d, p: F.round(d + F.coalesce(s["a"][(p * n(s) + c).cast("int")], F.lit(MASKED)), 9))
-        states = F.sequence(F.lit(0), n(s) - 1)
-        scored = F.transform(states, lambda c: F.struct(F.array_max(sums(c)).alias("m"), sums(c).alias("s")))
-        dp = F.zip_with(scored, s["e"], lambda b, e: F.round(b["m"] + e, 9))
-        back = F.transform(scored, lambda b: (F.array_position(b["s"], b["m"]) - 1).cast("int"))
-        return F.struct(dp.alias("dp"), F.concat(acc["kept"], F.array(F.struct(dp.alias("dp"), back.alias("back")))).alias("kept"))
+        best = lambda c: given(sums(c), lambda x: given(F.array_max(x), lambda m: F.struct(m.alias("m"), (F.array_position(x, m) - 1).cast("int").alias("from"))))
+        scored = F.transform(F.sequence(F.lit(0), n(s) - 1), best)
+
+        def joined(b: Column) -> Column:
+            back = F.transform(b, lambda x: x["from"])
+            dp = F.zip_with(b, s["e"], lambda x, e: F.round(x["m"] + e, 9))
+            return given(dp, lambda d: F.struct(d.alias("dp"), F.concat(acc["kept"], F.array(F.struct(d.alias("dp"), back.alias("back")))).alias("kept")))
+
+        return given(scored, joined)
 
     rest = F.slice("steps", F.lit(2), F.greatest(F.size("steps") - 1, F.lit(0)))
     folded = lattice.withColumn("f", F.aggregate(rest, start, forward))
     last = (F.array_position(F.col("f.dp"), F.array_max(F.col("f.dp"))) - 1).cast("int")
     traced = folded.withColumn("path", F.aggregate(F.reverse(F.col("f.kept")), F.array(last), lambda acc, b: F.concat(F.array(b["back"][acc[0]]), acc)))
-    rows = traced.select("trajectory_id", *extra, F.array_max(F.col("f.dp")).alias("total_score"), F.posexplode(F.arrays_zip("steps", "path")).alias("step", "z"), F.col("f.kept").alias("kept"))
-    score = F.when(F.col("step") == 0, F.col("z.steps.e")[F.col("z.path")]).otherwise(F.get(F.col("kept"), F.col("step") - 1)["dp"][F.col("z.path")])
-    return rows.select("trajectory_id", *extra, F.col("z.steps.t").alias("t"), F.col("step").cast("bigint").alias("step"), F.col("z.path").cast("bigint").alias("candidate_rank"), score.alias("path_score"), "total_score")
+    # Every step carries its own scores only, so that a long trajectory doesn't repeat all of them in each row.
+    scores = F.concat(F.array(F.col("steps")[0]["e"]), F.transform(F.col("f.kept"), lambda b: b["dp"]))
+    zipped = traced.withColumn("scores", scores).select("trajectory_id", *extra, F.array_max(F.col("f.dp")).alias("total_score"), F.arrays_zip("steps", "path", "scores").alias("z"))
+    rows = zipped.select("trajectory_id", *extra, "total_score", F.posexplode_outer("z").alias("step", "z"))
+    return rows.select(
+        "trajectory_id", *extra, F.col("z.steps.t").alias("t"), F.col("step").cast("bigint").alias("step"), F.col("z.path").cast("bigint").alias("candidate_rank"),
+        F.col("z.scores")[F.col("z.path")].alias("path_score"), "total_score",
+    )
 
 
 def _arrays(steps: list, offroad: tuple[float, float, float, float] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

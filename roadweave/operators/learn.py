@@ -43,7 +43,7 @@ def advantages(steps: DataFrame, gamma: float = 0.99, lam: float = 0.95) -> Data
         adv = s["reward"] + gamma * acc["next"] - s["value"] + gamma * lam * acc["adv"]
         return F.struct(adv.alias("adv"), s["value"].alias("next"), F.concat(acc["out"], F.array(F.struct(s["t"].alias("t"), s["value"].alias("value"), adv.alias("adv")))).alias("out"))
 
-    folded = rows.select("trajectory_id", F.explode(F.aggregate(F.reverse("s"), start, back)["out"]).alias("o"))
+    folded = rows.select("trajectory_id", F.explode_outer(F.aggregate(F.reverse("s"), start, back)["out"]).alias("o"))
     return folded.select("trajectory_id", "o.t", F.col("o.adv").alias("advantage"), (F.col("o.adv") + F.col("o.value")).alias("target"))
 
 
