@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import settle, text_of
 
+# Elements as the HTML standard groups them, and names that pages give their parts.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
 _BLOCK = frozenset(
