@@ -43,6 +43,7 @@ _DROPPED_NAMES = frozenset(
     "signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets warning alert discussion".split()
 )
 _GOOD_NAMES = frozenset("article body content entry main post story text".split())
+_ARTICLE_NAMES = frozenset("article entry post story".split())
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>""", re.S
 )
@@ -59,7 +60,7 @@ class _Node:
         self.score = 0.0
         self.code = hash((parent.code if parent else 0, label))  # of the path, for comparisons within a page
         self.in_body = tag == "body" or parent is not None and parent.in_body
-        self.in_article = tag in ("article", "main") or parent is not None and parent.in_article
+        self.in_article = tag in ("article", "main") or parent is not None and parent.in_article  # its header has a title, not a menu
 
     def where(self) -> str:
         """Generalised path from the root."""
@@ -134,6 +135,8 @@ class Page:
             label = label.replace("/", "|")
         self._numbered += 1
         self._at = _Node(tag, label, at, dropped, tag == "a" or at.linked, not parts.isdisjoint(_GOOD_NAMES), self._numbered)
+        if not parts.isdisjoint(_ARTICLE_NAMES):
+            self._at.in_article = True
 
     @staticmethod
     def _says_dropped(tag: str, names: list[str]) -> bool:
