@@ -118,6 +118,18 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.convert_pages(table(spark, sf_dir, "pages"))
 
 
+# SHA-1 has 40 hex digits; each of 32 letters is five bits of two neighbouring ones.
+SQL["op6_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT *, sha1(html) AS x, min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+    array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (CAST('0x' || substr(x, 5 * i // 4 + 1, 2) AS INTEGER) >> (3 - 5 * i % 4)) % 32 + 1, 1) for i in range(32)], '') AS payload_digest,
+    CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM h
+"""
+
+
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document, how many of them smaller doc_ids hold in strings of 50, and the hash of the rest."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -129,6 +141,27 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SQL["op8_repeats"] = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, len(h) // 2 AS n_bytes FROM b),
+blocks AS (SELECT doc_id, o, substr(h, 2 * o + 1, 698) AS part FROM (SELECT doc_id, h, unnest(range(0, n_bytes - 49, 300)) AS o FROM n WHERE n_bytes >= 50) u),
+g AS (SELECT doc_id, o + i AS k, substr(part, 2 * i + 1, 100) AS s FROM (SELECT doc_id, o, part, unnest(range(0, len(part) // 2 - 49)) AS i FROM blocks) u),
+m AS (SELECT s, min(doc_id) AS lo FROM g GROUP BY s),
+hit AS (SELECT doc_id, k FROM g JOIN m USING (s) WHERE lo < doc_id),
+marked AS (SELECT *, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+grouped AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS span FROM marked),
+spans AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS z FROM grouped GROUP BY doc_id, span),
+pieces AS (
+    SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS z FROM spans
+    UNION ALL SELECT n.doc_id, coalesce(max(s.z), 0), any_value(n.n_bytes) FROM n LEFT JOIN spans s ON s.doc_id = n.doc_id GROUP BY n.doc_id),
+kept AS (
+    SELECT p.doc_id, sha256(unhex(string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (z - a) AS BIGINT)), '' ORDER BY a, z))) AS kept_sha256 FROM pieces p JOIN n ON n.doc_id = p.doc_id GROUP BY p.doc_id),
+c AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT n.doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, kept_sha256
+FROM n JOIN kept ON kept.doc_id = n.doc_id LEFT JOIN c ON c.doc_id = n.doc_id
+"""
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, tokens and copies in a mix of 0.6 of all tokens."""
     found = mixing.mix(table(spark, sf_dir, "documents"), levels(), WEIGHTS)
