@@ -163,7 +163,7 @@ def _evidence(model, texts: Column) -> Column:
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression by Newton steps with a small ridge; classes weigh alike half-way, so 0.5 is the likelier label."""
+    """Logistic regression by Newton steps with a small ridge: intercept and two weights."""
     if len(y) == 0 or y.min() == y.max():
         return 0.0, 1.0, 1.0
     a = np.column_stack([np.ones(len(x)), x])
