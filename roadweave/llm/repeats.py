@@ -74,22 +74,18 @@ def _bytes_of(text: str) -> np.ndarray:
 
 
 def _anchors(common):
-    """(text hash, text) to the distinct anchors of each text, with the key by which they are dealt out.
-
-    Common anchors are known to be shared, so they go anywhere and are marked; the others meet by anchor.
-    """
+    """(text hash, text) to the distinct anchors of each text but the common ones, which are known to be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sure_ones = common.value
+        left_out = common.value
         for batch in batches:
             us = batch.column(0).to_pylist()
             for lo in range(0, len(us), 500):
                 found = [np.unique(regions(_bytes_of(t.as_py()))[0]) for t in batch.column(1).slice(lo, 500)]
                 anchors = np.concatenate(found)
                 owners = np.repeat(np.array(us[lo : lo + 500], dtype=np.int64), [len(f) for f in found])
-                sure = np.isin(anchors, sure_ones)
-                key = np.where(sure, anchors ^ owners, anchors)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sure), pa.array(anchors), pa.array(owners)], names=["key", "sure", "anchor", "u"])
+                keep = ~np.isin(anchors, left_out)
+                yield pa.RecordBatch.from_arrays([pa.array(anchors[keep]), pa.array(owners[keep])], names=["anchor", "u"])
 
     return run
 
@@ -100,7 +96,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        sure, anchors, owners = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+        anchors, owners = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         begins = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
         firsts = owners[begins]
         goes_on = anchors[0] == at
@@ -111,42 +107,60 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = several.copy()
         if goes_on and given:
             new[0] = False
-        keep = differs | sure
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([anchors[keep], anchors[begins[new]]])), pa.array(np.concatenate([owners[keep], firsts[new]]))], names=["anchor", "u"]
+            [pa.array(np.concatenate([anchors[differs], anchors[begins[new]]])), pa.array(np.concatenate([owners[differs], firsts[new]]))], names=["anchor", "u"]
         )
         given = bool(several[-1]) or (given and goes_on and len(begins) == 1)
         at, first = anchors[-1], firsts[-1]
 
 
 def _common(rows: DataFrame):
-    """Broadcast of the anchors in many of a bounded number of texts: at most those of 1 / COMMON_SHARE texts."""
+    """Broadcast of the anchors in many of a bounded number of texts: at most those of 1 / COMMON_SHARE texts.
+
+    Such an anchor stands in several texts, which is all that the others are dealt out by anchor to learn.
+    """
     n = rows.select("u").agg(F.count("*")).first()[0]
     some = rows.where(F.pmod(F.xxhash64("u"), F.lit(1_000_000)) < int(1e6 * min(1, COMMON_TEXTS / max(n, 1))) + 1)
     spark = rows.sparkSession
     none = spark.sparkContext.broadcast(np.zeros(0, dtype=np.int64))
-    anchors = some.select("u", "text").mapInArrow(_anchors(none), "key bigint, sure boolean, anchor bigint, u bigint")
+    anchors = some.select("u", "text").mapInArrow(_anchors(none), "anchor bigint, u bigint")
     least = max(2, int(COMMON_SHARE * min(n, COMMON_TEXTS)))
     found = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("u").alias("lo"), F.max("u").alias("hi")).where((F.col("n") >= least) & (F.col("lo") != F.col("hi")))
     return spark.sparkContext.broadcast(np.array([r[0] for r in found.select("anchor").collect()], dtype=np.int64))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text hash, shared anchors, text) to the regions of shared anchors with their bytes."""
+def _cut(common):
+    """(id, text hash, shared anchors, text) to the regions of shared and of common anchors with their bytes."""
     names = ["anchor", "d", "u", "start", "bytes"]
-    for batch in batches:
-        for d, u, shared, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            data = text.as_py().encode("utf-8", "surrogatepass")
-            anchors, starts, ends = regions(np.frombuffer(data, dtype=np.uint8))
-            keep = np.flatnonzero(np.isin(anchors, shared.values.to_numpy(zero_copy_only=False)))
-            for at in range(0, len(keep), 5000):
-                part = keep[at : at + 5000]
-                pieces = [data[s:e] for s, e in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchors[part]), pa.array(np.full(n, d, dtype=np.int64)), pa.array(np.full(n, u, dtype=np.int64)), pa.array(starts[part].astype(np.int32)), pa.array(pieces, pa.binary())],
-                    names=names,
-                )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sure = frozenset(common.value.tolist())
+        rows: list[list] = [[], [], [], [], []]
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=names)
+            for c in rows:
+                c.clear()
+            return out
+
+        for batch in batches:
+            for d, u, shared, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                data = text.as_py().encode("utf-8", "surrogatepass")
+                own = frozenset(shared.as_py() or ())
+                found = zip(*(x.tolist() for x in regions(np.frombuffer(data, dtype=np.uint8))), strict=True)
+                for anchor, start, end in found:
+                    if anchor in own or anchor in sure:
+                        rows[0].append(anchor)
+                        rows[1].append(d)
+                        rows[2].append(u)
+                        rows[3].append(start)
+                        rows[4].append(data[start:end])
+                if len(rows[0]) >= 5000:
+                    yield flush()
+        if rows[0]:
+            yield flush()
+
+    return run
 
 
 class RunIndex:
@@ -278,12 +292,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     d = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID))
     rows = docs.select(d.alias("d"), F.xxhash64(text).alias("u"), text.alias("text"))
     first = settle(rows.groupBy("u").agg(F.min("d").alias("d")), "texts")
-    dealt = rows.select("u", "text").mapInArrow(_anchors(_common(rows)), "key bigint, sure boolean, anchor bigint, u bigint")
-    shared = dealt.repartition("key").sortWithinPartitions("anchor", "u").mapInArrow(_shared, "anchor bigint, u bigint")
+    common = _common(rows)
+    dealt = rows.select("u", "text").mapInArrow(_anchors(common), "anchor bigint, u bigint")
+    shared = dealt.repartition("anchor").sortWithinPartitions("anchor", "u").mapInArrow(_shared, "anchor bigint, u bigint")
     lists = shared.groupBy("u").agg(F.collect_set("anchor").alias("anchors"))
-    wanted = settle(lists.join(first, "u"), "anchors")
+    wanted = settle(first.join(lists, "u", "left"), "anchors")
     texts = rows.join(wanted, ["d", "u"]).select("d", "u", "anchors", "text")
-    cut = texts.mapInArrow(_cut, "anchor bigint, d bigint, u bigint, start int, bytes binary")
+    cut = texts.mapInArrow(_cut(common), "anchor bigint, d bigint, u bigint, start int, bytes binary")
     found = settle(cut.withColumn("rid", F.xxhash64("bytes")), "regions")
     # Of equal regions the smallest id; only anchors with different regions need an index.
     distinct = found.groupBy("anchor", "rid", "bytes").agg(F.min("d").alias("lo"))
