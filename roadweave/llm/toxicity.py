@@ -121,9 +121,15 @@ class Model:
 
         for k in range(ORDER - 1):
             p = step(p, t["shared"][k][grams[k]], t["shared_total"][k][contexts[k]], t["shared_kinds"][k][contexts[k]])
+        # Both classes leave the same share to shorter contexts, so that what neither has seen speaks for neither.
+        g, x = grams[-1], contexts[-1]
+        seen = t["total0"][x] + t["total1"][x]
+        rest = np.clip(DISCOUNT * np.maximum(t["kinds0"][x], t["kinds1"][x]) / np.maximum(seen, 1), 1e-6, 1)
         out = []
         for c in (0, 1):
-            q = step(p, t[f"own{c}"][grams[-1]], t[f"total{c}"][contexts[-1]], t[f"kinds{c}"][contexts[-1]])
+            left = t[f"total{c}"][x] - DISCOUNT * t[f"kinds{c}"][x]
+            own = np.maximum(t[f"own{c}"][g] - DISCOUNT, 0) / np.maximum(left, DISCOUNT)
+            q = np.where(t[f"total{c}"][x] > 0, (1 - rest) * own + rest * p, p)
             out.append(np.bincount(owner, np.log(np.maximum(q, 1e-12)), minlength=len(found)))
         return out[1] - out[0]
 
