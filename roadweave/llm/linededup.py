@@ -4,6 +4,9 @@ A rolling hash over the hashes of the last few lines closes a chunk where it is
 depend on nearby lines only, so a passage that moves within a document or into another is cut alike. Chunks of
 several lines that occur more than once in all documents are removed but for their first occurrence, after their
 bytes have been compared. Native: DataFrame functions only.
+
+dedup_runs() is the corpus stage's form: most shared passages hold no whole chunk of several lines, so it looks at
+the pair of lines at every place instead of at the cuts alone.
 """
 
 from __future__ import annotations
@@ -91,3 +94,64 @@ def dedup_lines(
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias(n_lines),
         F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).alias(n_removed),
     )
+
+
+def _pair_hashes(lines: str, bits: int) -> Column:
+    """Hashes of each line with the next; nothing for a single line."""
+    whole = lambda p: F.xxhash64(F.get(lines, p - 1), F.get(lines, p))
+    hashed = F.transform(F.sequence(F.lit(1), F.size(lines) - 1), lambda p: F.shiftrightunsigned(whole(p), 64 - bits) if bits < 64 else whole(p))
+    return F.when(F.size(lines) > 1, hashed)
+
+
+def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
+    """docs without the runs of two or more lines that stand earlier in the corpus; other columns as they came.
+
+    Two neighbouring lines are removed if the same two stand next to each other at an earlier place, so a repeated
+    run goes from its first line to its last wherever it lies; whatever dedup_lines removes is among it. Earlier
+    is by id (null before all), then place in the text, in the texts as they came: the first occurrence of a
+    line always stays, and a pair that overlaps its own first occurrence (equal lines in a row) leaves that whole.
+    A single repeated line between others that are new stays. Columns, nulls and equal rows as for dedup_lines.
+    ``bits`` is the width of the pairs' hashes; hashes that different pairs share are told apart by the bytes.
+    """
+    k_id, k_text, lines, gone, n_lines, n_removed = fresh(docs.columns, "k_id", "k_text", "lines", "gone", "n_lines", "n_removed")
+    text = text_of(text_col)
+    keyed = docs.select(F.col(id_col).alias("i"), F.xxhash64(text).alias("t"), text.alias("text"))
+    lined = keyed.select("i", "t", F.split("text", "\n", -1).alias("lines"))
+    place = F.struct("i", "t", "no")
+    # The outer form of explode, as above.
+    rows = lined.select("i", "t", F.posexplode_outer(_pair_hashes("lines", bits)).alias("no", "hash")).where("hash is not null")
+    twice = rows.groupBy("hash").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("hash", "lo")
+    overlaps = F.col("lo.i").eqNullSafe(F.col("i")) & (F.col("lo.t") == F.col("t")) & (F.col("lo.no") == F.col("no") - 1)
+    marked = rows.join(twice, "hash").select("i", "t", F.struct("no", "hash", place.eqNullSafe(F.col("lo")).alias("first"), overlaps.alias("overlaps")).alias("pair"))
+    wanted = marked.groupBy("i", "t").agg(F.collect_set("pair").alias("pairs"))
+    wanted = settle(wanted.select(F.col("i").alias("l_i"), F.col("t").alias("l_t"), "pairs"), "repeated")
+    # Equal hashes only say where to look: different bytes under one hash are found here, and dealt by their bytes.
+    texts = keyed.join(wanted.hint("merge"), keyed["i"].eqNullSafe(F.col("l_i")) & (keyed["t"] == F.col("l_t")))
+    texts = texts.select("i", "t", F.split("text", "\n", -1).alias("lines"), "pairs")
+    both = F.transform("pairs", lambda p: F.struct(p["no"].alias("no"), p["hash"].alias("hash"), F.concat_ws("\n", F.slice("lines", p["no"] + 1, F.lit(2))).alias("bytes")))
+    exact = texts.select("i", "t", F.explode_outer(both).alias("p")).select("i", "t", "p.no", "p.hash", "p.bytes")
+    mixed = settle(exact.select("hash", "bytes").distinct().groupBy("hash").count().where("count > 1").select("hash"), "mixed")
+    later = wanted.select(F.col("l_i").alias("i"), F.col("l_t").alias("t"), F.filter("pairs", lambda p: ~p["first"]).alias("pairs"))
+    if not mixed.isEmpty():
+        among = exact.join(mixed, "hash")
+        lows = among.groupBy("bytes").agg(F.min(place).alias("lo"))
+        told = among.join(lows, "bytes").where(~place.eqNullSafe(F.col("lo"))).select("i", "t", "no", overlaps.alias("overlaps"))
+        plain = later.select("i", "t", F.explode_outer("pairs").alias("p")).where("p is not null").select("i", "t", "p.no", "p.hash", "p.overlaps")
+        plain = plain.join(mixed, "hash", "left_anti").select("i", "t", "no", "overlaps")
+        later = plain.unionByName(told).groupBy("i", "t").agg(F.collect_set(F.struct("no", "overlaps")).alias("pairs"))
+    seconds = F.transform("pairs", lambda p: p["no"] + 2)
+    firsts = F.transform(F.filter("pairs", lambda p: ~p["overlaps"]), lambda p: p["no"] + 1)
+    removed = later.where(F.size("pairs") > 0).select(F.col("i").alias(k_id), F.col("t").alias(k_text), F.array_union(seconds, firsts).alias(gone))
+    removed = settle(removed, "removed").hint("merge")
+    joined = docs.join(removed, docs[id_col].eqNullSafe(removed[k_id]) & (F.xxhash64(text) == removed[k_text]), "left")
+    whole = joined.withColumn(lines, F.split(text, "\n", -1))
+    kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size(lines)), F.col(gone)), lambda p: F.get(lines, p - 1))
+    columns = [
+        F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias(text_col) if c == text_col else F.col(c)
+        for c in docs.columns
+    ]
+    return whole.select(
+        *columns,
+        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias(n_lines),
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).alias(n_removed),
+    )
