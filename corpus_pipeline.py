@@ -28,7 +28,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that SimHash links connect, the document with the smallest doc_id."""
+    """Of each group of near copies (SimHash candidates, Jaccard similarity of 0.8 verified), the smallest doc_id."""
     return simhash.keep_one(docs)
 
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_of
+from .common import fresh, settle, text_of
 from .components import connected_components
 
 BITS = 64
@@ -27,6 +27,16 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _HASHES_AT_ONCE = 1 << 15
 
 
+def _shingles(text: str | None, n_words: int) -> list[bytes]:
+    """A text's word shingles in order, repeats included; nothing for a text without words."""
+    found = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not found:
+        return []
+    if len(found) <= n_words:
+        return [b" ".join(found)]
+    return list(map(b" ".join, zip(*(found[i:] for i in range(n_words)))))
+
+
 def text_fingerprint(text: str | None, n_words: int = 3) -> int:
     """The signed 64-bit SimHash of a text.
 
@@ -34,13 +44,9 @@ def text_fingerprint(text: str | None, n_words: int = 3) -> int:
     are joined by one space and hashed by XXH64 with seed 42. With fewer words the whole sequence is the one
     shingle; a text without words (null, empty, white space) has fingerprint zero.
     """
-    found = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not found:
+    shingles = _shingles(text, n_words)
+    if not shingles:
         return 0
-    if len(found) <= n_words:
-        shingles = [b" ".join(found)]
-    else:
-        shingles = list(map(b" ".join, zip(*(found[i:] for i in range(n_words)))))
     digest = xxhash.xxh64_intdigest
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(shingles), _HASHES_AT_ONCE):
@@ -162,13 +168,147 @@ def near_duplicates(
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
 
 
+#: The three blocks of the wide tables: of 14 differing bits, one block has 4 at most.
+WIDE_RADIUS = 14
+_BLOCKS = ((0, 22), (22, 43), (43, 64))
+#: Vectors of 5 bits for a block's bits, such that each of its 31 tables keeps 10 bits or more.
+_PHI = (22, 31, 20, 29, 14, 8, 26, 25, 24, 27, 21, 3, 5, 18, 10, 19, 2, 15, 30, 4, 9, 28)
+#: Members of a wide bucket that one task compares at once; its keys are short, so buckets are larger.
+WIDE_CHUNK = 8192
+_ROWS_AT_ONCE = 128
+
+
+def wide_masks() -> list[int]:
+    """Signed masks of the 93 tables in one of which any two fingerprints within WIDE_RADIUS have the same key."""
+    out = []
+    for lo, hi in _BLOCKS:
+        for v in range(1, 32):
+            m = sum(1 << i for i in range(lo, hi) if (_PHI[i - lo] & v).bit_count() % 2)
+            out.append(m - (1 << 64) if m >> 63 else m)
+    return out
+
+
+def _wide_pairs(radius: int, whole: bool):
+    """Streams rows (no, key, i, j, node, fp, root) sorted by bucket. Pairs of nodes within radius: a forest of each
+    bucket's, or if whole all those whose roots differ. Holds one bucket's two chunks at a time."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def near_of(fps: np.ndarray, at: int) -> np.ndarray:
+        return np.bitwise_count((fps[at : at + _ROWS_AT_ONCE, None] ^ fps[None, :]).view(np.uint64)) <= radius
+
+    def pairs(nodes: np.ndarray, fps: np.ndarray, roots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        order = np.lexsort((nodes, fps))
+        nodes, fps, roots = nodes[order], fps[order], roots[order]
+        linked = np.zeros(len(fps), dtype=bool)
+        for at in range(0, len(fps), _ROWS_AT_ONCE):
+            near = near_of(fps, at)
+            if whole:
+                x, y = np.nonzero(near & (roots[at : at + _ROWS_AT_ONCE, None] != roots[None, :]))
+                upper = x + at < y
+                yield nodes[x[upper] + at], nodes[y[upper]]
+            else:
+                linked[at : at + _ROWS_AT_ONCE] = near.sum(axis=1) > 1  # more than itself
+        rest = np.flatnonzero(linked)
+        while len(rest) > 1:
+            queue, rest = [rest[0]], rest[1:]
+            while queue and len(rest):
+                x = queue.pop()
+                near = np.bitwise_count((fps[rest] ^ fps[x]).view(np.uint64)) <= radius
+                found, rest = rest[near], rest[~near]
+                queue.extend(found)
+                yield np.full(len(found), nodes[x]), nodes[found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_key, kept = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            held = np.concatenate(kept, axis=1) if kept else np.zeros((3, 0), dtype=np.int64)
+            if held.shape[1] > 1:
+                for x, y in pairs(*held):
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7)])
+            cuts = np.flatnonzero((cols[:4, 1:] != cols[:4, :-1]).any(axis=0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                key = tuple(cols[:4, lo])
+                if key != kept_key:
+                    yield from close()
+                    kept_key, kept = key, []
+                kept.append(cols[4:, lo:hi])
+        yield from close()
+
+    return run
+
+
+def _wide_candidates(nodes: DataFrame, whole: bool, chunk: int) -> DataFrame:
+    """Pairs (a, b) of rows (node, fp, root) within WIDE_RADIUS: a forest of each bucket's, or all with two roots."""
+    tables = F.array(*[
+        F.struct(F.lit(i).alias("no"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(wide_masks())
+    ])
+    rows = nodes.select("node", "fp", "root", F.explode(tables).alias("t")).select("node", "fp", "root", "t.no", "t.key")
+    # Keys have 16 bits at most, so there are never more large buckets than a broadcast can hold.
+    large = rows.groupBy("no", "key").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
+    large = large.select("no", "key", F.ceil(F.col("n") / chunk).alias("parts"))
+    rows = rows.join(F.broadcast(large), ["no", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("c", F.pmod(F.xxhash64("node"), F.col("parts")))
+    dealt = rows.select("no", "key", "node", "fp", "root", "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("d"))
+    dealt = dealt.select("no", "key", F.least("c", "d").cast("int").alias("i"), F.greatest("c", "d").cast("int").alias("j"), "node", "fp", "root")
+    by = ["no", "key", "i", "j"]
+    found = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_wide_pairs(WIDE_RADIUS, whole), "a bigint, b bigint")
+    return found.distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, n_words: int, threshold: float) -> DataFrame:
+    """The pairs whose texts' shingle sets have Jaccard similarity of threshold or more; texts has node and text."""
+
+    @F.pandas_udf("array<bigint>")
+    def shingle_set(column: pd.Series) -> pd.Series:
+        digest = xxhash.xxh64_intdigest
+        return column.map(lambda t: np.array(list({digest(s, 42) for s in _shingles(t, n_words)}), dtype="<u8").view("<i8"))
+
+    pairs = settle(pairs, "candidates")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    sets = settle(sets.select("node", shingle_set("text").alias("s")), "shingles")
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    union = F.size("sa") + F.size("sb") - common
+    return settle(both.where((union == 0) | (common >= threshold * union)).select("a", "b"), "links")
+
+
+def verified_links(docs: DataFrame, text_col: str = "text", n_words: int = 5, threshold: float = 0.8, chunk: int = WIDE_CHUNK) -> DataFrame:
+    """Edges (a, b) between XXH64s of texts that connect exactly what near copies connect.
+
+    Near copies are texts whose fingerprints on n_words words are within WIDE_RADIUS and whose shingle sets have
+    Jaccard similarity of threshold or more. A forest of each bucket's candidates is verified first, which joins
+    groups of near copies by as many pairs as they have members; then all candidates that it left apart are.
+    """
+    texts = docs.select(F.xxhash64(text_of(text_col)).alias("node"), text_of(text_col).alias("text"))
+    nodes = settle(texts.select("node", fingerprint(F.col("text"), n_words).alias("fp")).distinct(), "fingerprints")
+    first = _verified(_wide_candidates(nodes.withColumn("root", F.col("node")), False, chunk), texts, n_words, threshold)
+    placed = nodes.join(connected_components(first, "a", "b"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    others = _verified(_wide_candidates(settle(placed, "placed"), True, chunk), texts, n_words, threshold)
+    return first.unionByName(others)
+
+
 def keep_one(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 3, radius: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, threshold: float = 0.8
 ) -> DataFrame:
-    """docs without the documents that are near copies of one with a smaller id; columns as they came.
+    """docs without the documents that are near copies (see verified_links) of one with a smaller id; columns as they came.
 
-    Rows with a null id stay. Rows that repeat the kept id stay as they are.
+    Links are followed from copy to copy. Rows with a null id stay, and so do rows of a group that repeat its kept
+    id. Rows that share an id are judged each by its own text.
     """
-    found = near_duplicates(docs, id_col, text_col, n_words, radius)
-    gone = found.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    roots = connected_components(verified_links(docs, text_col, n_words, threshold), "a", "b")
+    node, gone_id = fresh(docs.columns, "node", "gone_id")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("node")).distinct()
+    rows = settle(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    least = rows.groupBy("root").agg(F.min("id").alias("least"))
+    gone = rows.join(least, "root").where(F.col("id") > F.col("least")).select(F.col("id").alias(gone_id), F.col("node").alias(node))
+    gone = settle(gone, "gone")
+    return docs.join(gone, (docs[id_col] == gone[gone_id]) & (F.xxhash64(text_of(text_col)) == gone[node]), "left_anti")
