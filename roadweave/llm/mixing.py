@@ -77,17 +77,19 @@ def mix(
     rows = settle(rows.distinct(), "tokens")
     if budget is None:
         budget = part * (rows.agg(F.sum("n_tokens")).first()[0] or 0)
+    # A row for each leaf, and one for each bucket of a leaf: written once, where every use would else plan the tree again.
     leaves = rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")).withColumn("capacity", F.col("tokens") * max_epochs)
+    leaves = settle(leaves, "leaves")
     shares = share_out(leaves, names, weights, budget).select(*names, "tokens", F.floor("share").alias("quota"))
     shares = shares.withColumn("full", F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(0))
-    shares = shares.withColumn("rest", F.col("quota") - F.col("full") * F.col("tokens"))
+    shares = settle(shares.withColumn("rest", F.col("quota") - F.col("full") * F.col("tokens")), "shares")
     placed = rows.join(shares, names, "left")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     placed = placed.withColumn("key", key).withColumn("bucket", F.substring("key", 1, DIGITS))
     sums = placed.where("full is not null").groupBy(*names, "bucket").agg(F.sum("n_tokens").alias("own"), F.first("rest").alias("r"))
     upto = Window.partitionBy(*names).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("end", F.sum("own").over(upto))
-    last = sums.select(*names, "bucket", (F.col("end") - F.col("own")).alias("start"), "end")
+    last = settle(sums.select(*names, "bucket", (F.col("end") - F.col("own")).alias("start"), "end"), "buckets")
     placed = placed.join(last, [*names, "bucket"], "left")
     whole = F.coalesce(F.col("full"), F.lit(0))
     sure = F.col("full").isNull() | (F.col("end") <= F.col("rest")) | (F.col("start") > F.col("rest"))

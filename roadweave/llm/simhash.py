@@ -37,6 +37,12 @@ def _shingles(text: str | None, n_words: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(found[i:] for i in range(n_words)))))
 
 
+def _digests(text: str | None, n_words: int) -> list[int]:
+    """XXH64 with seed 42 of every shingle."""
+    digest = xxhash.xxh64_intdigest
+    return [digest(s, 42) for s in _shingles(text, n_words)]
+
+
 def text_fingerprint(text: str | None, n_words: int = 3) -> int:
     """The signed 64-bit SimHash of a text.
 
@@ -44,15 +50,16 @@ def text_fingerprint(text: str | None, n_words: int = 3) -> int:
     are joined by one space and hashed by XXH64 with seed 42. With fewer words the whole sequence is the one
     shingle; a text without words (null, empty, white space) has fingerprint zero.
     """
-    shingles = _shingles(text, n_words)
-    if not shingles:
-        return 0
-    digest = xxhash.xxh64_intdigest
+    return _majority(np.array(_digests(text, n_words), dtype="<u8"))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed number; zero without hashes."""
     ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(shingles), _HASHES_AT_ONCE):
-        part = np.array([digest(s, 42) for s in shingles[at : at + _HASHES_AT_ONCE]], dtype="<u8")
+    for at in range(0, len(hashes), _HASHES_AT_ONCE):
+        part = hashes[at : at + _HASHES_AT_ONCE]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(shingles), bitorder="little")
+    bits = np.packbits(2 * ones > len(hashes), bitorder="little")
     return int(bits.view("<i8")[0])
 
 
@@ -188,32 +195,73 @@ def wide_masks() -> list[int]:
     return out
 
 
-def _wide_pairs(radius: int, whole: bool):
-    """Streams rows (no, key, i, j, node, fp, root) sorted by bucket. Pairs of nodes within radius: a forest of each
-    bucket's, or if whole all those whose roots differ. Holds one bucket's two chunks at a time."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: Bits of the parity sketch that goes with a fingerprint into the wide tables.
+SKETCH_BITS = 256
+
+
+def parity_sketch(hashes: np.ndarray) -> bytes:
+    """Bits that are 1 where an odd number of the set's hashes falls: two sketches differ in at most as many bits as
+    the sets have members that the other lacks, so that it can rule a pair out and never rules out a true one."""
+    ones = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=SKETCH_BITS)
+    return np.packbits((ones & 1).astype(bool)).tobytes()
 
-    def near_of(fps: np.ndarray, at: int) -> np.ndarray:
-        return np.bitwise_count((fps[at : at + _ROWS_AT_ONCE, None] ^ fps[None, :]).view(np.uint64)) <= radius
 
-    def pairs(nodes: np.ndarray, fps: np.ndarray, roots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        order = np.lexsort((nodes, fps))
-        nodes, fps, roots = nodes[order], fps[order], roots[order]
+def _sketched(n_words: int):
+    """Column of structs (fp, n, sketch): SimHash, size and parity sketch of a text's shingles."""
+
+    @F.pandas_udf("fp bigint, n int, sketch binary")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            hashes = np.array(_digests(text, n_words), dtype="<u8")
+            distinct = np.unique(hashes)
+            rows.append((_majority(hashes), len(distinct), parity_sketch(distinct)))
+        fps, sizes, sketches = zip(*rows, strict=True) if rows else ((), (), ())
+        return pd.DataFrame({"fp": np.array(fps, dtype=np.int64), "n": np.array(sizes, dtype=np.int32), "sketch": sketches})
+
+    return of
+
+
+def _wide_pairs(radius: int, whole: bool, threshold: float):
+    """Streams rows (bucket, i, j, node, fp, n, sketch, root) sorted by bucket. Pairs of nodes that are within radius and
+    that neither size nor sketch rules out: a forest of each bucket's, or if whole all those whose roots differ. Holds
+    one bucket's two chunks at a time."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    # Of sets with Jaccard similarity t, at most (1 - t) / (1 + t) of both sizes together are in one set only.
+    apart = (1 - threshold) / (1 + threshold) + 1e-9
+
+    def likely(own: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which of the pairs of places (x, y) can have the wanted similarity."""
+        n = own["n"]
+        out = np.abs(n[x] - n[y]) <= apart * (n[x] + n[y])
+        at = np.flatnonzero(out)
+        differ = np.bitwise_count(own["sketch"][x[at]] ^ own["sketch"][y[at]]).sum(axis=1)
+        out[at] = differ <= apart * (n[x[at]] + n[y[at]])
+        return out
+
+    def pairs(own: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        nodes, fps, roots = own["node"], own["fp"], own["root"]
         linked = np.zeros(len(fps), dtype=bool)
         for at in range(0, len(fps), _ROWS_AT_ONCE):
-            near = near_of(fps, at)
+            near = np.bitwise_count((fps[at : at + _ROWS_AT_ONCE, None] ^ fps[None, at + 1 :]).view(np.uint64)) <= radius
+            x, y = np.nonzero(near)
+            x, y = x + at, y + at + 1
             if whole:
-                x, y = np.nonzero(near & (roots[at : at + _ROWS_AT_ONCE, None] != roots[None, :]))
-                upper = x + at < y
-                yield nodes[x[upper] + at], nodes[y[upper]]
+                x, y = (v[(x < y) & (roots[x] != roots[y])] for v in (x, y))
+                good = likely(own, x, y)
+                yield nodes[x[good]], nodes[y[good]]
             else:
-                linked[at : at + _ROWS_AT_ONCE] = near.sum(axis=1) > 1  # more than itself
+                x, y = (v[x < y] for v in (x, y))
+                good = likely(own, x, y)
+                linked[x[good]] = linked[y[good]] = True
         rest = np.flatnonzero(linked)
         while len(rest) > 1:
             queue, rest = [rest[0]], rest[1:]
             while queue and len(rest):
                 x = queue.pop()
                 near = np.bitwise_count((fps[rest] ^ fps[x]).view(np.uint64)) <= radius
+                at = np.flatnonzero(near)
+                near[at] = likely(own, np.full(len(at), x), rest[at])
                 found, rest = rest[near], rest[~near]
                 queue.extend(found)
                 yield np.full(len(found), nodes[x]), nodes[found]
@@ -222,43 +270,45 @@ def _wide_pairs(radius: int, whole: bool):
         kept_key, kept = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
-            held = np.concatenate(kept, axis=1) if kept else np.zeros((3, 0), dtype=np.int64)
-            if held.shape[1] > 1:
-                for x, y in pairs(*held):
+            own = {name: np.concatenate([k[name] for k in kept]) for name in kept[0]} if kept else {"node": ()}
+            if len(own["node"]) > 1:
+                for x, y in pairs(own):
                     if len(x):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7)])
-            cuts = np.flatnonzero((cols[:4, 1:] != cols[:4, :-1]).any(axis=0)) + 1
+            keys, col = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]), {}
+            for i, name in ((3, "node"), (4, "fp"), (5, "n"), (7, "root")):
+                col[name] = batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)
+            col["sketch"] = np.frombuffer(b"".join(batch.column(6).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1)
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                key = tuple(cols[:4, lo])
+                key = tuple(keys[:, lo])
                 if key != kept_key:
                     yield from close()
                     kept_key, kept = key, []
-                kept.append(cols[4:, lo:hi])
+                kept.append({name: c[lo:hi] for name, c in col.items()})
         yield from close()
 
     return run
 
 
-def _wide_candidates(nodes: DataFrame, whole: bool, chunk: int) -> DataFrame:
-    """Pairs (a, b) of rows (node, fp, root) within WIDE_RADIUS: a forest of each bucket's, or all with two roots."""
-    tables = F.array(*[
-        F.struct(F.lit(i).alias("no"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(wide_masks())
-    ])
-    rows = nodes.select("node", "fp", "root", F.explode(tables).alias("t")).select("node", "fp", "root", "t.no", "t.key")
+def _wide_candidates(nodes: DataFrame, whole: bool, chunk: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of rows (node, fp, n, sketch, root) within WIDE_RADIUS: a forest of each bucket's, or all with two roots."""
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(wide_masks())])
+    member = ["node", "fp", "n", "sketch", "root"]
     # Keys have 16 bits at most, so there are never more large buckets than a broadcast can hold.
-    large = rows.groupBy("no", "key").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
-    large = large.select("no", "key", F.ceil(F.col("n") / chunk).alias("parts"))
-    rows = rows.join(F.broadcast(large), ["no", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    large = nodes.select(F.explode(keys).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("held")).where(F.col("held") > chunk)
+    large = large.select("bucket", F.ceil(F.col("held") / chunk).alias("parts"))
+    rows = nodes.select(*member, F.explode(keys).alias("bucket"))
+    rows = rows.join(F.broadcast(large), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("c", F.pmod(F.xxhash64("node"), F.col("parts")))
-    dealt = rows.select("no", "key", "node", "fp", "root", "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("d"))
-    dealt = dealt.select("no", "key", F.least("c", "d").cast("int").alias("i"), F.greatest("c", "d").cast("int").alias("j"), "node", "fp", "root")
-    by = ["no", "key", "i", "j"]
-    found = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_wide_pairs(WIDE_RADIUS, whole), "a bigint, b bigint")
+    dealt = rows.select("bucket", *member, "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("d"))
+    dealt = dealt.select("bucket", F.least("c", "d").cast("int").alias("i"), F.greatest("c", "d").cast("int").alias("j"), *member)
+    by = ["bucket", "i", "j"]
+    found = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_wide_pairs(WIDE_RADIUS, whole, threshold), "a bigint, b bigint")
     return found.distinct()
 
 
@@ -267,8 +317,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n_words: int, threshold: float
 
     @F.pandas_udf("array<bigint>")
     def shingle_set(column: pd.Series) -> pd.Series:
-        digest = xxhash.xxh64_intdigest
-        return column.map(lambda t: np.array(list({digest(s, 42) for s in _shingles(t, n_words)}), dtype="<u8").view("<i8"))
+        return column.map(lambda t: np.array(list(set(_digests(t, n_words))), dtype="<u8").view("<i8"))
 
     pairs = settle(pairs, "candidates")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -285,14 +334,16 @@ def verified_links(docs: DataFrame, text_col: str = "text", n_words: int = 5, th
     """Edges (a, b) between XXH64s of texts that connect exactly what near copies connect.
 
     Near copies are texts whose fingerprints on n_words words are within WIDE_RADIUS and whose shingle sets have
-    Jaccard similarity of threshold or more. A forest of each bucket's candidates is verified first, which joins
-    groups of near copies by as many pairs as they have members; then all candidates that it left apart are.
+    Jaccard similarity of threshold or more. Sizes and parity sketches rule most other pairs out where they meet, and
+    no true ones. A forest of each bucket's candidates is verified first, which joins groups of near copies by as many
+    pairs as they have members; then all candidates that it left apart are.
     """
     texts = docs.select(F.xxhash64(text_of(text_col)).alias("node"), text_of(text_col).alias("text"))
-    nodes = settle(texts.select("node", fingerprint(F.col("text"), n_words).alias("fp")).distinct(), "fingerprints")
-    first = _verified(_wide_candidates(nodes.withColumn("root", F.col("node")), False, chunk), texts, n_words, threshold)
+    sketched = texts.select("node", _sketched(n_words)(F.col("text")).alias("s")).select("node", "s.*")
+    nodes = settle(sketched.distinct(), "fingerprints")
+    first = _verified(_wide_candidates(nodes.withColumn("root", F.col("node")), False, chunk, threshold), texts, n_words, threshold)
     placed = nodes.join(connected_components(first, "a", "b"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    others = _verified(_wide_candidates(settle(placed, "placed"), True, chunk), texts, n_words, threshold)
+    others = _verified(_wide_candidates(settle(placed, "placed"), True, chunk, threshold), texts, n_words, threshold)
     return first.unionByName(others)
 
 
