@@ -36,11 +36,19 @@ _SIBLINGS = {
 }
 _DROPPED_TAGS = frozenset("nav aside footer form button select fieldset menu dialog svg canvas object audio video head search datalist".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+#: A name says menu, advert, comments and the like if it has a word of the first set and otherwise only words of the second.
 _DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie "
-    "cookies disqus disclaimer footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification "
+    "cookies disqus disclaimer footer gdpr login menu menus modal nav navbar navigation newsletter notice notices notification "
     "overlay pager pagination popup privacy promo promoted recommend recommended related replies reply respond search share sharing sidebar "
-    "signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets warning alert discussion".split()
+    "signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
+)
+_HEAD_NAMES = frozenset("header masthead".split())
+_NEUTRAL_NAMES = frozenset(
+    "all area articles aside bar block body bottom box btn button buttons card cards col column container content desktop entry fixed form global "
+    "group head heading holder icon icons inner js left link links list item items main message mobile mod module more nofollow outer page panel "
+    "part pop post posts primary region responsive right row secondary section site slot stories sticky story sub subnav text thread title to top "
+    "unit up us view wp wrap wrapper zone".split()
 )
 _GOOD_NAMES = frozenset("article body content entry main post story text".split())
 _ARTICLE_NAMES = frozenset("article entry post story".split())
@@ -127,7 +135,7 @@ class Page:
             style = given.get("style", "").replace(" ", "").lower()
             dropped = (
                 "hidden" in given or given.get("aria-hidden") == "true" or given.get("role", "").lower() in _DROPPED_ROLES
-                or "display:none" in style or "visibility:hidden" in style or self._by_name and self._says_dropped(tag, names)
+                or "display:none" in style or "visibility:hidden" in style or self._by_name and self._says_dropped(tag, names, at.in_article)
             )
         label = tag
         if given.get("class"):
@@ -139,13 +147,16 @@ class Page:
             self._at.in_article = True
 
     @staticmethod
-    def _says_dropped(tag: str, names: list[str]) -> bool:
-        """Whether a class or id is one of menus, adverts, comments and so on; of articles and paragraphs only by its whole name."""
+    def _says_dropped(tag: str, names: list[str], in_article: bool) -> bool:
+        """Whether a class or id is wholly one of menus, adverts, comments and so on; a head is one outside of articles only."""
         for name in names:
             parts = [p.lower() for p in _NAME_PARTS.findall(name)]
             if tag in ("article", "main", "p"):
                 parts = ["".join(parts)]
-            if not _DROPPED_NAMES.isdisjoint(parts) and parts[0] not in ("has", "with", "no", "without"):
+            rest = [p for p in parts if len(p) > 1 and p not in _NEUTRAL_NAMES]
+            if not rest:
+                continue
+            if _DROPPED_NAMES.issuperset(rest) or not in_article and _ARTICLE_NAMES.isdisjoint(parts) and (_DROPPED_NAMES | _HEAD_NAMES).issuperset(rest):
                 return True
         return False
 
@@ -250,6 +261,13 @@ class Page:
             s = n.score * (1.6 if n.tag in ("article", "main") else 1.3 if n.good else 1.0)
             if s > best or s == best and self.best is not None and s > 0 and n.number < self.best.number:
                 self.best, best = n, s
+        if self.best is None:  # nothing but links: the container with most text
+            held: dict[_Node, int] = {}
+            for node, text, _ in self.blocks:
+                for n in self._above(node):
+                    if n.tag in _CONTAINER:
+                        held[n] = held.get(n, 0) + len(text)
+            self.best = max(held, key=lambda n: (held[n], n.number), default=None)  # the innermost that has it all
         self.best_score = best
 
     @staticmethod
@@ -265,15 +283,15 @@ class Page:
     def extract(self, path: str | None) -> str:
         """Text of the containers on the path, or of the page's own best where there are none."""
         code = _path_code(path) if path else None
-        inside = [t for n, t, links in self.blocks if self._kept(t, links) and any(m.code == code for m in self._above(n))] if path else []
+        # A menu may stand in a container of the same path beside the text's, as another cell of its row.
+        on_path = lambda n, least: any(m.code == code and m.score > least for m in self._above(n))
+        inside = [t for n, t, _ in self.blocks if on_path(n, 0)] if path else []
+        if path and not inside:
+            inside = [t for n, t, _ in self.blocks if on_path(n, float("-inf"))]
         if not inside and self.best:
-            inside = [t for n, t, links in self.blocks if self._kept(t, links) and any(m is self.best for m in self._above(n))]
+            inside = [t for n, t, _ in self.blocks if any(m is self.best for m in self._above(n))]
         return " ".join(inside)
 
-    @staticmethod
-    def _kept(text: str, links: int) -> bool:
-        return links < len(text) or len(text) > 80
-
 
 def _votes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
@@ -291,13 +309,14 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """Rows (page_id, url, text), one for each row of pages.
 
     Character references are decoded, white space in a block becomes one space, and blocks are joined by one space
-    in page order. A null html gives the empty text. Pages with a null address, or one without a host, are a host of
-    their own. Ties between paths go to the higher sum of scores, then to the first in order. Other columns are
+    in page order. A null html gives the empty text. Pages with a null address, or one without a host, go each by their
+    own best container. Ties between paths go to the higher sum of scores, then to the first in order. Other columns are
     ignored; an empty table gives an empty result.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
+    host = F.when(host != "", host)
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), text_of(html_col).alias("html"))
-    votes = rows.select("host", "html").mapInPandas(_votes, "host string, path string, score double").where("path is not null")
+    votes = rows.select("host", "html").mapInPandas(_votes, "host string, path string, score double").where("path is not null and host is not null")
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
     winners = counted.groupBy("host").agg(F.min_by("path", F.struct(-F.col("n"), -F.round("score"), F.col("path"))).alias("path"))
     named = rows.join(settle(winners, "paths"), "host", "left")
