@@ -1,187 +1,300 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-A model gives the probability of a word's characters, each from the up to ``ORDER`` - 1 characters before it in the
-word, for toxic and for ordinary text. At the longest order the discounted counts are the class's own; what the
-discount frees goes to shorter contexts, whose continuation counts both classes share, so that an expression that
-is rare in both scores alike in both. A document's evidence is its log-likelihood ratio for each word and the mean
-ratio of its strongest few words; a logistic curve, fitted on rows the counts have not seen, turns both into a score.
-
-Spark counts the n-grams of every training row. They go to a fixed number of hashed cells, so that the model has one
-size whatever the corpus and may be broadcast. What a task counts is summed by cell before anything is shuffled.
+A model gives the probability of a word's characters, each from the ``ORDER`` - 1 characters before it, for toxic and
+for ordinary text. At the longest order the discounted counts (documents that hold the word) are the class's own; what
+the discount frees goes to shorter contexts, whose continuation counts both classes share, so that an expression that
+is rare in both scores alike in both. A document's evidence is its log-likelihood ratio for each word, the mean ratio
+of its strongest few words, and the logarithm of its number of different words, by which the strongest of many must be
+judged; a logistic curve, fitted on rows that its counts have not seen, turns them into a score.
+
+The counts are tables of n-grams as they are, without cells to share and without a bound, made by Spark from a table
+of words. What both classes say of an n-gram comes down to one number, so a scorer needs a key and a ratio for each
+n-gram and context. Those are broadcast while their counted number is within a bound; beyond it the documents' words
+are joined to them.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from .common import text_of
+from .common import settle, text_of
 
-ORDER = 6
-#: Hashed cells of n-grams, and as many of contexts, for each order; bounds the model at 12 bytes a cell and order.
-CELLS = 1 << 18
+ORDER = 8
 DISCOUNT = 0.75
+#: Pseudo-counts of the shared probabilities at the longest order.
+MASS = 4.0
 #: Words whose mean ratio is the second part of a document's evidence.
 PEAKS = 3
 #: Labelled rows, at most, on which the logistic curve is fitted (chosen by hash). The counts take all rows.
 CURVE_ROWS = 20_000
 #: Labels that may be broadcast to the documents (16 bytes each); more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
-#: Words whose ratios a task keeps, and words that it turns into cells at once (each gives some 70 n-grams).
-_WORDS_KEPT = 200_000
+#: n-grams and contexts that may be broadcast (16 bytes each); more are joined to the documents' words.
+BROADCAST_GRAMS = 12_000_000
+#: Words whose ratios a task keeps, and words that it looks up or counts at once.
+_WORDS_KEPT = 400_000
 _WORDS_AT_ONCE = 20_000
 _STRIPPED = ".,;:!?\"'()[]{}<>*%$#&|-_"
+_START, _END = "\x01", "\x02"
 
 
 def tokens(text: str | None) -> list[str]:
-    """Lower-case words without surrounding punctuation; a word of over 40 characters gives pieces of 40."""
-    out = []
-    for w in (text or "").lower().split():
-        w = w.strip(_STRIPPED)
-        if len(w) > 40:
-            out.extend(w[i : i + 40] for i in range(0, len(w), 40))
-        elif w:
-            out.append(w)
-    return out
-
-
-def _cells(found: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """For all predicted characters of the words: the word's number, and by order the cells of context and n-gram."""
-    flat = "".join(f"\x01{w}\x02" for w in found)
+    """Lower-case words without surrounding punctuation."""
+    return [w for w in (x.strip(_STRIPPED) for x in (text or "").lower().split()) if w]
+
+
+def _padded(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the words between their marks, the places of predicted characters, and each one's word."""
+    flat = "".join(f"{_START * (ORDER - 1)}{w}{_END}" for w in found)
     codes = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    lengths = np.fromiter((len(w) + 2 for w in found), dtype=np.int64, count=len(found))
-    starts = np.cumsum(lengths) - lengths
-    place = np.arange(len(codes)) - np.repeat(starts, lengths)
-    at = np.flatnonzero(place > 0)
-    contexts, grams = [], []
+    lengths = np.fromiter((len(w) + 1 for w in found), dtype=np.int64, count=len(found))
+    owner = np.repeat(np.arange(len(found)), lengths)
+    return codes, np.arange(len(owner)) + (owner + 1) * (ORDER - 1), owner
+
+
+def _keyed(codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of the contexts before the places and of the n-grams that end there."""
+    h = np.full(len(at), 0xCBF29CE484222325, dtype=np.uint64)
+    context = h
     with np.errstate(over="ignore"):
-        h = np.full(len(at), 0xCBF29CE484222325, dtype=np.uint64)
-        for k in range(ORDER):
-            if k:
-                before = np.where(place[at] >= k, codes[np.maximum(at - k, 0)], np.uint64(1))
-                h = (h ^ before) * np.uint64(0x100000001B3)
-                h ^= h >> np.uint64(31)
-            g = (h ^ (codes[at] << np.uint64(20))) * np.uint64(0x9E3779B97F4A7C15)
-            contexts.append(((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(46)).astype(np.int64))
-            grams.append((g >> np.uint64(46)).astype(np.int64))
-    return np.repeat(np.arange(len(found)), lengths - 1), contexts, grams
+        for back in range(ORDER - 1, -1, -1):
+            context = h
+            h = (h ^ codes[at - back]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return context.view(np.int64), h.view(np.int64)
 
 
-def _count_grams(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Distinct n-grams of all orders in a task's rows: cells of the n-gram, its context and its own ending."""
-    counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
-
-    keys = ["k", "context", "gram", "lower_context", "lower"]
-
-    def flush() -> Iterator[pd.DataFrame]:
-        found = list(counts[0].keys() | counts[1].keys())
-        by_class = [np.array([c.get(w, 0) for w in found], dtype=np.int64) for c in counts]
-        owner, contexts, grams = _cells(found)
-        for k in range(ORDER):
-            lower, lower_context = (grams[k - 1], contexts[k - 1]) if k else (np.int64(-1), np.int64(-1))
-            rows = pd.DataFrame({"k": k, "context": contexts[k], "gram": grams[k], "lower_context": lower_context, "lower": lower, "n0": by_class[0][owner], "n1": by_class[1][owner]})
-            yield rows.groupby(keys, as_index=False, sort=False).sum()
-        for c in counts:
-            c.clear()
+@F.pandas_udf(LongType())
+def _gram_key(grams: pd.Series) -> pd.Series:
+    codes = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    return pd.Series(_keyed(codes, np.arange(len(grams)) * ORDER + ORDER - 1)[1])
+
+
+@F.pandas_udf(LongType())
+def _context_key(contexts: pd.Series) -> pd.Series:
+    codes = np.frombuffer("".join(c + _END for c in contexts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    return pd.Series(_keyed(codes, np.arange(len(contexts)) * ORDER + ORDER - 1)[0])
+
+
+_COUNTS = ["fit0", "fit1", "all0", "all1"]
+
+
+def _count_words(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In how many documents each word is, by class: of those that don't fit the curve, and of all."""
+    counts: dict[str, list[int]] = {}
+
+    def flush() -> pd.DataFrame:
+        out = pd.DataFrame.from_dict(counts, orient="index", columns=_COUNTS).rename_axis("word").reset_index()
+        counts.clear()
+        return out
 
     for part in parts:
-        for text, c in zip(part["text"], part["toxic"], strict=True):
-            own = counts[c]
-            for w in tokens(text):
-                own[w] = own.get(w, 0) + 1
-            if len(own) > _WORDS_AT_ONCE:
-                yield from flush()
-    if counts[0] or counts[1]:
-        yield from flush()
+        for text, toxic, curve in zip(part["text"], part["toxic"], part["curve"], strict=True):
+            for w in set(tokens(text)):
+                own = counts.setdefault(w, [0, 0, 0, 0])
+                own[2 + toxic] += 1
+                own[toxic] += not curve
+            if len(counts) > _WORDS_AT_ONCE:
+                yield flush()
+    if counts:
+        yield flush()
 
 
-class Model:
-    """Tables by cell, and the logistic curve's intercept and weights."""
+def _count_grams(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of words to those of their longest n-grams."""
+    for part in parts:
+        for lo in range(0, len(part), _WORDS_AT_ONCE):
+            some = part.iloc[lo : lo + _WORDS_AT_ONCE]
+            grams: list[str] = []
+            for w in some["word"]:
+                padded = f"{_START * (ORDER - 1)}{w}{_END}"
+                grams.extend(padded[i : i + ORDER] for i in range(len(w) + 1))
+            owner = np.repeat(np.arange(len(some)), some["word"].str.len().to_numpy() + 1)
+            rows = some[_COUNTS].take(owner)
+            rows.insert(0, "gram", grams)
+            yield rows.groupby("gram", as_index=False, sort=False).sum()
+
+
+def _shared(grams: DataFrame) -> DataFrame:
+    """Rows (low, p): Kneser-Ney probabilities, from both classes' words alike, of the n-grams one shorter than grams."""
+    level, levels = grams.select("gram"), None
+    for k in range(ORDER - 1, 0, -1):
+        level = level.groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c"))
+        own = level.select(F.lit(k).alias("k"), "gram", "c")
+        levels = own if levels is None else levels.unionByName(own)
+    levels = settle(levels, "levels")
+    below = None
+    for k in range(1, ORDER):
+        own = levels.where(F.col("k") == k).select("gram", "c", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("low"))
+        of = own.groupBy("context").agg(F.sum("c").alias("t"), F.count("*").alias("kinds"))
+        own = own.join(of, "context")
+        own = own.join(below, "low") if below is not None else own.withColumn("p", F.lit(1 / 256))
+        p = (F.col("c") - DISCOUNT) / F.col("t") + F.least(F.lit(1.0), DISCOUNT * F.col("kinds") / F.col("t")) * F.col("p")
+        below = own.select(F.col("gram").alias("low"), p.alias("p"))
+    return below
+
+
+def _log_ratio(name: str, seen: bool) -> Column:
+    """What toxic over ordinary says of an n-gram, or of one that its known context was never followed by.
+
+    Both classes leave the same share to shorter contexts, so that what neither has seen speaks for neither.
+    """
+    t0, t1, k0, k1 = (F.col(f"{kind}_{name}{c}") for kind in ("t", "kinds") for c in (0, 1))
+    rest = F.least(F.lit(1.0), F.greatest(F.lit(1e-6), (MASS + DISCOUNT * F.greatest(k0, k1)) / (t0 + t1 + MASS)))
+
+    def q(c: int, t: Column, kinds: Column) -> Column:
+        if not seen:
+            return F.when(t > 0, rest).otherwise(1.0)
+        own = F.greatest(F.col(f"{name}{c}") - DISCOUNT, F.lit(0.0)) / F.greatest(t - DISCOUNT * kinds, F.lit(DISCOUNT))
+        return F.greatest(F.when(t > 0, (1 - rest) * own + rest * F.col("p")).otherwise(F.col("p")), F.lit(1e-12))
+
+    return F.log(q(1, t1, k1) / q(0, t0, k0)).cast("float")
+
+
+def ratio_table(words: DataFrame) -> DataFrame:
+    """Rows (is_context, key, fit, all) from rows (word, counts): log ratios by the counts without the curve's rows, and by all."""
+    counted = words.mapInPandas(_count_grams, "gram string, " + ", ".join(f"{c} bigint" for c in _COUNTS))
+    grams = settle(counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in _COUNTS]), "grams")
+    own = grams.withColumn("context", F.substring("gram", 1, ORDER - 1))
+    sums = [F.sum(c).alias(f"t_{c}") for c in _COUNTS] + [F.sum((F.col(c) > 0).cast("bigint")).alias(f"kinds_{c}") for c in _COUNTS]
+    contexts = settle(own.groupBy("context").agg(*sums), "contexts")
+    known = own.withColumn("low", F.substring("gram", 2, ORDER - 1)).join(_shared(grams), "low").join(contexts, "context")
+    names = ["fit", "all"]
+    both = known.select(F.lit(False).alias("is_context"), _gram_key("gram").alias("key"), *[_log_ratio(n, True).alias(n) for n in names])
+    other = contexts.select("context", *[_log_ratio(n, False).alias(n) for n in names]).where("fit <> 0 or all <> 0")
+    other = other.select(F.lit(True).alias("is_context"), _context_key("context").alias("key"), *names)
+    return settle(both.unionByName(other), "ratios")
+
 
-    def __init__(self, tables: dict[str, np.ndarray], curve: tuple[float, float, float]):
-        self.tables, self.curve = tables, curve
+class Ratios:
+    """Sorted keys of n-grams and of contexts, and their ratios."""
 
-    def ratios(self, found: list[str]) -> np.ndarray:
+    def __init__(self, grams: np.ndarray, gram_ratios: np.ndarray, contexts: np.ndarray, context_ratios: np.ndarray):
+        self.sides = ((contexts, context_ratios), (grams, gram_ratios))
+
+    def of(self, found: list[str]) -> np.ndarray:
         """Log-likelihood ratio, toxic over ordinary, of each word."""
         if not found:
             return np.zeros(0)
-        t = self.tables
-        owner, contexts, grams = _cells(found)
-        p = np.full(len(owner), 1 / 256)
-
-        def step(p: np.ndarray, own: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-            mass = np.maximum(total, 1)
-            rest = np.clip(DISCOUNT * kinds / mass, 1e-6, 1)
-            return np.where(total > 0, np.maximum(own - DISCOUNT, 0) / mass + rest * p, p)
-
-        for k in range(ORDER - 1):
-            p = step(p, t["shared"][k][grams[k]], t["shared_total"][k][contexts[k]], t["shared_kinds"][k][contexts[k]])
-        # Both classes leave the same share to shorter contexts, so that what neither has seen speaks for neither.
-        g, x = grams[-1], contexts[-1]
-        seen = t["total0"][x] + t["total1"][x]
-        rest = np.clip(DISCOUNT * np.maximum(t["kinds0"][x], t["kinds1"][x]) / np.maximum(seen, 1), 1e-6, 1)
-        out = []
-        for c in (0, 1):
-            left = t[f"total{c}"][x] - DISCOUNT * t[f"kinds{c}"][x]
-            own = np.maximum(t[f"own{c}"][g] - DISCOUNT, 0) / np.maximum(left, DISCOUNT)
-            q = np.where(t[f"total{c}"][x] > 0, (1 - rest) * own + rest * p, p)
-            out.append(np.bincount(owner, np.log(np.maximum(q, 1e-12)), minlength=len(found)))
-        return out[1] - out[0]
+        codes, at, owner = _padded(found)
+        out = np.zeros(len(at))
+        for keys, (known, ratios) in zip(_keyed(codes, at), self.sides, strict=True):
+            if len(known):
+                order = np.argsort(keys)
+                place = np.minimum(np.searchsorted(known, keys[order]), len(known) - 1)
+                hit = known[place] == keys[order]
+                out[order[hit]] = ratios[place[hit]]
+        return np.bincount(owner, out, minlength=len(found))
 
     def evidence(self, texts: Iterable[str | None], known: dict[str, float]) -> np.ndarray:
-        """[texts, 2]: the mean ratio of all words and that of the strongest; zeros where there are no words."""
+        """[texts, 3]: the mean ratio of all words, that of the strongest, and log(1 + different words)."""
         split = [tokens(t) for t in texts]
         if len(known) > _WORDS_KEPT:
             known.clear()
         new = list({w for ws in split for w in ws} - known.keys())
         for i in range(0, len(new), _WORDS_AT_ONCE):
             part = new[i : i + _WORDS_AT_ONCE]
-            known.update(zip(part, self.ratios(part).tolist(), strict=True))
-        out = np.zeros((len(split), 2))
+            known.update(zip(part, self.of(part).tolist(), strict=True))
+        out = np.zeros((len(split), 3))
         for i, ws in enumerate(split):
             if ws:
-                r = [known[w] for w in ws]
-                out[i] = sum(r) / len(r), sum(heapq.nlargest(PEAKS, r)) / PEAKS
+                different = set(ws)
+                strongest = heapq.nlargest(PEAKS, (known[w] for w in different))
+                out[i] = sum(known[w] for w in ws) / len(ws), sum(strongest) / PEAKS, np.log1p(len(different))
         return out
 
-    def scores(self, evidence: np.ndarray) -> np.ndarray:
-        a, b, c = self.curve
-        return 1 / (1 + np.exp(-np.clip(a + b * evidence[:, 0] + c * evidence[:, 1], -30, 30)))
 
+@dataclass
+class Model:
+    """The ratios as a table, and broadcast where they are few enough; the logistic curve's intercept and weights."""
+
+    table: DataFrame
+    shared: Any
+    curve: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
+
+
+def _collected(table: DataFrame, which: str):
+    """Broadcast of Ratios' arguments; the table's rows have been counted."""
+    rows = table.select("is_context", "key", which).toArrow()
+    is_context, keys, ratios = (rows.column(c).to_numpy() for c in ("is_context", "key", which))
+    out = []
+    for side in (False, True):
+        own = np.flatnonzero(is_context == side)
+        order = own[np.argsort(keys[own])]
+        out += [keys[order], ratios[order]]
+    return table.sparkSession.sparkContext.broadcast(tuple(out))
 
-def _evidence(model, texts: Column) -> Column:
-    """Column of structs (mean, peak); model is a broadcast of Model's arguments."""
 
-    @F.pandas_udf("mean double, peak double")
+_EVIDENCE = ["mean", "peak", "size"]
+
+
+def _evidence_by_lookup(shared, texts: Column) -> Column:
+    """Column of structs of evidence; shared is a broadcast of Ratios' arguments."""
+
+    @F.pandas_udf("mean double, peak double, size double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: dict[str, float] = {}
-        own = Model(*model.value)
+        own = Ratios(*shared.value)
         for texts in batches:
             parts = [own.evidence(texts[i : i + 256], known) for i in range(0, len(texts), 256)]
-            yield pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, 2)), columns=["mean", "peak"])
+            yield pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, 3)), columns=_EVIDENCE)
 
     return of(texts)
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression by Newton steps with a small ridge: intercept and two weights."""
+def _words_of(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        for u, text in zip(part["u"], part["text"], strict=True):
+            found = pd.Series(tokens(text), dtype=object).value_counts()
+            yield pd.DataFrame({"u": u, "word": found.index, "n": found.to_numpy()})
+
+
+def _keys_of(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        for lo in range(0, len(part), _WORDS_AT_ONCE):
+            some = part["word"].iloc[lo : lo + _WORDS_AT_ONCE].tolist()
+            codes, at, owner = _padded(some)
+            contexts, grams = _keyed(codes, at)
+            yield pd.DataFrame({"word": np.array(some, dtype=object)[owner], "context": contexts, "gram": grams})
+
+
+def evidence_by_join(texts: DataFrame, table: DataFrame, which: str) -> DataFrame:
+    """Rows (u, mean, peak, size) of rows (u, text) with words, u being the text's own: every step is a join or a sum."""
+    pairs = texts.mapInPandas(_words_of, "u string, word string, n bigint")
+    keys = pairs.select("word").distinct().mapInPandas(_keys_of, "word string, context bigint, gram bigint")
+    grams = table.where("not is_context").select(F.col("key").alias("gram"), F.col(which).cast("double").alias("g"))
+    contexts = table.where("is_context").select(F.col("key").alias("context"), F.col(which).cast("double").alias("c"))
+    found = keys.join(grams, "gram", "left").join(contexts, "context", "left")
+    ratios = found.groupBy("word").agg(F.sum(F.coalesce("g", "c", F.lit(0.0))).alias("r"))
+    of = pairs.join(settle(ratios, "words"), "word").groupBy("u")
+    strongest = F.slice(F.sort_array(F.collect_list("r"), asc=False), 1, PEAKS)  # of one document's different words
+    peak = F.aggregate(strongest, F.lit(0.0), lambda a, b: a + b) / PEAKS
+    return of.agg((F.sum(F.col("r") * F.col("n")) / F.sum("n")).alias("mean"), peak.alias("peak"), F.log1p(F.count("*")).alias("size"))
+
+
+def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Logistic regression by Newton steps with a small ridge: intercept and weights."""
     if len(y) == 0 or y.min() == y.max():
-        return 0.0, 1.0, 1.0
+        return 0.0, 1.0, 1.0, -1.0
     a = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(3)
-    for _ in range(50):
+    w = np.zeros(a.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(3)
-        d = np.linalg.solve(h, a.T @ (y - p) - 1e-3 * w)
+        h = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(len(w))
+        d = np.linalg.solve(h, a.T @ (y - p) - 1e-2 * w)
         w = w + np.clip(d, -2, 2)
         if np.abs(d).max() < 1e-8:
             break
-    return tuple(w)
+    return tuple(float(v) for v in w)
 
 
 def fold(id_col: str = "doc_id") -> Column:
@@ -189,68 +302,65 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5, F.lit(0))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
-    """A broadcast of Model's arguments from the labelled rows outside fold 0: folds 2 to 4 are counted, fold 1 fits the curve.
+def _text_key(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def _with_evidence(rows: DataFrame, table: DataFrame, shared, which: str, text_col: str, name: str) -> DataFrame:
+    """rows with a column of evidence: looked up, or joined where the table is not broadcast."""
+    text = text_of(text_col)
+    if shared is not None:
+        return rows.withColumn(name, _evidence_by_lookup(shared, text))
+    texts = rows.select(_text_key(text).alias("u"), text.alias("text")).dropDuplicates(["u"])
+    found = evidence_by_join(texts, table, which).select(F.col("u").alias("e_u"), F.struct(*_EVIDENCE).alias("e_found"))
+    joined = rows.join(settle(found, "evidence"), _text_key(text) == F.col("e_u"), "left")
+    none = F.struct(*[F.lit(0.0).alias(e) for e in _EVIDENCE])
+    return joined.select(*[rows[c] for c in rows.columns], F.coalesce("e_found", none).alias(name))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = BROADCAST_GRAMS) -> Model:
+    """A model of the labelled rows outside fold 0. The curve is fitted on fold 1 by the counts of folds 2 to 4; then fold 1 is counted too.
 
     Rows with a null label are no labels; of rows that repeat an id, all count. Without usable rows of both classes
-    the model says 0.5 for every text.
+    the model says 0.5 for every text. ``bound`` is the number of n-grams and contexts that may be broadcast.
     """
-    spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1)")
     known = known.where(fold("l_id") != 0)
     marked = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     marked = marked.where(fold("id") != 0)
-    n_known, n_curve = known.agg(F.count("*"), F.count(F.when(fold("l_id") == 1, 1))).first()
+    n_known, n_curve, n_toxic = known.agg(F.count("*"), F.count(F.when(fold("l_id") == 1, 1)), F.sum("toxic")).first()
     side = F.broadcast(known) if n_known <= BROADCAST_LABELS else known
     rows = marked.join(side, marked["id"] == side["l_id"]).select("id", "text", "toxic")
-    counted = rows.where(fold("id") != 1).select("text", "toxic").mapInPandas(_count_grams, "k int, context int, gram int, lower_context int, lower int, n0 bigint, n1 bigint")
-    keys = ["k", "context", "gram", "lower_context", "lower"]
-    counted = counted.groupBy(*keys).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    top = F.col("k") == ORDER - 1
-    names = ["own0", "own1", "total0", "total1", "kinds0", "kinds1", "shared", "shared_total", "shared_kinds"]
-
-    def kind(name: str, k: Column, cell: str, n: Column) -> Column:
-        return F.struct(F.lit(names.index(name)).alias("name"), k.cast("int").alias("k"), F.col(cell).alias("cell"), n.cast("bigint").alias("n"))
-
-    none = F.array().cast("array<struct<name:int,k:int,cell:int,n:bigint>>")
-    sums = [kind(f"{name}{c}", F.lit(0), cell, n) for c in (0, 1) for name, cell, n in (
-        ("own", "gram", F.col(f"n{c}")), ("total", "context", F.col(f"n{c}")), ("kinds", "context", F.col(f"n{c}") > 0))]
-    shared = [kind("shared", F.col("k") - 1, "lower", F.lit(1)), kind("shared_total", F.col("k") - 1, "lower_context", F.lit(1))]
-    each = counted.select(F.explode(F.concat(
-        F.when(top, F.array(*sums)).otherwise(none), F.when(F.col("k") > 0, F.array(*shared)).otherwise(none),
-        F.when(~top, F.array(kind("shared_kinds", F.col("k"), "context", F.lit(1)))).otherwise(none),
-    )).alias("s")).select("s.*")
-    # At most a row for each cell and table.
-    summed = each.groupBy("name", "k", "cell").agg(F.sum("n").cast("float").alias("n")).where("n > 0").toArrow()
-    tables = {name: np.zeros(CELLS if i < 6 else (ORDER - 1, CELLS), dtype=np.float32) for i, name in enumerate(names)}
-    for batch in summed.to_batches():
-        which, ks, cells, ns = (batch.column(c).to_numpy() for c in ("name", "k", "cell", "n"))
-        for i in np.unique(which):
-            own, t = which == i, tables[names[i]]
-            t[cells[own] if t.ndim == 1 else (ks[own], cells[own])] = ns[own]
-    del summed
-    if not tables["own0"].any() or not tables["own1"].any():
-        return spark.sparkContext.broadcast((tables, (0.0, 0.0, 0.0)))
-    first = spark.sparkContext.broadcast((tables, (0.0, 1.0, 1.0)))
+    counted = rows.select("text", "toxic", (fold("id") == 1).alias("curve")).mapInPandas(_count_words, "word string, " + ", ".join(f"{c} bigint" for c in _COUNTS))
+    words = settle(counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in _COUNTS]), "words")
+    table = ratio_table(words)
+    seen = words.agg(*[F.sum(c).alias(c) for c in _COUNTS]).first()
+    if not n_toxic or n_toxic == n_known or not seen["all0"] or not seen["all1"]:
+        return Model(table.limit(0), _collected(table.limit(0), "all"))
+    small = table.count() <= bound
+    shared = _collected(table, "fit") if small else None
     share = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1e6 * min(1, CURVE_ROWS / max(n_curve, 1)))
-    curve = rows.where((fold("id") == 1) & share).select("toxic", _evidence(first, F.col("text")).alias("e")).select("toxic", "e.*").toPandas()
-    fitted = _fit_curve(curve[["mean", "peak"]].to_numpy(), curve["toxic"].to_numpy().astype(float))
-    first.unpersist()
-    return spark.sparkContext.broadcast((tables, fitted))
+    some = rows.where((fold("id") == 1) & share).select("text", "toxic")
+    curve = _with_evidence(some, table, shared, "fit", "text", "e").select("toxic", "e.*").toPandas()
+    fitted = _fit_curve(curve[_EVIDENCE].to_numpy(), curve["toxic"].to_numpy().astype(float))
+    if shared is not None:
+        shared.destroy()
+    return Model(table, _collected(table, "all") if small else None, fitted)
 
 
-def score(docs: DataFrame, model, text_col: str = "text", name: str = "score") -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with a toxicity score from 0 to 1; null and empty texts get the score of no evidence."""
-
-    @F.pandas_udf("double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, float] = {}
-        own = Model(*model.value)
-        for texts in batches:
-            parts = [own.evidence(texts[i : i + 256], known) for i in range(0, len(texts), 256)]
-            yield pd.Series(own.scores(np.concatenate(parts)) if parts else np.zeros(0))
-
-    return docs.withColumn(name, of(text_of(text_col)))
+    columns = [c for c in docs.columns if c != name]
+    work = "evidence"
+    while work in docs.columns:
+        work = "_" + work
+    found = _with_evidence(docs, model.table, model.shared, "all", text_col, work)
+    start, *weights = model.curve
+    line = F.lit(start)
+    for w, e in zip(weights, _EVIDENCE, strict=True):
+        line = line + F.lit(w) * F.col(work)[e]
+    line = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), line))
+    return found.select(*columns, (1 / (1 + F.exp(-line))).alias(name))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
