@@ -183,6 +183,10 @@ _PHI = (22, 31, 20, 29, 14, 8, 26, 25, 24, 27, 21, 3, 5, 18, 10, 19, 2, 15, 30,
 #: Members of a wide bucket that one task compares at once; its keys are short, so buckets are larger.
 WIDE_CHUNK = 8192
 _ROWS_AT_ONCE = 128
+#: Members of a bucket up to which it is compared together with others.
+_SMALL = 64
+#: Of the wide tables, every so many serve for the first forest.
+_FIRST_STEP = 8
 
 
 def wide_masks() -> list[int]:
@@ -224,80 +228,82 @@ def _sketched(n_words: int):
 
 def _wide_pairs(radius: int, whole: bool, threshold: float):
     """Streams rows (bucket, i, j, node, fp, n, sketch, root) sorted by bucket. Pairs of nodes that are within radius and
-    that neither size nor sketch rules out: a forest of each bucket's, or if whole all those whose roots differ. Holds
-    one bucket's two chunks at a time."""
+    that neither size nor sketch rules out: all those whose roots differ if whole, else one for each node that has any.
+    Holds one bucket's two chunks at a time; small buckets are compared many at once."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     # Of sets with Jaccard similarity t, at most (1 - t) / (1 + t) of both sizes together are in one set only.
     apart = (1 - threshold) / (1 + threshold) + 1e-9
 
     def likely(own: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Which of the pairs of places (x, y) can have the wanted similarity."""
+        """Which of the pairs of places (x, y) can have the wanted similarity, and two roots if whole."""
         n = own["n"]
         out = np.abs(n[x] - n[y]) <= apart * (n[x] + n[y])
+        if whole:
+            out &= own["root"][x] != own["root"][y]
         at = np.flatnonzero(out)
         differ = np.bitwise_count(own["sketch"][x[at]] ^ own["sketch"][y[at]]).sum(axis=1)
         out[at] = differ <= apart * (n[x[at]] + n[y[at]])
         return out
 
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count((a ^ b).view(np.uint64)) <= radius
+
     def pairs(own: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        nodes, fps, roots = own["node"], own["fp"], own["root"]
-        linked = np.zeros(len(fps), dtype=bool)
-        for at in range(0, len(fps), _ROWS_AT_ONCE):
-            near = np.bitwise_count((fps[at : at + _ROWS_AT_ONCE, None] ^ fps[None, at + 1 :]).view(np.uint64)) <= radius
-            x, y = np.nonzero(near)
-            x, y = x + at, y + at + 1
-            if whole:
-                x, y = (v[(x < y) & (roots[x] != roots[y])] for v in (x, y))
-                good = likely(own, x, y)
-                yield nodes[x[good]], nodes[y[good]]
-            else:
-                x, y = (v[x < y] for v in (x, y))
-                good = likely(own, x, y)
-                linked[x[good]] = linked[y[good]] = True
-        rest = np.flatnonzero(linked)
-        while len(rest) > 1:
-            queue, rest = [rest[0]], rest[1:]
-            while queue and len(rest):
-                x = queue.pop()
-                near = np.bitwise_count((fps[rest] ^ fps[x]).view(np.uint64)) <= radius
-                at = np.flatnonzero(near)
-                near[at] = likely(own, np.full(len(at), x), rest[at])
-                found, rest = rest[near], rest[~near]
-                queue.extend(found)
-                yield np.full(len(found), nodes[x]), nodes[found]
+        """Places of pairs, of rows that are whole buckets."""
+        keys, fps = own["keys"], own["fp"]
+        starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+        sizes = np.diff(np.append(starts, len(fps)))
+        left = np.repeat(starts + sizes, sizes) - np.arange(len(fps)) - 1  # rows of the bucket after each
+        small = np.repeat(sizes <= _SMALL, sizes)
+        for step in range(1, min(int(sizes.max()), _SMALL)):
+            x = np.flatnonzero(small & (left >= step))
+            x = x[near(fps[x], fps[x + step])]
+            yield x, x + step
+        for lo, size in zip(starts[sizes > _SMALL], sizes[sizes > _SMALL], strict=True):
+            for at in range(lo, lo + size, _ROWS_AT_ONCE):
+                block = np.arange(at, min(at + _ROWS_AT_ONCE, lo + size))
+                x, y = np.nonzero(near(fps[block, None], fps[None, at + 1 : lo + size]))
+                x, y = x + at, y + at + 1
+                yield x[x < y], y[x < y]
+
+    def found(own: dict) -> Iterator[pa.RecordBatch]:
+        linked = np.zeros(len(own["fp"]), dtype=bool)
+        for x, y in pairs(own):
+            good = likely(own, x, y)
+            x, y = x[good], y[good]
+            if not whole:
+                y, first = np.unique(y, return_index=True)
+                x, y = x[first][~linked[y]], y[~linked[y]]
+                linked[y] = True
+            if len(x):
+                a, b = own["node"][x], own["node"][y]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_key, kept = None, []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            own = {name: np.concatenate([k[name] for k in kept]) for name in kept[0]} if kept else {"node": ()}
-            if len(own["node"]) > 1:
-                for x, y in pairs(own):
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
-
+        held: list[dict] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, col = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]), {}
-            for i, name in ((3, "node"), (4, "fp"), (5, "n"), (7, "root")):
-                col[name] = batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)
+            col = {name: batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i, name in ((3, "node"), (4, "fp"), (5, "n"), (7, "root"))}
+            col["keys"] = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
             col["sketch"] = np.frombuffer(b"".join(batch.column(6).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1)
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                key = tuple(keys[:, lo])
-                if key != kept_key:
-                    yield from close()
-                    kept_key, kept = key, []
-                kept.append({name: c[lo:hi] for name, c in col.items()})
-        yield from close()
+            same = (col["keys"] == col["keys"][-1]).all(axis=1)
+            last = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
+            if last or held and (held[-1]["keys"][-1] != col["keys"][0]).any():
+                held.append({name: c[:last] for name, c in col.items()})
+                yield from found({name: np.concatenate([h[name] for h in held]) for name in col})
+                held = []
+            held.append({name: c[last:] for name, c in col.items()})
+        if held:
+            yield from found({name: np.concatenate([h[name] for h in held]) for name in held[0]})
 
     return run
 
 
 def _wide_candidates(nodes: DataFrame, whole: bool, chunk: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) of rows (node, fp, n, sketch, root) within WIDE_RADIUS: a forest of each bucket's, or all with two roots."""
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(wide_masks())])
+    """Pairs (a, b) of rows (node, fp, n, sketch, root) within WIDE_RADIUS: some from every so many tables, or all with two roots."""
+    tables = list(enumerate(wide_masks()))[:: 1 if whole else _FIRST_STEP]
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in tables])
     member = ["node", "fp", "n", "sketch", "root"]
     # Keys have 16 bits at most, so there are never more large buckets than a broadcast can hold.
     large = nodes.select(F.explode(keys).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("held")).where(F.col("held") > chunk)
@@ -335,8 +341,8 @@ def verified_links(docs: DataFrame, text_col: str = "text", n_words: int = 5, th
 
     Near copies are texts whose fingerprints on n_words words are within WIDE_RADIUS and whose shingle sets have
     Jaccard similarity of threshold or more. Sizes and parity sketches rule most other pairs out where they meet, and
-    no true ones. A forest of each bucket's candidates is verified first, which joins groups of near copies by as many
-    pairs as they have members; then all candidates that it left apart are.
+    no true ones. One candidate for each text, from some of the tables, is verified first, which joins groups of near
+    copies by as many pairs as they have members; then all candidates of all tables that it left apart are.
     """
     texts = docs.select(F.xxhash64(text_of(text_col)).alias("node"), text_of(text_col).alias("text"))
     sketched = texts.select("node", _sketched(n_words)(F.col("text")).alias("s")).select("node", "s.*")
