@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -125,3 +127,63 @@ def project_to_segment(px: Column, py: Column, x1: Column, y1: Column, x2: Colum
     share = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - x1) * dx + (py - y1) * dy) / size))).otherwise(0.0)
     x, y = x1 + share * dx, y1 + share * dy
     return {"share": share, "x": x, "y": y, "distance": F.sqrt((px - x) * (px - x) + (py - y) * (py - y))}
+
+
+def project_to_line(px: Column, py: Column, line: Column) -> Column:
+    """Struct (distance, seg_no, x, y, offset): the nearest point of a line, of the first segment that is as near.
+
+    Null for a line without segments.
+    """
+
+    def on(s: Column) -> Column:
+        p = project_to_segment(px, py, *[s[c] for c in ("x1", "y1", "x2", "y2")])
+        size = F.sqrt(F.pow(s["x2"] - s["x1"], F.lit(2)) + F.pow(s["y2"] - s["y1"], F.lit(2)))
+        found = [p["distance"].alias("distance"), p["x"].alias("x"), p["y"].alias("y"), (s["cum"] + p["share"] * size).alias("offset")]
+        return F.struct(F.round(p["distance"], 9).alias("near"), s["seg_no"].alias("seg_no"), *found)
+
+    return F.array_min(F.transform(segments(line), on))
+
+
+def bearing_at(line: Column, offset: Column, window: float = 5.0) -> Column:
+    """Direction of a line around an offset, from so far before it to so far after it; the whole line's where it is too short."""
+    size = line_length(line)
+    lo, hi = F.greatest(offset - window, F.lit(0.0)), F.least(offset + window, size)
+    a, b = interpolate(line, lo), interpolate(line, hi)
+    local = F.atan2(b["y"] - a["y"], b["x"] - a["x"])
+    return F.when(size <= 0, 0.0).when(F.abs(hi - lo) < 1e-6, line_bearing(line)).otherwise(local)
+
+
+def geometry_type(text: Column) -> Column:
+    """LineString or MultiLineString as a text says, null for anything else."""
+    name = F.upper(F.regexp_extract(text, r"(?i)^\s*((?:MULTI)?LINESTRING)\s*Z?\s*\(", 1))
+    return F.when(name == "LINESTRING", "LineString").when(name == "MULTILINESTRING", "MultiLineString")
+
+
+def simplify(line: Column, tolerance: float) -> Column:
+    """The line without vertices that lie within the tolerance of what is left (Douglas and Peucker); ends always stay."""
+
+    @F.pandas_udf(f"array<{POINT}>")
+    def of(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda v: None if v is None else [v[i] for i in _kept_vertices(np.array([(p["x"], p["y"]) for p in v], dtype=float), tolerance)])
+
+    return of(line)
+
+
+def _kept_vertices(xy: np.ndarray, tolerance: float) -> list[int]:
+    if len(xy) < 3:
+        return list(range(len(xy)))
+    keep, todo = {0, len(xy) - 1}, [(0, len(xy) - 1)]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < 2:
+            continue
+        d = xy[hi] - xy[lo]
+        rest = xy[lo + 1 : hi] - xy[lo]
+        share = np.clip(rest @ d / max(d @ d, 1e-300), 0, 1)
+        far = np.hypot(*(rest - share[:, None] * d).T)
+        worst = int(far.argmax())
+        if far[worst] > tolerance:
+            at = lo + 1 + worst
+            keep.add(at)
+            todo += [(lo, at), (at, hi)]
+    return sorted(keep)

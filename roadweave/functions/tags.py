@@ -14,6 +14,12 @@ DRIVEABLE = (
     "tertiary", "tertiary_link", "unclassified", "residential", "living_street", "service", "road",
 )
 
+# Road classes in the order of their ids; the last also stands for all others.
+CLASS_ORDER = (
+    "motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link",
+    "tertiary", "tertiary_link", "unclassified", "residential", "service", "living_street", "road", "unknown",
+)
+
 
 def first_value(text: Column, default: str = "unknown") -> Column:
     """What stands before the first semicolon; a null or empty text gives the default."""
@@ -41,10 +47,27 @@ def first_number(text: Column, default: float | None = None) -> Column:
     return F.coalesce(found, F.lit(default).cast("double"))
 
 
-def speed_mps(text: Column, default: float = 13.89) -> Column:
-    """A speed limit in metres a second: miles an hour if it says so, else kilometres an hour."""
-    number = first_number(text)
-    return F.coalesce(F.when(F.lower(text).contains("mph"), number * 0.44704).otherwise(number / 3.6), F.lit(default))
+def first_token_number(text: Column) -> Column:
+    """The first of a text's tokens (between blanks, commas and semicolons) that is a number as a whole; null if none is."""
+    found = F.filter(F.transform(F.split(text, r"[\s,;]+"), lambda x: x.try_cast("double")), lambda x: x.isNotNull())
+    return F.get(found, F.lit(0))
+
+
+def speed_mps(value: Column, default: float = 13.89, numeric: bool = False) -> Column:
+    """A speed limit in metres a second.
+
+    A text is miles an hour if it says so, else kilometres an hour; a numeric column is kilometres an hour above 5 and
+    metres a second up to there. What has no number gives the default.
+    """
+    if numeric:
+        return F.coalesce(F.when(value > 5, value / 3.6).otherwise(value.cast("double")), F.lit(default))
+    number = first_token_number(F.lower(value))
+    return F.coalesce(F.when(F.lower(value).contains("mph"), number * 0.44704).otherwise(number / 3.6), F.lit(default))
+
+
+def edge_name(number: Column) -> Column:
+    """The name of an edge by its number: e_ and nine digits."""
+    return F.concat(F.lit("e_"), F.lpad(number.cast("string"), 9, "0"))
 
 
 def threshold_name(value: float) -> str:

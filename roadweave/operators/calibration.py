@@ -43,17 +43,27 @@ def quantile_bins(rows: DataFrame, value: str = "confidence", bins: int = 10) ->
     return out.select("bin", lo[F.col("bin")].alias("lo"), hi[F.col("bin")].alias("hi"), "count", "mean_value", "accuracy")
 
 
-def threshold_coverage(rows: DataFrame, value: str = "confidence", targets: tuple[float, ...] = (0.6, 0.7, 0.8, 0.9), higher: bool = True, digits: int = 2) -> DataFrame:
-    """For each target precision the threshold that keeps most rows while their accuracy reaches it.
+def threshold_coverage(rows: DataFrame, value: str = "confidence", targets: tuple[float, ...] = (0.6, 0.7, 0.8, 0.9), higher: bool = True, most: int = 200) -> DataFrame:
+    """For each target precision the threshold that keeps most rows while their accuracy reaches it, the lower one of equals.
 
-    Thresholds are the distinct values rounded to some digits, so their number is bounded and the running totals over
-    them are small; targets that nothing reaches have no row.
+    Thresholds are the distinct values, or where there are more than ``most`` as many evenly spaced quantiles; so their
+    number is bounded, and every row counts for the nearest threshold that keeps it. Values and thresholds are rounded
+    to nine digits. Targets that nothing reaches have no row.
     """
-    clean = _clean(rows, value).withColumn("th", F.round("v", digits))
-    own = clean.groupBy("th").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
+    clean = _clean(rows, value).withColumn("v", F.round("v", 9))
+    if clean.select("v").distinct().limit(most + 1).count() <= most:
+        shares = clean.agg(F.sort_array(F.collect_set("v")).alias("th"))  # at most so many values
+    else:
+        shares = clean.agg(F.percentile("v", F.array(*[F.lit(i / (most - 1)) for i in range(most)])).alias("th"))
+    listed = shares.select(F.array_distinct(F.transform("th", lambda x: F.round(x, 9))).alias("ths"))
+    placed = clean.crossJoin(F.broadcast(listed))  # a single row
+    kept_by = F.filter("ths", lambda x: x <= F.col("v") if higher else x >= F.col("v"))
+    own = placed.select((F.array_max(kept_by) if higher else F.array_min(kept_by)).alias("th"), "hit").groupBy("th").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
+    every = listed.select(F.explode("ths").alias("th")).join(own, "th", "left").na.fill(0, ["n", "hits"])
     w = Window.orderBy(F.col("th").desc() if higher else F.col("th").asc()).rowsBetween(Window.unboundedPreceding, 0)
-    running = own.select("th", F.sum("n").over(w).alias("kept"), F.sum("hits").over(w).alias("good"), F.sum("n").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"))
+    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    running = every.select("th", F.sum("n").over(w).alias("kept"), F.sum("hits").over(w).alias("good"), F.sum("n").over(whole).alias("all")).where("kept > 0")
     each = running.withColumn("target_precision", F.explode(F.array(*[F.lit(float(t)) for t in targets])))
     fit = each.where(F.col("good") / F.col("kept") >= F.col("target_precision"))
-    best = fit.groupBy("target_precision").agg(F.max_by(F.struct("th", "kept", "good", "all"), "kept").alias("b"))
+    best = fit.groupBy("target_precision").agg(F.min_by(F.struct("th", "kept", "good", "all"), F.struct(-F.col("kept"), F.col("th"))).alias("b"))
     return best.select("target_precision", F.col("b.th").alias("threshold"), (F.col("b.good") / F.col("b.kept")).alias("precision"), (F.col("b.kept") / F.col("b.all")).alias("coverage"), F.col("b.kept").alias("kept_points"))

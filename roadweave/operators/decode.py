@@ -1,7 +1,8 @@
 """Scores of the hidden Markov model and the sequences they favour.
 
-Scores are column expressions over candidate and pair rows. A trajectory's lattice is then collected into arrays, as
-long as the trajectory, and folded in one pass: all trajectories at once, each on its own.
+Scores are column expressions over candidate and pair rows. A trajectory's lattice is collected into blocks of steps.
+A block maps what is known of the states before it to what is known at its end; only these small maps of a trajectory's
+blocks meet in one task, which tells each block its borders, and then every block is decoded on its own.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ class Params:
     rank_weight: float = 1.2
     speed_consistency_weight: float = 0.15
     oneway_weight: float = 0.05
+    road_class_prior_weight: float = 0.15
     candidate_density_weight: float = 0.10
     yaw_reliability_weight: float = 0.35
     adaptive_sigma: bool = True
@@ -84,14 +86,43 @@ def emission_scores(features: DataFrame, p: Params = Params(), k: int = 10) -> D
     d = _at_least_0("distance_norm")
     near = -0.5 * F.pow(d / F.col("sigma"), F.lit(2)) - F.log("sigma") if p.adaptive_sigma else -d
     heading = (p.yaw_reliability_weight + (1 - p.yaw_reliability_weight) * _unit(F.col("yaw_reliability"))) * (0.25 + 0.75 * _unit(F.col("speed_norm")))
+    prior = F.coalesce(F.col("road_class_prior"), F.lit(0.0)) if "road_class_prior" in features.columns else F.lit(0.0)
     score = (
         p.distance_weight * near - p.log_distance_weight * _at_least_0("log_distance_norm") - p.yaw_weight * _at_least_0("abs_yaw_diff_norm") * heading
         - p.rank_weight * _at_least_0("candidate_rank_norm") - p.speed_consistency_weight * _at_least_0("speed_consistency")
-        + p.oneway_weight * _at_least_0("oneway") - p.candidate_density_weight * (F.col("n_candidates") / k)
+        + p.oneway_weight * _at_least_0("oneway") + p.road_class_prior_weight * prior - p.candidate_density_weight * (F.col("n_candidates") / k)
     )
     return out.withColumn("emission", p.emission_scale * score)
 
 
+def basic_emission_scores(features: DataFrame, p: Params = Params(), bias: float = 0.0) -> DataFrame:
+    """Adds emission by the basic form: linear in the distance, without spread, density and speed."""
+    heading = _at_least_0("abs_yaw_diff_norm") * (p.yaw_reliability_weight + (1 - p.yaw_reliability_weight) * _unit(F.col("yaw_reliability")))
+    score = (
+        bias - p.distance_weight * _at_least_0("distance_norm") - p.log_distance_weight * _at_least_0("log_distance_norm") - p.yaw_weight * heading
+        - p.rank_weight * _at_least_0("candidate_rank_norm") - p.speed_consistency_weight * _at_least_0("speed_consistency") + p.oneway_weight * _at_least_0("oneway")
+    )
+    return features.withColumn("emission", p.emission_scale * score)
+
+
+def constrained(raw: DataFrame, scores: str = "score", penalty: str | None = None, dt_s: str | None = None, jumps: bool = False, legal: bool = True, max_route_m: float = 300.0, max_speed_mps: float = 70.0) -> DataFrame:
+    """Adds mask and constrained: a pair's score plus its penalty where the pair may be, else the masked score.
+
+    A pair may be if it is connected (unless jumps are allowed) and legal, if its route is short enough and, where the
+    time is known, can be driven in it. raw has is_connected, is_legal and projection_distance_m.
+    """
+    route, mask = F.col("projection_distance_m"), F.lit(True)
+    if not jumps:
+        mask = mask & (F.col("is_connected") > 0.5)
+    if legal:
+        mask = mask & (F.col("is_legal") > 0.5)
+    mask = mask & (route <= max_route_m)
+    if dt_s:
+        mask = mask & (route <= F.greatest(F.col(dt_s), F.lit(0.0)) * max_speed_mps)
+    score = F.col(scores) + F.col(penalty) if penalty else F.col(scores)
+    return raw.withColumn("mask", mask).withColumn("constrained", F.when(mask, score).otherwise(MASKED))
+
+
 def transition_scores(features: DataFrame, p: Params = Params(), mode: str = "soft") -> DataFrame:
     """Adds transition: how well two candidates follow each other; features must have allowed.
 
@@ -117,7 +148,7 @@ def transition_scores(features: DataFrame, p: Params = Params(), mode: str = "so
     return features.withColumn("transition", score)
 
 
-def best_path(e: np.ndarray, a: np.ndarray, beam: int | None = None) -> tuple[list[int], np.ndarray]:
+def best_path(e: np.ndarray, a: np.ndarray, beam: int | None = None, digits: int | None = None) -> tuple[list[int], np.ndarray]:
     """The sequence of states with the greatest sum, lowest state first on ties, and the scores step by step.
 
     e is [steps, states], a [steps - 1, states, states]. With a beam, all but the best so many states of a step are
@@ -125,30 +156,45 @@ def best_path(e: np.ndarray, a: np.ndarray, beam: int | None = None) -> tuple[li
     """
     if not len(e):
         return [], np.zeros((0, 0))
-    now, kept, back = e[0].copy(), [e[0].copy()], []
-
-    def narrowed(v: np.ndarray) -> np.ndarray:
-        if beam and 0 < beam < len(v):
-            v = v.copy()
-            v[np.argsort(-v, kind="stable")[beam:]] = MASKED
-        return v
-
-    now = narrowed(now)
-    for t in range(1, len(e)):
-        all_ = now[:, None] + a[t - 1]
-        back.append(all_.argmax(axis=0))
-        now = e[t] + all_.max(axis=0)
-        kept.append(now.copy())
-        now = narrowed(now)
-    path = [int(now.argmax())]
-    for b in reversed(back):
+    kept, back = forward_scores(e[0], e[1:], a, beam, digits)
+    path = traced(back, int(narrowed(kept[-1], beam).argmax()))
+    return path, kept
+
+
+def narrowed(v: np.ndarray, beam: int | None) -> np.ndarray:
+    """Scores with all but the best so many masked."""
+    if beam and 0 < beam < len(v):
+        v = v.copy()
+        v[np.argsort(-v, kind="stable")[beam:]] = MASKED
+    return v
+
+
+def forward_scores(first: np.ndarray, e: np.ndarray, a: np.ndarray, beam: int | None = None, digits: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Best sums to every state from the given ones on, [steps + 1, states], and the state before each, [steps, states].
+
+    With digits every sum is rounded, so that ties don't hang on the order of additions.
+    """
+    kept, back = np.empty((len(e) + 1, len(first))), np.empty((len(e), len(first)), dtype=np.int64)
+    kept[0] = first
+    rounded = (lambda x: np.round(x, digits)) if digits is not None else (lambda x: x)
+    for t in range(len(e)):
+        sums = rounded(narrowed(kept[t], beam)[:, None] + a[t])
+        back[t] = sums.argmax(axis=0)
+        kept[t + 1] = rounded(e[t] + sums.max(axis=0))
+    return kept, back
+
+
+def traced(back: np.ndarray, last: int) -> list[int]:
+    """The states that lead to the last one."""
+    path = [last]
+    for b in back[::-1]:
         path.append(int(b[path[-1]]))
-    return path[::-1], np.stack(kept)
+    return path[::-1]
 
 
-def lagged_path(e: np.ndarray, a: np.ndarray, lag: int, beam: int | None = None) -> tuple[list[int], np.ndarray]:
+def lagged_path(e: np.ndarray, a: np.ndarray, lag: int, beam: int | None = None, digits: int | None = None) -> tuple[list[int], np.ndarray]:
     """For every step the last state of the best path over the last lag steps: what is known while a trajectory goes on."""
-    found = [best_path(e[max(0, t - lag + 1) : t + 1], a[max(0, t - lag + 1) : t], beam) for t in range(len(e))]
+    found = [best_path(e[max(0, t - lag + 1) : t + 1], a[max(0, t - lag + 1) : t], beam, digits) for t in range(len(e))]
     return [p[-1] for p, _ in found], np.stack([s[-1] for _, s in found]) if found else np.zeros((0, 0))
 
 
@@ -159,76 +205,69 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 def posteriors(e: np.ndarray, a: np.ndarray) -> np.ndarray:
     """Probability of every state at every step, given the whole sequence."""
-    ahead, behind = e.astype(float).copy(), np.zeros_like(e, dtype=float)
-    for t in range(1, len(e)):
-        ahead[t] = e[t] + _log_sum(ahead[t - 1][:, None] + a[t - 1], 0)
-    for t in range(len(e) - 2, -1, -1):
-        behind[t] = _log_sum(a[t] + e[t + 1][None, :] + behind[t + 1][None, :], 1)
+    return between_borders(e[0], e[1:], a, np.zeros(e.shape[1]))
+
+
+def between_borders(first: np.ndarray, e: np.ndarray, a: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Probabilities of the states from the log sums up to the first step and after the last one."""
+    ahead, behind = np.empty((len(e) + 1, len(first))), np.empty((len(e) + 1, len(first)))
+    ahead[0], behind[-1] = first, last
+    for t in range(len(e)):
+        ahead[t + 1] = e[t] + _log_sum(ahead[t][:, None] + a[t], 0)
+    for t in range(len(e) - 1, -1, -1):
+        behind[t] = _log_sum(a[t] + (e[t] + behind[t + 1])[None, :], 1)
     both = ahead + behind
     p = np.exp(both - both.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
 
-def collect_lattice(emissions: DataFrame, transitions: DataFrame, *extra: str) -> DataFrame:
-    """One row a trajectory: steps as an array, in order, of (t, ranks' emissions, flat transitions from the step before)."""
-    w = Window.partitionBy("trajectory_id", *extra).orderBy("t")
+def transfer(e: np.ndarray, a: np.ndarray, log: bool, digits: int | None = None) -> np.ndarray:
+    """[states, states]: the best sum (or the log sum) over all ways from a state before the steps to one at their end."""
+    m = None
+    for t in range(len(e)):
+        step = a[t] + e[t][None, :]
+        if m is None:
+            m = step
+        else:
+            sums = m[:, :, None] + step[None, :, :]
+            m = _log_sum(sums, 1) if log else sums.max(axis=1)
+        if digits is not None:
+            m = np.round(m, digits)
+    return m
+
+
+#: Steps of a trajectory that one task holds at once.
+BLOCK = 2000
+
+
+def collect_lattice(emissions: DataFrame, transitions: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows (trajectory_id, block, steps): a trajectory's steps in order, in blocks, as arrays of (step, t, ranks'
+    emissions, flat transitions from the step before, size of the step before).
+
+    A long trajectory has many rows, so that none grows with it; the first step of a block has the transitions from
+    the last one of the block before.
+    """
+    w = Window.partitionBy("trajectory_id").orderBy("t")
     stepped = emissions.withColumn("step", (F.dense_rank().over(w) - 1).cast("bigint"))
-    key = ["trajectory_id", *extra, "step"]
+    key = ["trajectory_id", "step"]
     e = stepped.groupBy(*key).agg(F.min("t").alias("t"), F.array_sort(F.collect_list(F.struct("candidate_rank", "emission"))).alias("e"))
     a = transitions.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("prev_rank", "curr_rank", "transition"))).alias("a"))
     both = e.join(a, key, "left")
     step = F.struct("step", "t", F.transform("e", lambda s: s["emission"]).alias("e"), F.transform("a", lambda s: s["transition"]).alias("a"))
-    return both.groupBy("trajectory_id", *extra).agg(F.array_sort(F.collect_list(step)).alias("steps"))
-
+    blocked = both.withColumn("block", F.floor(F.col("step") / block))
+    return blocked.groupBy("trajectory_id", "block").agg(F.array_sort(F.collect_list(step)).alias("steps"))
 
-def viterbi_fold(lattice: DataFrame, *extra: str) -> DataFrame:
-    """Best paths as one aggregate expression: rows (trajectory_id, t, candidate_rank, path_score, total_score).
 
-    Ranks of a step count from 0 without gaps. Rounded to nine digits on the way, so that ties go to the lower rank.
-    """
-    n = lambda s: F.size(s["e"])
-    start = F.struct(F.col("steps")[0]["e"].alias("dp"), F.array().cast("array<struct<dp:array<double>,back:array<int>>>").alias("kept"))
-
-    def given(value: Column, then) -> Column:
-        """then(value), with the value worked out once however often then uses it."""
-        return F.transform(F.array(value), then)[0]
-
-    def forward(acc: Column, s: Column) -> Column:
-        sums = lambda c: F.transform(acc["dp"], lambda d, p: F.round(d + F.coalesce(s["a"][(p * n(s) + c).cast("int")], F.lit(MASKED)), 9))
-        best = lambda c: given(sums(c), lambda x: given(F.array_max(x), lambda m: F.struct(m.alias("m"), (F.array_position(x, m) - 1).cast("int").alias("from"))))
-        scored = F.transform(F.sequence(F.lit(0), n(s) - 1), best)
-
-        def joined(b: Column) -> Column:
-            back = F.transform(b, lambda x: x["from"])
-            dp = F.zip_with(b, s["e"], lambda x, e: F.round(x["m"] + e, 9))
-            return given(dp, lambda d: F.struct(d.alias("dp"), F.concat(acc["kept"], F.array(F.struct(d.alias("dp"), back.alias("back")))).alias("kept")))
-
-        return given(scored, joined)
-
-    rest = F.slice("steps", F.lit(2), F.greatest(F.size("steps") - 1, F.lit(0)))
-    folded = lattice.withColumn("f", F.aggregate(rest, start, forward))
-    last = (F.array_position(F.col("f.dp"), F.array_max(F.col("f.dp"))) - 1).cast("int")
-    traced = folded.withColumn("path", F.aggregate(F.reverse(F.col("f.kept")), F.array(last), lambda acc, b: F.concat(F.array(b["back"][acc[0]]), acc)))
-    # Every step carries its own scores only, so that a long trajectory doesn't repeat all of them in each row.
-    scores = F.concat(F.array(F.col("steps")[0]["e"]), F.transform(F.col("f.kept"), lambda b: b["dp"]))
-    zipped = traced.withColumn("scores", scores).select("trajectory_id", *extra, F.array_max(F.col("f.dp")).alias("total_score"), F.arrays_zip("steps", "path", "scores").alias("z"))
-    rows = zipped.select("trajectory_id", *extra, "total_score", F.posexplode_outer("z").alias("step", "z"))
-    return rows.select(
-        "trajectory_id", *extra, F.col("z.steps.t").alias("t"), F.col("step").cast("bigint").alias("step"), F.col("z.path").cast("bigint").alias("candidate_rank"),
-        F.col("z.scores")[F.col("z.path")].alias("path_score"), "total_score",
-    )
-
-
-def _arrays(steps: list, offroad: tuple[float, float, float, float] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Padded [steps, states] and [steps - 1, states, states] of a trajectory, and the steps' own state numbers."""
-    sizes = np.array([len(s["e"]) for s in steps])
-    k = int(sizes.max())
+def _arrays(steps: list, k: int, offroad: tuple[float, float, float, float] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Padded [steps, states] and [steps, states, states] of a block; the very first step has no transitions into it."""
     e = np.full((len(steps), k), MASKED)
-    a = np.full((max(len(steps) - 1, 0), k, k), MASKED)
+    a = np.full((len(steps), k, k), MASKED)
     for i, s in enumerate(steps):
-        e[i, : sizes[i]] = s["e"]
-        if i and s["a"] is not None:
-            a[i - 1, : sizes[i - 1], : sizes[i]] = np.asarray(s["a"], dtype=float).reshape(sizes[i - 1], sizes[i])
+        n = len(s["e"])
+        e[i, :n] = s["e"]
+        if s["a"] is not None and len(s["a"]):
+            flat = np.asarray(s["a"], dtype=float)
+            a[i, : len(flat) // n, :n] = flat.reshape(-1, n)
     if offroad:
         emission, enter, leave, stay = offroad
         e = np.concatenate([e, np.full((len(e), 1), emission)], axis=1)
@@ -237,43 +276,157 @@ def _arrays(steps: list, offroad: tuple[float, float, float, float] | None) -> t
         wide[:, k, :k] = -leave
         wide[:, k, k] = stay
         a = wide
-    return e, a, sizes
+    return e, a
 
 
-_DECODED = "trajectory_id bigint, t bigint, step bigint, candidate_rank bigint, confidence double, entropy double, margin double, emission double, path_score double, offroad int"
+_DIGITS = 9
+_BORDERS = "trajectory_id bigint, block bigint, before array<double>, exit bigint, log_before array<double>, log_after array<double>, total double"
 
 
-def decode(lattice: DataFrame, mode: str = "offline", confidence: str = "posterior", lag: int = 10, beam: int | None = None, temperature: float = 1.0, offroad: Params | None = None) -> DataFrame:
-    """Paths with confidences: offline or fixed_lag; confidence from posteriors, or a softmax of the path scores.
+def _transfers(k: int, extra: tuple | None, log: bool):
+    """Each block to its maps from the states before it to those at its end; a first block to the scores at its end."""
 
-    margin is the chosen path score less the best other. With offroad parameters every step has one more state; the
-    rows that choose it have candidate_rank -1.
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for tid, no, steps in zip(part["trajectory_id"], part["block"], part["steps"], strict=True):
+                e, a = _arrays(steps, k, extra)
+                e, a = np.round(e, _DIGITS), np.round(a, _DIGITS)
+                if no == 0:
+                    best = forward_scores(e[0], e[1:], a[1:], None, _DIGITS)[0][-1]
+                    logs = e[0]
+                    for t in range(1, len(e) if log else 1):
+                        logs = e[t] + _log_sum(logs[:, None] + a[t], 0)
+                    # What the steps after the first add to each of its states, for the backward pass.
+                    rows.append((tid, no, best, logs if log else best[:0]))
+                else:
+                    rows.append((tid, no, transfer(e, a, False, _DIGITS).ravel(), transfer(e, a, True).ravel() if log else np.zeros(0)))
+            yield pd.DataFrame(rows, columns=["trajectory_id", "block", "best", "logs"])
+
+    return run
+
+
+def _scanned(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The maps of a trajectory's blocks, in order, to what is known at the borders of each: sums before it, state at its
+    end on the best path, log sums before and after it."""
+    for part in parts:
+        for tid, blocks in zip(part["trajectory_id"], part["b"], strict=True):
+            k = len(blocks[0]["best"])
+            before, back, logs = [None], [], [None]
+            now, log_now = np.asarray(blocks[0]["best"]), np.asarray(blocks[0]["logs"])
+            for x in blocks[1:]:
+                m = np.round(now[:, None] + np.asarray(x["best"]).reshape(k, k), _DIGITS)
+                before.append(now)
+                logs.append(log_now)
+                back.append(m.argmax(axis=0))
+                now = m.max(axis=0)
+                if len(log_now):
+                    log_now = _log_sum(log_now[:, None] + np.asarray(x["logs"]).reshape(k, k), 0)
+            exits = traced(np.array(back).reshape(-1, k), int(now.argmax()))
+            after = [np.zeros(k)]
+            for x in reversed(blocks[1:]):
+                after.append(_log_sum(np.asarray(x["logs"]).reshape(k, k) + after[-1][None, :], 1) if len(log_now) else after[-1])
+            yield pd.DataFrame({
+                "trajectory_id": tid, "block": [x["block"] for x in blocks], "before": before, "exit": exits, "log_before": logs, "log_after": after[::-1], "total": float(now.max()),
+            })
+
+
+def _with_borders(lattice: DataFrame, extra: tuple | None, k: int, log: bool) -> DataFrame:
+    """Blocks with what is known at their borders; only the maps of a trajectory's blocks meet in one task."""
+    maps = lattice.select("trajectory_id", "block", "steps").mapInPandas(_transfers(k, extra, log), "trajectory_id bigint, block bigint, best array<double>, logs array<double>")
+    chained = maps.groupBy("trajectory_id").agg(F.array_sort(F.collect_list(F.struct("block", "best", "logs"))).alias("b"))
+    return lattice.join(chained.mapInPandas(_scanned, _BORDERS), ["trajectory_id", "block"])
+
+
+def viterbi(lattice: DataFrame, k: int = 10) -> DataFrame:
+    """Best paths: rows (trajectory_id, t, step, candidate_rank, path_score, total_score).
+
+    Ranks of a step count from 0 without gaps and are fewer than k. Scores are rounded to nine digits and their sums
+    too, so that ties go to the lower rank. Blocks are decoded each on their own, between the borders that the maps
+    of all blocks give.
     """
-    extra = (offroad.offroad_emission, offroad.offroad_enter, offroad.offroad_exit, offroad.offroad_stay) if offroad else None
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for tid, steps in zip(part["trajectory_id"], part["steps"], strict=True):
-                e, a, _ = _arrays(steps, extra)
-                path, scores = lagged_path(e, a, lag, beam) if mode == "fixed_lag" else best_path(e, a, beam)
-                if confidence == "posterior" and mode == "offline":
-                    p = posteriors(e, a)
+            for tid, steps, before, end, total in zip(part["trajectory_id"], part["steps"], part["before"], part["exit"], part["total"], strict=True):
+                e, a = _arrays(steps, k, None)
+                e, a = np.round(e, _DIGITS), np.round(a, _DIGITS)
+                if before is None:
+                    kept, back = forward_scores(e[0], e[1:], a[1:], None, _DIGITS)
+                    path = traced(back, end)
                 else:
-                    z = scores / max(temperature, 1e-6)
-                    p = np.exp(z - z.max(axis=1, keepdims=True))
-                    p /= p.sum(axis=1, keepdims=True)
+                    kept, back = forward_scores(np.asarray(before), e, a, None, _DIGITS)
+                    path, kept = traced(back, end)[1:], kept[1:]
                 at = np.arange(len(path))
-                chosen = np.array(path)
-                others = scores.copy()
-                others[at, chosen] = MASKED
-                off = chosen == e.shape[1] - 1 if extra else np.zeros(len(path), dtype=bool)
-                yield pd.DataFrame({
-                    "trajectory_id": tid, "t": [s["t"] for s in steps], "step": at, "candidate_rank": np.where(off, -1, chosen), "confidence": p[at, chosen],
-                    "entropy": -(p * np.log(np.maximum(p, 1e-12))).sum(axis=1), "margin": scores[at, chosen] - others.max(axis=1), "emission": e[at, chosen],
-                    "path_score": scores[at, chosen], "offroad": off.astype(int),
-                })
-
-    return lattice.select("trajectory_id", "steps").mapInPandas(run, _DECODED)
+                yield pd.DataFrame({"trajectory_id": tid, "t": [s["t"] for s in steps], "step": [s["step"] for s in steps], "candidate_rank": path, "path_score": kept[at, path], "total_score": total})
+
+    return _with_borders(lattice, None, k, False).mapInPandas(run, "trajectory_id bigint, t bigint, step bigint, candidate_rank bigint, path_score double, total_score double")
+
+
+_DECODED = "trajectory_id bigint, t bigint, step bigint, candidate_rank bigint, confidence double, entropy double, margin double, emission double, path_score double, offroad int"
+
+
+def decode(lattice: DataFrame, mode: str = "offline", confidence: str = "posterior", lag: int = 10, beam: int | None = None, temperature: float = 1.0, offroad: Params | None = None, k: int = 10) -> DataFrame:
+    """Paths with confidences: offline or fixed_lag; confidence from posteriors, or a softmax of the path scores.
+
+    margin is the chosen path score less the best other. With offroad parameters every step has one more state; the
+    rows that choose it have candidate_rank -1. Offline paths without a beam are decoded in blocks. A fixed lag looks
+    back over the steps of its own block and so many before it. With a beam, what a step keeps hangs on all steps
+    before it: such trajectories are decoded as a whole.
+    """
+    extra = (offroad.offroad_emission, offroad.offroad_enter, offroad.offroad_exit, offroad.offroad_stay) if offroad else None
+    soft = confidence == "posterior" and mode == "offline"
+
+    def rows(tid: int, steps: list, e: np.ndarray, path: list[int], scores: np.ndarray, p: np.ndarray | None) -> pd.DataFrame:
+        if p is None:
+            z = scores / max(temperature, 1e-6)
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+        at, chosen, others = np.arange(len(path)), np.array(path, dtype=np.int64), scores.copy()
+        others[at, chosen] = MASKED
+        off = chosen == e.shape[1] - 1 if extra else np.zeros(len(path), dtype=bool)
+        return pd.DataFrame({
+            "trajectory_id": tid, "t": [s["t"] for s in steps], "step": [s["step"] for s in steps], "candidate_rank": np.where(off, -1, chosen), "confidence": p[at, chosen],
+            "entropy": -(p * np.log(np.maximum(p, 1e-12))).sum(axis=1), "margin": scores[at, chosen] - others.max(axis=1), "emission": e[at, chosen],
+            "path_score": scores[at, chosen], "offroad": off.astype(int),
+        })
+
+    def in_blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for r in part.itertuples():
+                e, a = _arrays(r.steps, k, extra)
+                e, a = np.round(e, _DIGITS), np.round(a, _DIGITS)
+                first = r.before is None
+                start, rest, moves = (e[0], e[1:], a[1:]) if first else (np.asarray(r.before), e, a)
+                scores, back = forward_scores(start, rest, moves, None, _DIGITS)
+                path = traced(back, r.exit)
+                p = between_borders(e[0] if first else np.asarray(r.log_before), rest, moves, np.asarray(r.log_after)) if soft else None
+                cut = 0 if first else 1
+                yield rows(r.trajectory_id, r.steps, e, path[cut:], scores[cut:], None if p is None else p[cut:])
+
+    def whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for r in part.itertuples():
+                ahead = list(r.ahead) if r.ahead is not None else []
+                steps = ahead + list(r.steps)
+                e, a = _arrays(steps, k, extra)
+                e, a = np.round(e, _DIGITS), np.round(a, _DIGITS)
+                path, scores = lagged_path(e, a[1:], lag, beam, _DIGITS) if mode == "fixed_lag" else best_path(e, a[1:], beam, _DIGITS)
+                p = posteriors(e, a[1:]) if soft else None
+                n = len(ahead)
+                yield rows(r.trajectory_id, list(r.steps), e[n:], path[n:], scores[n:], None if p is None else p[n:])
+
+    if mode == "offline" and not beam:
+        return _with_borders(lattice.select("trajectory_id", "block", "steps"), extra, k, soft).mapInPandas(in_blocks, _DECODED)
+    if mode == "fixed_lag":  # a block with the last steps of the one before it
+        w = Window.partitionBy("trajectory_id").orderBy("block")
+        tail = F.lag(F.slice("steps", F.greatest(F.size("steps") - (lag - 2), F.lit(1)), F.lit(lag - 1))).over(w) if lag > 1 else F.slice("steps", 1, 0)
+        rows_ = lattice.select("trajectory_id", "block", "steps", tail.alias("ahead"))
+    else:
+        joined = lattice.groupBy("trajectory_id").agg(F.array_sort(F.collect_list(F.struct("block", "steps"))).alias("b"))
+        steps_ = F.flatten(F.transform("b", lambda x: x["steps"]))
+        rows_ = joined.select("trajectory_id", steps_.alias("steps")).withColumn("ahead", F.slice("steps", 1, 0))
+    return rows_.mapInPandas(whole, _DECODED)
 
 
 def softmax_confidence(emissions: DataFrame) -> DataFrame:

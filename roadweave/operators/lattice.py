@@ -90,14 +90,65 @@ def mask_density(features: DataFrame, k: int = 10) -> DataFrame:
     return own.agg(F.count("*").alias("trajectories"), F.avg(F.col("n") / (F.col("steps") * k * k)).alias("mask_density"))
 
 
-def negatives(candidates: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
-    """Up to n candidates of every labelled point that aren't its own edge, drawn by a seeded hash."""
-    draw = F.xxhash64(F.lit(seed), "trajectory_id", "t", "edge_idx")
-    w = Window.partitionBy("trajectory_id", "t").orderBy(draw, "edge_idx")
+def negatives(candidates: DataFrame, n: int = 5, seed: int = 42, hard: bool = False) -> DataFrame:
+    """Up to n candidates of every labelled point that aren't its own edge: drawn by a seeded hash, or the best ranked if hard."""
+    draw = F.md5(F.concat_ws(":", *[x.cast("string") for x in (F.lit(seed), F.col("trajectory_id"), F.col("t"), F.col("edge_idx"))]))
+    w = Window.partitionBy("trajectory_id", "t").orderBy(F.col("candidate_rank") if hard else draw, "edge_idx")
     others = candidates.where("gt_edge_idx >= 0 AND edge_idx <> gt_edge_idx")
     return others.withColumn("slot", F.row_number().over(w) - 1).where(F.col("slot") < n)
 
 
+def padded_negatives(candidates: DataFrame, n: int = 5, seed: int = 42, hard: bool = False) -> DataFrame:
+    """negatives as one array of candidate ranks for each labelled point, -1 in the slots that are left over."""
+    drawn = negatives(candidates, n, seed, hard).groupBy("trajectory_id", "t").agg(F.array_sort(F.collect_list(F.struct("slot", "candidate_rank"))).alias("s"))
+    points = candidates.where("gt_edge_idx >= 0").select("trajectory_id", "t").distinct().join(drawn, ["trajectory_id", "t"], "left")
+    ranks = F.coalesce(F.transform("s", lambda x: x["candidate_rank"].cast("bigint")), F.array().cast("array<bigint>"))
+    return points.select("trajectory_id", "t", F.slice(F.concat(ranks, F.array_repeat(F.lit(-1).cast("bigint"), n)), 1, n).alias("negatives"))
+
+
+def hints(candidates: DataFrame, transitions: DataFrame, k: int = 10, cap_m: float = 50.0) -> DataFrame:
+    """What the truth says of every candidate: whether it is the true one, how far its rank and its place are from it,
+    whether it is on the same edge, and whether it may follow the true candidate before and lead to the true one after.
+
+    Candidates have gt_edge_idx and the true place (gt_x, gt_y); points without a true candidate have rank distance 1.
+    """
+    stepped = steps(candidates)
+    own = F.min(F.when(F.col("edge_idx") == F.col("gt_edge_idx"), F.col("candidate_rank"))).over(Window.partitionBy("trajectory_id", "t"))
+    ranked = stepped.withColumn("gt_rank", own)
+    true = ranked.where("candidate_rank = gt_rank").select("trajectory_id", F.col("step").alias("_step"), F.col("edge_idx").alias("_edge"))
+    pairs_ = transitions.select(F.col("prev_edge_idx").alias("_p"), F.col("curr_edge_idx").alias("_c"), F.lit(1.0).alias("_ok")).distinct()
+    for name, shift in (("before", 1), ("after", -1)):
+        side = true.select("trajectory_id", (F.col("_step") + shift).alias("step"), F.col("_edge").alias(f"_{name}"))
+        ranked = ranked.join(side, ["trajectory_id", "step"], "left")
+        p, c = (f"_{name}", "edge_idx") if shift == 1 else ("edge_idx", f"_{name}")
+        legal = pairs_.withColumnsRenamed({"_p": f"_p{name}", "_c": f"_c{name}", "_ok": f"_ok{name}"})
+        ranked = ranked.join(legal, (F.col(p) == legal[f"_p{name}"]) & (F.col(c) == legal[f"_c{name}"]), "left")
+    reach = lambda name: F.when(F.col(f"_{name}").isNull() | (F.col(f"_{name}") == F.col("edge_idx")), 1.0).otherwise(F.coalesce(f"_ok{name}", F.lit(0.0)))
+    far = F.least(distance(F.col("proj_x"), F.col("proj_y"), F.col("gt_x"), F.col("gt_y")), F.lit(cap_m)) / cap_m
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    return ranked.select(
+        "trajectory_id", "t", "candidate_rank", flag(F.col("candidate_rank") == F.col("gt_rank")).alias("is_true"),
+        F.coalesce(F.abs(F.col("candidate_rank") - F.col("gt_rank")) / max(k - 1, 1), F.lit(1.0)).alias("rank_distance"),
+        flag(F.col("gt_rank").isNotNull() & (F.col("edge_idx") == F.col("gt_edge_idx"))).alias("same_edge"), reach("before").alias("from_previous"), reach("after").alias("to_next"),
+        F.coalesce(far, F.lit(0.0)).alias("place_distance"), F.lit(1.0).alias("valid"),
+    )
+
+
+def observations(features: DataFrame, names: tuple[str, ...], k: int = 10) -> DataFrame:
+    """One vector for each step: its candidates' features in order of rank, padded to k, the mask of slots, and the share of the way.
+
+    The previous choice is the caller's to append, as it isn't known before a policy has run.
+    """
+    by = features.groupBy("trajectory_id", "t").agg(F.array_sort(F.collect_list(F.struct("candidate_rank", F.array(*[F.col(n).cast("double") for n in names]).alias("f")))).alias("c"))
+    w = Window.partitionBy("trajectory_id")
+    step, last = F.row_number().over(w.orderBy("t")) - 1, F.count("*").over(w) - 1
+    many = F.least(F.size("c"), F.lit(k))
+    flat = F.flatten(F.transform(F.slice("c", F.lit(1), many), lambda x: x["f"]))
+    pad = lambda n: F.array_repeat(F.lit(0.0), n)
+    mask = F.concat(F.array_repeat(F.lit(1.0), many), pad(k - many))
+    return by.select("trajectory_id", "t", F.concat(flat, pad((k - many) * len(names)), mask, F.array(step / F.greatest(last, F.lit(1)))).alias("observation"))
+
+
 def raw_transition_features(candidates: DataFrame, transitions: DataFrame | None = None) -> DataFrame:
     """Thirteen unscaled features of every pair of candidates of consecutive steps, as the library variant has them.
 

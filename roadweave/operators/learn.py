@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .decode import Params, best_path, collect_lattice, emission_scores, transition_scores
+from .decode import Params, collect_lattice, emission_scores, transition_scores, viterbi
 
 
 def step_rewards(steps: DataFrame, correct: float = 1.0, legal: float = 0.2, error_weight: float = 0.02, error_cap: float = 25.0, invalid: float = -2.0) -> DataFrame:
@@ -34,17 +34,73 @@ def terminal_rewards(steps: DataFrame, success_at: float = 0.9, bonus: float = 2
     return steps.groupBy("trajectory_id").agg((acc + F.when(acc >= success_at, bonus).otherwise(0.0) - illegal * bad).alias("terminal_reward"))
 
 
-def advantages(steps: DataFrame, gamma: float = 0.99, lam: float = 0.95) -> DataFrame:
-    """Adds advantage and target by a backward pass over each trajectory's (t, reward, value)."""
-    rows = steps.groupBy("trajectory_id").agg(F.array_sort(F.collect_list(F.struct("t", "reward", "value"))).alias("s"))
-    start = F.struct(F.lit(0.0).alias("adv"), F.lit(0.0).alias("next"), F.array().cast("array<struct<t:bigint,value:double,adv:double>>").alias("out"))
+def advantages(steps: DataFrame, gamma: float = 0.99, lam: float = 0.95, block: int = 4096) -> DataFrame:
+    """Adds advantage and target to (trajectory_id, t, reward, value) by the backward recursion over each trajectory.
 
-    def back(acc: Column, s: Column) -> Column:
-        adv = s["reward"] + gamma * acc["next"] - s["value"] + gamma * lam * acc["adv"]
-        return F.struct(adv.alias("adv"), s["value"].alias("next"), F.concat(acc["out"], F.array(F.struct(s["t"].alias("t"), s["value"].alias("value"), adv.alias("adv")))).alias("out"))
+    A step maps the advantage after it to its own by an affine map with slope gamma * lam, and so does a block of
+    steps. Blocks are mapped each in a task of its own, joined over the few blocks of a trajectory, and then worked
+    out from the advantage that follows each: no task holds a long trajectory whole.
+    """
+    w = Window.partitionBy("trajectory_id").orderBy("t")
+    after = F.coalesce(F.lead("value").over(w), F.lit(0.0))
+    rows = steps.withColumn("_delta", F.col("reward") + gamma * after - F.col("value"))
+    rows = rows.withColumn("_block", F.floor((F.row_number().over(w) - 1) / block))
+    own = rows.groupBy("trajectory_id", "_block").agg(F.array_sort(F.collect_list(F.struct("t", "_delta", "value"))).alias("s"))
+    decay = gamma * lam
+    backward = lambda start, s: F.aggregate(F.reverse(s), start, lambda acc, x: x["_delta"] + decay * acc)
+    mapped = own.select("trajectory_id", "_block", F.size("s").alias("n"), backward(F.lit(0.0), F.col("s")).alias("own"))
+    chain = mapped.groupBy("trajectory_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("_block", "n", "own")))).alias("b"))
+
+    def entering(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for tid, blocks in zip(part["trajectory_id"], part["b"], strict=True):
+                at, out = 0.0, []
+                for x in blocks:
+                    out.append((tid, x["_block"], at))
+                    at = x["own"] + decay ** x["n"] * at
+                yield pd.DataFrame(out, columns=["trajectory_id", "_block", "_after"])
+
+    def worked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for tid, s, at in zip(part["trajectory_id"], part["s"], part["_after"], strict=True):
+                adv = np.empty(len(s))
+                for i in range(len(s) - 1, -1, -1):
+                    at = s[i]["_delta"] + decay * at
+                    adv[i] = at
+                yield pd.DataFrame({"trajectory_id": tid, "t": [x["t"] for x in s], "advantage": adv, "target": adv + np.array([x["value"] for x in s])})
+
+    begun = own.join(chain.mapInPandas(entering, "trajectory_id bigint, _block bigint, _after double"), ["trajectory_id", "_block"])
+    return begun.mapInPandas(worked, "trajectory_id bigint, t bigint, advantage double, target double")
+
+
+def standardised(rows: DataFrame, column: str = "advantage") -> DataFrame:
+    """rows with the column less its mean, over its population deviation and 1e-8; as it is where that deviation is nearly 0."""
+    about = rows.agg(F.avg(column).alias("_m"), F.stddev_pop(column).alias("_s"))
+    wide = rows.crossJoin(F.broadcast(about))  # a single row
+    return wide.withColumn(column, F.when(F.col("_s") > 1e-8, (F.col(column) - F.col("_m")) / (F.col("_s") + 1e-8)).otherwise(F.col(column))).drop("_m", "_s")
+
+
+def emission_losses(scored: DataFrame, score: str = "score", smoothing: float = 0.0, margin: float = 1.0) -> DataFrame:
+    """One row for each point whose own edge is a candidate: cross-entropy, hinge against the hardest other, and whether it is first.
+
+    Rows have trajectory_id, t, is_gt and the score. With smoothing, that share of the target is spread over all of the
+    point's candidates. A point with one candidate has no other and hinge 0.
+    """
+    s, own = F.col(score), F.col("is_gt") == 1
+    top = F.max(score).over(Window.partitionBy("trajectory_id", "t"))
+    shifted = scored.withColumn("_top", top)
+    by = shifted.groupBy("trajectory_id", "t").agg(
+        (F.log(F.sum(F.exp(s - F.col("_top")))) + F.first("_top")).alias("z"), F.max(F.when(own, s)).alias("gt"), F.max(F.when(~own, s)).alias("hard"), F.avg(s).alias("mean"),
+    ).where("gt IS NOT NULL")
+    target = (1 - smoothing) * F.col("gt") + smoothing * F.col("mean")
+    hinge = F.coalesce(F.greatest(margin - (F.col("gt") - F.col("hard")), F.lit(0.0)), F.lit(0.0))
+    return by.select("trajectory_id", "t", (F.col("z") - target).alias("cross_entropy"), hinge.alias("hinge"), F.coalesce(F.col("gt") >= F.col("hard"), F.lit(True)).cast("int").alias("correct"))
 
-    folded = rows.select("trajectory_id", F.explode_outer(F.aggregate(F.reverse("s"), start, back)["out"]).alias("o"))
-    return folded.select("trajectory_id", "o.t", F.col("o.adv").alias("advantage"), (F.col("o.adv") + F.col("o.value")).alias("target"))
+
+def running_mean(values: DataFrame, value: str, weight: str, *keys: str) -> DataFrame:
+    """The weighted mean of a value by keys; weights that add up to less than 1 count as 1."""
+    total = F.sum(F.col(value) * F.col(weight))
+    return values.groupBy(*keys).agg((total / F.greatest(F.sum(weight), F.lit(1.0))).alias("mean"), F.sum(weight).alias("weight"))
 
 
 def grid(space: dict[str, list[float]]) -> list[dict[str, float]]:
@@ -55,28 +111,26 @@ def grid(space: dict[str, list[float]]) -> list[dict[str, float]]:
 def grid_search(emission_features: DataFrame, transition_features: DataFrame, truth: DataFrame, space: dict[str, list[float]], base: Params = Params(), k: int = 10) -> DataFrame:
     """Point accuracy of every combination of parameters: (trial, parameters, points, accuracy).
 
-    The lattices of all trials are decoded in one job, one row for each trial and trajectory. truth has gt_rank.
+    The features are read once: every trial's scores are columns beside the others', and all lattices are decoded in
+    one job, a trial and a trajectory making a sequence of their own. truth has gt_rank.
     """
-    decoded = []
-    for i, values in enumerate(grid(space)):
+    trials = grid(space)
+    names = ["; ".join(f"{n}={v:g}" for n, v in values.items()) for values in trials]
+    numbered = lambda columns: F.posexplode(F.array(*columns))
+    e, a = emission_features, transition_features
+    for i, values in enumerate(trials):
         p = replace(base, **values)
-        lattice = collect_lattice(emission_scores(emission_features, p, k), transition_scores(transition_features, p))
-        decoded.append(lattice.withColumn("trial", F.lit(i)).withColumn("parameters", F.lit(", ".join(f"{n}={v:g}" for n, v in values.items()))))
-    every = decoded[0]
-    for d in decoded[1:]:
-        every = every.unionByName(d)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from .decode import _arrays
-
-        for part in parts:
-            for tid, trial, parameters, steps in zip(part["trajectory_id"], part["trial"], part["parameters"], part["steps"], strict=True):
-                e, a, _ = _arrays(steps, None)
-                yield pd.DataFrame({"trajectory_id": tid, "trial": trial, "parameters": parameters, "t": [s["t"] for s in steps], "rank": best_path(e, a)[0]})
-
-    paths = every.mapInPandas(run, "trajectory_id bigint, trial int, parameters string, t bigint, rank bigint")
+        e = emission_scores(e, p, k).withColumnRenamed("emission", f"_e{i}").drop("sigma", "n_candidates")
+        a = transition_scores(a, p).withColumnRenamed("transition", f"_a{i}")
+    own = (F.col("trajectory_id") * len(trials) + F.col("trial")).alias("trajectory_id")
+    e = e.select("trajectory_id", "t", "candidate_rank", numbered([F.col(f"_e{i}") for i in range(len(trials))]).alias("trial", "emission"))
+    a = a.select("trajectory_id", "step", "prev_rank", "curr_rank", numbered([F.col(f"_a{i}") for i in range(len(trials))]).alias("trial", "transition"))
+    lattice = collect_lattice(e.select(own, "t", "candidate_rank", "emission"), a.select(own, "step", "prev_rank", "curr_rank", "transition"))
+    trial = F.pmod("trajectory_id", F.lit(len(trials))).cast("int")
+    paths = viterbi(lattice, k).select(((F.col("trajectory_id") - trial) / len(trials)).cast("bigint").alias("trajectory_id"), trial.alias("trial"), "t", F.col("candidate_rank").alias("rank"))
     scored = paths.join(truth.select("trajectory_id", "t", "gt_rank"), ["trajectory_id", "t"]).where("gt_rank >= 0")
-    return scored.groupBy("trial", "parameters").agg(F.count("*").alias("points"), F.avg((F.col("rank") == F.col("gt_rank")).cast("double")).alias("accuracy"))
+    found = scored.groupBy("trial").agg(F.count("*").alias("points"), F.avg((F.col("rank") == F.col("gt_rank")).cast("double")).alias("accuracy"))
+    return found.withColumn("parameters", F.array(*[F.lit(n) for n in names])[F.col("trial")])
 
 
 def best_trial(trials: DataFrame) -> DataFrame:

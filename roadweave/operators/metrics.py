@@ -14,11 +14,23 @@ from ..functions.tags import threshold_name
 
 # Names that a column may have in tables of other origin, the first present counting.
 ALIASES = {
-    "trajectory_id": ("trajectory_id", "traj_id", "track_id", "id"), "t": ("t", "timestep", "step", "point_idx"),
-    "pred_edge_idx": ("pred_edge_idx", "pred_edge", "edge_idx"), "gt_edge_idx": ("gt_edge_idx", "gt_edge", "true_edge_idx"),
-    "confidence": ("confidence", "conf", "probability"),
+    "trajectory_id": ("trajectory_id", "traj_id", "track_id", "id"),
+    "t": ("t", "step", "point_idx", "idx", "time_idx"),
+    "pred_edge_idx": ("pred_edge_idx", "pred_edge_id", "matched_edge_idx", "matched_edge_id"),
+    "gt_edge_idx": ("gt_edge_idx", "gt_edge_id", "true_edge_idx", "true_edge_id"),
+    "gt_candidate_pos": ("gt_candidate_pos", "gt_action", "target", "gt_candidate"),
+    "pred_route_wkt": ("pred_route_wkt", "pred_geometry_wkt", "matched_route_wkt"),
+    "gt_route_wkt": ("gt_route_wkt", "gt_geometry_wkt", "true_route_wkt"),
+    "pred_proj_x": ("pred_proj_x", "matched_x", "proj_x", "x_pred", "pred_x"),
+    "pred_proj_y": ("pred_proj_y", "matched_y", "proj_y", "y_pred", "pred_y"),
+    "gt_proj_x": ("gt_proj_x", "true_proj_x", "gt_x", "x_gt"),
+    "gt_proj_y": ("gt_proj_y", "true_proj_y", "gt_y", "y_gt"),
 }
 
+# Names of an edge's number and of its id in candidate tables, the first present counting.
+EDGE_NUMBERS = ("edge_idx", "segment_idx", "road_segment_idx")
+EDGE_NAMES = ("edge_id", "osm_edge_id", "segment_id")
+
 
 def require(df: DataFrame, *columns: str) -> DataFrame:
     """df, or an error that names the missing columns in order."""
@@ -39,6 +51,33 @@ def canonical(df: DataFrame, aliases: dict[str, tuple[str, ...]] = ALIASES) -> D
     return df
 
 
+def canonical_candidates(df: DataFrame) -> DataFrame:
+    """A candidate table with edge_idx, edge_id, candidate_rank, is_gt and the sines and cosines of its angles, filled in where absent.
+
+    Ranks follow the distance where there is one, then edge_idx; edge ids are the numbers as texts; is_gt is false.
+    """
+    require(df, "trajectory_id", "t")
+    if "edge_idx" not in df.columns:
+        found = next((c for c in EDGE_NUMBERS if c in df.columns), None)
+        if found is None:
+            raise ValueError("missing columns: edge_idx")
+        df = df.withColumn("edge_idx", F.col(found))
+    df = df.withColumns({c: F.col(c).cast("bigint") for c in ("trajectory_id", "t", "edge_idx")})
+    added = {}
+    if "edge_id" not in df.columns:
+        named = next((c for c in EDGE_NAMES if c in df.columns), None)
+        added["edge_id"] = F.col(named) if named else F.col("edge_idx").cast("string")
+    if "candidate_rank" not in df.columns:
+        order = [F.col(c) for c in ("distance_m", "edge_idx") if c in df.columns]
+        added["candidate_rank"] = F.row_number().over(Window.partitionBy("trajectory_id", "t").orderBy(*order)) - 1
+    if "is_gt" not in df.columns:
+        added["is_gt"] = F.lit(False)
+    for angle, name in (("yaw", "yaw"), ("segment_bearing_rad", "segment_bearing")):
+        if angle in df.columns:
+            added |= {f"{f}_{name}": g(F.col(angle).cast("double")) for f, g in (("sin", F.sin), ("cos", F.cos)) if f"{f}_{name}" not in df.columns}
+    return df.withColumns(added) if added else df
+
+
 def join_truth(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """Predictions with the truth of the same trajectory and t (or timestamp); columns of truth that clash end in _gt."""
     keys = next((k for k in (["trajectory_id", "t"], ["trajectory_id", "timestamp"]) if set(k) <= set(pred.columns) & set(truth.columns)), None)

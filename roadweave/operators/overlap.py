@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.angles import distance
+from ..functions.geometry import parse_lines, segments
 
 _ENDS = ("x1", "y1", "x2", "y2")
 
@@ -30,6 +31,34 @@ def route_from_edges(matches: DataFrame, edges: DataFrame, edge: str, *keys: str
     return used.join(edges.select("edge_idx", *_ENDS), "edge_idx").select(*keys, F.col("edge_idx").alias("seg_no"), *_ENDS, distance(*[F.col(c) for c in _ENDS]).alias("length_m"))
 
 
+def route_from_texts(matches: DataFrame, text: str, *keys: str) -> DataFrame:
+    """Segments of the distinct line texts of each trajectory; texts that aren't lines are left out, shared segments count once."""
+    lines = matches.select(*keys, F.col(text).alias("_text")).where("_text IS NOT NULL").distinct()
+    parts = lines.select(*keys, F.explode(parse_lines(F.col("_text"))).alias("_line"))
+    found = parts.select(*keys, F.explode(segments(F.col("_line"))).alias("s")).select(*keys, *[F.col(f"s.{c}").alias(c) for c in _ENDS])
+    forward = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") <= F.col("y2")))
+    turned = found.select(*keys, *[F.when(forward, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))]).distinct()
+    whole = turned.withColumn("length_m", distance(*[F.col(c) for c in _ENDS])).where("length_m > 0")
+    return whole.withColumn("seg_no", F.row_number().over(Window.partitionBy(*keys).orderBy(*_ENDS)))
+
+
+def route_by_source(matches: DataFrame, edges: DataFrame | None, text: str | None, edge: str | None, x: str, y: str, *keys: str, points: bool = True) -> DataFrame:
+    """Segments of each trajectory's route with their source: its line texts (wkt), else its edges (edge_geometry), else,
+    if allowed, its points (projected_points). Trajectories without any have no rows and count as missing."""
+    found = None
+    columns = [*keys, "seg_no", *_ENDS, "length_m"]
+    sources = [("wkt", lambda: route_from_texts(matches, text, *keys)) if text else None, ("edge_geometry", lambda: route_from_edges(matches, edges, edge, *keys)) if edges is not None and edge else None,
+               ("projected_points", lambda: route_from_points(matches, x, y, *keys)) if points else None]
+    for source in sources:
+        if source is None:
+            continue
+        own = source[1]().where("length_m > 0").select(*columns).withColumn("source", F.lit(source[0]))
+        found = own if found is None else found.unionByName(own.join(found.select(*keys).distinct(), list(keys), "left_anti"))
+    if found is None:
+        raise ValueError("no source of routes is given")
+    return found
+
+
 def _intervals(pairs: DataFrame, r: float) -> DataFrame:
     """Adds s and e, as shares of segment 1-2: from and to of what lies within r of segment q; null where nothing does.
 

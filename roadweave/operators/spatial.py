@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.angles import between
-from ..functions.geometry import project_to_segment
+from ..functions.geometry import project_to_line
 
 
 def box_join(points: DataFrame, boxes: DataFrame, radius: float, cell: float = 100.0) -> DataFrame:
@@ -26,53 +26,70 @@ def box_join(points: DataFrame, boxes: DataFrame, radius: float, cell: float = 1
 
 
 def with_boxes(edges: DataFrame) -> DataFrame:
-    """Adds the bounding box of straight edges (x1, y1, x2, y2)."""
+    """Adds the bounding box of edges: of the column line where there is one, else of x1, y1, x2, y2."""
+    if "line" in edges.columns:
+        of = lambda end, axis: end(F.transform("line", lambda p: p[axis]))
+        return edges.withColumns({f"{name}_{axis}": of(end, axis) for name, end in (("min", F.array_min), ("max", F.array_max)) for axis in ("x", "y")})
     return edges.withColumns({"min_x": F.least("x1", "x2"), "max_x": F.greatest("x1", "x2"), "min_y": F.least("y1", "y2"), "max_y": F.greatest("y1", "y2")})
 
 
+def _nearest(edges: DataFrame) -> Column:
+    """Struct (near, seg_no, distance, x, y, offset) of a point (x, y) on an edge, be it a line or straight."""
+    straight = F.array(*[F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (1, 2)])
+    return project_to_line(F.col("x"), F.col("y"), F.col("line") if "line" in edges.columns else straight)
+
+
 def probe(points: DataFrame, edges: DataFrame, radius: float, key: list[str], cell: float = 100.0, strict: bool = False) -> DataFrame:
     """box_join with the radius, and for points without a hit once more with twice the radius."""
     edges = with_boxes(edges)
     near = box_join(points, edges, radius, cell)
     missed = points.join(near.select(*key).distinct(), key, "left_anti")
     found = near.unionByName(box_join(missed, edges, 2 * radius, cell))
-    if strict:
-        p = project_to_segment(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])
-        found = found.where(p["distance"] <= radius)
-    return found
+    return found.where(_nearest(edges)["distance"] <= radius) if strict else found
 
 
 def candidates(points: DataFrame, edges: DataFrame, radius: float = 50.0, k: int = 10, cell: float = 100.0, strict: bool = False) -> DataFrame:
     """The k nearest edges of every point, ranked by distance, then heading, then edge_idx.
 
-    Points have trajectory_id, t, x, y, yaw, speed_mps; edges edge_idx, x1, y1, x2, y2, length_m, bearing_rad,
-    maxspeed (km/h). The radius is that of a box; strict=True also asks for the distance. Points without any edge in
+    Points have trajectory_id, t, x, y, yaw, speed_mps; edges edge_idx, line (or x1, y1, x2, y2 of straight ones),
+    length_m, bearing_rad, maxspeed (km/h). The radius is that of a box; strict=True also asks for the distance. Points without any edge in
     the doubled box have no rows.
     """
     hits = probe(points, edges, radius, ["trajectory_id", "t"], cell, strict)
-    p = project_to_segment(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])
+    p = F.col("_p")
     limit = F.coalesce(F.col("maxspeed"), F.lit(50.0)) / 3.6
-    measured = hits.withColumns({
-        "distance_m": p["distance"], "proj_x": p["x"], "proj_y": p["y"], "offset_m": p["share"] * F.col("length_m"), "offset_ratio": p["share"],
+    measured = hits.withColumn("_p", _nearest(edges)).withColumns({
+        "distance_m": p["distance"], "proj_x": p["x"], "proj_y": p["y"], "offset_m": p["offset"], "offset_ratio": p["offset"] / F.greatest("length_m", F.lit(1e-9)),
         "yaw_diff_rad": between(F.col("yaw"), F.col("bearing_rad")), "speed_consistency": F.abs(F.col("speed_mps") - limit) / F.greatest(limit, F.lit(1.0)),
     })
     # Rounded, so that ties don't hang on the last bit of the arithmetic.
     order = Window.partitionBy("trajectory_id", "t").orderBy(F.round("distance_m", 9), F.round("yaw_diff_rad", 9), "edge_idx")
     ranked = measured.withColumn("candidate_rank", (F.row_number().over(order) - 1).cast("bigint"))
-    return ranked.where(F.col("candidate_rank") < k).drop("min_x", "max_x", "min_y", "max_y")
+    return ranked.where(F.col("candidate_rank") < k).drop("_p", "min_x", "max_x", "min_y", "max_y")
 
 
 def nearest_edge(points: DataFrame, edges: DataFrame, radius: float = 30.0, cell: float = 100.0) -> DataFrame:
     """The nearest edge of every point within the box (or the doubled one): gt_edge_idx and gt_edge_dist_m, null where none is."""
     hits = probe(points, edges, radius, ["trajectory_id", "t"], cell)
-    p = project_to_segment(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])
-    best = hits.withColumn("d", p["distance"]).groupBy("trajectory_id", "t").agg(
+    best = hits.withColumn("d", _nearest(edges)["distance"]).groupBy("trajectory_id", "t").agg(
         F.min_by(F.struct("edge_idx", "d"), F.struct(F.round("d", 9), F.col("edge_idx"))).alias("best")
     )
     out = points.select("trajectory_id", "t").join(best, ["trajectory_id", "t"], "left")
     return out.select("trajectory_id", "t", F.col("best.edge_idx").alias("gt_edge_idx"), F.col("best.d").alias("gt_edge_dist_m"))
 
 
+def nearest_edge_by_route(points: DataFrame, routes: DataFrame, edges: DataFrame, radius: float = 30.0, cell: float = 100.0) -> DataFrame:
+    """nearest_edge of the place on a trajectory's route that is nearest to the point, with that place as gt_x and gt_y.
+
+    routes has trajectory_id and line; points of trajectories without a route have nulls.
+    """
+    on = points.join(routes.select("trajectory_id", F.col("line").alias("_route")), "trajectory_id", "left")
+    on = on.withColumn("_p", project_to_line(F.col("x"), F.col("y"), F.col("_route"))).select("trajectory_id", "t", F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
+    near = nearest_edge(on.where("x IS NOT NULL"), edges, radius, cell)
+    placed = on.withColumnsRenamed({"x": "gt_x", "y": "gt_y"})
+    return placed.join(near, ["trajectory_id", "t"], "left")
+
+
 def asof_nearest(left: DataFrame, right: DataFrame, by: str, at: str, value: str, tolerance: float) -> DataFrame:
     """left with the value of the right row nearest in time within the tolerance; of two as near, the earlier.
 

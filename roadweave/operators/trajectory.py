@@ -137,3 +137,33 @@ def split_exact(ids: list[int], train: float = 0.7, val: float = 0.15, seed: int
     a = int(round(len(order) * train))
     b = a + int(round(len(order) * val))
     return {int(i): "train" if k < a else "val" if k < b else "test" for k, i in enumerate(order)}
+
+
+def forward_bearings(points: DataFrame, min_step_m: float = 0.0) -> DataFrame:
+    """Adds bearing: the direction to the next point, the last one having that of the one before it.
+
+    Steps shorter than the least one have none and take the nearest point's that has one, the earlier of two as near;
+    without any the bearing is 0. points has trajectory_id, t (from 0 without gaps), x and y.
+    """
+    w = Window.partitionBy("trajectory_id").orderBy("t")
+    dx, dy = F.lead("x").over(w) - F.col("x"), F.lead("y").over(w) - F.col("y")
+    own = F.when(F.sqrt(dx * dx + dy * dy) >= min_step_m, F.atan2(dy, dx))
+    first = points.withColumn("_b", own).withColumn("_last", F.lead("x").over(w).isNull())
+    first = first.withColumn("_b", F.when(F.col("_last"), F.lag("_b").over(w)).otherwise(F.col("_b")))
+    seen = F.when(F.col("_b").isNotNull(), F.struct("t", "_b"))
+    sides = first.withColumns({
+        "_before": F.last(seen, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_after": F.first(seen, True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+    })
+    back, ahead = F.col("t") - F.col("_before.t"), F.col("_after.t") - F.col("t")
+    near = F.when(ahead.isNull() | (back <= ahead), F.col("_before._b")).otherwise(F.col("_after._b"))
+    return sides.withColumn("bearing", wrap(F.coalesce(near, F.lit(0.0)))).drop("_b", "_last", "_before", "_after")
+
+
+def first_ids(points: DataFrame, by: str, order: str, n: int = 12) -> DataFrame:
+    """The first n distinct values of a column in the order in which they appear, with the place of each."""
+    return points.groupBy(by).agg(F.min(order).alias("first_seen")).orderBy("first_seen", by).limit(n)
+
+
+def overlap_of(one: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """The keys that two splits share: none, if they are disjoint."""
+    return one.select(key).intersect(other.select(key))

@@ -286,40 +286,33 @@ def hmm_transition(spark, sf_dir):
     return decode.transition_scores(_transitions(spark, sf_dir)).select("trajectory_id", "step", "prev_rank", "curr_rank", "transition")
 
 
-@query("""SELECT trajectory_id, max(score) AS total_score FROM (
-    WITH RECURSIVE e AS MATERIALIZED (SELECT trajectory_id, CAST(dense_rank() OVER (PARTITION BY trajectory_id ORDER BY t) - 1 AS BIGINT) AS step, candidate_rank AS c, emission FROM es),
-    a AS MATERIALIZED (SELECT trajectory_id, step, prev_rank AS p, curr_rank AS c, transition FROM ts),
-    dp AS (
-        SELECT trajectory_id, step, c, round(emission, 9) AS score FROM e WHERE step = 0
-        UNION ALL
-        SELECT trajectory_id, step, c, score FROM (
-            SELECT e.trajectory_id, e.step, e.c, round(max(round(d.score + a.transition, 9)) + any_value(e.emission), 9) AS score
-            FROM dp d JOIN a ON a.trajectory_id = d.trajectory_id AND a.step = d.step + 1 AND a.p = d.c
-            JOIN e ON e.trajectory_id = a.trajectory_id AND e.step = a.step AND e.c = a.c GROUP BY e.trajectory_id, e.step, e.c) n)
-    SELECT d.* FROM dp d JOIN (SELECT trajectory_id, max(step) AS step FROM e GROUP BY trajectory_id) l USING (trajectory_id, step)) f GROUP BY trajectory_id""",
-       "total_score", views_=("es", "ts"))
+@query("SELECT trajectory_id, max(total_score) AS total_score FROM vit GROUP BY 1", "total_score", views_=("vit",))
 def viterbi_score(spark, sf_dir):
-    return decode.viterbi_fold(_lattice(spark, sf_dir)).groupBy("trajectory_id").agg(F.max("total_score").alias("total_score"))
+    return decode.viterbi(_lattice(spark, sf_dir), K).groupBy("trajectory_id").agg(F.max("total_score").alias("total_score"))
 
 
-@query()
+@query("SELECT trajectory_id, t, step, candidate_rank, path_score, total_score FROM vit", "path_score", "total_score", views_=("vit",))
 def viterbi_path(spark, sf_dir):
-    return decode.viterbi_fold(_lattice(spark, sf_dir))
+    return decode.viterbi(_lattice(spark, sf_dir), K)
 
 
-@query()
+@query("""SELECT trajectory_id, t, step, c AS candidate_rank, score AS path_score, 1 / sum_ AS confidence FROM (
+    SELECT d.*, e.t, row_number() OVER (PARTITION BY d.trajectory_id, d.step ORDER BY d.score DESC, d.c) AS r, sum(exp(d.score - top)) OVER (PARTITION BY d.trajectory_id, d.step) AS sum_
+    FROM (SELECT *, max(score) OVER (PARTITION BY trajectory_id, step) AS top FROM lag_dp) d JOIN vit_e e USING (trajectory_id, step, c)) x WHERE r = 1""", "path_score", "confidence", views_=("lag_dp",))
 def viterbi_fixed_lag(spark, sf_dir):
-    return decode.decode(_lattice(spark, sf_dir), mode="fixed_lag", lag=5)
+    return decode.decode(_lattice(spark, sf_dir), mode="fixed_lag", lag=5, k=K).select("trajectory_id", "t", "step", "candidate_rank", "path_score", "confidence")
 
 
-@query()
+@query("""SELECT v.trajectory_id, v.t, v.step, v.candidate_rank, p.p AS confidence, h.entropy, v.emission, v.path_score FROM vit v JOIN vit_post p ON p.trajectory_id = v.trajectory_id AND p.step = v.step AND p.c = v.candidate_rank
+    JOIN (SELECT trajectory_id, step, -sum(p * ln(greatest(p, 1e-12))) AS entropy FROM vit_post GROUP BY ALL) h ON h.trajectory_id = v.trajectory_id AND h.step = v.step""",
+       "confidence", "entropy", "emission", "path_score", views_=("vit", "vit_post"))
 def posterior_conf(spark, sf_dir):
-    return decode.decode(_lattice(spark, sf_dir))
+    return decode.decode(_lattice(spark, sf_dir), k=K).select("trajectory_id", "t", "step", "candidate_rank", "confidence", "entropy", "emission", "path_score")
 
 
 @query()
 def viterbi_beam_offroad(spark, sf_dir):
-    return decode.decode(_lattice(spark, sf_dir), confidence="softmax", beam=3, offroad=decode.Params())
+    return decode.decode(_lattice(spark, sf_dir), confidence="softmax", beam=3, offroad=decode.Params(), k=K)
 
 
 @query("""SELECT trajectory_id, t, candidate_rank, w / sum(w) OVER (PARTITION BY trajectory_id, t) AS confidence FROM (
@@ -328,10 +321,25 @@ def softmax_confidence(spark, sf_dir):
     return decode.softmax_confidence(decode.emission_scores(_emissions(spark, sf_dir), k=K)).select("trajectory_id", "t", "candidate_rank", "confidence")
 
 
-@query()
+@query("SELECT trajectory_id, t, candidate_rank, pred_edge_idx, pred_proj_x, pred_proj_y, path_score, transition_legal FROM decoded", "pred_proj_x", "pred_proj_y", "path_score", views_=("decoded",))
 def match_table(spark, sf_dir):
-    c = _candidates(spark, sf_dir)
-    return decode.match_table(decode.viterbi_fold(_lattice(spark, sf_dir)), c, roadnet.transitions(views.road_edges(spark, sf_dir)))
+    return _decoded(spark, sf_dir).select("trajectory_id", "t", "candidate_rank", "pred_edge_idx", "pred_proj_x", "pred_proj_y", "path_score", "transition_legal")
+
+
+def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    legal = roadnet.transitions(views.road_edges(spark, sf_dir))
+    return decode.match_table(decode.viterbi(_lattice(spark, sf_dir), K), _candidates(spark, sf_dir), legal)
+
+
+@query("""SELECT count(*) AS points, count(DISTINCT trajectory_id) AS trajectories, avg(CAST(pred_edge_idx = gt_edge_idx AS INT)) AS point_edge_accuracy, avg(sqrt((pred_proj_x - x) ** 2 + (pred_proj_y - y) ** 2)) AS mean_error_m,
+    avg(CAST(transition_legal AS DOUBLE)) AS legal_rate FROM decoded JOIN gt_near USING (trajectory_id, t) JOIN gt_points USING (trajectory_id, t) WHERE gt_edge_idx IS NOT NULL""",
+       "point_edge_accuracy", "mean_error_m", "legal_rate", views_=("decoded", "gt_near"))
+def decoded_metrics(spark, sf_dir):
+    """Accuracy of the decoded matches against the edges nearest to the true places."""
+    truth = _truth(spark, sf_dir).join(views.gt_points(spark, sf_dir).select("trajectory_id", "t", F.col("x").alias("gt_proj_x"), F.col("y").alias("gt_proj_y")), ["trajectory_id", "t"])
+    rows = metrics.labelled(metrics.join_truth(_decoded(spark, sf_dir), truth)).withColumn("gt_candidate_pos", F.lit(0)).withColumn("confidence", F.lit(None).cast("double"))
+    j = metrics.judged(rows)
+    return j.agg(F.count("*").alias("points"), F.countDistinct("trajectory_id").alias("trajectories"), F.avg(F.col("edge_correct").cast("double")).alias("point_edge_accuracy"), F.avg("projection_error_m").alias("mean_error_m"), F.avg(F.col("transition_legal").cast("double")).alias("legal_rate"))
 
 
 # Evaluation
@@ -584,9 +592,16 @@ def extra_daily_windows(spark, sf_dir):
     return windows.tumbling(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "1 day", "event_type", "value")
 
 
+def _load() -> None:
+    """Registers the queries of the modules that build on this one."""
+    from . import more  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)

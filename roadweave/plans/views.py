@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.angles import bearing, distance
-from ..operators.roadnet import number_edges
+from ..operators.roadnet import directed_edges, number_edges
 from ..operators.trajectory import kinematics, ordinal
 
 
@@ -25,6 +27,7 @@ def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal(points(spark, sf_dir), "ts", "point_id")
 
 
+@lru_cache(maxsize=8)
 def moving(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points a second apart, with kinematics: the times of the events themselves are days apart."""
     t = trajectory(spark, sf_dir)
@@ -44,6 +47,7 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("link_id", F.col("p_type").alias("highway"), (F.col("p_size").cast("double") + 20).alias("maxspeed"), oneway.alias("oneway"), F.col("p_brand").alias("osm_way_id"), "u", "v")
 
 
+@lru_cache(maxsize=8)  # of the plan, so that its numbering is prepared once
 def road_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directed edges of the grid, numbered by link and direction; a two-way link has two."""
     base = links(spark, sf_dir).withColumn("dir", F.explode(F.when(F.col("oneway") == "yes", F.array(F.lit("fwd"))).otherwise(F.array(F.lit("fwd"), F.lit("rev")))))
@@ -60,6 +64,31 @@ def road_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_edges(out, "link_id", "direction")
 
 
+def bent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid's streets as lines of two segments: each bends in its middle, across its direction, by up to 20 metres."""
+    g = links(spark, sf_dir)
+    at = lambda n: (100.0 * (F.col(n) % 6), 100.0 * F.floor(F.col(n) / 6))
+    (x1, y1), (x2, y2) = at("u"), at("v")
+    bend, across = 10.0 * (F.col("link_id") % 5 - 2), F.col("link_id") % 2 == 0
+    middle = ((x1 + x2) / 2 + F.when(across, 0.0).otherwise(bend), (y1 + y2) / 2 + F.when(across, bend).otherwise(0.0))
+    vertices = [F.struct(x.alias("x"), y.alias("y")) for x, y in ((x1, y1), middle, (x2, y2))]
+    return g.withColumns({"line": F.array(*vertices), "bridge": F.when(F.col("link_id") % 9 == 0, "yes"), "tunnel": F.lit(None).cast("string")})
+
+
+@lru_cache(maxsize=8)  # of the plan, so that its numbering is prepared once
+def bent_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bent streets as directed edges of every class."""
+    return directed_edges(bent_links(spark, sf_dir), classes=None)
+
+
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of two segments through the block of each trajectory, as its true route."""
+    y = 500.0 * (F.col("trajectory_id") % 3) + 100.0 * (F.col("trajectory_id") % 5)
+    vertices = [F.struct(F.lit(x).alias("x"), (y + dy).alias("y")) for x, dy in ((0.0, 0.0), (250.0, 40.0), (500.0, 0.0))]
+    return points(spark, sf_dir).select("trajectory_id").distinct().where("trajectory_id % 7 <> 0").select("trajectory_id", F.array(*vertices).alias("line"))
+
+
+@lru_cache(maxsize=8)
 def classed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Road edges with the number of their class in order of names."""
     from pyspark.sql import Window

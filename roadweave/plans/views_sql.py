@@ -28,6 +28,26 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT link_id, highway, maxspeed, oneway, osm_way_id, u, v, 'fwd' AS dir FROM links
               UNION ALL SELECT link_id, highway, maxspeed, oneway, osm_way_id, v, u, 'rev' FROM links WHERE oneway <> 'yes') d"""),
     "classed": (("road_edges",), "SELECT e.*, CAST(dense_rank() OVER (ORDER BY road_class) - 1 AS BIGINT) AS road_class_id FROM road_edges e"),
+    "bent": (("road_edges",), """SELECT *, l1 + l2 AS bent_m FROM (SELECT *, sqrt((mx - x1) ** 2 + (my - y1) ** 2) AS l1, sqrt((x2 - mx) ** 2 + (y2 - my) ** 2) AS l2 FROM (
+        SELECT *, (x1 + x2) / 2 + CASE WHEN link_id % 2 = 0 THEN 0 ELSE 10 * (link_id % 5 - 2) END AS mx, (y1 + y2) / 2 + CASE WHEN link_id % 2 = 0 THEN 10 * (link_id % 5 - 2) ELSE 0 END AS my FROM road_edges) a) b"""),
+    "bent_hits": (("moving", "bent"), """SELECT m.trajectory_id, m.t, m.x, m.y, m.yaw, m.speed_mps, e.* FROM moving m JOIN bent e
+        ON m.x BETWEEN least(x1, mx, x2) - 50 AND greatest(x1, mx, x2) + 50 AND m.y BETWEEN least(y1, my, y2) - 50 AND greatest(y1, my, y2) + 50"""),
+    "bent_all": (("bent_hits",), """SELECT * FROM bent_hits UNION ALL SELECT m.trajectory_id, m.t, m.x, m.y, m.yaw, m.speed_mps, e.* FROM moving m JOIN bent e
+        ON m.x BETWEEN least(x1, mx, x2) - 100 AND greatest(x1, mx, x2) + 100 AND m.y BETWEEN least(y1, my, y2) - 100 AND greatest(y1, my, y2) + 100
+        WHERE NOT EXISTS (SELECT 1 FROM bent_hits h WHERE h.trajectory_id = m.trajectory_id AND h.t = m.t)"""),
+    "bent_on": (("bent_all",), """SELECT *, CASE WHEN round(d1, 9) <= round(d2, 9) THEN d1 ELSE d2 END AS distance_m, CASE WHEN round(d1, 9) <= round(d2, 9) THEN px1 ELSE px2 END AS proj_x,
+            CASE WHEN round(d1, 9) <= round(d2, 9) THEN py1 ELSE py2 END AS proj_y, CASE WHEN round(d1, 9) <= round(d2, 9) THEN s1 * l1 ELSE l1 + s2 * l2 END AS offset_m FROM (
+        SELECT *, sqrt((x - px1) ** 2 + (y - py1) ** 2) AS d1, sqrt((x - px2) ** 2 + (y - py2) ** 2) AS d2 FROM (
+            SELECT *, x1 + s1 * (mx - x1) AS px1, y1 + s1 * (my - y1) AS py1, mx + s2 * (x2 - mx) AS px2, my + s2 * (y2 - my) AS py2 FROM (
+                SELECT *, greatest(0.0, least(1.0, ((x - x1) * (mx - x1) + (y - y1) * (my - y1)) / (l1 * l1))) AS s1,
+                    greatest(0.0, least(1.0, ((x - mx) * (x2 - mx) + (y - my) * (y2 - my)) / (l2 * l2))) AS s2 FROM bent_all) a) b) c"""),
+    "bent_cand": (("bent_on",), f"""SELECT *, r AS candidate_rank FROM (SELECT *, row_number() OVER (PARTITION BY trajectory_id, t ORDER BY round(distance_m, 9), round(yaw_diff_rad, 9), edge_idx) - 1 AS r FROM (
+        SELECT *, abs({wrap('yaw - bearing_rad')}) AS yaw_diff_rad, offset_m / bent_m AS offset_ratio FROM bent_on) a) b WHERE r < 10"""),
+    "routed_points": (("gt_points",), """SELECT trajectory_id, t, CASE WHEN round(d1, 9) <= round(d2, 9) THEN px1 ELSE px2 END AS x, CASE WHEN round(d1, 9) <= round(d2, 9) THEN py1 ELSE py2 END AS y FROM (
+        SELECT *, sqrt((x - px1) ** 2 + (y - py1) ** 2) AS d1, sqrt((x - px2) ** 2 + (y - py2) ** 2) AS d2 FROM (
+            SELECT *, 250 * s1 AS px1, b + 40 * s1 AS py1, 250 + 250 * s2 AS px2, b + 40 - 40 * s2 AS py2 FROM (
+                SELECT *, greatest(0.0, least(1.0, (x * 250 + (y - b) * 40) / 64100.0)) AS s1, greatest(0.0, least(1.0, ((x - 250) * 250 - (y - b - 40) * 40) / 64100.0)) AS s2 FROM (
+                    SELECT *, CAST(500 * (trajectory_id % 3) + 100 * (trajectory_id % 5) AS DOUBLE) AS b FROM gt_points) a) c) d) e"""),
     "gt_points": (("trajectory",), "SELECT trajectory_id, t, x + 8.0 * (point_id % 5 - 2) AS x, y + 6.0 * (point_id % 3 - 1) AS y FROM trajectory"),
     "even_points": (("trajectory",), "SELECT trajectory_id, t, epoch_us(ts) / 1e6 AS sec FROM trajectory WHERE t % 2 = 0"),
     "odd_points": (("trajectory",), "SELECT trajectory_id, y, epoch_us(ts) / 1e6 AS sec FROM trajectory WHERE t % 2 = 1"),
@@ -105,6 +125,49 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
             - 0.25 * route_dist_norm - 0.15 * route_minus_gps_norm - 0.10 * route_gps_ratio_norm - 0.10 * turn_norm - 0.05 * yaw_change_norm - 0.50 * (CASE WHEN turn_norm > 0.85 THEN 1 ELSE 0 END)
             - 0.25 * (CASE WHEN turn_norm > 0.65 THEN 1 ELSE 0 END) * time_feasible - 0.05 * candidate_rank_delta_norm - 0.05 * distance_delta_norm)
             - CASE WHEN legal = 1 THEN 0.0 ELSE 0.35 * 2.0 END AS transition FROM (SELECT *, CASE WHEN legal = 1 THEN 1 ELSE 0 END AS ok_ FROM tr) a"""),
+    # The best sequences, their states and sums carried along; and the probabilities of all states.
+    "vit_e": (("es",), "SELECT trajectory_id, t, CAST(dense_rank() OVER (PARTITION BY trajectory_id ORDER BY t) - 1 AS BIGINT) AS step, candidate_rank AS c, round(emission, 9) AS emission FROM es"),
+    "vit_a": (("ts",), "SELECT trajectory_id, step, prev_rank AS p, curr_rank AS c, round(transition, 9) AS transition FROM ts"),
+    "vit": (("vit_e", "vit_a"), """SELECT v.*, e.t, e.emission FROM (SELECT trajectory_id, unnest(range(0, len(path))) AS step, unnest(path) AS candidate_rank, unnest(scores) AS path_score, score AS total_score FROM (
+        WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM vit_e), a AS MATERIALIZED (SELECT * FROM vit_a),
+        dp AS (
+            SELECT trajectory_id, step, c, emission AS score, [c] AS path, [emission] AS scores FROM e WHERE step = 0
+            UNION ALL
+            SELECT trajectory_id, step, c, score, list_append(path, c), list_append(scores, score) FROM (
+                SELECT e.trajectory_id, e.step, e.c, round(max(round(d.score + a.transition, 9)) + any_value(e.emission), 9) AS score,
+                    arg_max(d.path, [round(d.score + a.transition, 9), -d.c]) AS path, arg_max(d.scores, [round(d.score + a.transition, 9), -d.c]) AS scores
+                FROM dp d JOIN a ON a.trajectory_id = d.trajectory_id AND a.step = d.step + 1 AND a.p = d.c
+                JOIN e ON e.trajectory_id = a.trajectory_id AND e.step = a.step AND e.c = a.c GROUP BY e.trajectory_id, e.step, e.c) n)
+        SELECT * FROM (SELECT d.*, row_number() OVER (PARTITION BY d.trajectory_id ORDER BY d.score DESC, d.c) AS r FROM dp d
+            JOIN (SELECT trajectory_id, max(step) AS step FROM e GROUP BY trajectory_id) l USING (trajectory_id, step)) f WHERE r = 1) g) v
+        JOIN vit_e e ON e.trajectory_id = v.trajectory_id AND e.step = v.step AND e.c = v.candidate_rank"""),
+    "vit_post": (("vit_e", "vit_a"), """SELECT trajectory_id, step, c, exp(lp - max(lp) OVER w) / sum(exp(lp - top)) OVER w AS p FROM (SELECT *, max(lp) OVER (PARTITION BY trajectory_id, step) AS top FROM (
+        WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM vit_e), a AS MATERIALIZED (SELECT * FROM vit_a), l AS MATERIALIZED (SELECT trajectory_id, max(step) AS step FROM vit_e GROUP BY ALL),
+        f AS (
+            SELECT trajectory_id, step, c, emission AS s FROM e WHERE step = 0
+            UNION ALL
+            SELECT trajectory_id, step, c, emission + list_max(x) + ln(list_sum(list_transform(x, lambda y: exp(y - list_max(x))))) FROM (
+                SELECT e.trajectory_id, e.step, e.c, any_value(e.emission) AS emission, list(f.s + a.transition) AS x FROM f JOIN a ON a.trajectory_id = f.trajectory_id AND a.step = f.step + 1 AND a.p = f.c
+                JOIN e ON e.trajectory_id = a.trajectory_id AND e.step = a.step AND e.c = a.c GROUP BY ALL) n),
+        b AS (
+            SELECT e.trajectory_id, e.step, e.c, CAST(0 AS DOUBLE) AS s FROM e JOIN l USING (trajectory_id, step)
+            UNION ALL
+            SELECT trajectory_id, step, c, list_max(x) + ln(list_sum(list_transform(x, lambda y: exp(y - list_max(x))))) FROM (
+                SELECT a.trajectory_id, a.step - 1 AS step, a.p AS c, list(a.transition + e.emission + b.s) AS x FROM b JOIN e ON e.trajectory_id = b.trajectory_id AND e.step = b.step AND e.c = b.c
+                JOIN a ON a.trajectory_id = b.trajectory_id AND a.step = b.step AND a.c = b.c GROUP BY ALL) n)
+        SELECT trajectory_id, step, c, f.s + b.s AS lp FROM f JOIN b USING (trajectory_id, step, c)) x) y WINDOW w AS (PARTITION BY trajectory_id, step)"""),
+    "lag_dp": (("vit_e", "vit_a"), """WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM vit_e), a AS MATERIALIZED (SELECT * FROM vit_a),
+        dp AS (
+            SELECT trajectory_id, step AS start, step, c, emission AS score FROM e
+            UNION ALL
+            SELECT e.trajectory_id, d.start, e.step, e.c, round(max(round(d.score + a.transition, 9)) + any_value(e.emission), 9)
+            FROM dp d JOIN a ON a.trajectory_id = d.trajectory_id AND a.step = d.step + 1 AND a.p = d.c JOIN e ON e.trajectory_id = a.trajectory_id AND e.step = a.step AND e.c = a.c
+            WHERE d.step - d.start < 4 GROUP BY e.trajectory_id, d.start, e.step, e.c)
+        SELECT * FROM dp WHERE start = greatest(step - 4, 0)"""),
+    "decoded": (("vit", "cand", "transitions"), """SELECT s.*, CASE WHEN b IS NULL OR b = pred_edge_idx OR x.prev_edge_idx IS NOT NULL THEN 1 ELSE 0 END AS transition_legal FROM (
+        SELECT v.*, c.edge_idx AS pred_edge_idx, c.proj_x AS pred_proj_x, c.proj_y AS pred_proj_y, lag(c.edge_idx) OVER (PARTITION BY v.trajectory_id ORDER BY v.t) AS b
+        FROM vit v JOIN cand c ON c.trajectory_id = v.trajectory_id AND c.t = v.t AND c.candidate_rank = v.candidate_rank) s
+        LEFT JOIN transitions x ON x.prev_edge_idx = b AND x.curr_edge_idx = pred_edge_idx"""),
     "lab": (("matches",), """SELECT *, pred_edge_idx = gt_edge_idx AS edge_correct, sqrt((pred_proj_x - gt_proj_x) ** 2 + (pred_proj_y - gt_proj_y) ** 2) AS projection_error_m
         FROM matches WHERE gt_edge_idx >= 0"""),
     "jud": (("lab",), """SELECT *, coalesce(projection_error_m <= 2, false) AS within_2m, coalesce(projection_error_m <= 5, false) AS within_5m, coalesce(projection_error_m <= 10, false) AS within_10m,

@@ -148,23 +148,25 @@ def test_sequences_against_brute_force(seed):
     assert decode.best_path(e, a, beam=e.shape[1])[0] == path
 
 
-def lattice_rows(spark, lattices):
+def lattice_rows(spark, lattices, block=decode.BLOCK):
     em, tr = [], []
     for tid, (e, a) in lattices.items():
         em += [(tid, 10 * t, s, float(e[t, s])) for t in range(len(e)) for s in range(e.shape[1])]
         tr += [(tid, t + 1, p, q, float(a[t, p, q])) for t in range(len(a)) for p in range(e.shape[1]) for q in range(e.shape[1])]
     return decode.collect_lattice(
-        spark.createDataFrame(em, "trajectory_id bigint, t bigint, candidate_rank bigint, emission double"), spark.createDataFrame(tr, "trajectory_id bigint, step bigint, prev_rank bigint, curr_rank bigint, transition double")
+        spark.createDataFrame(em, "trajectory_id bigint, t bigint, candidate_rank bigint, emission double"), spark.createDataFrame(tr, "trajectory_id bigint, step bigint, prev_rank bigint, curr_rank bigint, transition double"), block
     )
 
 
-def test_fold_and_kernel_agree(spark):
+@pytest.mark.parametrize("block", [decode.BLOCK, 3, 1])
+def test_blocks_and_kernel_agree(spark, block):
     r = np.random.default_rng(1)
     lattices = {i: random_lattice(r, int(r.integers(1, 9)), int(r.integers(1, 5))) for i in range(12)} | {99: (GOLDEN_E, GOLDEN_A)}
-    rows = lattice_rows(spark, lattices)
-    fold, kernel = decode.viterbi_fold(rows).collect(), decode.decode(rows).collect()
+    rows = lattice_rows(spark, lattices, block)
+    fold, kernel = decode.viterbi(rows).collect(), decode.decode(rows).collect()
     for tid, (e, a) in lattices.items():
-        path, scores = decode.best_path(e, a)
+        e, a = np.round(e, 9), np.round(a, 9)
+        path, scores = decode.best_path(e, a, digits=9)
         f = sorted((x for x in fold if x["trajectory_id"] == tid), key=lambda x: x["t"])
         k = sorted((x for x in kernel if x["trajectory_id"] == tid), key=lambda x: x["t"])
         assert [x["candidate_rank"] for x in f] == [x["candidate_rank"] for x in k] == path and [x["t"] for x in f] == [10 * t for t in range(len(e))]
@@ -220,7 +222,7 @@ def test_unknown_places_are_within_nothing_and_weigh_one(spark):
 
 
 def test_columns_by_their_aliases(spark):
-    df = spark.createDataFrame([(1, 7), (1, 8)], "traj_id bigint, pred_edge bigint")
+    df = spark.createDataFrame([(1, 7), (1, 8)], "traj_id bigint, matched_edge_idx bigint")
     assert metrics.canonical(df).columns == ["trajectory_id", "pred_edge_idx", "t"]
     with pytest.raises(ValueError, match="a, b"):
         metrics.require(df, "b", "a")
