@@ -22,11 +22,12 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import settle, text_of
+from .common import forget, settle, text_of
 
 ORDER = 8
 DISCOUNT = 0.75
@@ -125,21 +126,25 @@ def _count_grams(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _shared(grams: DataFrame) -> DataFrame:
-    """Rows (low, p): Kneser-Ney probabilities, from both classes' words alike, of the n-grams one shorter than grams."""
-    level, levels = grams.select("gram"), None
+    """Rows (low, p): Kneser-Ney probabilities, from both classes' words alike, of the n-grams one shorter than grams.
+
+    Each level is written, which keeps every plan to a join or two.
+    """
+    levels = {ORDER: grams.select("gram")}
     for k in range(ORDER - 1, 0, -1):
-        level = level.groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c"))
-        own = level.select(F.lit(k).alias("k"), "gram", "c")
-        levels = own if levels is None else levels.unionByName(own)
-    levels = settle(levels, "levels")
+        levels[k] = settle(levels[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")), "level")
     below = None
     for k in range(1, ORDER):
-        own = levels.where(F.col("k") == k).select("gram", "c", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("low"))
+        own = levels[k].select("gram", "c", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("low"))
         of = own.groupBy("context").agg(F.sum("c").alias("t"), F.count("*").alias("kinds"))
         own = own.join(of, "context")
         own = own.join(below, "low") if below is not None else own.withColumn("p", F.lit(1 / 256))
         p = (F.col("c") - DISCOUNT) / F.col("t") + F.least(F.lit(1.0), DISCOUNT * F.col("kinds") / F.col("t")) * F.col("p")
-        below = own.select(F.col("gram").alias("low"), p.alias("p"))
+        above = settle(own.select(F.col("gram").alias("low"), p.alias("p")), "shared")
+        for done in (levels[k], below):
+            if done is not None:
+                forget(done)
+        below = above
     return below
 
 
@@ -167,12 +172,16 @@ def ratio_table(words: DataFrame) -> DataFrame:
     own = grams.withColumn("context", F.substring("gram", 1, ORDER - 1))
     sums = [F.sum(c).alias(f"t_{c}") for c in _COUNTS] + [F.sum((F.col(c) > 0).cast("bigint")).alias(f"kinds_{c}") for c in _COUNTS]
     contexts = settle(own.groupBy("context").agg(*sums), "contexts")
-    known = own.withColumn("low", F.substring("gram", 2, ORDER - 1)).join(_shared(grams), "low").join(contexts, "context")
+    shared = _shared(grams)
+    known = own.withColumn("low", F.substring("gram", 2, ORDER - 1)).join(shared, "low").join(contexts, "context")
     names = ["fit", "all"]
     both = known.select(F.lit(False).alias("is_context"), _gram_key("gram").alias("key"), *[_log_ratio(n, True).alias(n) for n in names])
     other = contexts.select("context", *[_log_ratio(n, False).alias(n) for n in names]).where("fit <> 0 or all <> 0")
     other = other.select(F.lit(True).alias("is_context"), _context_key("context").alias("key"), *names)
-    return settle(both.unionByName(other), "ratios")
+    found = settle(both.unionByName(other), "ratios")
+    for done in (grams, contexts, shared):
+        forget(done)
+    return found
 
 
 class Ratios:
@@ -223,15 +232,19 @@ class Model:
 
 
 def _collected(table: DataFrame, which: str):
-    """Broadcast of Ratios' arguments; the table's rows have been counted."""
-    rows = table.select("is_context", "key", which).toArrow()
-    is_context, keys, ratios = (rows.column(c).to_numpy() for c in ("is_context", "key", which))
+    """Broadcast of Ratios' arguments; the table's rows have been counted. They come in parts, one side after the other."""
     out = []
-    for side in (False, True):
-        own = np.flatnonzero(is_context == side)
-        order = own[np.argsort(keys[own])]
+    for side in ("not is_context", "is_context"):
+        rows = table.where(side).select("key", which).toArrow()
+        keys, ratios = (rows.column(c).to_numpy() for c in ("key", which))
+        del rows
+        order = np.argsort(keys)
         out += [keys[order], ratios[order]]
-    return table.sparkSession.sparkContext.broadcast(tuple(out))
+        del keys, ratios, order
+    shared = table.sparkSession.sparkContext.broadcast(tuple(out))
+    del out
+    pa.default_memory_pool().release_unused()
+    return shared
 
 
 _EVIDENCE = ["mean", "peak", "size"]
@@ -333,8 +346,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = marked.join(side, marked["id"] == side["l_id"]).select("id", "text", "toxic")
     counted = rows.select("text", "toxic", (fold("id") == 1).alias("curve")).mapInPandas(_count_words, "word string, " + ", ".join(f"{c} bigint" for c in _COUNTS))
     words = settle(counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in _COUNTS]), "words")
-    table = ratio_table(words)
     seen = words.agg(*[F.sum(c).alias(c) for c in _COUNTS]).first()
+    table = ratio_table(words)
+    forget(words)
     if not n_toxic or n_toxic == n_known or not seen["all0"] or not seen["all1"]:
         return Model(table.limit(0), _collected(table.limit(0), "all"))
     small = table.count() <= bound
