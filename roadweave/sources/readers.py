@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +11,16 @@ from ..functions import geometry, projection
 from ..functions.tags import DRIVEABLE
 from ..operators.metrics import require
 
+#: Of texts that no column says the system of: longitude and latitude.
+DEFAULT_CRS = "EPSG:4326"
 _FORMATS = {"parquet": "parquet", "csv": "csv", "json": "json", "jsonl": "json", "ndjson": "json", "orc": "orc"}
 
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A table by the suffix of its path: parquet, csv (with header), json lines or orc; an error for any other."""
+def read_table(spark: SparkSession, path: str, schema: str | None = None, documents: bool = False) -> DataFrame:
+    """A table by the suffix of its path: parquet, csv (with header), json or orc; an error for any other.
+
+    JSON is one object a line, or with documents an array (or one object) a file.
+    """
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if suffix not in _FORMATS:
         raise ValueError(f"unknown table format: {path}")
@@ -22,11 +29,49 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
         reader = reader.option("header", True).option("mode", "FAILFAST")
         if schema is None:
             reader = reader.option("inferSchema", True)
+    if documents:
+        reader = reader.option("multiLine", True)
     if schema:
         reader = reader.schema(schema)
     return reader.load(path)
 
 
+def conformed(df: DataFrame, types: dict[str, str], *order: str) -> DataFrame:
+    """df with the required columns in the given types, sorted if an order is given; other columns stay behind them.
+
+    A missing column is an error, and so is a value that its type can't hold.
+    """
+    require(df, *types)
+    typed = df.withColumns({c: F.col(c).cast(kind) for c, kind in types.items()}).select(*types, *[c for c in df.columns if c not in types])
+    return typed.orderBy(*order) if order else typed
+
+
+def read_document(spark: SparkSession, path: str) -> dict:
+    """A small JSON object of settings or metrics, from any file system that Spark reads."""
+    return json.loads("\n".join(r["value"] for r in spark.read.option("wholetext", True).text(path).collect()))
+
+
+def read_projected_routes(spark: SparkSession, path: str) -> DataFrame:
+    """True routes as they were written after projection: trajectory_id and gt_wkt_projected, read back as lines."""
+    raw = require(read_table(spark, path), "trajectory_id", "gt_wkt_projected")
+    line = geometry.join_parts(geometry.parse_lines(F.col("gt_wkt_projected")))
+    found = raw.withColumn("trajectory_id", F.col("trajectory_id").cast("bigint")).withColumn("line", line).where("size(line) >= 2")
+    return found.withColumn("gt_length_m", geometry.line_length(F.col("line")))
+
+
+def read_lattices(spark: SparkSession, path: str) -> DataFrame:
+    """Lattices of trajectories as writers.write_lattices leaves them; an error without steps."""
+    return require(spark.read.parquet(path), "trajectory_id", "block", "steps")
+
+
+def one_trajectory(df: DataFrame, name: object) -> DataFrame:
+    """The rows of the trajectory whose id reads like the given one; an error if there are none."""
+    found = df.where(F.col("trajectory_id").cast("string") == str(name))
+    if found.isEmpty():
+        raise ValueError(f"no trajectory {name}")
+    return found
+
+
 def read_points(spark: SparkSession, path: str, zone: int | None = None) -> DataFrame:
     """GPS points from CSV (id, time, geometry as POINT text), projected to UTM if a zone is given.
 
@@ -70,7 +115,10 @@ def read_links(spark: SparkSession, path: str, classes: tuple[str, ...] | None =
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """Features of a GeoJSON collection: properties and line (points of a LineString)."""
-    doc = spark.read.option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    doc = spark.read.option("multiLine", True).json(path)
+    if "features" not in doc.columns:
+        raise ValueError(f"no features in {path}")
+    doc = doc.select(F.explode("features").alias("f"))
     point = lambda c: F.struct(c[0].cast("double").alias("x"), c[1].cast("double").alias("y"))
     return doc.select("f.properties.*", F.transform(F.col("f.geometry.coordinates"), point).alias("line"))
 

@@ -64,3 +64,39 @@ def test_numbers_follow_the_order(spark, kind):
     df = spark.range(300).select((F.col("id") * 7919 % 300).cast(kind).alias("k"), F.lit("a").alias("d")).repartition(7)
     got = [r["k"] for r in roadnet.number_edges(df, "k", "d", ranges=5).orderBy("edge_idx").collect()]
     assert got == sorted(got) and len(got) == 300
+
+
+def test_documents_states_and_lattices(spark, tmp_path):
+    from roadweave.sources import readers, writers
+
+    df = spark.createDataFrame([(1, 0, 0, 1, 7), (1, 0, 1, 0, 8), (1, 1, 0, 0, 9)], "trajectory_id bigint, t bigint, candidate_rank bigint, is_gt int, edge_idx bigint")
+    report = writers.write_candidates(df, df.select("trajectory_id", "t").distinct(), f"{tmp_path}/c.parquet", f"{tmp_path}/r.json")
+    assert report["recall_at_1"] == 0.5 and readers.read_document(spark, f"{tmp_path}/r.json")["recall_at_3"] == 0.5
+    assert readers.read_table(spark, f"{tmp_path}/c.parquet").count() == 3
+    assert [writers.write_state(spark, {"w": [1.0]}, {"accuracy": a}, f"{tmp_path}/m", "accuracy") for a in (0.5, 0.5, 0.7)] == [True, False, True]
+    assert readers.read_document(spark, f"{tmp_path}/m/best.json")["metrics"] == {"accuracy": 0.7}
+    lattice = lattice_rows(spark, {1: random_lattice(np.random.default_rng(1), 5, 2)}, 2)
+    writers.write_lattices(lattice, f"{tmp_path}/l.parquet")
+    back = readers.read_lattices(spark, f"{tmp_path}/l.parquet")
+    assert sorted(map(tuple, decode.viterbi(back).collect())) == sorted(map(tuple, decode.viterbi(lattice).collect()))
+    writers.write_schema(df, f"{tmp_path}/s.csv")
+    assert readers.read_table(spark, f"{tmp_path}/s.csv").count() == 0 and readers.read_document(spark, f"{tmp_path}/s.csv.schema.json")["fields"][0]["name"] == "trajectory_id"
+    with pytest.raises(ValueError, match="missing"):
+        readers.conformed(df, {"nothing": "int"})
+    assert readers.conformed(df, {"edge_idx": "string"}, "edge_idx").first()["edge_idx"] == "7"
+    assert readers.one_trajectory(df, "1").count() == 3
+    with pytest.raises(ValueError, match="no trajectory"):
+        readers.one_trajectory(df, 2)
+    two = spark.createDataFrame([(1, "train"), (1, "test")], "trajectory_id bigint, split string")
+    with pytest.raises(ValueError, match="share"):
+        writers.write_splits(df, two, f"{tmp_path}/x.parquet")
+
+
+def test_geojson_there_and_back(spark, tmp_path):
+    from roadweave.sources import readers, writers
+
+    line = [(0.0, 0.0), (1.0, 2.0)]
+    df = spark.createDataFrame([(3, line)], f"edge_idx bigint, line array<{geometry.POINT}>")
+    writers.write_geojson(df, f"{tmp_path}/g.geojson")
+    back = readers.read_geojson(spark, f"{tmp_path}/g.geojson").first()
+    assert back["edge_idx"] == 3 and [tuple(p) for p in back["line"]] == line
