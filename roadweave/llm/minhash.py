@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle, text_of
+from .components import connected_components
 
 N_HASHES = 128
 N_WORDS = 5
@@ -140,62 +141,90 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out.withColumnRenamed("id", id_col)
 
 
-def _near_pairs(floor: int):
-    """Streams rows (band keys, key, signature) sorted by bucket; gives pairs with at least floor equal values."""
+def _near_pairs(floor: int, whole: bool):
+    """Streams rows (band, value, i, j, node, sign, root) sorted by bucket; gives pairs with at least floor equal values:
+    all those whose roots differ if whole, else one for each node that has any. Holds one bucket's two chunks at a time."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, keys, signs = None, [], []
+        at, nodes, signs, roots = None, [], [], []
 
         def close() -> Iterator[pa.RecordBatch]:
-            k, m = np.array(keys), np.stack(signs)
+            k, m, r = np.array(nodes), np.stack(signs), np.array(roots)
+            linked = np.zeros(len(k), dtype=bool)
             for i in range(len(k) - 1):
-                near = np.flatnonzero((m[i + 1 :] == m[i]).sum(axis=1) >= floor) + i + 1
+                rest = np.arange(i + 1, len(k))
+                rest = rest[r[rest] != r[i]] if whole else rest[~linked[rest]]
+                near = rest[(m[rest] == m[i]).sum(axis=1) >= floor]
                 near = near[k[near] != k[i]]
+                linked[near] = True
                 if len(near):
-                    a, b = np.minimum(k[i], k[near]), np.maximum(k[i], k[near])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(k[i], k[near])), pa.array(np.maximum(k[i], k[near]))], schema=schema)
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(6)]
-            for *bucket, key, sign in zip(*cols, strict=True):
+            cols = [batch.column(i).to_pylist() for i in range(7)]
+            for *bucket, node, sign, root in zip(*cols, strict=True):
                 if bucket != at and at is not None:
-                    yield from close()
-                    keys, signs = [], []
+                    if len(nodes) > 1:
+                        yield from close()
+                    nodes, signs, roots = [], [], []
                 at = bucket
-                keys.append(key)
+                nodes.append(node)
                 signs.append(np.frombuffer(sign, dtype=np.uint16))
-        if at is not None:
+                roots.append(root)
+        if len(nodes) > 1:
             yield from close()
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, rows: int = 4, chunk: int = 1024) -> DataFrame:
-    """Pairs (a, b, jaccard) of classes of equal fingerprints, by their smallest ids, with Jaccard similarity of threshold or more.
-
-    Bands of ``rows`` values are joined in Spark: a bucket of over ``chunk`` members is dealt to pairs of chunks, and
-    only pairs whose fingerprints agree well are put to the exact test on five-word shingle hashes. Texts without
-    words, null ids and other columns take no part; copies of a text are one class.
-    """
-    sign = F.pandas_udf(lambda s: s.map(lambda t: signature(t).tobytes()), "binary")
-    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
-    one = known.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("id").alias("id")).select("id")
-    texts = settle(known.join(one, "id", "left_semi").dropDuplicates(["id"]).where("trim(text) <> ''").withColumn("sign", sign("text")), "signatures")
+def _candidates(nodes: DataFrame, whole: bool, floor: int, rows: int, chunk: int) -> DataFrame:
+    """Pairs (a, b) of rows (node, sign, root) that share a band and agree in floor values."""
     bands = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.substring("sign", 2 * rows * i + 1, 2 * rows)).alias("value")) for i in range(N_HASHES // rows)])
-    each = texts.select("id", F.explode(bands).alias("k")).select("id", "k.*")
-    sizes = each.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
-    each = each.join(sizes, ["band", "value"]).withColumn("parts", F.ceil(F.col("n") / chunk)).withColumn("c", F.pmod(F.xxhash64("id"), "parts"))
-    dealt = each.select("id", "band", "value", "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("d"))
+    each = nodes.select("node", "root", F.explode(bands).alias("k")).select("node", "root", "k.*")
+    sizes = each.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("n > 1 AND lo <> hi")
+    each = each.join(sizes, ["band", "value"]).withColumn("parts", F.ceil(F.col("n") / chunk)).withColumn("c", F.pmod(F.xxhash64("node"), "parts"))
+    dealt = each.select("node", "band", "value", "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("d"))
     by = ["band", "value", "i", "j"]
-    dealt = dealt.select("band", "value", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "id").join(texts.select("id", "sign"), "id")
-    sorted_ = dealt.select(*by, "id", "sign").repartition(*by).sortWithinPartitions(*by)
-    floor = int(N_HASHES * (threshold - 0.2))
-    pairs = settle(sorted_.mapInArrow(_near_pairs(floor), "a bigint, b bigint").distinct(), "pairs")
+    dealt = dealt.select("band", "value", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "node").join(nodes, "node")
+    sorted_ = dealt.select(*by, "node", "sign", "root").repartition(*by).sortWithinPartitions(*by)
+    return settle(sorted_.mapInArrow(_near_pairs(floor, whole), "a bigint, b bigint").distinct(), "pairs")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Rows (a, b, jaccard) of the pairs that reach the threshold; texts has node and text."""
     hashes = F.pandas_udf(lambda s: s.map(lambda t: np.unique(shingle_hashes(t)).astype(np.int64).tolist()), "array<bigint>")
-    sets = texts.select("id", hashes("text").alias("s"))
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", hashes("text").alias("s"))
+    sets = settle(sets, "shingles")
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     jaccard = common / (F.size("sa") + F.size("sb") - common)
-    return both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return settle(both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold), "links")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, rows: int = 4, chunk: int = 1024) -> DataFrame:
+    """Rows (id, class_id, component_id, n_links), one for each row of docs.
+
+    Equal texts are one class, named by its smallest id; classes whose five-word shingle sets have Jaccard similarity
+    of threshold or more are linked, and component_id is the smallest id that links reach. Bands of ``rows`` values are
+    joined in Spark, a bucket of over ``chunk`` members as pairs of chunks. One candidate for each text is verified
+    first, then every candidate pair that this left apart: n_links counts a class's verified links of both, which
+    connect a group but are not all of its pairs. Texts without words are a class of their own without links; rows
+    with a null id count by their text and have null or the class's smallest id. Other columns take no part.
+    """
+    sign = F.pandas_udf(lambda s: s.map(lambda t: signature(t).tobytes()), "binary")
+    known = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text")).withColumn("node", F.xxhash64("text"))
+    least = settle(known.groupBy("node").agg(F.min("id").alias("class_id")), "classes")
+    texts = known.where("trim(text) <> ''").select("node", "text")
+    nodes = settle(texts.dropDuplicates(["node"]).select("node", sign("text").alias("sign")), "signatures")
+    floor = int(N_HASHES * (threshold - 0.2))
+    first = _verified(_candidates(nodes.withColumn("root", F.col("node")), False, floor, rows, chunk), texts, threshold)
+    placed = nodes.join(connected_components(first, "a", "b"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    links = first.unionByName(_verified(_candidates(settle(placed, "placed"), True, floor, rows, chunk), texts, threshold))
+    counted = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    rooted = least.join(connected_components(links, "a", "b"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"))
+    about = settle(rooted.join(named, "root").join(counted, "node", "left").select("node", "class_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "members")
+    return known.select("id", "node").join(about, "node").select(F.col("id").alias(id_col), "class_id", "component_id", "n_links")

@@ -50,11 +50,38 @@ def test_pairs_against_brute_force(spark, docs):
     sets += [(i, shingles(t)) for i, t in near[:3]]
     want = {(a, b) for a, x in sets for b, y in sets if a < b and len(x & y) >= 0.8 * len(x | y)}
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(near, "doc_id bigint, text string"))
+    root = {i: i for i, _ in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in want:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    class_of = classes | {t: i for i, t in reversed(near)}
+    expected = {i: (class_of[t], top(class_of[t])) for i, t in [*((r["doc_id"], r["text"]) for r in rows), *near]}
     for chunk in (1024, 1):
-        assert {(r["a"], r["b"]) for r in minhash.near_duplicates(df, chunk=chunk).collect()} == want
+        got = minhash.near_duplicates(df, chunk=chunk).collect()
+        assert {r["doc_id"]: (r["class_id"], r["component_id"]) for r in got} == expected
+        assert {r["class_id"] for r in got if r["n_links"]} == {i for pair in want for i in pair}
+        assert sum({r["class_id"]: r["n_links"] for r in got}.values()) <= 2 * len(want)
     assert want >= {(10_001, 10_002), (10_002, 10_003)}
 
 
+def test_near_duplicates_of_odd_rows_and_of_a_group(spark):
+    got = [tuple(r) for r in minhash.near_duplicates(documents(spark, ODD)).collect()]
+    assert len(got) == len(ODD)
+    by = {i: (c, k, n) for i, c, k, n in got if i is not None}
+    assert by[6] == (1, 1, 0) and by[2] == by[3] == (2, 2, 0) and by[4] == (4, 4, 0) and by[5][1] == 5
+    assert minhash.near_duplicates(documents(spark, [])).count() == 0
+    words = [f"word{i}" for i in range(100)]
+    group = [(i, " ".join([*words[:50], f"own{i}", *words[50:]])) for i in range(150)]
+    rows = minhash.near_duplicates(spark.createDataFrame(group, "doc_id bigint, text string")).collect()
+    assert {r["component_id"] for r in rows} == {0} and sum(r["n_links"] for r in rows) < 150 * 40
+
+
 def greedy(pieces, word):
     n = i = 0
     longest = max(map(len, pieces), default=1)
