@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.angles import known
+from .ranks import quantiles
 
 
 def _clean(rows: DataFrame, value: str) -> DataFrame:
@@ -29,8 +30,7 @@ def quantile_bins(rows: DataFrame, value: str = "confidence", bins: int = 10) ->
     n = min(bins, clean.select("v").distinct().limit(bins).count())
     if n == 0:
         return clean.limit(0).select(F.lit(0).alias("bin"), F.col("v").alias("lo"), F.col("v").alias("hi"), F.lit(0).cast("bigint").alias("count"), F.col("v").alias("mean_value"), F.col("hit").alias("accuracy"))
-    shares = F.array(*[F.lit(i / n) for i in range(n + 1)])
-    edges = clean.agg(F.percentile("v", shares).alias("e")).first()["e"]  # bins + 1 numbers
+    edges = quantiles(clean, "v", [i / n for i in range(n + 1)]).first()["q"]  # bins + 1 numbers
     edges = sorted(set(edges))
     if len(edges) == 1:
         edges = edges * 2
@@ -54,7 +54,7 @@ def threshold_coverage(rows: DataFrame, value: str = "confidence", targets: tupl
     if clean.select("v").distinct().limit(most + 1).count() <= most:
         shares = clean.agg(F.sort_array(F.collect_set("v")).alias("th"))  # at most so many values
     else:
-        shares = clean.agg(F.percentile("v", F.array(*[F.lit(i / (most - 1)) for i in range(most)])).alias("th"))
+        shares = quantiles(clean, "v", [i / (most - 1) for i in range(most)]).withColumnRenamed("q", "th")
     listed = shares.select(F.array_distinct(F.transform("th", lambda x: F.round(x, 9))).alias("ths"))
     placed = clean.crossJoin(F.broadcast(listed))  # a single row
     kept_by = F.filter("ths", lambda x: x <= F.col("v") if higher else x >= F.col("v"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.angles import distance, known
 from ..functions.tags import threshold_name
+from .ranks import quantiles
 
 # Names that a column may have in tables of other origin, the first present counting.
 ALIASES = {
@@ -153,23 +154,25 @@ def point_metrics(judged_rows: DataFrame) -> DataFrame:
     wrong = ~F.col("edge_correct")
     or_0 = lambda c: F.coalesce(c, F.lit(0.0))
     error = F.col("projection_error_m")
-    return judged_rows.agg(
+    shares = quantiles(judged_rows, "projection_error_m", [0.5, 0.9]).select(F.get("q", F.lit(0)).alias("median_projection_error_m"), F.get("q", F.lit(1)).alias("p90_projection_error_m"))
+    row = judged_rows.agg(
         F.count("*").alias("num_labelled_points"), F.countDistinct("trajectory_id").alias("num_trajectories"), share("edge_correct").alias("point_edge_accuracy"),
-        F.avg(error).alias("mean_projection_error_m"), F.percentile(error, F.lit(0.5)).alias("median_projection_error_m"), F.percentile(error, F.lit(0.9)).alias("p90_projection_error_m"),
+        F.avg(error).alias("mean_projection_error_m"),
         *[share(f"within_{r}m").alias(f"within_{r}m_rate") for r in (2, 5, 10)], share("projection_success").alias("projection_success_rate"),
         F.avg(known(F.col("confidence"))).alias("mean_confidence"), F.count_if(wrong).alias("num_error_points"),
         or_0(share("near_but_wrong_edge", wrong)).alias("error_near_but_wrong_edge_rate"), or_0(share("severe_error", wrong)).alias("error_severe_rate"),
         or_0(share("low_confidence", wrong)).alias("low_confidence_error_rate"),
     )
+    return row.crossJoin(shares)  # single rows
 
 
 def projection_summary(judged_rows: DataFrame) -> DataFrame:
     """One row: mean, quantiles and maximum of the known projection errors."""
     error = F.col("projection_error_m")
     q = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    return judged_rows.agg(
-        F.count(error).alias("points"), F.avg(error).alias("mean_m"), *[F.percentile(error, F.lit(v)).alias(f"{k}_m") for k, v in q.items()], F.max(error).alias("max_m")
-    )
+    row = judged_rows.agg(F.count(error).alias("points"), F.avg(error).alias("mean_m"), F.max(error).alias("max_m"))
+    shares = quantiles(judged_rows, "projection_error_m", list(q.values())).select(*[F.get("q", F.lit(i)).alias(f"{k}_m") for i, k in enumerate(q)])
+    return row.crossJoin(shares)  # single rows
 
 
 def edit_distance(left: Column, right: Column) -> Column:

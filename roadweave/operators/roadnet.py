@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.angles import between, turn, wrap
 from ..functions.geometry import curvature, line_bearing, line_length, reverse_line
 from ..functions.tags import CLASS_ORDER, DRIVEABLE, first_value, flag, runs_backwards, says_oneway
+from .ranks import quantiles
 
 
 def directed_edges(links: DataFrame, library: bool = False, min_length_m: float = 0.5, classes: tuple[str, ...] | None = DRIVEABLE) -> DataFrame:
@@ -118,7 +119,7 @@ def road_features(edges: DataFrame) -> DataFrame:
     """Twelve features clipped and scaled to about [0, 1]; classes are numbered in order of their names."""
     classes = edges.select(F.coalesce("road_class", F.lit("unknown")).alias("class")).distinct()
     numbered = classes.withColumn("id", F.row_number().over(Window.orderBy("class")) - 1)  # a row for each road class
-    scale = edges.agg(F.greatest(F.percentile("length_m", F.lit(0.95)), F.lit(1.0)).alias("long"))
+    scale = quantiles(edges, "length_m", [0.95]).select(F.greatest(F.get("q", F.lit(0)), F.lit(1.0)).alias("long"))
     n = classes.agg(F.greatest(F.count("*") - 1, F.lit(1)).alias("last"))
     named = edges.withColumn("class", F.coalesce("road_class", F.lit("unknown"))).join(F.broadcast(numbered), "class")
     scaled = named.crossJoin(F.broadcast(scale)).crossJoin(F.broadcast(n))  # single rows

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.angles import bearing, distance, wrap
+from .ranks import quantiles
 
 ID = "trajectory_id"
 
@@ -117,9 +118,10 @@ def report(points: DataFrame) -> DataFrame:
     whole = points.agg(
         F.count("*").alias("points"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"),
         F.count_if((F.col("dt_prev_s") <= 0)).alias("stalled"), F.avg("speed_mps").alias("mean_speed"),
-        F.percentile("speed_mps", F.lit(0.5)).alias("median_speed"), F.percentile("speed_mps", F.lit(0.95)).alias("p95_speed"), F.max("speed_mps").alias("max_speed"),
+        F.max("speed_mps").alias("max_speed"),
     )
-    return lengths.crossJoin(whole)  # two single rows
+    speeds = quantiles(points, "speed_mps", [0.5, 0.95]).select(F.get("q", F.lit(0)).alias("median_speed"), F.get("q", F.lit(1)).alias("p95_speed"))
+    return lengths.crossJoin(whole).crossJoin(speeds)  # single rows
 
 
 def split_by_hash(ids: DataFrame, train: float = 0.7, val: float = 0.15, seed: int = 42) -> DataFrame:
