@@ -166,6 +166,33 @@ def point_metrics(judged_rows: DataFrame) -> DataFrame:
     return row.crossJoin(shares)  # single rows
 
 
+def quality_metrics(matches: DataFrame, edges: DataFrame, transitions: DataFrame, need_candidate: bool = False, success_at: float = 0.9) -> DataFrame:
+    """One row of what point_metrics leaves out: labels, choices, kinds of wrong edges, legality, sequences and confidences.
+
+    Rates of wrong points are 0 without any, those of steps after the first 1. entropy, margin and pred_candidate_pos
+    may be missing; their means are null then.
+    """
+    rows = judged(labelled(matches, need_candidate))
+    rows = transition_diagnostics(edge_taxonomy(rows, edges), transitions)
+    wrong, later = ~F.col("edge_correct"), F.col("t") > 0
+    optional = lambda name: F.avg(known(F.col(name).cast("double"))) if name in matches.columns else F.lit(None).cast("double")
+    chosen = (F.col("pred_candidate_pos") == F.col("gt_candidate_pos")) if "pred_candidate_pos" in matches.columns else F.col("edge_correct")
+    or_else = lambda c, d: F.coalesce(c, F.lit(d))
+    points = rows.agg(
+        F.count("*").alias("num_labelled_points"), F.avg(chosen.cast("double")).alias("point_action_accuracy"), optional("entropy").alias("mean_entropy"), optional("margin").alias("mean_margin"),
+        *[share(c).alias(f"{c}_accuracy") for c in ("same_osm_way", "same_road_class", "same_undirected_uv")],
+        *[or_else(share(f"{side}_transition_legal", later), 1.0).alias(f"{side}_transition_legal_rate") for side in ("pred", "gt")],
+        or_else(share("same_osm_way", wrong), 0.0).alias("error_same_way_rate"), or_else(share("reverse_pair", wrong), 0.0).alias("error_reverse_edge_rate"), share("low_confidence").alias("low_confidence_rate"),
+    )
+    paths = sequence_metrics(rows.select("trajectory_id", "t", "pred_edge_idx", "gt_edge_idx"))
+    edits = paths.agg(F.avg("path_edit_distance").alias("path_edit_distance_mean"), F.avg("normalised_edit_distance").alias("normalised_edit_distance_mean"))
+    median = quantiles(paths, "path_edit_distance", [0.5]).select(F.get("q", F.lit(0)).alias("path_edit_distance_median"))
+    spread = quantiles(rows.select(known(F.col("confidence")).alias("c")), "c", [0.1, 0.5, 0.9]).select(*[F.get("q", F.lit(i)).alias(f"confidence_{n}") for i, n in enumerate(("p10", "median", "p90"))])
+    success = rows.groupBy("trajectory_id").agg(share("edge_correct").alias("acc")).agg(F.avg((F.col("acc") >= success_at).cast("double")).alias("trajectory_success_rate"))
+    whole = matches.agg(F.count("*").alias("num_points")).crossJoin(points).withColumn("num_unlabelled_points", F.col("num_points") - F.col("num_labelled_points"))
+    return whole.crossJoin(edits).crossJoin(median).crossJoin(spread).crossJoin(success)  # single rows
+
+
 def projection_summary(judged_rows: DataFrame) -> DataFrame:
     """One row: mean, quantiles and maximum of the known projection errors."""
     error = F.col("projection_error_m")

@@ -31,6 +31,18 @@ def bent_candidates(spark, sf_dir):
     return found.select("trajectory_id", "t", "candidate_rank", "edge_idx", *_PLACED)
 
 
+_RECALL = ", ".join(f"count(*) FILTER (r < {k}) / CAST(count(*) AS DOUBLE) AS recall_at_{k}" for k in (1, 3, 5, 10))
+
+
+@query(f"""SELECT count(*) AS points, {_RECALL} FROM gt_bent g LEFT JOIN (SELECT c.trajectory_id, c.t, min(candidate_rank) AS r FROM bent_cand c JOIN gt_bent x ON x.trajectory_id = c.trajectory_id AND x.t = c.t
+    AND x.gt_edge_idx = c.edge_idx GROUP BY ALL) c USING (trajectory_id, t)""", "recall_at_1", "recall_at_3", "recall_at_5", "recall_at_10", views_=("gt_bent", "bent_cand"))
+def bent_recall(spark, sf_dir):
+    edges = views.bent_edges(spark, sf_dir)
+    truth = spatial.nearest_edge(views.gt_points(spark, sf_dir), edges).where("gt_edge_idx IS NOT NULL")
+    found = spatial.candidates(views.moving(spark, sf_dir), edges).join(truth, ["trajectory_id", "t"])
+    return spatial.recall_at(found.withColumn("is_gt", (F.col("edge_idx") == F.col("gt_edge_idx")).cast("int")), truth)
+
+
 def _at(s: str) -> tuple[str, str]:
     """x and y at an offset along a bent edge."""
     first = f"({s}) <= l1"
@@ -298,6 +310,30 @@ def policy_observations(spark, sf_dir):
 # Calibration by other values than the confidence
 
 
+_QUALITY = ("point_action_accuracy", "mean_entropy", "mean_margin", "same_osm_way_accuracy", "same_road_class_accuracy", "same_undirected_uv_accuracy", "pred_transition_legal_rate", "gt_transition_legal_rate",
+            "error_same_way_rate", "error_reverse_edge_rate", "low_confidence_rate", "path_edit_distance_mean", "normalised_edit_distance_mean", "path_edit_distance_median", "confidence_p10", "confidence_median",
+            "confidence_p90", "trajectory_success_rate")
+
+
+@query("""WITH d AS (SELECT j.*, t % 4 AS pos, t * 13 % 89 / CAST(50 AS DOUBLE) AS entropy, lag(pred_edge_idx) OVER w AS pb, lag(gt_edge_idx) OVER w AS gb FROM jud j WINDOW w AS (PARTITION BY trajectory_id ORDER BY t)),
+    x AS (SELECT d.*, coalesce(p.osm_way_id = g.osm_way_id, false) AS way, coalesce(p.road_class = g.road_class, false) AS cls, coalesce(p.u = g.v AND p.v = g.u, false) AS rev,
+        coalesce((p.u = g.v AND p.v = g.u) OR (p.u = g.u AND p.v = g.v), false) AS und, pb IS NULL OR pb = pred_edge_idx OR EXISTS (SELECT 1 FROM transitions t WHERE t.prev_edge_idx = pb AND t.curr_edge_idx = pred_edge_idx) AS pl,
+        gb IS NULL OR gb = gt_edge_idx OR EXISTS (SELECT 1 FROM transitions t WHERE t.prev_edge_idx = gb AND t.curr_edge_idx = gt_edge_idx) AS gl
+        FROM d LEFT JOIN road_edges p ON p.edge_idx = pred_edge_idx LEFT JOIN road_edges g ON g.edge_idx = gt_edge_idx),
+    e AS (SELECT trajectory_id, levenshtein(string_agg(chr(CAST(27 + pred_edge_idx AS INT)), '' ORDER BY t), string_agg(chr(CAST(27 + gt_edge_idx AS INT)), '' ORDER BY t)) AS d, count(*) AS n, avg(CAST(edge_correct AS INT)) AS acc FROM jud GROUP BY 1)
+    SELECT (SELECT count(*) FROM matches) AS num_points, count(*) AS num_labelled_points, avg(CAST(pos = gt_candidate_pos AS INT)) AS point_action_accuracy, avg(entropy) AS mean_entropy, CAST(NULL AS DOUBLE) AS mean_margin,
+        avg(CAST(way AS INT)) AS same_osm_way_accuracy, avg(CAST(cls AS INT)) AS same_road_class_accuracy, avg(CAST(und AS INT)) AS same_undirected_uv_accuracy,
+        avg(CAST(pl AS INT)) FILTER (t > 0) AS pred_transition_legal_rate, avg(CAST(gl AS INT)) FILTER (t > 0) AS gt_transition_legal_rate, avg(CAST(way AS INT)) FILTER (NOT edge_correct) AS error_same_way_rate,
+        avg(CAST(rev AS INT)) FILTER (NOT edge_correct) AS error_reverse_edge_rate, avg(CAST(low_confidence AS INT)) AS low_confidence_rate, (SELECT count(*) FROM matches) - count(*) AS num_unlabelled_points,
+        (SELECT avg(d) FROM e) AS path_edit_distance_mean, (SELECT avg(d / CAST(n AS DOUBLE)) FROM e) AS normalised_edit_distance_mean, (SELECT quantile_cont(d, 0.5) FROM e) AS path_edit_distance_median,
+        quantile_cont(confidence, 0.1) AS confidence_p10, quantile_cont(confidence, 0.5) AS confidence_median, quantile_cont(confidence, 0.9) AS confidence_p90, (SELECT avg(CAST(acc >= 0.9 AS INT)) FROM e) AS trajectory_success_rate FROM x""",
+       *_QUALITY, views_=("jud", "transitions"))
+def quality_metrics(spark, sf_dir):
+    m = views.matches(spark, sf_dir).withColumns({"pred_candidate_pos": F.col("t") % 4, "entropy": ((F.col("t") * 13) % 89) / 50})
+    e = views.road_edges(spark, sf_dir)
+    return metrics.quality_metrics(m, e, roadnet.transitions(e))
+
+
 def _valued(spark, sf_dir):
     return _judged(spark, sf_dir).withColumns({"margin": ((F.col("trajectory_id") * 31 + F.col("t") * 17) % 997) / 100, "entropy": ((F.col("t") * 13) % 89) / 50})
 

@@ -43,6 +43,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                     greatest(0.0, least(1.0, ((x - mx) * (x2 - mx) + (y - my) * (y2 - my)) / (l2 * l2))) AS s2 FROM bent_all) a) b) c"""),
     "bent_cand": (("bent_on",), f"""SELECT *, r AS candidate_rank FROM (SELECT *, row_number() OVER (PARTITION BY trajectory_id, t ORDER BY round(distance_m, 9), round(yaw_diff_rad, 9), edge_idx) - 1 AS r FROM (
         SELECT *, abs({wrap('yaw - bearing_rad')}) AS yaw_diff_rad, offset_m / bent_m AS offset_ratio FROM bent_on) a) b WHERE r < 10"""),
+    "gt_bent": (("gt_points", "bent"), """SELECT trajectory_id, t, edge_idx AS gt_edge_idx FROM (SELECT *, row_number() OVER (PARTITION BY trajectory_id, t ORDER BY round(least(
+            sqrt((x - (x1 + s1 * (mx - x1))) ** 2 + (y - (y1 + s1 * (my - y1))) ** 2), sqrt((x - (mx + s2 * (x2 - mx))) ** 2 + (y - (my + s2 * (y2 - my))) ** 2)), 9), edge_idx) AS r FROM (
+        SELECT *, greatest(0.0, least(1.0, ((x - x1) * (mx - x1) + (y - y1) * (my - y1)) / (l1 * l1))) AS s1, greatest(0.0, least(1.0, ((x - mx) * (x2 - mx) + (y - my) * (y2 - my)) / (l2 * l2))) AS s2 FROM (
+            WITH n AS (SELECT g.*, e.* FROM gt_points g JOIN bent e ON g.x BETWEEN least(x1, mx, x2) - 30 AND greatest(x1, mx, x2) + 30 AND g.y BETWEEN least(y1, my, y2) - 30 AND greatest(y1, my, y2) + 30)
+            SELECT * FROM n UNION ALL SELECT g.*, e.* FROM gt_points g JOIN bent e ON g.x BETWEEN least(x1, mx, x2) - 60 AND greatest(x1, mx, x2) + 60 AND g.y BETWEEN least(y1, my, y2) - 60 AND greatest(y1, my, y2) + 60
+            WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.trajectory_id = g.trajectory_id AND n.t = g.t)) a) b) c WHERE r = 1"""),
     "routed_points": (("gt_points",), """SELECT trajectory_id, t, CASE WHEN round(d1, 9) <= round(d2, 9) THEN px1 ELSE px2 END AS x, CASE WHEN round(d1, 9) <= round(d2, 9) THEN py1 ELSE py2 END AS y FROM (
         SELECT *, sqrt((x - px1) ** 2 + (y - py1) ** 2) AS d1, sqrt((x - px2) ** 2 + (y - py2) ** 2) AS d2 FROM (
             SELECT *, 250 * s1 AS px1, b + 40 * s1 AS py1, 250 + 250 * s2 AS px2, b + 40 - 40 * s2 AS py2 FROM (
