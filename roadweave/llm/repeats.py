@@ -3,11 +3,14 @@
 Every string of ``LENGTH`` bytes has an anchor: the least hash among its 20-byte substrings. Equal strings have equal
 anchors, so only anchors that stand in more than one text can matter. A text's neighbouring strings with one anchor
 form a region; the regions of shared anchors, about as much text as the corpus repeats, are brought together by anchor,
-equal regions being merged first. Where an anchor has several different regions, a task builds an index of them: their
-suffixes are ordered by the first LENGTH bytes, the Burrows-Wheeler transform of that order is compressed to runs (cut
-where neighbouring suffixes share fewer than LENGTH bytes), and each run is sampled with the smallest document id in
-it. Streaming a region's matching statistics against the index, its bytes are marked wherever a match of LENGTH bytes
-or more comes from a smaller id.
+equal regions being merged first. Where an anchor has several different regions, a task orders their suffixes by the
+first LENGTH bytes. The bytes before the suffixes, compressed to runs (cut where neighbouring suffixes share fewer than
+LENGTH bytes), carry the smallest document id of each run as a sample, and a region's bytes are marked wherever the
+runs of a string have a smaller id than its own.
+
+This is less than a run-length index: the order itself is kept while a task works, and equal strings are found in it by
+their ranks, without backward search or streamed matching statistics. Those need the order of whole suffixes, which
+takes as many sorts again, where this operator already spends most of its time.
 """
 
 from __future__ import annotations
@@ -164,7 +167,8 @@ def _cut(common):
 
 
 class RunIndex:
-    """Index over regions with ids: which strings of LENGTH bytes stand in a region with a smaller id."""
+    """Ordered suffixes of regions with ids, and the runs of the bytes before them with the smallest id of each: which
+    strings of LENGTH bytes stand in a region with a smaller id."""
 
     def __init__(self, pieces: list[bytes], ids: np.ndarray):
         lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
