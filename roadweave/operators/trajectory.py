@@ -126,7 +126,8 @@ def report(points: DataFrame) -> DataFrame:
 
 def split_by_hash(ids: DataFrame, train: float = 0.7, val: float = 0.15, seed: int = 42) -> DataFrame:
     """Assigns every trajectory to train, val or test by a seeded hash, which stays the same however many there are."""
-    u = F.pmod(F.xxhash64(F.lit(seed), ID), F.lit(1_000_000)) / 1e6
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(ID).cast("string")))
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / 2**32
     return ids.withColumn("split", F.when(u < train, "train").when(u < train + val, "val").otherwise("test"))
 
 

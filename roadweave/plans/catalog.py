@@ -87,7 +87,8 @@ def traj_without_repeats(spark, sf_dir):
     return kept.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""SELECT CASE WHEN u < 0.7e0 THEN 'train' WHEN u < 0.7e0 + 0.15e0 THEN 'val' ELSE 'test' END AS split, count(*) AS trajectories FROM (
+    SELECT DISTINCT trajectory_id, CAST('0x' || substr(md5('42:' || trajectory_id), 1, 8) AS BIGINT) / 4294967296e0 AS u FROM points) a GROUP BY 1""", views_=("points",))
 def split_hash(spark, sf_dir):
     ids = views.points(spark, sf_dir).select("trajectory_id").distinct()
     return trajectory.split_by_hash(ids).groupBy("split").agg(F.count("*").alias("trajectories"))
@@ -222,7 +223,8 @@ def candidate_recall_by_traj(spark, sf_dir):
     return spatial.recall_by_trajectory(_labelled_candidates(spark, sf_dir), _truth(spark, sf_dir))
 
 
-@query()
+@query("""SELECT * FROM (SELECT trajectory_id, t, edge_idx, row_number() OVER (PARTITION BY trajectory_id, t ORDER BY md5('42:' || trajectory_id || ':' || t || ':' || edge_idx), edge_idx) - 1 AS slot
+    FROM cand_gt WHERE gt_edge_idx >= 0 AND edge_idx <> gt_edge_idx) a WHERE slot < 3""", views_=("cand_gt",))
 def candidate_negatives(spark, sf_dir):
     return lattice.negatives(_labelled_candidates(spark, sf_dir), 3).select("trajectory_id", "t", "edge_idx", "slot")
 
@@ -488,7 +490,10 @@ def route_overlap(spark, sf_dir):
 # Learning
 
 
-@query()
+@query("""SELECT CAST(v.trajectory_id % 4 AS INT) AS trial, count(*) AS points, avg(CAST(v.candidate_rank = g.r AS INT)) AS accuracy,
+    CASE CAST(v.trajectory_id % 4 AS INT) WHEN 0 THEN 'distance_weight=1; transition_scale=0.35' WHEN 1 THEN 'distance_weight=1; transition_scale=1' WHEN 2 THEN 'distance_weight=3; transition_scale=0.35'
+    ELSE 'distance_weight=3; transition_scale=1' END AS parameters FROM grid_vit v JOIN (SELECT trajectory_id, t, max(candidate_rank) FILTER (is_gt = 1) AS r FROM cand_gt GROUP BY ALL) g
+    ON g.trajectory_id = v.trajectory_id // 4 AND g.t = v.t WHERE g.r >= 0 GROUP BY ALL""", "accuracy", views_=("grid_vit", "cand_gt"))
 def hmm_grid_search(spark, sf_dir):
     c = _labelled_candidates(spark, sf_dir)
     truth = c.groupBy("trajectory_id", "t").agg(F.coalesce(F.max(F.when(F.col("is_gt") == 1, F.col("candidate_rank"))), F.lit(-1)).alias("gt_rank"))
@@ -555,7 +560,9 @@ def scorer_training(spark, sf_dir):
     names = ("distance_norm", "abs_yaw_diff_norm", "candidate_rank_norm", "speed_consistency", "oneway")
     labels = _labelled_candidates(spark, sf_dir).select("trajectory_id", "t", "candidate_rank", "is_gt")
     rows = _emissions(spark, sf_dir).join(labels, ["trajectory_id", "t", "candidate_rank"])
-    w, losses = learn.train_scorer(learn.labelled_steps(rows, names).persist(), len(names), epochs=5)
+    steps = learn.labelled_steps(rows, names).persist()
+    w, losses = learn.train_scorer(steps, len(names), epochs=5)
+    steps.unpersist()
     best = learn.linear_scores(rows, names, w).groupBy("trajectory_id", "t").agg(F.max_by("is_gt", "score").alias("hit"), F.max("is_gt").alias("labelled")).where("labelled = 1")
     return best.agg(F.count("*").alias("steps"), F.avg(F.col("hit").cast("double")).alias("accuracy"), F.lit(losses[0]).alias("first_loss"), F.lit(losses[-1]).alias("last_loss"))
 

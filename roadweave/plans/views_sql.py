@@ -185,6 +185,13 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                     max(CASE WHEN gt_proj_x IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY trajectory_id) AS gap FROM jud WINDOW w AS (PARTITION BY trajectory_id ORDER BY t)) a) b) c"""),
 }
 
+# Trials of a parameter grid: distances of weight 1 and 3, transitions scaled by 0.35 and 1, as sequences of their own.
+VIEWS["grid_e"] = (("es",), """SELECT trajectory_id * 4 + trial AS trajectory_id, t, CAST(dense_rank() OVER (PARTITION BY trajectory_id, trial ORDER BY t) - 1 AS BIGINT) AS step, candidate_rank AS c,
+    round(emission + (CASE WHEN trial < 2 THEN -2 ELSE 0 END) * (-0.5 * power(distance_norm / sigma, 2) - ln(sigma)), 9) AS emission FROM es, (SELECT unnest(range(4)) AS trial) x""")
+VIEWS["grid_a"] = (("ts",), """SELECT trajectory_id * 4 + trial AS trajectory_id, step, prev_rank AS p, curr_rank AS c, round(transition / 0.35 * (CASE WHEN trial % 2 = 0 THEN 0.35 ELSE 1 END), 9) AS transition
+    FROM ts, (SELECT unnest(range(4)) AS trial) x""")
+VIEWS["grid_vit"] = (("grid_e", "grid_a"), VIEWS["vit"][1].replace("vit_e", "grid_e").replace("vit_a", "grid_a"))
+
 
 def with_views(select: str, *names: str) -> str:
     """A query over the named views, with all that they build on."""

@@ -14,17 +14,21 @@ from pyspark.sql import DataFrame
 
 from ..operators.decode import MASKED, best_path
 
+#: Pairs of edges, at most, that travel with the function.
+MOST_PAIRS = 2_000_000
 _OUT = "trajectory_id bigint, t bigint, edge_idx bigint, score double"
 
 
 def match_stream(steps: DataFrame, legal: dict[int, list[int]], lag: int = 15, bonus: float = 0.35, penalty: float = 0.7) -> DataFrame:
     """Rows (trajectory_id, t, edge_idx, score) for every step of a stream of (trajectory_id, t, edges, emissions).
 
-    edges and emissions are arrays of one length, the candidates of a step. legal has the followers of each edge and is
-    small enough to travel with the function; steps of a trajectory that come out of order in different batches are
+    edges and emissions are arrays of one length, the candidates of a step. legal has the followers of each edge; more
+    than MOST_PAIRS of them are an error, and a larger map is to be cut by region. Steps of a trajectory that come out of order in different batches are
     taken in the order they come, within a batch in order of t.
     """
     followers = {int(k): set(v) for k, v in legal.items()}
+    if sum(map(len, followers.values())) > MOST_PAIRS:
+        raise ValueError(f"over {MOST_PAIRS} pairs of edges")
 
     def score(before: list[int], after: list[int]) -> np.ndarray:
         ok = [[b == a or a in followers.get(b, ()) for a in after] for b in before]
