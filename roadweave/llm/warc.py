@@ -2,7 +2,7 @@
 
 An ARC file opens with a version block whose last line names the fields of the header lines that follow; versions 1
 and 2 have different ones. The converter goes by these names and by the declared lengths, and makes for every record
-what a WARC record needs: an identifier, an ISO time, a type and SHA-1 digests. A payload that an earlier record
+what a WARC record needs: an identifier, an ISO time, a type, the server's address and SHA-1 digests. A payload that an earlier record
 (one with a smaller id) holds already becomes a revisit record that refers to it.
 
 Files are written by Spark's text sink, whose line separator is what ends a record in the format (a line feed in ARC,
@@ -133,9 +133,9 @@ def _inflate(data: bytes) -> bytes:
 
 _CONVERTED = [
     ("id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("record_id", pa.string()), ("digest", pa.string()),
-    ("length", pa.int64()), ("head", pa.binary()), ("payload", pa.binary()),
+    ("length", pa.int64()), ("ip", pa.string()), ("block_digest", pa.string()), ("head_digest", pa.string()), ("head", pa.binary()), ("payload", pa.binary()),
 ]
-_CONVERTED_DDL = "id bigint, url string, date string, record_id string, digest string, length bigint, head binary, payload binary"
+_CONVERTED_DDL = "id bigint, url string, date string, record_id string, digest string, length bigint, ip string, block_digest string, head_digest string, head binary, payload binary"
 
 
 def _rows(found: list[tuple], fields: list) -> pa.RecordBatch:
@@ -153,13 +153,13 @@ def _from_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 number = http.get("X-Page-Id", "")
                 digest = sha1_base32(payload)
                 name = uuid.uuid5(uuid.NAMESPACE_URL, f"{fields['URL']} {d} {number} {digest}")
-                found.append((int(number) if number else None, fields["URL"], date, f"<urn:uuid:{name}>", digest, len(payload), head, payload))
+                found.append((int(number) if number else None, fields["URL"], date, f"<urn:uuid:{name}>", digest, len(payload), fields["IP-address"], sha1_base32(body), sha1_base32(head), head, payload))
             if found:
                 yield _rows(found, _CONVERTED)
 
 
 def read_arc(spark, *paths: str) -> DataFrame:
-    """Records of ARC files with what WARC needs of each: record_id, ISO date, SHA-1 digest of the payload."""
+    """Records of ARC files with what WARC needs of each: record_id, ISO date, address, SHA-1 digests of payload, block and head."""
     files = spark.read.format("binaryFile").load(list(paths)).select("content")
     return files.mapInArrow(_from_arc, _CONVERTED_DDL)
 
@@ -193,7 +193,8 @@ def write_warc(records: DataFrame, least_bytes: int = 0) -> str:
     head = F.concat(
         F.lit("WARC/1.1\r\n"), _field("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))),
         _field("WARC-Record-ID", F.col("record_id")), _field("WARC-Date", F.col("date")), _field("WARC-Target-URI", F.col("url")),
-        _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
+        _field("WARC-IP-Address", F.col("ip")), _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
+        _field("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.when(again, F.col("head_digest")).otherwise(F.col("block_digest")))),
         F.when(again, F.concat(
             _field("WARC-Profile", F.lit(REVISIT_PROFILE)), _field("WARC-Refers-To", F.col("first_id")),
             _field("WARC-Refers-To-Target-URI", F.col("first_url")), _field("WARC-Refers-To-Date", F.col("first_date")),
@@ -236,6 +237,8 @@ def _from_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if kind == "warcinfo":
                     continue
                 _, payload, http = _http(block)
+                if sha1_base32(block) != fields["WARC-Block-Digest"].removeprefix("sha1:"):
+                    raise ValueError(f"block of {fields['WARC-Record-ID']} doesn't match its digest")
                 length, digest = int(http["Content-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:")
                 if kind == "response" and (len(payload) != length or sha1_base32(payload) != digest):
                     raise ValueError(f"payload of {fields['WARC-Record-ID']} doesn't match its digest")
