@@ -23,7 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the runs of lines that stand earlier in the corpus; n_chars follows the text."""
     found = linededup.dedup_runs(docs)
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    removed = found.columns[-1]  # n_removed, under a name that documents don't have
+    n_chars = F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", n_chars.cast("bigint")).select(*docs.columns)
 
 

@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 from roadweave.llm.common import table
 
-from .conftest import DATA, COLUMNS
+from .conftest import COLUMNS, DATA, ODD, documents
 from .test_toxicity_repeats import made_corpus
 
 
@@ -47,3 +47,24 @@ def test_run_on_the_given_tables(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "copies"]
     assert out.count() > 0 and out.where("copies < 1").count() == 0
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, tmp_path):
+    rows, labels = made_corpus(60)
+    folder = str(tmp_path)
+    spark.createDataFrame([*[(i, 1, y) for i, y in labels], (None, 1, 1), (1, 1, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "question " * 3), (1, None), (None, "")], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    odd = documents(spark, [*ODD, *[(100 + i, t) for i, t in rows], (160, "one"), (None, None)])
+    for docs in (odd, odd.limit(0)):
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, folder)
+            assert out.columns[: len(docs.columns)] == docs.columns, name
+            path = f"{folder}/{docs.isEmpty()}{i}"
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)
+    kept = corpus_pipeline.drop_near_copies(spark, odd, folder).select("doc_id", "text").collect()
+    ids = [r["doc_id"] for r in kept]
+    assert {1, 2, 5, 7, 8, 9} <= set(ids) and not {3, 4, 6, 160} & set(ids) and ids.count(7) == 2
+    assert sum(i is None for i in ids) == 4
+    lined = corpus_pipeline.drop_repeated_lines(spark, odd, folder)
+    assert lined.count() == odd.count() and lined.where("doc_id = 2").first()["text"] is None
