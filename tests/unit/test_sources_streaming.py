@@ -84,8 +84,8 @@ def test_entry_names_and_columns(spark):
 
 
 CHEAP = ["traj_kinematics", "road_degrees", "line_graph_transitions", "candidates_topk", "candidate_recall", "hmm_emission", "point_metrics", "mm2_criteria", "threshold_coverage", "asof_nearest",
-         "bent_candidates", "bent_bearings", "gt_edge_by_route", "edges_cleaned", "segment_features", "speed_tags", "route_report", "route_sources", "forward_bearings", "first_trajectories", "canonical_matches",
-         "negatives_hard", "candidate_hints", "emission_losses", "threshold_margin", "threshold_entropy", "margin_bins", "viterbi_path", "posterior_conf", "viterbi_fixed_lag", "match_table"]
+         "bent_candidates", "bent_bearings", "edges_cleaned", "segment_features", "speed_tags", "route_report", "route_sources", "forward_bearings", "first_trajectories", "canonical_matches",
+         "threshold_margin", "threshold_entropy", "margin_bins", "viterbi_path", "posterior_conf", "viterbi_fixed_lag"]
 
 
 @pytest.fixture(scope="module")
