@@ -185,6 +185,8 @@ WIDE_CHUNK = 8192
 _ROWS_AT_ONCE = 128
 #: Members of a bucket up to which it is compared together with others.
 _SMALL = 64
+#: More than the chunks of any bucket.
+_CHUNKS = 1 << 32
 #: Of the wide tables, every so many serve for the first forest.
 _FIRST_STEP = 8
 
@@ -226,16 +228,18 @@ def _sketched(n_words: int):
     return of
 
 
-def _wide_pairs(radius: int, whole: bool, threshold: float):
-    """Streams rows (bucket, i, j, node, fp, n, sketch, root) sorted by bucket. Pairs of nodes that are within radius and
-    that neither size nor sketch rules out: all those whose roots differ if whole, else one for each node that has any.
-    Holds one bucket's two chunks at a time; small buckets are compared many at once."""
+def _wide_pairs(radius: int, whole: bool, threshold: float, tables: list[int]):
+    """Streams rows (bucket, i, j, node, fp, n, sketch, root) sorted by bucket, i having the table's number as well. Pairs
+    of nodes that are within radius and that neither size nor sketch rules out, each in the first table alone in which
+    it meets: all those whose roots differ if whole, else one for each node that has any. Holds one bucket's two
+    chunks at a time; small buckets are compared many at once."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    masks = np.array(tables, dtype=np.int64)
     # Of sets with Jaccard similarity t, at most (1 - t) / (1 + t) of both sizes together are in one set only.
     apart = (1 - threshold) / (1 + threshold) + 1e-9
 
     def likely(own: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Which of the pairs of places (x, y) can have the wanted similarity, and two roots if whole."""
+        """Which of the pairs of places (x, y) can have the wanted similarity, two roots if whole, and meet here first."""
         n = own["n"]
         out = np.abs(n[x] - n[y]) <= apart * (n[x] + n[y])
         if whole:
@@ -243,6 +247,11 @@ def _wide_pairs(radius: int, whole: bool, threshold: float):
         at = np.flatnonzero(out)
         differ = np.bitwise_count(own["sketch"][x[at]] ^ own["sketch"][y[at]]).sum(axis=1)
         out[at] = differ <= apart * (n[x[at]] + n[y[at]])
+        at = np.flatnonzero(out)
+        for lo in range(0, len(at), 1 << 14):
+            some = at[lo : lo + (1 << 14)]
+            meets = ((own["fp"][x[some]] ^ own["fp"][y[some]])[:, None] & masks) == 0
+            out[some] = meets.argmax(axis=1) == own["keys"][x[some], 1] // _CHUNKS
         return out
 
     def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -302,19 +311,20 @@ def _wide_pairs(radius: int, whole: bool, threshold: float):
 
 def _wide_candidates(nodes: DataFrame, whole: bool, chunk: int, threshold: float) -> DataFrame:
     """Pairs (a, b) of rows (node, fp, n, sketch, root) within WIDE_RADIUS: some from every so many tables, or all with two roots."""
-    tables = list(enumerate(wide_masks()))[:: 1 if whole else _FIRST_STEP]
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in tables])
+    tables = wide_masks()[:: 1 if whole else _FIRST_STEP]
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(tables)])
     member = ["node", "fp", "n", "sketch", "root"]
     # Keys have 16 bits at most, so there are never more large buckets than a broadcast can hold.
     large = nodes.select(F.explode(keys).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("held")).where(F.col("held") > chunk)
     large = large.select("bucket", F.ceil(F.col("held") / chunk).alias("parts"))
-    rows = nodes.select(*member, F.explode(keys).alias("bucket"))
+    rows = nodes.select(*member, F.posexplode(keys).alias("no", "bucket"))
     rows = rows.join(F.broadcast(large), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("c", F.pmod(F.xxhash64("node"), F.col("parts")))
-    dealt = rows.select("bucket", *member, "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("d"))
-    dealt = dealt.select("bucket", F.least("c", "d").cast("int").alias("i"), F.greatest("c", "d").cast("int").alias("j"), *member)
+    dealt = rows.select("bucket", "no", *member, "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("d"))
+    first = F.least("c", "d") + F.col("no") * F.lit(_CHUNKS)
+    dealt = dealt.select("bucket", first.alias("i"), F.greatest("c", "d").alias("j"), *member)
     by = ["bucket", "i", "j"]
-    found = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_wide_pairs(WIDE_RADIUS, whole, threshold), "a bigint, b bigint")
+    found = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_wide_pairs(WIDE_RADIUS, whole, threshold, tables), "a bigint, b bigint")
     return found.distinct()
 
 
