@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -76,3 +76,20 @@ def fresh(columns: Iterable[str], *names: str) -> list[str]:
         taken.add(name)
         out.append(name)
     return out
+
+
+def numbered(df: DataFrame, column: str, *order: Column) -> DataFrame:
+    """df, written, with its rows numbered from 0 in the given order as column.
+
+    Rows are sorted in ranges, so no task holds more than a range; only the sizes of the ranges meet, as many numbers
+    as there are ranges. Rows that are equal in order are numbered in any order.
+    """
+    place, part, start = fresh([*df.columns, column], "place", "part", "start")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = settle(ranged.withColumn(place, F.monotonically_increasing_id()), "ordered")
+    number = F.shiftright(place, 33).alias(part)  # of the range; the other bits count the rows within it
+    sizes = rows.groupBy(number).agg(F.count("*").alias("n"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start))
+    rows = rows.withColumn(part, F.shiftright(place, 33)).join(F.broadcast(starts), part)
+    return rows.withColumn(column, F.col(start) + F.col(place).bitwiseAND(F.lit((1 << 33) - 1))).drop(part, place, start)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, linededup, minhash, mixing, repeats, simhash, tokens, toxicity, warc
+from . import decontaminate, html, linededup, minhash, minmax, mixing, repeats, resample, simhash, tokens, toxicity, trie, warc
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -208,8 +208,95 @@ SELECT doc_id, domain, lang, source, n_tokens, whole + CASE WHEN running <= rest
 )
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of rebuilt conversations with its subtree's leaves and savings."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def _crc32_sql(values: str) -> str:
+    """CRC-32 of a list of bytes."""
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::BIGINT, {values}), lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT for k in range(8)]),"
+        " lambda u, v: CASE WHEN u % 2 = 1 THEN xor(u >> 1, 3988292384::BIGINT) ELSE u >> 1 END)), 4294967295::BIGINT)"
+    )
+
+
+SQL["op11_trie"] = f"""
+WITH turns AS (
+    SELECT conv_id AS c, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t, length(coalesce(text, '')) AS size, turn
+    FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(t ORDER BY turn NULLS FIRST, t) AS ts, list(size ORDER BY turn NULLS FIRST, t) AS sizes FROM turns GROUP BY c),
+heads AS (SELECT *, {_crc32_sql("[CAST(ascii(x) AS BIGINT) for x in string_split(CAST(c AS VARCHAR), '')]")} % 6 AS h FROM own),
+rebuilt AS (
+    SELECT a.c, list_concat(coalesce(b.ts[1:a.h], []), a.ts[a.h + 1:]) AS ts, list_concat(coalesce(b.sizes[1:a.h], []), a.sizes[a.h + 1:]) AS sizes
+    FROM heads a LEFT JOIN own b ON b.c = a.c - a.c % 100),
+prefix AS (SELECT c, d, array_to_string(ts[1:d], '') AS key, CASE WHEN d = 0 THEN NULL ELSE array_to_string(ts[1:d - 1], '') END AS up, CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS size, d = len(ts) AS ends
+    FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM rebuilt) x),
+node AS (
+    SELECT key, any_value(up) AS up, any_value(d) AS d, min(c) AS conv_id, count(*) AS n_convs, any_value(size) AS size, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+    FROM prefix GROUP BY key),
+full_node AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM node n LEFT JOIN (SELECT up, count(*) AS n FROM node WHERE up IS NOT NULL GROUP BY up) k ON k.up = n.key),
+below AS (
+    SELECT a AS key, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * size) AS saved_tokens
+    FROM (SELECT substr(key, 1, CAST(64 * e AS BIGINT)) AS a, n_children, n_convs, size FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM full_node) x) y GROUP BY a)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM full_node n JOIN below b ON b.key = n.key LEFT JOIN node p ON p.key = n.up
+"""
+
+
+def op12_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of shingles, the smallest doc_id that links reach, and whether that is its own."""
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_minmax"] = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents),
+s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] END) AS s
+    FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a AS doc_id, a AS other FROM both_ways UNION SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON e.a = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(l.component_id, w.doc_id) AS component_id, coalesce(l.component_id, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN least l ON l.doc_id = w.doc_id
+"""
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark, its score, and its rank among the tenth that is drawn."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op13_resample"] = rf"""
+WITH words AS (
+    SELECT kind, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+    FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark) x),
+hashed AS (
+    SELECT w, {_crc32_sql("[CAST('0x' || substr(hex(encode(w)), 2 * i + 1, 2) AS BIGINT) for i in range(octet_length(encode(w)))]")} % 10000 AS bucket
+    FROM (SELECT DISTINCT w FROM words) x),
+counted AS (SELECT kind, id, bucket, count(*) AS n FROM words JOIN hashed USING (w) GROUP BY kind, id, bucket),
+total AS (SELECT CAST(coalesce(sum(n) FILTER (kind = 'd'), 0) AS DOUBLE) AS s_all, CAST(coalesce(sum(n) FILTER (kind = 'b'), 0) AS DOUBLE) AS t_all FROM counted),
+gain AS (
+    SELECT bucket, CAST(floor(CAST(1000 AS DOUBLE) * ln(
+        (CAST(coalesce(sum(n) FILTER (kind = 'b'), 0) AS DOUBLE) + 1) * (any_value(s_all) + 10000) / ((CAST(coalesce(sum(n) FILTER (kind = 'd'), 0) AS DOUBLE) + 1) * (any_value(t_all) + 10000)))) AS BIGINT) AS gain
+    FROM counted, total GROUP BY bucket),
+weight AS (SELECT id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * gain) AS BIGINT) AS weight FROM counted JOIN gain USING (bucket) WHERE kind = 'd' GROUP BY id),
+scored AS (
+    SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + CAST(floor(CAST(-1000 AS DOUBLE) * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+    FROM documents LEFT JOIN weight ON id = doc_id),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, sum(CASE WHEN n_features >= 20 THEN 1 ELSE 0 END) OVER () AS n_all FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= CAST(n_all AS BIGINT) * 10 // 100 THEN r END AS rank FROM ranked
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_tokens": op2_tokens, "op3_html": op3_html, "op4_lines": op4_lines, "op5_toxicity": op5_toxicity, "op6_warc": op6_warc, "op7_simhash": op7_simhash, "op8_repeats": op8_repeats, "op9_mixing": op9_mixing, "op10_decontaminate": op10_decontaminate}
+    return {"op1_minhash": op1_minhash, "op2_tokens": op2_tokens, "op3_html": op3_html, "op4_lines": op4_lines, "op5_toxicity": op5_toxicity, "op6_warc": op6_warc, "op7_simhash": op7_simhash, "op8_repeats": op8_repeats, "op9_mixing": op9_mixing, "op10_decontaminate": op10_decontaminate, "op11_trie": op11_trie, "op12_minmax": op12_minmax, "op13_resample": op13_resample}
 
 
 def oracle_sql() -> dict[str, str]:
