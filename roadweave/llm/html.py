@@ -34,7 +34,9 @@ _SIBLINGS = {
     "tr": (frozenset(("tr", "td", "th")), frozenset(("table", "tbody", "thead", "tfoot"))), "td": (frozenset(("td", "th")), frozenset(("tr", "table"))),
     "th": (frozenset(("td", "th")), frozenset(("tr", "table"))), "option": (frozenset(("option",)), frozenset(("select",))),
 }
-_DROPPED_TAGS = frozenset("nav aside footer form button select fieldset menu dialog svg canvas object audio video head search datalist".split())
+_DROPPED_TAGS = frozenset("nav aside footer button select menu dialog svg canvas object audio video head search datalist".split())
+_FORM_TAGS = frozenset("form fieldset".split())
+_CONTROLS = frozenset("input select textarea button".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: A name says menu, advert, comments and the like if it has a word of the first set and otherwise only words of the second.
 _DROPPED_NAMES = frozenset(
@@ -43,6 +45,11 @@ _DROPPED_NAMES = frozenset(
     "overlay pager pagination popup privacy promo promoted recommend recommended related replies reply respond search share sharing sidebar "
     "signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
+#: Of these, names that also stand on what holds a page's whole text.
+_LOOSE_NAMES = frozenset(
+    "banner disclaimer modal notice notices notification overlay pager pagination popup promo promoted search share sharing skip social sponsor sponsored subscribe "
+    "subscription tags toolbar topbar widget widgets".split()
+)
 _HEAD_NAMES = frozenset("header masthead".split())
 _NEUTRAL_NAMES = frozenset(
     "all area articles aside bar block body bottom box btn button buttons card cards col column container content desktop entry fixed form global "
@@ -52,6 +59,11 @@ _NEUTRAL_NAMES = frozenset(
 )
 _GOOD_NAMES = frozenset("article body content entry main post story text".split())
 _ARTICLE_NAMES = frozenset("article entry post story".split())
+#: Whether a part is none of the article whatever it holds, or only if it holds less than HALF of the page's text.
+_STAYS, _SOFT, _HARD = 0, 1, 2
+HALF = 0.5
+#: Characters a control: a form with less text than that is a form, even if it holds most of the page's text.
+TEXT_A_CONTROL = 100
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>""", re.S
 )
@@ -61,10 +73,16 @@ _DIGITS = re.compile(r"\d+")
 
 
 class _Node:
-    __slots__ = ("tag", "label", "parent", "dropped", "linked", "score", "good", "number", "code", "in_body", "in_article")
-
-    def __init__(self, tag: str, label: str, parent: _Node | None, dropped: bool, linked: bool, good: bool, number: int):
-        self.tag, self.label, self.parent, self.dropped, self.linked, self.good, self.number = tag, label, parent, dropped, linked, good, number
+    __slots__ = ("tag", "label", "parent", "dropped", "soft", "held", "controls", "linked", "score", "good", "number", "code", "in_body", "in_article")
+
+    def __init__(self, tag: str, label: str, parent: _Node | None, dropped: int, linked: bool, good: bool, number: int):
+        self.tag, self.label, self.parent, self.linked, self.good, self.number = tag, label, parent, linked, good, number
+        self.dropped = dropped == _HARD or parent is not None and parent.dropped
+        #: The nodes from here up that are dropped if they hold little.
+        self.soft: tuple[_Node, ...] = parent.soft if parent else ()
+        if dropped == _SOFT:
+            self.soft = (*self.soft, self)
+        self.held = self.controls = 0
         self.score = 0.0
         self.code = hash((parent.code if parent else 0, label))  # of the path, for comparisons within a page
         self.in_body = tag == "body" or parent is not None and parent.in_body
@@ -102,10 +120,11 @@ class Page:
         self._parts: list[str] = []
         self._links = 0
         self._in_link = 0
-        self.root = _Node("html", "html", None, False, False, False, 0)
+        self.root = _Node("html", "html", None, _STAYS, False, False, 0)
         self._numbered = 0
         self._at = self.root
         self._parse(source or "")
+        self._sift()
         self._score()
         if names and not self.blocks and source:  # a name that usually says menu or the like stands above all text
             self.__init__(source, names=False)
@@ -130,13 +149,16 @@ class Page:
         names = (given.get("class", "") + " " + given.get("id", "")).split() if given else []
         parts = {p.lower() for n in names for p in _NAME_PARTS.findall(n)}
         at = self._at
-        dropped = at.dropped or tag in _DROPPED_TAGS or tag == "header" and not at.in_article
-        if given and not dropped and tag != "body":
+        dropped = _HARD if tag in _DROPPED_TAGS or tag == "header" and not at.in_article else _SOFT if tag in _FORM_TAGS else _STAYS
+        if given and dropped != _HARD and not at.dropped and tag != "body":
             style = given.get("style", "").replace(" ", "").lower()
-            dropped = (
+            if (
                 "hidden" in given or given.get("aria-hidden") == "true" or given.get("role", "").lower() in _DROPPED_ROLES
-                or "display:none" in style or "visibility:hidden" in style or self._by_name and self._says_dropped(tag, names, at.in_article)
-            )
+                or "display:none" in style or "visibility:hidden" in style
+            ):
+                dropped = _HARD
+            elif self._by_name:
+                dropped = max(dropped, self._says_dropped(tag, names, at.in_article))
         label = tag
         if given.get("class"):
             label += "." + ".".join(sorted({_DIGITS.sub("", n) for n in given["class"].split()} - {""}))
@@ -147,18 +169,24 @@ class Page:
             self._at.in_article = True
 
     @staticmethod
-    def _says_dropped(tag: str, names: list[str], in_article: bool) -> bool:
-        """Whether a class or id is wholly one of menus, adverts, comments and so on; a head is one outside of articles only."""
+    def _says_dropped(tag: str, names: list[str], in_article: bool) -> int:
+        """Whether a class or id is wholly one of menus, adverts, comments and so on; a head is one outside of articles only.
+
+        Beside a name that says article, a loose one says nothing and any other no more than a loose one does alone.
+        """
+        out, says_article = _STAYS, False
         for name in names:
             parts = [p.lower() for p in _NAME_PARTS.findall(name)]
             if tag in ("article", "main", "p"):
                 parts = ["".join(parts)]
             rest = [p for p in parts if len(p) > 1 and p not in _NEUTRAL_NAMES]
             if not rest:
-                continue
-            if _DROPPED_NAMES.issuperset(rest) or not in_article and _ARTICLE_NAMES.isdisjoint(parts) and (_DROPPED_NAMES | _HEAD_NAMES).issuperset(rest):
-                return True
-        return False
+                says_article = says_article or not _ARTICLE_NAMES.isdisjoint(parts)
+            elif _DROPPED_NAMES.issuperset(rest):
+                out = max(out, _SOFT if _LOOSE_NAMES.issuperset(rest) else _HARD)
+            elif not in_article and _ARTICLE_NAMES.isdisjoint(parts) and (_DROPPED_NAMES | _HEAD_NAMES).issuperset(rest):
+                out = _HARD
+        return max(out - 1, _STAYS) if says_article else out
 
     def _line(self) -> Iterator[_Node]:
         at: _Node | None = self._at
@@ -192,6 +220,9 @@ class Page:
                 if tag == "hr":
                     self._end_block()
                 continue
+            if tag in _CONTROLS and "hidden" not in m[3]:
+                for n in self._at.soft:
+                    n.controls += 1
             if tag in _VOID:
                 continue
             if tag in _RAW:
@@ -245,6 +276,17 @@ class Page:
             if tag not in _BLOCK and n.tag in _CONTAINER:  # an inline end tag doesn't close blocks
                 return
 
+    def _sift(self) -> None:
+        """Drops the text of parts that hold less than half of the page's and of forms that are mostly controls."""
+        total = 0
+        for node, text, links in self.blocks:
+            worth = len(text) - links
+            total += worth
+            for n in node.soft:
+                n.held += worth
+        goes = lambda n: n.held < HALF * total or n.tag in _FORM_TAGS and n.held < TEXT_A_CONTROL * n.controls or not n.held
+        self.blocks = [b for b in self.blocks if not any(map(goes, b[0].soft))]
+
     def _score(self) -> None:
         """Text that is not links counts for the nearest container, and half for the one above."""
         self.best: _Node | None = None

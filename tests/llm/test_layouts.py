@@ -1,6 +1,9 @@
 """Main text of several page layouts: what articles keep and what goes."""
 
+import random
+
 import pytest
+
 from roadweave.llm import html
 
 P = "<p>" + "Some long words of prose that make an article. " * 6 + "</p>"
@@ -42,6 +45,56 @@ def test_an_article_of_links_keeps_its_text():
     assert text_of("") == text_of(None) == text_of("<p> </p>") == ""
 
 
+WRAPPED = {
+    "all in one form": f"<body><form id=form1 action=x><input type=hidden name=v><div class=menu><a href=1>Home</a></div><article>{P}%s{P}</article><input name=q><div class=footer>f</div></form></body>",
+    "a widget": f'<body><div class="widget Blog"><div class="post-body">{P}%s{P}</div></div><div class="widget links"><a href=1>Other</a></div><div class="footer">foot line</div></body>',
+    "several names": f'<body><div class="menu">Menu</div><div class="post social">{P}%s{P}</div><div><p>after it</p></div></body>',
+    "an overlay": f'<body><div class="overlay"><div id="content">{P}%s{P}</div></div><div class="cookie-notice">We use cookies</div></body>',
+    "a banner beside it": f'<body><div class="banner">Buy now</div><div class="story sidebar">{P}%s{P}</div><div class="sidebar">side</div></body>',
+}
+
+
+@pytest.mark.parametrize("layout", WRAPPED)
+def test_parts_that_hold_the_article_stay_whatever_they_are_called(layout):
+    for part, text in KEPT:
+        assert text_of(WRAPPED[layout] % part) == f"{PROSE} {text} {PROSE}"
+    for part in GONE:
+        assert text_of(WRAPPED[layout] % part) == f"{PROSE} {PROSE}"
+
+
+def test_long_comments_and_forms_do_not_pass_for_the_article():
+    said = "<p>" + "Nice. " * 300 + "</p>"
+    fields = "".join(f"<p>Tell us about your place {i} and more <input name=f{i}></p>" for i in range(40))
+    for extra in (f'<div id="comments">{said}</div>', f'<div class="post-comments">{said}</div>', f"<form>{fields}</form>", f'<div class="sidebar">{said}</div>', f'<div class="widget"><div class="comment-list">{said}</div></div>'):
+        assert text_of(f'<body><div class="post">{P}</div>{extra}</body>') == PROSE
+
+
+def test_planted_articles_on_random_pages():
+    """Every page has its own order of parts, names and wrapping; the truth is what was planted as article."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n)) + "."
+    furniture = [
+        lambda: f'<nav><ul>{"".join(f"<li><a href=/{i}>{word()}</a></li>" for i in range(6))}</ul></nav>', lambda: f"<header><h2>{prose(4)}</h2></header>", lambda: f'<div class="sidebar">{prose(15)}</div>',
+        lambda: f'<div class="widget social"><a href=1>{word()}</a></div>', lambda: f'<form><input name=m><input type=submit> {prose(8)}</form>', lambda: f'<div class="cookie-banner">{prose(10)}</div>',
+        lambda: f'<section id="comments"><p>{prose(r.randint(5, 200))}</p></section>', lambda: f"<footer>{prose(9)}</footer>", lambda: f"<script>var a = '{prose(9)}'</script>",
+    ]
+    wraps = ["<article>%s</article>", '<div class="entry-content">%s</div>', '<div class="widget Blog"><div class="post-body">%s</div></div>', '<div class="post social">%s</div>', '<div id="content" class="text">%s</div>']
+    found = planted = right = 0
+    for _ in range(300):
+        blocks = [prose(r.randint(12, 60)) for _ in range(r.randint(2, 8))]
+        inner = "".join(r.choice(["<p>%s</p>", "<h2>%s</h2>", "<ul><li>%s</li></ul>", "<blockquote><p>%s</p></blockquote>", "<p><b>%s</b></p>"]) % b for b in blocks)
+        parts = [r.choice(wraps) % inner, *[f() for f in r.sample(furniture, r.randint(2, 7))]]
+        r.shuffle(parts)
+        page = "".join(parts)
+        page = f'<html><body>{page if r.random() < 0.7 else f"<form action=x>{page}</form>"}</body></html>'
+        text = text_of(page)
+        found += len(text.split())
+        planted += sum(len(b.split()) for b in blocks)
+        right += sum(len(b.split()) for b in blocks if b in text)
+    assert right / planted > 0.99 and right / found > 0.99
+
+
 def test_pages_without_a_host_do_not_vote_together(spark):
     a = f'<body><div class="a">{P}</div><div class="b"><p>b</p></div></body>'
     b = f'<body><div class="a"><p>a</p></div><div class="b">{P}</div></body>'
