@@ -5,6 +5,9 @@ and 2 have different ones. The converter goes by these names and by the declared
 what a WARC record needs: an identifier, an ISO time, a type, the server's address and SHA-1 digests. A payload that an earlier record
 (one with a smaller id) holds already becomes a revisit record that refers to it.
 
+Archives are read twice, once for what identifies each record and once to convert it; between them only these few
+columns meet, and each file gets its own records' part of them back. Payloads are never shuffled by record.
+
 Files are written by Spark's text sink, whose line separator is what ends a record in the format (a line feed in ARC,
 two CRLF in WARC), and read as binary files. Each has at most ``RECORDS`` records, so a task reads files of bounded
 number; archives lie in the shared folder.
@@ -20,7 +23,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch, settle, text_of
@@ -97,7 +100,8 @@ def write_arc(pages: DataFrame, version: int, id_col: str = "page_id", url_col:
 
 
 def arc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and body of each record of an ARC file but the version block."""
+    """Header fields and body of each record of an ARC file but the version block, which is the first and no other,
+    whatever the addresses of later records look like."""
     at, fields = 0, None
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
@@ -108,7 +112,7 @@ def arc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         length = int(line[-1])
         body = data[end + 1 : end + 1 + length]
         at = end + 1 + length
-        if line[0].startswith("filedesc:"):
+        if fields is None and line[0].startswith("filedesc:"):
             fields = body.decode("latin-1").strip().splitlines()[-1].split(" ")
         elif fields is None or len(line) != len(fields) or len(body) != length:
             raise ValueError(f"not an ARC record: {line[:5]}")
@@ -132,36 +136,47 @@ def _inflate(data: bytes) -> bytes:
 
 
 _CONVERTED = [
-    ("id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("record_id", pa.string()), ("digest", pa.string()),
-    ("length", pa.int64()), ("ip", pa.string()), ("block_digest", pa.string()), ("head_digest", pa.string()), ("head", pa.binary()), ("payload", pa.binary()),
+    ("path", pa.string()), ("place", pa.int64()), ("id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("record_id", pa.string()), ("digest", pa.string()), ("length", pa.int64()), ("ip", pa.string()), ("head", pa.binary()), ("payload", pa.binary()),
 ]
-_CONVERTED_DDL = "id bigint, url string, date string, record_id string, digest string, length bigint, ip string, block_digest string, head_digest string, head binary, payload binary"
+_CONVERTED_DDL = "path string, place bigint, id bigint, url string, date string, record_id string, digest string, length bigint, ip string, head binary, payload binary"
+#: Of these, what identifies a record.
+_KNOWN = ["path", "place", "id", "url", "date", "record_id", "digest", "length"]
 
 
 def _rows(found: list[tuple], fields: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*found, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _from_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for content in batch.column(0):
-            found = []
-            for fields, body in arc_records(_inflate(content.as_py())):
-                head, payload, http = _http(body)
-                d = fields["Archive-date"]
-                date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-                number = http.get("X-Page-Id", "")
-                digest = sha1_base32(payload)
-                name = uuid.uuid5(uuid.NAMESPACE_URL, f"{fields['URL']} {d} {number} {digest}")
-                found.append((int(number) if number else None, fields["URL"], date, f"<urn:uuid:{name}>", digest, len(payload), fields["IP-address"], sha1_base32(body), sha1_base32(head), head, payload))
-            if found:
-                yield _rows(found, _CONVERTED)
+def _iso(date: str) -> str:
+    return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
+
+
+def _from_arc(whole: bool):
+    """Records of files (path, content); head and payload are left out unless whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                found = []
+                for place, (fields, body) in enumerate(arc_records(_inflate(content.as_py()))):
+                    head, payload, http = _http(body)
+                    number, digest = http.get("X-Page-Id", ""), sha1_base32(payload)
+                    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{fields['URL']} {fields['Archive-date']} {number} {digest}")
+                    known = (path.as_py(), place, int(number) if number else None, fields["URL"], _iso(fields["Archive-date"]), f"<urn:uuid:{name}>", digest, len(payload))
+                    found.append((*known, fields["IP-address"], head, payload) if whole else known)
+                if found:
+                    yield _rows(found, _CONVERTED if whole else _CONVERTED[: len(_KNOWN)])
+
+    return run
+
+
+def _files(spark, *paths: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(list(paths)).select("path", "content")
 
 
 def read_arc(spark, *paths: str) -> DataFrame:
-    """Records of ARC files with what WARC needs of each: record_id, ISO date, address, SHA-1 digests of payload, block and head."""
-    files = spark.read.format("binaryFile").load(list(paths)).select("content")
-    return files.mapInArrow(_from_arc, _CONVERTED_DDL)
+    """Records of ARC files with what WARC needs of each: file and place in it, record_id, ISO date, address, SHA-1 digest of the payload."""
+    return _files(spark, *paths).mapInArrow(_from_arc(True), _CONVERTED_DDL)
 
 
 def _warc_opening() -> bytes:
@@ -170,8 +185,57 @@ def _warc_opening() -> bytes:
     return head.encode() + body
 
 
-def _field(name: str, value: Column) -> Column:
-    return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
+def _warc_record(url: str, date: str, record_id: str, digest: str, ip: str, head: bytes, payload: bytes, first: tuple[str, str, str] | None) -> bytes:
+    """A response record, or a revisit of first (record id, address, date) without the payload."""
+    block = head if first else head + payload
+    about = (f"WARC-Profile: {REVISIT_PROFILE}\r\nWARC-Refers-To: {first[0]}\r\nWARC-Refers-To-Target-URI: {first[1]}\r\nWARC-Refers-To-Date: {first[2]}\r\n") if first else ""
+    lines = (
+        f"WARC/1.1\r\nWARC-Type: {'revisit' if first else 'response'}\r\nWARC-Record-ID: {record_id}\r\nWARC-Date: {date}\r\nWARC-Target-URI: {url}\r\nWARC-IP-Address: {ip}\r\n"
+        f"WARC-Payload-Digest: sha1:{digest}\r\nWARC-Block-Digest: sha1:{sha1_base32(block)}\r\n{about}Content-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n"
+    )
+    return lines.encode("utf-8", "surrogateescape") + block
+
+
+_MADE = pa.schema([("value", pa.binary())])
+
+
+def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """WARC records of rows (url, date, record_id, digest, ip, head, payload, first_id, first_url, first_date)."""
+    for batch in batches:
+        made = []
+        for *record, first_id, first_url, first_date in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            made.append(_warc_record(*record, (first_id, first_url, first_date) if first_id else None))
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], schema=_MADE)
+
+
+def _files_to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """WARC records of ARC files (content, told), told having (place, record_id, digest, first_id, first_url, first_date) of each record."""
+    for batch in batches:
+        for content, told in zip(batch.column(0), batch.column(1), strict=True):
+            about = {t["place"]: t for t in told.as_py() or []}
+            made, size = [], 0
+            for place, (fields, body) in enumerate(arc_records(_inflate(content.as_py()))):
+                t = about[place]
+                head, payload, _ = _http(body)
+                first = (t["first_id"], t["first_url"], t["first_date"]) if t["first_id"] else None
+                made.append(_warc_record(fields["URL"], _iso(fields["Archive-date"]), t["record_id"], t["digest"], fields["IP-address"], head, payload, first))
+                size += len(made[-1])
+                if size > 1 << 24:
+                    yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], schema=_MADE)
+                    made, size = [], 0
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], schema=_MADE)
+
+
+def _revisits(narrow: DataFrame, least_bytes: int) -> DataFrame:
+    """Rows (record_id, first_id, first_url, first_date) of the records whose payload one with a smaller id has (null after all; ties by record_id)."""
+    rank = F.struct(F.col("id").isNull(), "id", "record_id")
+    first = narrow.where(F.col("length") >= least_bytes).groupBy("digest", "length").agg(F.min(rank).alias("r"))
+    first = first.select("digest", "length", F.col("r.record_id").alias("first_id"))
+    known = narrow.select("record_id", "digest", "length").join(first, ["digest", "length"], "left")
+    told = narrow.select(F.col("record_id").alias("first_id"), F.col("url").alias("first_url"), F.col("date").alias("first_date")).dropDuplicates(["first_id"])
+    return known.where("first_id <> record_id").select("record_id", "first_id").distinct().join(told, "first_id")
 
 
 def write_warc(records: DataFrame, least_bytes: int = 0) -> str:
@@ -181,27 +245,19 @@ def write_warc(records: DataFrame, least_bytes: int = 0) -> str:
     record_id) is a response, and the others are revisits of it without its payload.
     """
     narrow = settle(records.select("id", "url", "date", "record_id", "digest", "length"), "records")
-    rank = F.struct(F.col("id").isNull(), "id", "record_id")
-    first = narrow.where(F.col("length") >= least_bytes).groupBy("digest", "length").agg(F.min(rank).alias("r"))
-    first = first.select("digest", "length", F.col("r.record_id").alias("first_id"))
-    known = narrow.select("record_id", "digest", "length").join(first, ["digest", "length"], "left")
-    told = narrow.select(F.col("record_id").alias("first_id"), F.col("url").alias("first_url"), F.col("date").alias("first_date")).dropDuplicates(["first_id"])
-    revisits = known.where("first_id <> record_id").select("record_id", "first_id").distinct().join(told, "first_id")
-    rows = records.join(revisits, "record_id", "left")
-    again = F.col("first_id").isNotNull()
-    block = F.when(again, F.col("head")).otherwise(F.concat("head", "payload"))
-    head = F.concat(
-        F.lit("WARC/1.1\r\n"), _field("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))),
-        _field("WARC-Record-ID", F.col("record_id")), _field("WARC-Date", F.col("date")), _field("WARC-Target-URI", F.col("url")),
-        _field("WARC-IP-Address", F.col("ip")), _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
-        _field("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.when(again, F.col("head_digest")).otherwise(F.col("block_digest")))),
-        F.when(again, F.concat(
-            _field("WARC-Profile", F.lit(REVISIT_PROFILE)), _field("WARC-Refers-To", F.col("first_id")),
-            _field("WARC-Refers-To-Target-URI", F.col("first_url")), _field("WARC-Refers-To-Date", F.col("first_date")),
-        )).otherwise(F.lit("")),
-        _field("Content-Type", F.lit("application/http; msgtype=response")), _field("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"),
-    )
-    return _write(rows.select(F.concat(head.cast("binary"), block).alias("value")), _warc_opening, WARC_END, "warc")
+    rows = records.join(_revisits(narrow, least_bytes), "record_id", "left")
+    rows = rows.select("url", "date", "record_id", "digest", "ip", "head", "payload", "first_id", "first_url", "first_date")
+    return _write(rows.mapInArrow(_to_warc, "value binary"), _warc_opening, WARC_END, "warc")
+
+
+def convert_arc(spark, *paths: str, least_bytes: int = 0) -> str:
+    """ARC files as WARC files, as write_warc makes them of their records; gives the folder. Records go file by file."""
+    files = _files(spark, *paths)
+    narrow = settle(files.mapInArrow(_from_arc(False), ", ".join(_CONVERTED_DDL.split(", ")[: len(_KNOWN)])), "records")
+    told = narrow.select("path", "place", "record_id", "digest").join(_revisits(narrow, least_bytes), "record_id", "left")
+    by_file = told.groupBy("path").agg(F.collect_list(F.struct("place", "record_id", "digest", "first_id", "first_url", "first_date")).alias("told"))
+    named = files.join(settle(by_file, "told"), "path").select("content", "told")
+    return _write(named.mapInArrow(_files_to_warc, "value binary"), _warc_opening, WARC_END, "warc")
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -264,7 +320,7 @@ def convert_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     spark = pages.sparkSession
     odd = F.coalesce(F.pmod(F.col(id_col).cast("bigint"), F.lit(2)) == 1, F.lit(True))
     folders = [write_arc(pages.where(~odd), 1, id_col, url_col, html_col), write_arc(pages.where(odd), 2, id_col, url_col, html_col)]
-    warc = read_warc(spark, write_warc(read_arc(spark, *folders))).drop("payload")
+    warc = read_warc(spark, convert_arc(spark, *folders)).drop("payload")
     names = warc.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to")).dropDuplicates(["refers_to_record"])
     found = warc.join(names, "refers_to_record", "left")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -62,6 +62,24 @@ def test_round_trip_of_payloads_and_both_versions(spark):
         assert {r["record_type"] for r in small.collect()} == {"response"}
 
 
+def test_addresses_that_look_like_lines_of_the_format(spark):
+    """Only a file's first record can be its version block."""
+    rows = [(2, "http://a/x", "<p>1</p>"), (4, "filedesc://b/y", "<p>2</p>\nnot field names"), (6, "http://a/z", "<p>1</p>"), (8, "filedesc:", ""), (3, "filedesc://c", "<p>2</p>\nnot field names"), (5, "WARC/1.1", "warcinfo")]
+    for some in (rows, rows[1:2], rows[3:5]):
+        got = {r["page_id"]: r for r in warc.convert_pages(odd_pages(spark, some)).collect()}
+        assert {i: r["payload_digest"] for i, r in got.items()} == {i: digest(h) for i, _, h in some}
+    assert got[8]["record_type"] == "response"
+    got = {r["page_id"]: r["refers_to"] for r in warc.convert_pages(odd_pages(spark, rows)).collect()}
+    assert got == {2: None, 4: 3, 6: 2, 8: None, 3: None, 5: None}
+
+
+def test_files_are_converted_as_their_records_are(spark):
+    folder = warc.write_arc(odd_pages(spark), 2)
+    told = lambda path: sorted(tuple(bytes(v) if isinstance(v, bytearray) else str(v) for v in r) for r in warc.read_warc(spark, path).collect())
+    for least in (0, 10):
+        assert told(warc.convert_arc(spark, folder, least_bytes=least)) == told(warc.write_warc(warc.read_arc(spark, folder), least))
+
+
 def test_arc_records_by_field_names():
     one = b"filedesc://x.arc 0.0.0.0 20010101000000 text/plain 73\n1 0 o\nURL IP-address Archive-date Content-type Archive-length\n"
     body = one.split(b"\n", 1)[1]
