@@ -7,6 +7,9 @@ trajectory, so long routes aren't compared segment by segment.
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +62,83 @@ def route_by_source(matches: DataFrame, edges: DataFrame | None, text: str | Non
     return found
 
 
+#: Radians and metres up to which segments lie on one carrier line.
+ANGLE, ASIDE = 1e-7, 1e-2
+
+
+def dissolve(segments_: DataFrame, *keys: str) -> DataFrame:
+    """Segments (keys, seg_no, x1, y1, x2, y2, length_m) that cover what the given ones do, every part of it once.
+
+    Segments of one key are put on carrier lines by direction, then by distance from a common origin; on each line they
+    are intervals, and what overlaps or touches becomes one. Segments without length are left out. Directions are
+    compared by neighbours in order, so that no two near ones fall apart at the edge of a bucket.
+    """
+    c = F.col
+    whole = Window.partitionBy(*keys)
+    raw = F.atan2(c("y2") - c("y1"), c("x2") - c("x1"))
+    # Both ways of a line have one angle, from just below 0 to just below a half turn.
+    angle = F.when(raw < -ANGLE, raw + F.pi()).when(raw >= F.pi() - ANGLE, raw - F.pi()).otherwise(raw)
+    df = segments_.select(*keys, *_ENDS).withColumns({"_size": distance(*[c(e) for e in _ENDS])}).where("_size > 0").withColumns({
+        "_angle": angle, "_ox": F.min(F.least("x1", "x2")).over(whole), "_oy": F.min(F.least("y1", "y2")).over(whole),
+    })
+
+    def grouped(df: DataFrame, name: str, within: list[str], value: str, most: float) -> DataFrame:
+        """Adds a number that grows where a value is more than so much above the one before it."""
+        w = Window.partitionBy(*within).orderBy(value)
+        df = df.withColumn("_new", F.coalesce((c(value) - F.lag(value).over(w) > most).cast("int"), F.lit(0)))
+        upto = Window.partitionBy(*within).orderBy(value, c("_new").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.sum("_new").over(upto)).drop("_new")
+
+    df = grouped(df, "_way", [*keys], "_angle", ANGLE)
+    longest = F.max(F.struct("_size", "_angle")).over(Window.partitionBy(*keys, "_way"))
+    df = df.withColumn("_ref", longest["_angle"]).withColumns({"_cos": F.cos("_ref"), "_sin": F.sin("_ref")})
+    along = lambda k: (c(f"x{k}") - c("_ox")) * c("_cos") + (c(f"y{k}") - c("_oy")) * c("_sin")
+    off = ((c("y1") + c("y2")) / 2 - c("_oy")) * c("_cos") - ((c("x1") + c("x2")) / 2 - c("_ox")) * c("_sin")
+    df = df.withColumns({"_off": off, "_a": along("1"), "_b": along("2")}).withColumns({"_lo": F.least("_a", "_b"), "_hi": F.greatest("_a", "_b")})
+    df = grouped(df, "_line", [*keys, "_way"], "_off", ASIDE)
+    on = [*keys, "_way", "_line"]
+    before = Window.partitionBy(*on).orderBy("_lo", "_hi").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_upto", F.max("_hi").over(before)).withColumn("_new", F.coalesce((c("_lo") > c("_upto") + 1e-9).cast("int"), F.lit(0)))
+    df = df.withColumn("_part", F.sum("_new").over(Window.partitionBy(*on).orderBy("_lo", "_hi", c("_new").desc()).rowsBetween(Window.unboundedPreceding, 0)))
+    merged = df.groupBy(*on, "_part").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max(F.struct("_size", "_off", "_cos", "_sin", "_ox", "_oy")).alias("m"))
+    at = {f"{axis}{k}": c(f"m._o{axis}") + c(s) * c(f"m.{along_}") + sign * c("m._off") * c(f"m.{across}") for k, s in (("1", "_lo"), ("2", "_hi")) for axis, along_, sign, across in (("x", "_cos", -1, "_sin"), ("y", "_sin", 1, "_cos"))}
+    placed = merged.select(*keys, *[v.alias(n) for n, v in at.items()], (c("_hi") - c("_lo")).alias("length_m"))
+    return placed.withColumn("seg_no", F.row_number().over(Window.partitionBy(*keys).orderBy(*_ENDS))).select(*keys, "seg_no", *_ENDS, "length_m")
+
+
+def merge_lines(segments_: DataFrame, *keys: str) -> DataFrame:
+    """Lines (keys, line_no, line, length_m) of segments that follow each other where exactly two meet.
+
+    Ends within a micrometre are one. A ring begins at its least end. A task holds the segments of one key, of which
+    there are no more than roads that its route uses.
+    """
+    schema = segments_.select(*keys).schema.simpleString()[7:-1] + ", line_no int, line array<struct<x:double,y:double>>, length_m double"
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        ends = [tuple(sorted(((round(a, 6), round(b, 6)), (round(x, 6), round(y, 6))))) for a, b, x, y in part[list(_ENDS)].itertuples(index=False)]
+        at: dict[tuple, list[int]] = {}
+        for i, pair in enumerate(ends):
+            for p in pair:
+                at.setdefault(p, []).append(i)
+        used, rows = set(), []
+        # Lines begin where other than two meet; what is left then are rings.
+        for start in [*sorted(p for p in at if len(at[p]) != 2), *sorted(p for p in at if len(at[p]) == 2)]:
+            for i in sorted(at[start], key=lambda k: ends[k]):
+                if i in used:
+                    continue
+                line, here = [start], start
+                while i is not None:
+                    used.add(i)
+                    here = ends[i][1] if ends[i][0] == here else ends[i][0]
+                    line.append(here)
+                    i = next((k for k in at[here] if k not in used), None) if len(at[here]) == 2 else None
+                length = float(sum(math.dist(a, b) for a, b in zip(line, line[1:], strict=False)))
+                rows.append((*part[list(keys)].iloc[0], len(rows), [{"x": x, "y": y} for x, y in line], length))
+        return pd.DataFrame(rows, columns=[*keys, "line_no", "line", "length_m"])
+
+    return segments_.where("length_m > 0").select(*keys, *_ENDS).groupBy(*keys).applyInPandas(run, schema)
+
+
 def _intervals(pairs: DataFrame, r: float) -> DataFrame:
     """Adds s and e, as shares of segment 1-2: from and to of what lies within r of segment q; null where nothing does.
 
@@ -102,12 +182,17 @@ def _intervals(pairs: DataFrame, r: float) -> DataFrame:
     return df.withColumns(ends).drop(*work)
 
 
-def overlap_length(route: DataFrame, other: DataFrame, tolerance_m: float, *keys: str, cell: float = 200.0) -> DataFrame:
+def overlap_length(route: DataFrame, other: DataFrame, tolerance_m: float, *keys: str, cell: float = 200.0, once: bool = False) -> DataFrame:
     """For each key of route: length_m, and overlap_m, what of it lies within the tolerance of the other route.
 
-    Parts of a route that repeat count as often as they do. A route without the other has no overlap.
+    Parts of a route that repeat count as often as they do; with once they count once in overlap_m, and still as often
+    as they repeat in length_m, so that a route that runs back over itself overlaps itself by less than its length.
+    A route without the other has no overlap.
     """
     c = F.col
+    every = route
+    if once:
+        route, other = dissolve(route, *keys), dissolve(other, *keys)
 
     def celled(df: DataFrame, grow: float) -> DataFrame:
         low, high = (lambda a, b: F.floor((F.least(a, b) - grow) / cell).cast("bigint")), (lambda a, b: F.floor((F.greatest(a, b) + grow) / cell).cast("bigint"))
@@ -122,14 +207,14 @@ def overlap_length(route: DataFrame, other: DataFrame, tolerance_m: float, *keys
     covered = parts.withColumn("upto", F.max(F.when(holds, c("e"))).over(w))
     new = F.when(holds, F.greatest(c("e") - F.greatest(c("s"), F.coalesce(c("upto"), F.lit(float("-inf")))), F.lit(0.0))).otherwise(0.0)
     own = covered.groupBy(*keys).agg(F.sum(new * c("length_m")).alias("overlap_m"))
-    whole = route.groupBy(*keys).agg(F.sum("length_m").alias("length_m"))
+    whole = every.groupBy(*keys).agg(F.sum("length_m").alias("length_m"))
     return whole.join(own, list(keys), "left").withColumn("overlap_m", F.least(F.coalesce("overlap_m", F.lit(0.0)), "length_m"))
 
 
-def route_overlap(pred: DataFrame, truth: DataFrame, tolerance_m: float, *keys: str) -> DataFrame:
-    """Correct, extra and missed fractions, F1 and an IoU-like ratio for each route, by overlap both ways."""
-    p = overlap_length(pred, truth, tolerance_m, *keys).withColumnsRenamed({"length_m": "pred_length_m", "overlap_m": "pred_overlap_m"})
-    t = overlap_length(truth, pred, tolerance_m, *keys).withColumnsRenamed({"length_m": "gt_length_m", "overlap_m": "gt_overlap_m"})
+def route_overlap(pred: DataFrame, truth: DataFrame, tolerance_m: float, *keys: str, once: bool = False) -> DataFrame:
+    """Correct, extra and missed fractions, F1 and an IoU-like ratio for each route, by overlap both ways (see overlap_length for once)."""
+    p = overlap_length(pred, truth, tolerance_m, *keys, once=once).withColumnsRenamed({"length_m": "pred_length_m", "overlap_m": "pred_overlap_m"})
+    t = overlap_length(truth, pred, tolerance_m, *keys, once=once).withColumnsRenamed({"length_m": "gt_length_m", "overlap_m": "gt_overlap_m"})
     both = p.join(t, list(keys), "full").fillna(0.0)
     c = F.col
     part = lambda a, b: F.when(c(b) > 0, c(a) / c(b)).otherwise(0.0)
