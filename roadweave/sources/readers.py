@@ -129,9 +129,26 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_match_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """All match tables of a folder (*_matches.parquet), with model: the file's name without that ending."""
-    reader = spark.read.option("pathGlobFilter", "*_matches.parquet").option("recursiveFileLookup", recursive)
-    return reader.parquet(folder).withColumn("model", F.regexp_extract(F.input_file_name(), r"([^/]+?)_matches\.parquet", 1))
+    """All match tables of a folder (*_matches.parquet), with model: the table's name without that ending.
+
+    A table is a single file, or a folder of part files as writers.write_table leaves it; with recursive also below
+    other folders. Columns that only some tables have are null in the others. No table is an error.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(conf)
+    found, waiting = [], [root]
+    while waiting:
+        for status in fs.listStatus(waiting.pop()):
+            name = status.getPath().getName()
+            if name.endswith("_matches.parquet"):
+                found.append(status.getPath().toString())
+            elif recursive and status.isDirectory() and not name.startswith((".", "_")):
+                waiting.append(status.getPath())
+    if not found:
+        raise ValueError(f"no match tables in {folder}")
+    rows = spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(*sorted(found))
+    return rows.withColumn("model", F.regexp_extract(F.input_file_name(), r"([^/]+?)_matches\.parquet(/[^/]*)?$", 1))
 
 
 def read_episodes(spark: SparkSession, path: str) -> DataFrame:

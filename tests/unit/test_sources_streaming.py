@@ -1,13 +1,14 @@
 import glob
 import os
+import random
+from datetime import datetime, timedelta, timezone
 
 import duckdb
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from roadweave.operators.decode import best_path
+from roadweave.operators import decode
 from roadweave.plans import catalog
 from roadweave.sources import readers, writers
 from roadweave.streaming import matcher, windows
@@ -42,6 +43,12 @@ def test_tables_ids_matches_and_shapes(spark, tmp_path):
     os.makedirs(f"{tmp_path}/m")
     df.coalesce(1).toPandas().to_parquet(f"{tmp_path}/m/hmm_matches.parquet")
     assert {r["model"] for r in readers.read_match_files(spark, f"{tmp_path}/m").collect()} == {"hmm"}
+    writers.write_table(df.repartition(2), f"{tmp_path}/m/gnn_matches.parquet")
+    writers.write_table(df.withColumn("confidence", F.lit(0.5)), f"{tmp_path}/m/deeper/sac_matches.parquet")
+    tables = lambda **o: sorted(map(tuple, readers.read_match_files(spark, f"{tmp_path}/m", **o).groupBy("model").agg(F.count("*"), F.count("trajectory_id")).collect()))
+    assert tables() == [("gnn", 2, 2), ("hmm", 2, 2)] and tables(recursive=True) == [("gnn", 2, 2), ("hmm", 2, 2), ("sac", 2, 2)]
+    with pytest.raises(ValueError, match="no match tables"):
+        readers.read_match_files(spark, f"{tmp_path}/m/deeper/sac_matches.parquet")
     summary = readers.episode_summary(readers.read_episodes(spark, f"{tmp_path}/t.parquet")).first()
     assert (summary["episodes"], summary["labelled_points"], summary["max_candidates"]) == (2, 0, 1)
     lines = spark.createDataFrame([(5, [(0.0, 1.0), (2.0, 3.0)])], "edge_idx bigint, line array<struct<x:double,y:double>>")
@@ -52,20 +59,46 @@ def test_tables_ids_matches_and_shapes(spark, tmp_path):
     assert writers.write_metrics(df.agg(F.count("*").alias("n")), f"{tmp_path}/m.json", workflow="hmm") == {"n": 2, "workflow": "hmm"}
 
 
-def test_stream_of_steps_gives_the_lagged_path(spark, tmp_path):
-    r = np.random.default_rng(3)
-    edges, legal, lag = [0, 1, 2], {0: [1], 1: [2], 2: [0]}, 4
-    e = r.normal(size=(9, 3)) * 2
-    rows = [(7, t, edges, [float(v) for v in e[t]]) for t in range(9)]
-    kind = "trajectory_id bigint, t bigint, edges array<bigint>, emissions array<double>"
-    for i, part in enumerate((rows[:5], rows[5:])):
-        spark.createDataFrame(part, kind).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+STREAM = "trajectory_id bigint, t bigint, ts timestamp, candidate_rank bigint, edge_idx bigint, emission double"
+
+
+def streamed(spark, tmp_path, batches, transitions, lag, late):
+    """What the matcher gives of batches of rows, one file each and in that order."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, STREAM).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(STREAM).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
     seen = []
-    matcher.publish(matcher.match_stream(stream, legal, lag), lambda df, i: seen.extend(df.collect()), f"{tmp_path}/cp").awaitTermination(120)
-    a = np.array([[0.35 if p == q or q in legal[p] else -0.7 for q in edges] for p in edges])
-    want = [best_path(e[max(0, t - lag + 1) : t + 1], np.array([a] * min(t, lag - 1)).reshape(-1, 3, 3))[0][-1] for t in range(9)]
-    assert [x["edge_idx"] for x in sorted(seen, key=lambda x: x["t"])] == want
+    matcher.publish(matcher.match_stream(stream, transitions, lag, late), lambda df, i: seen.extend(df.collect()), f"{tmp_path}/cp").awaitTermination(240)
+    return seen
+
+
+def test_stream_in_any_order_gives_the_lagged_path(spark, tmp_path):
+    r = random.Random(3)
+    edges, pairs, lag, n = [10, 11, 12, 13], [(10, 11), (11, 12), (12, 10), (13, 11)], 4, 12
+    at = lambda t: datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=t)
+    rows, emissions, moves = [], [], []
+    for tid in (7, 8):
+        before = None
+        for t in range(n):
+            some = r.sample(edges, r.randint(1, 4))
+            for k, e in enumerate(some):
+                score = round(r.gauss(0, 2), 6)
+                rows.append((tid, t, at(t), k, e, score))
+                emissions.append((tid, t, k, score))
+            if before is not None:
+                moves += [(tid, t, p, q, 0.35 if a == b or (a, b) in pairs else -0.7) for p, a in enumerate(before) for q, b in enumerate(some)]
+            before = some
+    lattice = decode.collect_lattice(spark.createDataFrame(emissions, "trajectory_id bigint, t bigint, candidate_rank bigint, emission double"), spark.createDataFrame(moves, "trajectory_id bigint, step bigint, prev_rank bigint, curr_rank bigint, transition double"))
+    want = sorted((x["trajectory_id"], x["t"], x["candidate_rank"], round(x["path_score"], 6)) for x in decode.decode(lattice, mode="fixed_lag", lag=lag, k=4).collect())
+    r.shuffle(rows)
+    close = [(99, 0, at(1000), 0, 10, 0.0)]  # a later time, by which all steps are decided
+    late = [(7, 3, at(3), 0, 10, 50.0), (7, 50, at(2), 0, 10, 50.0)]  # behind the watermark
+    odd = [(None, 1, at(1), 0, 10, 1.0), (7, 1, None, 0, 10, 1.0), (7, 1, at(1), 0, None, 9.0)]
+    transitions = spark.createDataFrame(pairs, "prev_edge_idx bigint, curr_edge_idx bigint")
+    got = streamed(spark, tmp_path, [rows[:25] + odd, rows[25:], close, late], transitions, lag, "1 minute")
+    assert sorted((x["trajectory_id"], x["t"], x["candidate_rank"], round(x["path_score"], 6)) for x in got) == want
+    own = {(x[0], x[1], x[3]): x[4] for x in rows}
+    assert all(x["edge_idx"] == own[x["trajectory_id"], x["t"], x["candidate_rank"]] and x["ts"].replace(tzinfo=timezone.utc) == at(x["t"]) for x in got)
 
 
 def test_windows_of_a_stream(spark, tmp_path):
