@@ -66,8 +66,8 @@ def speed_mps(value: Column, default: float = 13.89, numeric: bool = False) -> C
 
 
 def edge_name(number: Column) -> Column:
-    """The name of an edge by its number: e_ and nine digits."""
-    return F.concat(F.lit("e_"), F.lpad(number.cast("string"), 9, "0"))
+    """The name of an edge by its number: e_ and nine digits, or as many as it has."""
+    return F.format_string("e_%09d", number.cast("bigint"))
 
 
 def threshold_name(value: float) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.angles import between, turn, wrap
 from ..functions.geometry import curvature, line_bearing, line_length, reverse_line
 from ..functions.tags import CLASS_ORDER, DRIVEABLE, first_value, flag, runs_backwards, says_oneway
-from .ranks import quantiles
+from .ranks import quantiles, range_of
 
 
 def directed_edges(links: DataFrame, library: bool = False, min_length_m: float = 0.5, classes: tuple[str, ...] | None = DRIVEABLE) -> DataFrame:
@@ -35,24 +35,23 @@ def directed_edges(links: DataFrame, library: bool = False, min_length_m: float
     return number_edges(measured, "link_id", "direction")
 
 
-def number_edges(edges: DataFrame, *order: str, ranges: int = 64) -> DataFrame:
+def number_edges(edges: DataFrame, *order: str, ranges: int = 64, sample: int = 4096) -> DataFrame:
     """Adds edge_idx from 0 in the given order.
 
-    A row's range follows from its first value alone, by boundaries found beforehand. Ranges are numbered on their own
-    and shifted by the counts before them, so no task sees all edges and nothing hangs on how Spark deals rows out.
+    A row's range follows from its first value alone, by boundaries from a sample of values (those with the least
+    hashes, so the same ones each time). Ranges are numbered on their own and shifted by the counts before them, so no
+    task sees all edges and nothing hangs on how Spark deals rows out. Null values go first.
     """
     first = F.col(order[0])
-    if edges.schema[order[0]].dataType.typeName() == "string":  # its first bytes as a number, which sorts alike
-        first = F.conv(F.rpad(F.substring(F.hex(first), 1, 12), 12, "0"), 16, 10)
-    valued = edges.withColumn("_value", first.cast("double"))
-    found = valued.agg(F.percentile_approx("_value", [i / ranges for i in range(1, ranges)], 1000).alias("b")).first()["b"]
-    bounds = F.array(*[F.lit(float(b)) for b in sorted(set(found or []))]).cast("array<double>")
-    own = valued.withColumn("_range", F.size(F.filter(bounds, lambda b: b < F.col("_value"))))
+    some = edges.select(first.alias("v")).where("v IS NOT NULL").distinct().orderBy(F.xxhash64("v"), "v").limit(sample).collect()
+    values = sorted(r["v"] for r in some)
+    bounds = sorted({values[len(values) * i // ranges] for i in range(1, ranges)}) if values else []
+    own = edges.withColumn("_range", F.when(first.isNull(), F.lit(0)).otherwise(range_of(first, bounds)))
     counts = own.groupBy("_range").agg(F.count("*").alias("_n"))
     shift = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     numbered = own.withColumn("_own", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
     out = numbered.join(F.broadcast(shift.drop("_n")), "_range")  # a row for each range
-    return out.withColumn("edge_idx", F.col("_before") + F.col("_own") - 1).drop("_value", "_range", "_own", "_before")
+    return out.withColumn("edge_idx", F.col("_before") + F.col("_own") - 1).drop("_range", "_own", "_before")
 
 
 def clean_edges(edges: DataFrame, min_length_m: float = 0.5) -> DataFrame:
@@ -72,6 +71,7 @@ def segment_features(edges: DataFrame, standard: bool = True) -> DataFrame:
     """Eleven numeric features of every edge, standardised if asked for, and the id of its road class in a fixed order.
 
     edges has edge_idx, edge_id, bearing_rad, length_m, curvature, road_class and degrees(); maxspeed in km/h, or m/s up to 5.
+    in_degree counts the edges that lead to where this one begins, out_degree those that begin where it ends.
     """
     number = lambda c, d: F.coalesce(F.col(c).cast("double"), F.lit(d))
     limit = F.col("maxspeed").cast("double")
@@ -79,8 +79,8 @@ def segment_features(edges: DataFrame, standard: bool = True) -> DataFrame:
     raw = edges.select(
         "edge_idx", "edge_id", F.log1p(F.greatest(number("length_m", 0.0), F.lit(0.0))).alias("log_length_m"), F.sin(number("bearing_rad", 0.0)).alias("sin_bearing"),
         F.cos(number("bearing_rad", 0.0)).alias("cos_bearing"), F.coalesce(F.when(limit > 5, limit / 3.6).otherwise(limit), F.lit(13.89)).alias("maxspeed_mps"),
-        number("lanes", 1.0).alias("lanes_norm_raw"), number("curvature", 0.0).alias("curvature"), number("in_degree_v", 0.0).alias("in_degree"),
-        number("out_degree_u", 0.0).alias("out_degree"), number("bridge", 0.0).alias("bridge_flag"), number("tunnel", 0.0).alias("tunnel_flag"),
+        number("lanes", 1.0).alias("lanes_norm_raw"), number("curvature", 0.0).alias("curvature"), number("predecessors", 0.0).alias("in_degree"),
+        number("successors", 0.0).alias("out_degree"), number("bridge", 0.0).alias("bridge_flag"), number("tunnel", 0.0).alias("tunnel_flag"),
         number("oneway", 0.0).alias("oneway_flag"), F.coalesce(ids[F.coalesce("road_class", F.lit("unknown"))], F.lit(len(CLASS_ORDER) - 1)).alias("road_class_id"),
     )
     if not standard:

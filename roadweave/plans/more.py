@@ -103,7 +103,7 @@ _Z = ", ".join(f"({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () <
 
 @query(f"""SELECT edge_idx, road_class_id, {_Z} FROM (SELECT edge_idx, CASE edge_idx % 4 WHEN 0 THEN 0 WHEN 1 THEN 11 WHEN 2 THEN 13 ELSE 15 END AS road_class_id, ln(1 + bent_m) AS log_length_m,
     sin(bearing_rad) AS sin_bearing, cos(bearing_rad) AS cos_bearing, CASE WHEN edge_idx % 6 = 0 THEN 13.89e0 WHEN maxspeed > 5 THEN maxspeed / 3.6e0 ELSE maxspeed END AS maxspeed_mps, 1e0 AS lanes_norm_raw, bent_m / 100 AS curvature,
-    CAST((SELECT count(*) FROM road_edges o WHERE o.v = e.v) AS DOUBLE) AS in_degree, CAST((SELECT count(*) FROM road_edges o WHERE o.u = e.u) AS DOUBLE) AS out_degree,
+    CAST((SELECT count(*) FROM road_edges o WHERE o.v = e.u) AS DOUBLE) AS in_degree, CAST((SELECT count(*) FROM road_edges o WHERE o.u = e.v) AS DOUBLE) AS out_degree,
     CASE WHEN link_id % 9 = 0 THEN 1e0 ELSE 0e0 END AS bridge_flag, 0e0 AS tunnel_flag, CAST(oneway AS DOUBLE) AS oneway_flag FROM bent e) f""", *_ELEVEN, views_=("bent",))
 def segment_features(spark, sf_dir):
     n = F.col("edge_idx") % 4
