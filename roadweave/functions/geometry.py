@@ -91,12 +91,13 @@ def line_text(line: Column) -> Column:
 
 def segments(line: Column) -> Column:
     """Array of structs (seg_no, x1, y1, x2, y2, cum): cum is the length before the segment."""
-    steps = _over_segments(line, _step)
     n = F.greatest(F.size(line) - 1, F.lit(0))
-    cum = lambda i: F.aggregate(F.slice(steps, F.lit(1), i), F.lit(0.0), lambda s, d: s + d)
-    pairs = F.zip_with(F.slice(line, F.lit(1), n), F.slice(line, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return F.transform(pairs, lambda p, i: F.struct(
-        i.alias("seg_no"), p["a"]["x"].alias("x1"), p["a"]["y"].alias("y1"), p["b"]["x"].alias("x2"), p["b"]["y"].alias("y2"), cum(i).alias("cum"),
+    pairs = F.zip_with(F.slice(line, F.lit(1), n), F.slice(line, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b"), _step(a, b).alias("d")))
+    # One pass: each length is the last one's and its own segment's.
+    grown = lambda upto, p: F.concat(upto, F.array(F.element_at(upto, -1) + p["d"]))
+    cums = F.aggregate(pairs, F.array(F.lit(0.0)).cast("array<double>"), grown)
+    return F.zip_with(F.transform(pairs, lambda p, i: F.struct(i.alias("i"), p.alias("p"))), F.slice(cums, F.lit(1), n), lambda s, cum: F.struct(
+        s["i"].alias("seg_no"), s["p"]["a"]["x"].alias("x1"), s["p"]["a"]["y"].alias("y1"), s["p"]["b"]["x"].alias("x2"), s["p"]["b"]["y"].alias("y2"), cum.alias("cum"),
     ))
 
 
@@ -129,19 +130,25 @@ def project_to_segment(px: Column, py: Column, x1: Column, y1: Column, x2: Colum
     return {"share": share, "x": x, "y": y, "distance": F.sqrt((px - x) * (px - x) + (py - y) * (py - y))}
 
 
+def nearest_on(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column, seg_no: Column, cum: Column) -> Column:
+    """Struct (near, seg_no, distance, x, y, offset) of the nearest point of a segment that begins at cum of its line."""
+    p = project_to_segment(px, py, x1, y1, x2, y2)
+    size = F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
+    found = [p["distance"].alias("distance"), p["x"].alias("x"), p["y"].alias("y"), (cum + p["share"] * size).alias("offset")]
+    return F.struct(F.round(p["distance"], 9).alias("near"), seg_no.alias("seg_no"), *found)
+
+
+def project_to_segments(px: Column, py: Column, parts: Column) -> Column:
+    """project_to_line for a line whose segments() are known already, as for a road that many points meet."""
+    return F.array_min(F.transform(parts, lambda s: nearest_on(px, py, *[s[c] for c in ("x1", "y1", "x2", "y2", "seg_no", "cum")])))
+
+
 def project_to_line(px: Column, py: Column, line: Column) -> Column:
     """Struct (distance, seg_no, x, y, offset): the nearest point of a line, of the first segment that is as near.
 
     Null for a line without segments.
     """
-
-    def on(s: Column) -> Column:
-        p = project_to_segment(px, py, *[s[c] for c in ("x1", "y1", "x2", "y2")])
-        size = F.sqrt(F.pow(s["x2"] - s["x1"], F.lit(2)) + F.pow(s["y2"] - s["y1"], F.lit(2)))
-        found = [p["distance"].alias("distance"), p["x"].alias("x"), p["y"].alias("y"), (s["cum"] + p["share"] * size).alias("offset")]
-        return F.struct(F.round(p["distance"], 9).alias("near"), s["seg_no"].alias("seg_no"), *found)
-
-    return F.array_min(F.transform(segments(line), on))
+    return project_to_segments(px, py, segments(line))
 
 
 def bearing_at(line: Column, offset: Column, window: float = 5.0) -> Column:

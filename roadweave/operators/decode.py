@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settle
+
 MASKED = -1e9
 OFFROAD = -999999
 
@@ -297,7 +299,6 @@ def _transfers(k: int, extra: tuple | None, log: bool):
                     logs = e[0]
                     for t in range(1, len(e) if log else 1):
                         logs = e[t] + _log_sum(logs[:, None] + a[t], 0)
-                    # What the steps after the first add to each of its states, for the backward pass.
                     rows.append((tid, no, best, logs if log else best[:0]))
                 else:
                     rows.append((tid, no, transfer(e, a, False, _DIGITS).ravel(), transfer(e, a, True).ravel() if log else np.zeros(0)))
@@ -338,6 +339,18 @@ def _with_borders(lattice: DataFrame, extra: tuple | None, k: int, log: bool) ->
     return lattice.join(chained.mapInPandas(_scanned, _BORDERS), ["trajectory_id", "block"])
 
 
+def _bordered(lattice: DataFrame, extra: tuple | None, k: int, log: bool) -> DataFrame:
+    """Blocks with what is known at their borders, which are null for trajectories of one block: nearly all of them, and
+    they need no maps. The lattice is written first, as it is gone through more than once."""
+    held = settle(lattice.select("trajectory_id", "block", "steps"), "lattice")
+    long = held.where("block > 0").select("trajectory_id").distinct()
+    some = not long.isEmpty()
+    short = held.join(long, "trajectory_id", "left_anti") if some else held
+    nothing = {"before": "array<double>", "exit": "bigint", "log_before": "array<double>", "log_after": "array<double>", "total": "double"}
+    alone = short.withColumns({name: F.lit(None).cast(kind) for name, kind in nothing.items()})
+    return alone.unionByName(_with_borders(held.join(long, "trajectory_id", "left_semi"), extra, k, log)) if some else alone
+
+
 def viterbi(lattice: DataFrame, k: int = 10) -> DataFrame:
     """Best paths: rows (trajectory_id, t, step, candidate_rank, path_score, total_score).
 
@@ -353,14 +366,17 @@ def viterbi(lattice: DataFrame, k: int = 10) -> DataFrame:
                 e, a = np.round(e, _DIGITS), np.round(a, _DIGITS)
                 if before is None:
                     kept, back = forward_scores(e[0], e[1:], a[1:], None, _DIGITS)
-                    path = traced(back, end)
+                    alone = pd.isna(end)
+                    path = traced(back, int(kept[-1].argmax() if alone else end))
+                    total = float(kept[-1].max()) if alone else total
                 else:
+                    end = int(end)
                     kept, back = forward_scores(np.asarray(before), e, a, None, _DIGITS)
                     path, kept = traced(back, end)[1:], kept[1:]
                 at = np.arange(len(path))
                 yield pd.DataFrame({"trajectory_id": tid, "t": [s["t"] for s in steps], "step": [s["step"] for s in steps], "candidate_rank": path, "path_score": kept[at, path], "total_score": total})
 
-    return _with_borders(lattice, None, k, False).mapInPandas(run, "trajectory_id bigint, t bigint, step bigint, candidate_rank bigint, path_score double, total_score double")
+    return _bordered(lattice, None, k, False).mapInPandas(run, "trajectory_id bigint, t bigint, step bigint, candidate_rank bigint, path_score double, total_score double")
 
 
 _DECODED = "trajectory_id bigint, t bigint, step bigint, candidate_rank bigint, confidence double, entropy double, margin double, emission double, path_score double, offroad int"
@@ -399,8 +415,10 @@ def decode(lattice: DataFrame, mode: str = "offline", confidence: str = "posteri
                 first = r.before is None
                 start, rest, moves = (e[0], e[1:], a[1:]) if first else (np.asarray(r.before), e, a)
                 scores, back = forward_scores(start, rest, moves, None, _DIGITS)
-                path = traced(back, r.exit)
-                p = between_borders(e[0] if first else np.asarray(r.log_before), rest, moves, np.asarray(r.log_after)) if soft else None
+                alone = pd.isna(r.exit)
+                path = traced(back, int(scores[-1].argmax() if alone else r.exit))
+                behind = np.zeros(e.shape[1]) if alone else np.asarray(r.log_after)
+                p = between_borders(e[0] if first else np.asarray(r.log_before), rest, moves, behind) if soft else None
                 cut = 0 if first else 1
                 yield rows(r.trajectory_id, r.steps, e, path[cut:], scores[cut:], None if p is None else p[cut:])
 
@@ -417,7 +435,7 @@ def decode(lattice: DataFrame, mode: str = "offline", confidence: str = "posteri
                 yield rows(r.trajectory_id, list(r.steps), e[n:], path[n:], scores[n:], None if p is None else p[n:])
 
     if mode == "offline" and not beam:
-        return _with_borders(lattice.select("trajectory_id", "block", "steps"), extra, k, soft).mapInPandas(in_blocks, _DECODED)
+        return _bordered(lattice, extra, k, soft).mapInPandas(in_blocks, _DECODED)
     if mode == "fixed_lag":  # a block with the last steps of the one before it
         w = Window.partitionBy("trajectory_id").orderBy("block")
         tail = F.lag(F.slice("steps", F.greatest(F.size("steps") - (lag - 2), F.lit(1)), F.lit(lag - 1))).over(w) if lag > 1 else F.slice("steps", 1, 0)

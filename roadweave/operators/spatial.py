@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.angles import between
-from ..functions.geometry import project_to_line
+from ..functions.geometry import nearest_on, project_to_line, project_to_segments, segments
 
 
 def box_join(points: DataFrame, boxes: DataFrame, radius: float, cell: float = 100.0) -> DataFrame:
@@ -34,14 +34,22 @@ def with_boxes(edges: DataFrame) -> DataFrame:
 
 
 def _nearest(edges: DataFrame) -> Column:
-    """Struct (near, seg_no, distance, x, y, offset) of a point (x, y) on an edge, be it a line or straight."""
-    straight = F.array(*[F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (1, 2)])
-    return project_to_line(F.col("x"), F.col("y"), F.col("line") if "line" in edges.columns else straight)
+    """Struct (near, seg_no, distance, x, y, offset) of a point (x, y) on an edge, be it a line (with its segments) or straight."""
+    x, y = F.col("x"), F.col("y")
+    if "line" in edges.columns:
+        return project_to_segments(x, y, F.col("_segments"))
+    return nearest_on(x, y, *[F.col(c) for c in ("x1", "y1", "x2", "y2")], F.lit(0), F.lit(0.0))
+
+
+def _prepared(edges: DataFrame) -> DataFrame:
+    """Edges with boxes, and lines with their segments, which are cut once and not for each point that comes near."""
+    boxed = with_boxes(edges)
+    return boxed.withColumn("_segments", segments(F.col("line"))) if "line" in edges.columns else boxed
 
 
 def probe(points: DataFrame, edges: DataFrame, radius: float, key: list[str], cell: float = 100.0, strict: bool = False) -> DataFrame:
     """box_join with the radius, and for points without a hit once more with twice the radius."""
-    edges = with_boxes(edges)
+    edges = _prepared(edges)
     near = box_join(points, edges, radius, cell)
     missed = points.join(near.select(*key).distinct(), key, "left_anti")
     found = near.unionByName(box_join(missed, edges, 2 * radius, cell))
@@ -65,7 +73,7 @@ def candidates(points: DataFrame, edges: DataFrame, radius: float = 50.0, k: int
     # Rounded, so that ties don't hang on the last bit of the arithmetic.
     order = Window.partitionBy("trajectory_id", "t").orderBy(F.round("distance_m", 9), F.round("yaw_diff_rad", 9), "edge_idx")
     ranked = measured.withColumn("candidate_rank", (F.row_number().over(order) - 1).cast("bigint"))
-    return ranked.where(F.col("candidate_rank") < k).drop("_p", "min_x", "max_x", "min_y", "max_y")
+    return ranked.where(F.col("candidate_rank") < k).drop("_p", "_segments", "min_x", "max_x", "min_y", "max_y")
 
 
 def nearest_edge(points: DataFrame, edges: DataFrame, radius: float = 30.0, cell: float = 100.0) -> DataFrame:

@@ -1,6 +1,7 @@
 """Queries over the given tables for the library's own operators, with the SQL that checks them.
 
-Doubles are rounded to six digits on both sides. Searches use a box of 20 metres and five candidates.
+Doubles are rounded to six digits on both sides. Candidates and their recall are searched in boxes of 50 metres, ten
+for each point; lattices have five, in boxes of 20 metres.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, projection
 from ..operators import calibration, decode, lattice, learn, metrics, overlap, roadnet, spatial, trajectory
+from ..sources.shared import settle
 from ..streaming import windows
 from . import views
 from .views_sql import with_views, wrap
@@ -20,6 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 RADIUS, K = 20.0, 5
+WIDE_RADIUS, WIDE_K = 50.0, 10
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -185,15 +188,27 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.nearest_edge(views.gt_points(spark, sf_dir), views.road_edges(spark, sf_dir))
 
 
-def _labelled_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _candidates(spark, sf_dir).join(_truth(spark, sf_dir), ["trajectory_id", "t"])
+def _wide_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.candidates(views.moving(spark, sf_dir), views.classed_edges(spark, sf_dir), WIDE_RADIUS, WIDE_K)
+
+
+def _labelled_candidates(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    c = (_wide_candidates if wide else _candidates)(spark, sf_dir).join(_truth(spark, sf_dir), ["trajectory_id", "t"])
     return c.withColumn("is_gt", F.coalesce((F.col("edge_idx") == F.col("gt_edge_idx")).cast("int"), F.lit(0)))
 
 
-@query("SELECT trajectory_id, t, candidate_rank, edge_idx, distance_m, yaw_diff_rad, proj_x, proj_y, offset_m, offset_ratio, speed_consistency FROM cand",
-       "distance_m", "yaw_diff_rad", "proj_x", "proj_y", "offset_m", "offset_ratio", "speed_consistency", views_=("cand",))
+_MEASURES = ("distance_m", "yaw_diff_rad", "proj_x", "proj_y", "offset_m", "offset_ratio", "speed_consistency")
+
+
+@query(f"SELECT trajectory_id, t, candidate_rank, edge_idx, {', '.join(_MEASURES)} FROM wide_cand", *_MEASURES, views_=("wide_cand",))
 def candidates_topk(spark, sf_dir):
-    return _candidates(spark, sf_dir).select("trajectory_id", "t", "candidate_rank", "edge_idx", "distance_m", "yaw_diff_rad", "proj_x", "proj_y", "offset_m", "offset_ratio", "speed_consistency")
+    return _wide_candidates(spark, sf_dir).select("trajectory_id", "t", "candidate_rank", "edge_idx", *_MEASURES)
+
+
+@query(f"SELECT trajectory_id, t, candidate_rank, edge_idx, {', '.join(_MEASURES)} FROM cand", *_MEASURES, views_=("cand",))
+def candidates_retried(spark, sf_dir):
+    """In small boxes, where many points find no road before the box is doubled."""
+    return _candidates(spark, sf_dir).select("trajectory_id", "t", "candidate_rank", "edge_idx", *_MEASURES)
 
 
 @query("SELECT trajectory_id, t, gt_edge_idx, gt_edge_dist_m FROM gt_near", "gt_edge_dist_m", views_=("gt_near",))
@@ -205,16 +220,16 @@ _RECALL = ", ".join(f"count(*) FILTER (r < {k}) / CAST(count(*) AS DOUBLE) AS re
 _RECALLS = tuple(f"recall_at_{k}" for k in (1, 3, 5, 10))
 
 
-@query(f"""SELECT count(*) AS points, {_RECALL} FROM gt_near g LEFT JOIN (SELECT trajectory_id, t, min(candidate_rank) AS r FROM cand_gt WHERE is_gt = 1 GROUP BY ALL) c
-    USING (trajectory_id, t) WHERE g.gt_edge_idx IS NOT NULL""", *_RECALLS, views_=("cand_gt",))
+@query(f"""SELECT count(*) AS points, {_RECALL} FROM gt_near g LEFT JOIN (SELECT trajectory_id, t, min(candidate_rank) AS r FROM wide_gt WHERE is_gt = 1 GROUP BY ALL) c
+    USING (trajectory_id, t) WHERE g.gt_edge_idx IS NOT NULL""", *_RECALLS, views_=("wide_gt",))
 def candidate_recall(spark, sf_dir):
-    return spatial.recall_at(_labelled_candidates(spark, sf_dir), _truth(spark, sf_dir).where("gt_edge_idx IS NOT NULL"))
+    return spatial.recall_at(_labelled_candidates(spark, sf_dir, True), _truth(spark, sf_dir).where("gt_edge_idx IS NOT NULL"))
 
 
-@query(f"""SELECT count(*) AS points, {_RECALL} FROM gt_near g LEFT JOIN (SELECT trajectory_id, t, min(candidate_rank) AS r FROM cand_gt WHERE is_gt = 1 GROUP BY ALL) c
-    USING (trajectory_id, t)""", *_RECALLS, views_=("cand_gt",))
+@query(f"""SELECT count(*) AS points, {_RECALL} FROM gt_near g LEFT JOIN (SELECT trajectory_id, t, min(candidate_rank) AS r FROM wide_gt WHERE is_gt = 1 GROUP BY ALL) c
+    USING (trajectory_id, t)""", *_RECALLS, views_=("wide_gt",))
 def candidate_recall_all_points(spark, sf_dir):
-    return spatial.recall_at(_labelled_candidates(spark, sf_dir), _truth(spark, sf_dir))
+    return spatial.recall_at(_labelled_candidates(spark, sf_dir, True), _truth(spark, sf_dir))
 
 
 @query("""SELECT trajectory_id, count(*) AS points, avg(CAST(coalesce(hit, 0) AS DOUBLE)) AS recall FROM gt_near LEFT JOIN (
@@ -243,17 +258,20 @@ def asof_nearest(spark, sf_dir):
 # Lattice and decoding
 
 
-def _emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.emission_features(_candidates(spark, sf_dir), K)
+def _emissions(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    return lattice.emission_features(_candidates(spark, sf_dir) if found is None else found, K)
 
 
-def _transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _transitions(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    """Pairs of candidates; these are written first, as a step's meet those before and those after them."""
     legal = roadnet.transitions(views.road_edges(spark, sf_dir))
-    return lattice.allowed(lattice.transition_features(_candidates(spark, sf_dir), legal, K))
+    return lattice.allowed(lattice.transition_features(settle(_candidates(spark, sf_dir), "candidates") if found is None else found, legal, K))
 
 
 def _lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode.collect_lattice(decode.emission_scores(_emissions(spark, sf_dir), k=K), decode.transition_scores(_transitions(spark, sf_dir)))
+    """The lattice of candidates that are found once and written."""
+    found = settle(_candidates(spark, sf_dir), "candidates")
+    return decode.collect_lattice(decode.emission_scores(_emissions(spark, sf_dir, found), k=K), decode.transition_scores(_transitions(spark, sf_dir, found)))
 
 
 _EM = ("distance_norm", "log_distance_norm", "yaw_diff_norm", "abs_yaw_diff_norm", "offset_ratio", "speed_norm", "sin_yaw", "cos_yaw", "sin_segment_bearing", "cos_segment_bearing",
@@ -601,7 +619,7 @@ def extra_daily_windows(spark, sf_dir):
 
 def _load() -> None:
     """Registers the queries of the modules that build on this one."""
-    from . import more  # noqa: F401
+    from . import journeys, more  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -190,6 +190,11 @@ VIEWS["grid_e"] = (("es",), """SELECT trajectory_id * 4 + trial AS trajectory_id
     round(emission + (CASE WHEN trial < 2 THEN -2 ELSE 0 END) * (-0.5 * power(distance_norm / sigma, 2) - ln(sigma)), 9) AS emission FROM es, (SELECT unnest(range(4)) AS trial) x""")
 VIEWS["grid_a"] = (("ts",), """SELECT trajectory_id * 4 + trial AS trajectory_id, step, prev_rank AS p, curr_rank AS c, round(transition / 0.35 * (CASE WHEN trial % 2 = 0 THEN 0.35 ELSE 1 END), 9) AS transition
     FROM ts, (SELECT unnest(range(4)) AS trial) x""")
+# Candidates in boxes of 50 metres, ten for each point.
+VIEWS["wide_hits"] = (VIEWS["hits"][0], VIEWS["hits"][1].replace(" 20", " 50"))
+VIEWS["wide_all"] = (("wide_hits",), VIEWS["all_hits"][1].replace("FROM hits", "FROM wide_hits").replace(" 40", " 100"))
+VIEWS["wide_cand"] = (("wide_all",), VIEWS["cand"][1].replace("all_hits", "wide_all").replace("rank_ < 5", "rank_ < 10"))
+VIEWS["wide_gt"] = (("wide_cand", "gt_near"), VIEWS["cand_gt"][1].replace("FROM cand c", "FROM wide_cand c"))
 VIEWS["grid_vit"] = (("grid_e", "grid_a"), VIEWS["vit"][1].replace("vit_e", "grid_e").replace("vit_a", "grid_a"))
 
 
