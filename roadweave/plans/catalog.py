@@ -619,7 +619,7 @@ def extra_daily_windows(spark, sf_dir):
 
 def _load() -> None:
     """Registers the queries of the modules that build on this one."""
-    from . import journeys, more  # noqa: F401
+    from . import journeys, models, more  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
