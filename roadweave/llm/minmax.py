@@ -3,8 +3,8 @@
 Under each of ``N_HASHES`` universal hash functions a document's shingle set keeps its least and its greatest value, so
 that a signature of 128 values costs 64 evaluations a shingle; each value of two signatures agrees with the
 probability of the sets' Jaccard similarity, and both ends of one function agree no more often together than two
-functions would. Bands of four values, of the least or of the greatest, are joined in Spark. Of two sets at the
-threshold of 0.85, all 32 bands differ once in 10^10 cases. Size, a sketch of parities and the number of equal values
+functions would. Bands of five values, nearly all of the least or of the greatest alone, are joined in Spark. Of two
+sets at the threshold of 0.85, all 25 bands differ once in two million cases. Size, a sketch of parities and the number of equal values
 rule most candidates out where they meet, and the full sets decide about the rest.
 """
 
@@ -26,7 +26,7 @@ from .simhash import parity_sketch
 N_HASHES = 64
 N_WORDS = 3
 #: Values of a band, and bands.
-ROWS = 4
+ROWS = 5
 BANDS = 2 * N_HASHES // ROWS
 #: Of the bands, every so many serve for the first forest.
 FIRST_STEP = 4
@@ -34,6 +34,8 @@ FIRST_STEP = 4
 CHUNK = 1024
 #: Equal values of 128 that a candidate needs: at a similarity of 0.85 fewer are found once in 10^10 cases.
 FLOOR = 76
+#: Candidates' keys that are broadcast (24 bytes each); more are joined by shuffle.
+BROADCAST_KEYS = 500_000
 _random = np.random.default_rng(20250117)
 _A = _random.integers(1, 1 << 63, N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _random.integers(0, 1 << 63, N_HASHES, dtype=np.uint64)
@@ -114,14 +116,21 @@ def _sets(n_words: int):
 
 
 def _near_pairs(whole: bool, percent: int, floor: int):
-    """Streams rows (bucket, i, j, key, n, sign, sketch, root) sorted by bucket and key; gives pairs of keys that neither
-    size nor sketch rules out and that have floor equal values: all those whose roots differ if whole, else one for
-    each key that has any. Holds one bucket's two chunks at a time."""
+    """Streams rows (bucket, i, j, no, c, key, n, sign, sketch, root) sorted by bucket and key; gives pairs of keys that
+    neither size nor sketch rules out and that have floor equal values: all those whose roots differ if whole, each in
+    the first band alone in which it meets, else one for each key that has any. Holds one bucket's two chunks (c is
+    either of i and j) at a time."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
     apart = (100 - percent) / (100 + percent) + 1e-9  # of both sizes, what is in one set only
 
-    def close(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        keys, sizes, signs, sketches, roots = zip(*rows, strict=True)
+    def meet_first(m: np.ndarray, i: int, near: np.ndarray, no: int) -> np.ndarray:
+        """Of the places near, those that no band before this one brings together with place i."""
+        same = (m[near, : ROWS * no] == m[i, : ROWS * no]).reshape(len(near), no, ROWS)
+        return near[~same.all(axis=2).any(axis=1)]
+
+    def close(rows: list[tuple], bucket: list) -> Iterator[pa.RecordBatch]:
+        numbers, chunks, keys, sizes, signs, sketches, roots = zip(*rows, strict=True)
+        no, c, apart_only = numbers[0], np.array(chunks), bucket[1] != bucket[2]
         n = np.array(sizes, dtype=np.int64)
         m = np.frombuffer(b"".join(signs), dtype=np.uint16).reshape(len(n), -1)
         sketch = np.frombuffer(b"".join(sketches), dtype=np.uint64).reshape(len(n), -1)
@@ -130,11 +139,13 @@ def _near_pairs(whole: bool, percent: int, floor: int):
         for i in range(len(n) - 1):
             rest = np.arange(i + 1, len(n))
             rest = rest[root[rest] != root[i]] if whole else rest[~linked[rest]]
+            if whole and apart_only:  # pairs within a chunk are another task's
+                rest = rest[c[rest] != c[i]]
             rest = rest[np.abs(n[rest] - n[i]) <= apart * (n[rest] + n[i])]
             if len(rest):
                 rest = rest[np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1) <= apart * (n[rest] + n[i])]
                 near = rest[(m[rest] == m[i]).sum(axis=1) >= floor]
-                near = near[[keys[k] != keys[i] for k in near]] if len(near) else near
+                near = meet_first(m, i, near, no) if whole and no else near
                 linked[near] = True
                 if len(near):
                     yield pa.RecordBatch.from_arrays([pa.array([min(keys[i], keys[k]) for k in near], pa.binary()), pa.array([max(keys[i], keys[k]) for k in near], pa.binary())], schema=schema)
@@ -142,29 +153,32 @@ def _near_pairs(whole: bool, percent: int, floor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
         for batch in batches:
-            for *bucket, key, n, sign, sketch, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *bucket, no, c, key, n, sign, sketch, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != at:
                     if len(rows) > 1:
-                        yield from close(rows)
+                        yield from close(rows, at)
                     at, rows = bucket, []
-                rows.append((key, n, sign, sketch, root))
+                rows.append((no, c, key, n, sign, sketch, root))
         if len(rows) > 1:
-            yield from close(rows)
+            yield from close(rows, at)
 
     return run
 
 
 def _candidates(nodes: DataFrame, whole: bool, percent: int, chunk: int, floor: int) -> DataFrame:
     """Pairs (a, b) of the keys of nodes (key, n, sign, sketch, root) that share a band: some from every so many bands, or all with two roots."""
-    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sign", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(0, BANDS, 1 if whole else FIRST_STEP)])
-    each = nodes.select("key", "root", F.explode(bands).alias("bucket"))
-    sizes = each.groupBy("bucket").agg(F.count("*").alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("held > 1 AND lo <> hi")
+    numbers = range(0, BANDS, 1 if whole else FIRST_STEP)
+    bands = F.array(*[F.struct(F.lit(i).alias("no"), F.xxhash64(F.lit(i), F.substring("sign", 2 * ROWS * i + 1, 2 * ROWS)).alias("bucket")) for i in numbers])
+    # Eight bytes stand for a key while buckets are counted; two keys of one code would only be compared once more.
+    nodes = nodes.withColumn("code", F.xxhash64("key"))
+    each = nodes.select("code", F.xxhash64("root").alias("of"), F.explode(bands).alias("b")).select("code", "of", "b.no", "b.bucket")
+    sizes = each.groupBy("bucket").agg(F.count("*").alias("held"), F.min("of").alias("lo"), F.max("of").alias("hi")).where("held > 1 AND lo <> hi")
     each = each.join(sizes.select("bucket", F.ceil(F.col("held") / chunk).alias("parts")), "bucket")
-    each = each.withColumn("c", F.pmod(F.xxhash64("key"), F.col("parts")))
-    dealt = each.select("key", "bucket", "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("d"))
+    each = each.withColumn("c", F.pmod("code", "parts"))
+    dealt = each.select("code", "bucket", "no", "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("d"))
     by = ["bucket", "i", "j"]
-    dealt = dealt.select("key", "bucket", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j")).join(nodes, "key")
-    ordered = dealt.select(*by, "key", "n", "sign", "sketch", "root").repartition(*by).sortWithinPartitions(*by, "key")
+    dealt = dealt.select("code", "bucket", "no", "c", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j")).join(nodes, "code")
+    ordered = dealt.select(*by, "no", "c", "key", "n", "sign", "sketch", "root").repartition(*by).sortWithinPartitions(*by, "key")
     return settle(ordered.mapInArrow(_near_pairs(whole, percent, floor), "a binary, b binary").distinct(), "pairs")
 
 
@@ -172,7 +186,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
     """The pairs whose full sets reach the threshold; nodes has key and least (an id of it), docs has id and text."""
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     wanted = settle(nodes.select("key", "least").join(wanted, "key", "left_semi"), "wanted")
-    texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["least"])).select("text", "key")
+    small = wanted.count() <= BROADCAST_KEYS  # then texts need not be shuffled to find those of candidates
+    texts = docs.join(F.broadcast(wanted) if small else wanted, docs["id"].eqNullSafe(wanted["least"])).select("text", "key")
     sets = settle(texts.mapInArrow(_sets(n_words), "key binary, s array<bigint>").dropDuplicates(["key"]), "sets")
     left = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
     both = left.join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
