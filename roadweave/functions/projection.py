@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .angles import wrap
+
 # The WGS84 ellipsoid and the UTM grid.
 AXIS, FLATTENING = 6378137.0, 1 / 298.257223563
 SCALE, EASTING, NORTHING_SOUTH = 0.9996, 500000.0, 10000000.0
@@ -77,13 +80,13 @@ def from_utm(x: Column, y: Column, zone: int, south: bool = False) -> tuple[Colu
     return F.degrees(F.atan2(F.sinh(v), F.cos(u))) + float(6 * zone - 183), F.degrees(phi)
 
 
-def geodesic_m(lon0: Column, lat0: Column, lon1: Column, lat1: Column, rounds: int = 8) -> Column:
-    """Ellipsoidal distance by Vincenty's inverse formula, with a fixed number of rounds (not for antipodes)."""
-    b = AXIS * (1 - FLATTENING)
+def _inverse(lon0: Column, lat0: Column, lon1: Column, lat1: Column, rounds: int) -> tuple[Column, Column, Column]:
+    """Vincenty's inverse problem after a fixed number of rounds, and both reduced latitudes: l is the longitudes' gap on the
+    sphere, moved what the last round changed of it."""
     u1 = F.atan((1 - FLATTENING) * F.tan(F.radians(lat0)))
     u2 = F.atan((1 - FLATTENING) * F.tan(F.radians(lat1)))
     gap = F.radians(lon1 - lon0)
-    start = F.struct(gap.alias("l"), F.lit(0.0).alias("ss"), F.lit(0.0).alias("cs"), F.lit(0.0).alias("ca"), F.lit(0.0).alias("cm"))
+    start = F.struct(gap.alias("l"), F.lit(0.0).alias("ss"), F.lit(0.0).alias("cs"), F.lit(0.0).alias("ca"), F.lit(0.0).alias("cm"), F.lit(0.0).alias("moved"))
 
     def better(s: Column, _: Column) -> Column:
         lam = s["l"]
@@ -94,12 +97,40 @@ def geodesic_m(lon0: Column, lat0: Column, lon1: Column, lat1: Column, rounds: i
         cm = F.when(ca > 0, cs - 2 * F.sin(u1) * F.sin(u2) / ca).otherwise(0.0)
         c = FLATTENING / 16 * ca * (4 + FLATTENING * (4 - 3 * ca))
         far = gap + (1 - c) * FLATTENING * sa * (F.atan2(ss, cs) + c * ss * (cm + c * cs * (2 * cm * cm - 1)))
-        return F.struct(far.alias("l"), ss.alias("ss"), cs.alias("cs"), ca.alias("ca"), cm.alias("cm"))
-
-    s = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, better)
-    u = s["ca"] * (AXIS * AXIS - b * b) / (b * b)
-    big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
-    small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
-    cm, cs, ss = s["cm"], s["cs"], s["ss"]
-    delta = small * ss * (cm + small / 4 * (cs * (2 * cm * cm - 1) - small / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
-    return b * big * (F.atan2(ss, cs) - delta)
+        return F.struct(far.alias("l"), ss.alias("ss"), cs.alias("cs"), ca.alias("ca"), cm.alias("cm"), F.abs(far - lam).alias("moved"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, better), u1, u2
+
+
+def geodesic_m(lon0: Column, lat0: Column, lon1: Column, lat1: Column, rounds: int = 8) -> Column:
+    """Ellipsoidal distance by Vincenty's inverse formula, with a fixed number of rounds (not for antipodes)."""
+    b = AXIS * (1 - FLATTENING)
+
+    def length(s: Column) -> Column:
+        u = s["ca"] * (AXIS * AXIS - b * b) / (b * b)
+        big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+        small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+        cm, cs, ss = s["cm"], s["cs"], s["ss"]
+        delta = small * ss * (cm + small / 4 * (cs * (2 * cm * cm - 1) - small / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
+        return b * big * (F.atan2(ss, cs) - delta)
+
+    return _once(_inverse(lon0, lat0, lon1, lat1, rounds)[0], length)
+
+
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with the value worked out once however often it stands in it."""
+    return F.transform(F.array(value), of)[0]
+
+
+def geodesic_bearing(lon0: Column, lat0: Column, lon1: Column, lat1: Column, rounds: int = 8) -> Column:
+    """Direction on the ellipsoid from the first place to the second, in radians from east anticlockwise, from -pi up to pi.
+
+    0 for one and the same place; null where the rounds don't settle, as for places that are nearly antipodal.
+    """
+    s, u1, u2 = _inverse(lon0, lat0, lon1, lat1, rounds)
+
+    def settled(s: Column) -> Column:
+        azimuth = F.atan2(F.cos(u2) * F.sin(s["l"]), F.cos(u1) * F.sin(u2) - F.sin(u1) * F.cos(u2) * F.cos(s["l"]))
+        return F.when(s["moved"] < 1e-9, wrap(F.pi() / 2 - azimuth))
+
+    return F.when((lon0 == lon1) & (lat0 == lat1), 0.0).otherwise(_once(s, settled))

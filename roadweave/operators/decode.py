@@ -465,6 +465,24 @@ def margin_confidence(emissions: DataFrame) -> DataFrame:
     return ranked.withColumn("margin_confidence", F.when(F.col("_r") == 1, sure).otherwise(0.5 * sure)).drop("_r")
 
 
+def with_transition_scores(path: DataFrame, transitions: DataFrame) -> DataFrame:
+    """path with transition_score: that of the step from the row before, null for a trajectory's first.
+
+    path has (trajectory_id, step, candidate_rank), transitions (trajectory_id, step, prev_rank, curr_rank, transition).
+    """
+    before = F.lag("candidate_rank").over(Window.partitionBy("trajectory_id").orderBy("step"))
+    led = path.withColumn("_prev", before)
+    keyed = transitions.select("trajectory_id", "step", F.col("prev_rank").alias("_prev"), F.col("curr_rank").alias("candidate_rank"), F.col("transition").alias("transition_score"))
+    return led.join(keyed, ["trajectory_id", "step", "_prev", "candidate_rank"], "left").drop("_prev")
+
+
+def constrain(emissions: DataFrame, transitions: DataFrame, valid: str | None = None, mask: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Emissions and transitions with the masked score where the column valid, or mask, doesn't say yes: as a lattice they
+    are decoded among the candidates and the moves that may be, as long as there are any."""
+    held = lambda df, flag, score: df.withColumn(score, F.when(F.coalesce(F.col(flag).cast("boolean"), F.lit(False)), F.col(score)).otherwise(MASKED)) if flag else df
+    return held(emissions, valid, "emission"), held(transitions, mask, "transition")
+
+
 def match_table(path: DataFrame, candidates: DataFrame, transitions: DataFrame) -> DataFrame:
     """Decoded rows with their candidate's edge and place, and whether the step from the row before is legal."""
     c = candidates.select("trajectory_id", "t", "candidate_rank", F.col("edge_idx").alias("pred_edge_idx"), F.col("proj_x").alias("pred_proj_x"), F.col("proj_y").alias("pred_proj_y"))

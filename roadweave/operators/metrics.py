@@ -99,10 +99,15 @@ def _holds(c: Column) -> Column:
 
 
 def judged(matches: DataFrame, threshold_m: float = 10.0, low_confidence: float = 0.35) -> DataFrame:
-    """Adds edge_correct, projection_error_m and the kinds of error as booleans; unknown errors are within nothing."""
+    """Adds edge_correct, projection_error_m and the kinds of error as booleans; unknown errors are within nothing.
+
+    edge_correct compares edges; a table without them has its candidates' places compared, and without those it is false.
+    """
     col = F.col
+    ways = [("pred_edge_idx", "gt_edge_idx"), ("pred_candidate_pos", "gt_candidate_pos")]
+    right = next((col(p) == col(g) for p, g in ways if {p, g} <= set(matches.columns)), F.lit(False))
     error = distance(col("pred_proj_x"), col("pred_proj_y"), col("gt_proj_x"), col("gt_proj_y"))
-    out = matches.withColumns({"edge_correct": col("pred_edge_idx") == col("gt_edge_idx"), "projection_error_m": known(error)})
+    out = matches.withColumns({"edge_correct": right, "projection_error_m": known(error)})
     out = out.withColumns({f"within_{r}m": _holds(col("projection_error_m") <= r) for r in (2, 5, 10)} | {"projection_success": _holds(col("projection_error_m") <= threshold_m)})
     wrong = ~col("edge_correct")
     return out.withColumns({"near_but_wrong_edge": wrong & col("within_5m"), "severe_error": wrong & ~col("within_10m"), "low_confidence": _holds(known(col("confidence")) < low_confidence)})
@@ -149,6 +154,26 @@ def transition_diagnostics(matches: DataFrame, transitions: DataFrame) -> DataFr
     return matches.drop("_pred_before", "_gt_before")
 
 
+def policy_metrics(decisions: DataFrame) -> DataFrame:
+    """One row: how often a policy took the true candidate and the true edge, stepped legally, and how far off it was.
+
+    decisions has trajectory_id, t, pred_candidate_pos, gt_candidate_pos (-1 for none), pred_edge_idx, gt_edge_idx (-1 for
+    none), transition_legal and projection_error_m. Legality is of steps after a trajectory's first (1 without any); all
+    other figures are 0 without rows.
+    """
+    error, hit = F.col("projection_error_m"), lambda a, b: F.avg((F.col(a) == F.col(b)).cast("double"))
+    shares = quantiles(decisions, "projection_error_m", [0.5, 0.9]).select(*[F.coalesce(F.get("q", F.lit(i)), F.lit(0.0)).alias(f"{n}_projection_error_m") for i, n in enumerate(("median", "p90"))])
+    row = decisions.agg(
+        F.count("*").alias("num_points"), F.countDistinct("trajectory_id").alias("num_trajectories"),
+        *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in (
+            ("point_action_accuracy", hit("pred_candidate_pos", "gt_candidate_pos")), ("point_edge_accuracy", hit("pred_edge_idx", "gt_edge_idx")),
+            ("mean_projection_error_m", F.avg(error)), ("within_5m_rate", F.avg((error <= 5).cast("double"))),
+        )],
+        F.coalesce(F.avg(F.when(F.col("t") > 0, F.col("transition_legal").cast("double"))), F.lit(1.0)).alias("legal_transition_rate"),
+    )
+    return row.crossJoin(F.broadcast(shares))  # single rows
+
+
 def point_metrics(judged_rows: DataFrame) -> DataFrame:
     """One row of rates, means and quantiles of all judged points; error rates are of wrong points, 0 if there are none."""
     wrong = ~F.col("edge_correct")

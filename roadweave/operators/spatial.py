@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.angles import between
-from ..functions.geometry import nearest_on, project_to_line, project_to_segments, segments
+from ..functions.geometry import line_text, nearest_on, project_to_line, project_to_segments, segments
 
 
 def box_join(points: DataFrame, boxes: DataFrame, radius: float, cell: float = 100.0) -> DataFrame:
@@ -76,6 +76,13 @@ def candidates(points: DataFrame, edges: DataFrame, radius: float = 50.0, k: int
     return ranked.where(F.col("candidate_rank") < k).drop("_p", "_segments", "min_x", "max_x", "min_y", "max_y")
 
 
+def with_geometry(rows: DataFrame, edges: DataFrame, edge: str = "edge_idx") -> DataFrame:
+    """rows with geometry_wkt, the text of their edge's line; null for an edge that edges doesn't have."""
+    line = F.col("line") if "line" in edges.columns else F.array(*[F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (1, 2)])
+    known = edges.select(F.col("edge_idx").alias(edge), line_text(line).alias("geometry_wkt")).dropDuplicates([edge])
+    return rows.join(known, edge, "left")
+
+
 def nearest_edge(points: DataFrame, edges: DataFrame, radius: float = 30.0, cell: float = 100.0) -> DataFrame:
     """The nearest edge of every point within the box (or the doubled one): gt_edge_idx and gt_edge_dist_m, null where none is."""
     hits = probe(points, edges, radius, ["trajectory_id", "t"], cell)

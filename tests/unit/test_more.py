@@ -1,9 +1,11 @@
 """Blocks of long trajectories, lines, and tables of other origin."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from roadweave.functions import geometry, tags
+from roadweave.functions import geometry, projection, tags
 from roadweave.operators import decode, learn, metrics, roadnet
 
 from .test_operators import lattice_rows, random_lattice
@@ -100,3 +102,33 @@ def test_geojson_there_and_back(spark, tmp_path):
     writers.write_geojson(df, f"{tmp_path}/g.geojson")
     back = readers.read_geojson(spark, f"{tmp_path}/g.geojson").first()
     assert back["edge_idx"] == 3 and [tuple(p) for p in back["line"]] == line
+
+
+def test_geodesic_bearings(spark):
+    """Known azimuths: along a meridian and the equator, and Flinders Peak to Buninyong (306 52' 05.37\")."""
+    dms = lambda d, m, s: (abs(d) + m / 60 + s / 3600) * (-1 if d < 0 else 1)
+    rows = [(11.0, 50.0, 11.0, 51.0), (11.0, 50.0, 11.0, 49.0), (10.0, 0.0, 11.0, 0.0), (10.0, 0.0, 9.0, 0.0), (dms(144, 25, 29.52440), dms(-37, 57, 3.72030), dms(143, 55, 35.38390), dms(-37, 39, 10.15610)), (5.0, 5.0, 5.0, 5.0), (0.0, 0.1, 179.9, -0.05)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a double, b double, c double, d double")
+    ends = [F.col(c) for c in "abcd"]
+    got = [r["x"] for r in df.orderBy("i").select(projection.geodesic_bearing(*ends).alias("x")).collect()]
+    assert got[:4] == pytest.approx([math.pi / 2, -math.pi / 2, 0.0, -math.pi], abs=1e-9)
+    assert got[4] == pytest.approx(math.radians(90 - dms(306, 52, 5.37) + 360), abs=5e-8) and got[5] == 0.0 and got[6] is None
+
+
+def test_edges_are_judged_by_places_where_there_are_no_edges(spark):
+    rows = [(1, 2, 2, 0.0, 0.0, 3.0, 4.0, 0.9), (1, 1, 2, 0.0, 0.0, 0.0, 1.0, 0.1)]
+    df = spark.createDataFrame(rows, "trajectory_id bigint, pred_candidate_pos bigint, gt_candidate_pos bigint, pred_proj_x double, pred_proj_y double, gt_proj_x double, gt_proj_y double, confidence double")
+    assert [r["edge_correct"] for r in metrics.judged(df).collect()] == [True, False]
+    assert [r["edge_correct"] for r in metrics.judged(df.drop("gt_candidate_pos")).collect()] == [False, False]
+    assert [r["edge_correct"] for r in metrics.judged(df.withColumns({"pred_edge_idx": F.lit(1), "gt_edge_idx": F.lit(1)})).collect()] == [True, True]
+
+
+def test_constrained_decoding_and_scores_by_step(spark):
+    e = spark.createDataFrame([(1, 0, 0, 5.0, True), (1, 0, 1, 9.0, False), (1, 1, 0, 0.0, True), (1, 1, 1, 1.0, None), (1, 2, 0, 0.0, True), (1, 2, 1, 2.0, True)], "trajectory_id bigint, t bigint, candidate_rank bigint, emission double, ok boolean")
+    a = spark.createDataFrame([(1, s, p, c, 0.1 * (2 * p + c), not (s == 2 and c == 1)) for s in (1, 2) for p in (0, 1) for c in (0, 1)], "trajectory_id bigint, step bigint, prev_rank bigint, curr_rank bigint, transition double, legal boolean")
+    path = lambda e, a: [r["candidate_rank"] for r in decode.viterbi(decode.collect_lattice(e, a), 2).orderBy("t").collect()]
+    assert path(e, a) == [1, 1, 1]
+    held, moves = decode.constrain(e, a, "ok", "legal")
+    assert path(held, moves) == [0, 0, 0] and path(*decode.constrain(e, a, valid="ok")) == [0, 0, 1] and path(*decode.constrain(e, a, mask="legal")) == [1, 1, 0]
+    rows = decode.with_transition_scores(decode.viterbi(decode.collect_lattice(e, a), 2), a).orderBy("t").collect()
+    assert [r["transition_score"] for r in rows] == [None, pytest.approx(0.3), pytest.approx(0.3)]

@@ -118,6 +118,7 @@ def test_entry_names_and_columns(spark):
 
 CHEAP = ["traj_kinematics", "road_degrees", "line_graph_transitions", "candidates_topk", "candidate_recall", "hmm_emission", "point_metrics", "mm2_criteria", "threshold_coverage", "asof_nearest",
          "bent_candidates", "bent_bearings", "edges_cleaned", "segment_features", "speed_tags", "route_report", "route_sources", "forward_bearings", "first_trajectories", "canonical_matches",
+         "candidates_retried", "osm_extract_roads", "route_dissolved", "stream_fixed_lag", "match_scores", "geodesic_links", "candidates_geometry", "policy_evaluation",
          "threshold_margin", "threshold_entropy", "margin_bins", "viterbi_path", "posterior_conf", "viterbi_fixed_lag"]
 
 
