@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.angles import known
+from ..sources.shared import settle
 from .ranks import quantiles
 
 
@@ -50,15 +51,16 @@ def threshold_coverage(rows: DataFrame, value: str = "confidence", targets: tupl
     number is bounded, and every row counts for the nearest threshold that keeps it. Values and thresholds are rounded
     to nine digits. Targets that nothing reaches have no row.
     """
-    clean = _clean(rows, value).withColumn("v", F.round("v", 9))
+    clean = settle(_clean(rows, value).select(F.round("v", 9).alias("v"), "hit"), "judged")  # gone through three times
     if clean.select("v").distinct().limit(most + 1).count() <= most:
         shares = clean.agg(F.sort_array(F.collect_set("v")).alias("th"))  # at most so many values
     else:
         shares = quantiles(clean, "v", [i / (most - 1) for i in range(most)]).withColumnRenamed("q", "th")
     listed = shares.select(F.array_distinct(F.transform("th", lambda x: F.round(x, 9))).alias("ths"))
-    placed = clean.crossJoin(F.broadcast(listed))  # a single row
+    valued = clean.groupBy("v").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
+    placed = valued.crossJoin(F.broadcast(listed))  # a single row
     kept_by = F.filter("ths", lambda x: x <= F.col("v") if higher else x >= F.col("v"))
-    own = placed.select((F.array_max(kept_by) if higher else F.array_min(kept_by)).alias("th"), "hit").groupBy("th").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
+    own = placed.select((F.array_max(kept_by) if higher else F.array_min(kept_by)).alias("th"), "n", "hits").groupBy("th").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
     every = listed.select(F.explode("ths").alias("th")).join(own, "th", "left").na.fill(0, ["n", "hits"])
     w = Window.orderBy(F.col("th").desc() if higher else F.col("th").asc()).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
