@@ -132,3 +132,13 @@ def test_constrained_decoding_and_scores_by_step(spark):
     assert path(held, moves) == [0, 0, 0] and path(*decode.constrain(e, a, valid="ok")) == [0, 0, 1] and path(*decode.constrain(e, a, mask="legal")) == [1, 1, 0]
     rows = decode.with_transition_scores(decode.viterbi(decode.collect_lattice(e, a), 2), a).orderBy("t").collect()
     assert [r["transition_score"] for r in rows] == [None, pytest.approx(0.3), pytest.approx(0.3)]
+
+
+def test_scores_by_step_are_those_that_the_path_adds_up(spark):
+    e = spark.createDataFrame([(1, t, 0, x) for t, x in enumerate((-1.1531624996, 2.0000000014, -6.9018814999))], "trajectory_id bigint, t bigint, candidate_rank bigint, emission double")
+    a = spark.createDataFrame([(1, 1, 0, 0, -1.5270724999999996), (1, 2, 0, 0, 0.1234567894)], "trajectory_id bigint, step bigint, prev_rank bigint, curr_rank bigint, transition double")
+    path = decode.viterbi(decode.collect_lattice(e, a), 1)
+    rows = decode.with_emissions(decode.with_transition_scores(path, a), e).orderBy("t").collect()
+    assert [r["emission"] for r in rows] == [-1.1531625, 2.000000001, -6.9018815]
+    assert [r["transition_score"] for r in rows] == [None, -1.5270725, 0.123456789]
+    assert rows[-1]["path_score"] == rows[-1]["total_score"] == pytest.approx(sum(r["emission"] + (r["transition_score"] or 0) for r in rows), abs=1e-12)

@@ -139,3 +139,12 @@ def test_queries_equal_their_sql(spark, db, name):
     assert sorted(names) == sorted(found.columns)
     filled = lambda rows: [tuple(-1 if v is None else v for v in r) for r in rows]  # noqa: E731  # nulls of any type
     assert str(near(filled(found.select(*names).collect()))) == str(near(filled(want.fetchall())))
+
+
+def test_match_scores_equal_their_sql_to_six_digits(spark, db):
+    found = catalog.queries()["match_scores"](spark, DATA)
+    want = db.execute(catalog.oracle_sql()["match_scores"])
+    names = [d[0] for d in want.description]
+    by_step = lambda rows: {(r[0], r[1]): tuple(r) for r in rows}
+    got, wanted = by_step(found.select(*names).collect()), by_step(want.fetchall())
+    assert got == wanted and len(got) > 900
