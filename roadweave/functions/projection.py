@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .angles import wrap
+from .geometry import once
 
 # The WGS84 ellipsoid and the UTM grid.
 AXIS, FLATTENING = 6378137.0, 1 / 298.257223563
@@ -80,26 +80,45 @@ def from_utm(x: Column, y: Column, zone: int, south: bool = False) -> tuple[Colu
     return F.degrees(F.atan2(F.sinh(v), F.cos(u))) + float(6 * zone - 183), F.degrees(phi)
 
 
-def _inverse(lon0: Column, lat0: Column, lon1: Column, lat1: Column, rounds: int) -> tuple[Column, Column, Column]:
-    """Vincenty's inverse problem after a fixed number of rounds, and both reduced latitudes: l is the longitudes' gap on the
-    sphere, moved what the last round changed of it."""
-    u1 = F.atan((1 - FLATTENING) * F.tan(F.radians(lat0)))
-    u2 = F.atan((1 - FLATTENING) * F.tan(F.radians(lat1)))
-    gap = F.radians(lon1 - lon0)
-    start = F.struct(gap.alias("l"), F.lit(0.0).alias("ss"), F.lit(0.0).alias("cs"), F.lit(0.0).alias("ca"), F.lit(0.0).alias("cm"), F.lit(0.0).alias("moved"))
+def _inverse(lon0: Column, lat0: Column, lon1: Column, lat1: Column, rounds: int) -> Column:
+    """Vincenty's inverse problem after a fixed number of rounds, as a struct: l is the longitudes' gap on the sphere, moved what
+    the last round changed of it; s1, c1, s2, c2 are the sines and cosines of the reduced latitudes."""
+    reduced = lambda lat: F.atan((1 - FLATTENING) * F.tan(F.radians(lat)))
+    angles = F.struct(reduced(lat0).alias("u1"), reduced(lat1).alias("u2"), F.radians(lon1 - lon0).alias("gap"))
+    sides = lambda v: F.struct(F.sin(v["u1"]).alias("s1"), F.cos(v["u1"]).alias("c1"), F.sin(v["u2"]).alias("s2"), F.cos(v["u2"]).alias("c2"), v["gap"].alias("gap"))
 
-    def better(s: Column, _: Column) -> Column:
-        lam = s["l"]
-        ss = F.sqrt(F.pow(F.cos(u2) * F.sin(lam), F.lit(2)) + F.pow(F.cos(u1) * F.sin(u2) - F.sin(u1) * F.cos(u2) * F.cos(lam), F.lit(2)))
-        cs = F.sin(u1) * F.sin(u2) + F.cos(u1) * F.cos(u2) * F.cos(lam)
-        sa = F.when(ss > 0, F.cos(u1) * F.cos(u2) * F.sin(lam) / ss).otherwise(0.0)
-        ca = 1 - sa * sa
-        cm = F.when(ca > 0, cs - 2 * F.sin(u1) * F.sin(u2) / ca).otherwise(0.0)
-        c = FLATTENING / 16 * ca * (4 + FLATTENING * (4 - 3 * ca))
-        far = gap + (1 - c) * FLATTENING * sa * (F.atan2(ss, cs) + c * ss * (cm + c * cs * (2 * cm * cm - 1)))
-        return F.struct(far.alias("l"), ss.alias("ss"), cs.alias("cs"), ca.alias("ca"), cm.alias("cm"), F.abs(far - lam).alias("moved"))
+    def solve(e: Column) -> Column:
+        s1, c1, s2, c2, gap = (e[n] for n in ("s1", "c1", "s2", "c2", "gap"))
+        start = F.struct(gap.alias("l"), *[F.lit(0.0).alias(n) for n in ("ss", "cs", "ca", "cm", "moved")])
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, better), u1, u2
+        def better(s: Column, _: Column) -> Column:
+            """Each step goes into a struct, so that what builds on it doesn't work it out again."""
+            lam = s["l"]
+            turned = F.struct(F.sin(lam).alias("sl"), F.cos(lam).alias("cl"))
+            arc = lambda v: F.struct(
+                v["sl"].alias("sl"), F.sqrt(F.pow(c2 * v["sl"], F.lit(2)) + F.pow(c1 * s2 - s1 * c2 * v["cl"], F.lit(2))).alias("ss"), (s1 * s2 + c1 * c2 * v["cl"]).alias("cs"),
+            )
+            slope = lambda v: F.struct(v["ss"].alias("ss"), v["cs"].alias("cs"), F.when(v["ss"] > 0, c1 * c2 * v["sl"] / v["ss"]).otherwise(0.0).alias("sa"))
+            square = lambda v: F.struct(v["ss"].alias("ss"), v["cs"].alias("cs"), v["sa"].alias("sa"), (1 - v["sa"] * v["sa"]).alias("ca"))
+            middle = lambda v: F.struct(
+                *[v[n].alias(n) for n in ("ss", "cs", "sa", "ca")], F.when(v["ca"] > 0, v["cs"] - 2 * s1 * s2 / v["ca"]).otherwise(0.0).alias("cm"),
+                (FLATTENING / 16 * v["ca"] * (4 + FLATTENING * (4 - 3 * v["ca"]))).alias("c"),
+            )
+
+            def moved(v: Column) -> Column:
+                ss, cs, cm, c = v["ss"], v["cs"], v["cm"], v["c"]
+                far = gap + (1 - c) * FLATTENING * v["sa"] * (F.atan2(ss, cs) + c * ss * (cm + c * cs * (2 * cm * cm - 1)))
+                return once(far, lambda l: F.struct(l.alias("l"), ss.alias("ss"), cs.alias("cs"), v["ca"].alias("ca"), cm.alias("cm"), F.abs(l - lam).alias("moved")))
+
+            value = turned
+            for step in (arc, slope, square, middle, moved):
+                value = once(value, step)
+            return value
+
+        last = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, better)
+        return once(last, lambda s: F.struct(*[s[n].alias(n) for n in ("l", "ss", "cs", "ca", "cm", "moved")], *[e[n].alias(n) for n in ("s1", "c1", "s2", "c2")]))
+
+    return once(once(angles, sides), solve)
 
 
 def geodesic_m(lon0: Column, lat0: Column, lon1: Column, lat1: Column, rounds: int = 8) -> Column:
@@ -114,12 +133,7 @@ def geodesic_m(lon0: Column, lat0: Column, lon1: Column, lat1: Column, rounds: i
         delta = small * ss * (cm + small / 4 * (cs * (2 * cm * cm - 1) - small / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
         return b * big * (F.atan2(ss, cs) - delta)
 
-    return _once(_inverse(lon0, lat0, lon1, lat1, rounds)[0], length)
-
-
-def _once(value: Column, of: Callable[[Column], Column]) -> Column:
-    """of(value), with the value worked out once however often it stands in it."""
-    return F.transform(F.array(value), of)[0]
+    return once(_inverse(lon0, lat0, lon1, lat1, rounds), length)
 
 
 def geodesic_bearing(lon0: Column, lat0: Column, lon1: Column, lat1: Column, rounds: int = 8) -> Column:
@@ -127,10 +141,10 @@ def geodesic_bearing(lon0: Column, lat0: Column, lon1: Column, lat1: Column, rou
 
     0 for one and the same place; null where the rounds don't settle, as for places that are nearly antipodal.
     """
-    s, u1, u2 = _inverse(lon0, lat0, lon1, lat1, rounds)
 
     def settled(s: Column) -> Column:
-        azimuth = F.atan2(F.cos(u2) * F.sin(s["l"]), F.cos(u1) * F.sin(u2) - F.sin(u1) * F.cos(u2) * F.cos(s["l"]))
+        sl, cl = F.sin(s["l"]), F.cos(s["l"])
+        azimuth = F.atan2(s["c2"] * sl, s["c1"] * s["s2"] - s["s1"] * s["c2"] * cl)
         return F.when(s["moved"] < 1e-9, wrap(F.pi() / 2 - azimuth))
 
-    return F.when((lon0 == lon1) & (lat0 == lat1), 0.0).otherwise(_once(s, settled))
+    return F.when((lon0 == lon1) & (lat0 == lat1), 0.0).otherwise(once(_inverse(lon0, lat0, lon1, lat1, rounds), settled))

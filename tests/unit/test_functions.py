@@ -78,3 +78,14 @@ def test_tags(spark):
     got = one(spark, tags.first_value(F.lit("primary;service")), tags.first_value(F.lit(None).cast("string")), tags.first_number(F.lit("50 mph")), tags.first_number(F.lit("x"), 1.0), tags.speed_mps(F.lit("30 mph")), tags.speed_mps(F.lit("36")), tags.speed_mps(F.lit("walk")), tags.flag(F.lit("True")))
     assert tuple(got) == pytest.approx(("primary", "unknown", 50.0, 1.0, 13.4112, 10.0, 13.89, 1))
     assert [tags.threshold_name(v) for v in (5.0, 2.5)] == ["5", "2p5"]
+
+
+def _text(spark, column):
+    row = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0, [(0.0, 0.0), (10.0, 0.0)])], f"a double, b double, c double, d double, line array<{geometry.POINT}>")
+    return row.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_geodesics_work_out_their_steps_once(spark):
+    ends = [F.col(c) for c in "abcd"]
+    for column in (projection.geodesic_m(*ends), projection.geodesic_bearing(*ends)):
+        assert _text(spark, column).count("tan(") <= 4  # two latitudes, a round and the end; over 700 when each use had its own
