@@ -89,3 +89,9 @@ def test_geodesics_work_out_their_steps_once(spark):
     ends = [F.col(c) for c in "abcd"]
     for column in (projection.geodesic_m(*ends), projection.geodesic_bearing(*ends)):
         assert _text(spark, column).count("tan(") <= 4  # two latitudes, a round and the end; over 700 when each use had its own
+
+
+def test_lines_are_cut_and_measured_once(spark):
+    line, at = F.col("line"), F.col("a")
+    assert _text(spark, geometry.interpolate(line, at)).count("sqrt(") <= 4  # 78 when each use cut the line again
+    assert _text(spark, geometry.bearing_at(line, at)).count("sqrt(") <= 6  # 184
