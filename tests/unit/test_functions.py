@@ -95,3 +95,7 @@ def test_lines_are_cut_and_measured_once(spark):
     line, at = F.col("line"), F.col("a")
     assert _text(spark, geometry.interpolate(line, at)).count("sqrt(") <= 4  # 78 when each use cut the line again
     assert _text(spark, geometry.bearing_at(line, at)).count("sqrt(") <= 6  # 184
+
+
+def test_points_are_placed_on_a_segment_once(spark):
+    assert _text(spark, geometry.project_to_line(F.col("a"), F.col("b"), F.col("line"))).count("least(1.0") == 1  # a share along each segment

@@ -319,3 +319,15 @@ def test_scorer_and_policy_learn_the_nearest_candidate(spark):
     assert better[0] < -0.1
     drawn = learn.rollouts(steps, w, seed=1).agg(F.avg(F.col("is_right").cast("double"))).first()[0]
     assert drawn > learn.rollouts(steps, np.zeros(2), seed=1).agg(F.avg(F.col("is_right").cast("double"))).first()[0]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_roads_in_cells_are_never_broadcast(spark):
+    """Spark takes a small file for small whatever the cells make of it, and gathers a broadcast in the driver."""
+    e = edges(spark, [(0, 1, 0, 0, 100, 0), (1, 2, 100, 0, 200, 0)])
+    p = spark.createDataFrame([(1, 0, 10.0, 5.0)], "trajectory_id bigint, t bigint, x double, y double")
+    plan = _plan(spatial.box_join(p, spatial.with_boxes(e), 20.0))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
