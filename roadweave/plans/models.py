@@ -10,7 +10,7 @@ from ..functions.angles import distance
 from ..operators import metrics, roadmodel, roadnet
 from ..sources.shared import settle
 from . import views
-from .catalog import _FEATURES, _decoded, _emissions, _featured, _labelled_candidates, query
+from .catalog import _FEATURES, _candidates, _decoded, _emissions, _featured, _labelled_candidates, query
 
 _CANDIDATE = ("distance_norm", "abs_yaw_diff_norm", "candidate_rank_norm", "speed_consistency")
 _WIDTH, _EPOCHS = 8, 2
@@ -55,9 +55,10 @@ def road_model_scores(spark, sf_dir):
        "point_action_accuracy", "point_edge_accuracy", "legal_transition_rate", "mean_projection_error_m", "median_projection_error_m", "p90_projection_error_m", "within_5m_rate", views_=("decoded", "gt_points", "cand_gt"))
 def policy_evaluation(spark, sf_dir):
     """The decoded candidates as decisions, against the true ones."""
-    true = _labelled_candidates(spark, sf_dir).where("is_gt = 1").groupBy("trajectory_id", "t").agg(F.max("candidate_rank").alias("gt_candidate_pos"), F.max("edge_idx").alias("gt_edge_idx"))
+    found = settle(_candidates(spark, sf_dir), "candidates")
+    true = _labelled_candidates(spark, sf_dir, found=found).where("is_gt = 1").groupBy("trajectory_id", "t").agg(F.max("candidate_rank").alias("gt_candidate_pos"), F.max("edge_idx").alias("gt_edge_idx"))
     places = views.gt_points(spark, sf_dir).select("trajectory_id", "t", F.col("x").alias("_x"), F.col("y").alias("_y"))
-    rows = _decoded(spark, sf_dir).withColumnRenamed("candidate_rank", "pred_candidate_pos").join(places, ["trajectory_id", "t"]).join(true, ["trajectory_id", "t"], "left")
+    rows = _decoded(spark, sf_dir, found).withColumnRenamed("candidate_rank", "pred_candidate_pos").join(places, ["trajectory_id", "t"]).join(true, ["trajectory_id", "t"], "left")
     error = distance(F.col("pred_proj_x"), F.col("pred_proj_y"), F.col("_x"), F.col("_y"))
     known = {c: F.coalesce(c, F.lit(-1)) for c in ("gt_candidate_pos", "gt_edge_idx")}
     return metrics.policy_metrics(settle(rows.withColumns({**known, "projection_error_m": error}), "decisions"))

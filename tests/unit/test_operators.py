@@ -321,13 +321,15 @@ def test_scorer_and_policy_learn_the_nearest_candidate(spark):
     assert drawn > learn.rollouts(steps, np.zeros(2), seed=1).agg(F.avg(F.col("is_right").cast("double"))).first()[0]
 
 
-def _plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-def test_roads_in_cells_are_never_broadcast(spark):
-    """Spark takes a small file for small whatever the cells make of it, and gathers a broadcast in the driver."""
-    e = edges(spark, [(0, 1, 0, 0, 100, 0), (1, 2, 100, 0, 200, 0)])
-    p = spark.createDataFrame([(1, 0, 10.0, 5.0)], "trajectory_id bigint, t bigint, x double, y double")
-    plan = _plan(spatial.box_join(p, spatial.with_boxes(e), 20.0))
-    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+def _joins(df):
+    return [line.split("Join")[0].split()[-1] for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [" in line]
+
+
+def test_roads_are_never_broadcast(spark, tmp_path):
+    """Spark takes a small file for small whatever cells and pairs make of it, and gathers a broadcast in the driver."""
+    kept = lambda df, name: (df.write.parquet(f"{tmp_path}/{name}"), spark.read.parquet(f"{tmp_path}/{name}"))[1]
+    e = kept(edges(spark, [(0, 1, 0, 0, 100, 0), (1, 2, 100, 0, 200, 0)]), "edges")
+    p = kept(spark.createDataFrame([(1, 0, 10.0, 5.0, 0)], "trajectory_id bigint, t bigint, x double, y double, edge_idx bigint"), "points")
+    near = spatial.box_join(p.drop("edge_idx"), spatial.with_boxes(e), 20.0)
+    for df, n in ((near, 1), (spatial.with_geometry(p, e), 1), (roadnet.transitions(e), 1), (roadnet.degrees(e), 4)):
+        assert _joins(df) == ["SortMerge"] * n
